@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docloom.llm import bpe, packing, simhash
+from docloom.llm import bpe, lines, packing, quality, simhash, substring
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -20,6 +21,22 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its text less the passages that an earlier document holds, the bytes removed, and the ids that hold them."""
+    out = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("_dl_removed").alias("removed_bytes"), F.col("_dl_sources").alias("source_doc_ids"))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its text less the lines that repeat earlier ones, and how many were removed."""
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", F.col("_dl_removed").alias("removed_lines"))
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,7 +46,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op8_simhash_near_dedup, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op6_line_dedup, op7_quality_classifier, op8_simhash_near_dedup, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, lines, packing, quality, simhash, substring
+from docloom.llm import bpe, embeddings, lines, packing, quality, simhash, substring, topk
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -27,6 +27,10 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", F.col("_dl_removed").alias("removed_bytes"), F.col("_dl_sources").alias("source_doc_ids"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its text less the lines that repeat earlier ones, and how many were removed."""
     out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,12 +45,16 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op6_line_dedup, op7_quality_classifier, op8_simhash_near_dedup, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op5_embedding_near_dedup, op6_line_dedup, op7_quality_classifier, op8_simhash_near_dedup, op9_exact_top_k, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, embeddings, lines, packing, quality, simhash, substring, topk
+from docloom.llm import bpe, chat, embeddings, html_text, lines, packing, quality, simhash, substring, topk
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -17,6 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], own.schema)
+    return chat.read_back(chat.format_turns(own.unionByName(more)))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
@@ -54,7 +65,7 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_best_fit_packing, op4_substring_dedup, op5_embedding_near_dedup, op6_line_dedup, op7_quality_classifier, op8_simhash_near_dedup, op9_exact_top_k, op10_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_best_fit_packing, op4_substring_dedup, op5_embedding_near_dedup, op6_line_dedup, op7_quality_classifier, op8_simhash_near_dedup, op9_exact_top_k, op10_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:

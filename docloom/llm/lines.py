@@ -4,15 +4,16 @@ A line is the set of its word shingles (``shingle`` words, lower case; hashed).
 removed when an earlier one (by document id, then line number) has a Jaccard similarity of ``part[0] / part[1]`` or more, whether or
 not that one stays itself.
 
-1. Shingles are counted over all documents in 2**20 hash places; the order of shingles is by that count, then by hash. A
+1. Shingles are counted over all documents in 2**18 hash places; the order of shingles is by that count, then by hash. A
    place's count is at least the shingle's own, and any common order keeps the join exact.
-2. A line's prefix holds its ``n - ceil(part * n) + 1`` rarest shingles; similar lines share one. Prefix shingles that
-   occur twice or more set a bit in a bitmap of fixed size, and only those go on. (With more data than the
-   bitmap can hold apart, more go on than need be.)
+2. A line's prefix holds its ``n - ceil(part * n) + 1`` rarest shingles; similar lines share one. Prefix shingles of
+   two different sets or more set a bit in a bitmap of fixed size, and so do digests of sets that more than one line has; only
+   those go on. (With more data than the bitmap can hold apart, more go on than need be.)
 3. Entries of one shingle meet. Length filter, positional filter and a 64-bit parity signature (its differing bits never exceed
    the shingles that differ) leave the candidates. First every line meets the earliest of each shingle; lines
    that this removes need no other partner, so groups of copies never emit all their pairs. The others then meet all earlier lines.
-4. Candidates that are not equal sets are verified on their shingles, read again from the documents.
+4. Candidates that are not equal sets are verified on their shingles, read again from the documents; a bitmap of fixed size
+   says which lines may be wanted, so no text is shuffled for it.
 
 Null texts stay null; empty texts and blank lines stay. Rows that repeat an id are one document: none of them removes a line of another, and a removal counts for all.
 Rows with a null id keep their lines. Extra columns pass through; names that start with ``_dl_`` are used inside.
@@ -31,17 +32,21 @@ from xxhash import xxh3_64_intdigest
 
 from docloom.llm.common import materialize, text_slices
 
-PLACES = 20
+PLACES = 18
 BITMAP = 26
+#: Spreads the lines of a document over the bitmap.
+LINE_STEP = 1_000_003
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def line_shingles(texts: list[str | None], shingle: int, only: list[list[int] | None] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_shingles(texts: list[str | None], shingle: int, only: list[set[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, line, code) of every shingle of the lines that have one, line after line; only: line numbers wanted of each text."""
     words: list[bytes] = []
     row, line, size = [], [], []
     for r, t in enumerate(texts):
-        wanted = None if only is None else set(only[r] or ())
+        wanted = None if only is None else only[r]
+        if wanted is not None and not wanted:
+            continue
         for n, x in enumerate((t or "").lower().encode().split(b"\n")):
             if (wanted is None or n in wanted) and len(own := x.split()) >= shingle:
                 words += own
@@ -64,7 +69,7 @@ def line_shingles(texts: list[str | None], shingle: int, only: list[list[int] |
 class LineSets:
     """Ordered shingle sets of the lines of a batch."""
 
-    def __init__(self, texts: list[str | None], shingle: int, levels: np.ndarray, only: list[list[int] | None] | None = None):
+    def __init__(self, texts: list[str | None], shingle: int, levels: np.ndarray, only: list[set[int]] | None = None):
         row, line, code = line_shingles(texts, shingle, only)
         place = (code >> np.uint64(64 - PLACES)).astype(np.int64)
         token = (levels[place].astype(np.uint64) << np.uint64(56)) | (code & np.uint64((1 << 56) - 1))
@@ -83,7 +88,8 @@ class LineSets:
         """Parity signature and digest of each line's set."""
         if not len(self.begin):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        mixed = (self.token ^ (self.token >> np.uint64(31))) * _ODD
+        mixed = self.token & np.uint64((1 << 56) - 1)
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * _ODD
         return np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), self.begin), np.add.reduceat(mixed * mixed, self.begin)
 
 
@@ -107,23 +113,39 @@ def _levels(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
     return levels
 
 
+def _bitmap(rows: DataFrame, code: str) -> np.ndarray:
+    """Bitmap of the long column code: 2**(BITMAP - 6) words reach the driver at most, whatever the data."""
+    word = F.col(code).bitwiseAND(F.lit((1 << (BITMAP - 6)) - 1)).cast("int").alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({code}, 40) & 63 as int))")
+    found = rows.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(1 << (BITMAP - 6), np.uint64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return bits
+
+
+def _in_bitmap(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
+    word = (code & np.uint64((1 << (BITMAP - 6)) - 1)).astype(np.int64)
+    return (bits[word] >> ((code >> np.uint64(40)) & np.uint64(63))) & np.uint64(1) == 1
+
+
 def _shared_bits(docs: DataFrame, shingle: int, part: tuple[int, int], levels, text: str) -> np.ndarray:
-    """Bitmap of the prefix shingles that occur at least twice."""
+    """Bitmap of the prefix shingles that two different sets hold, and of the digests that two lines have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = 0
         for b in text_slices(batches, text):
             s = LineSets(b.column(text).to_pylist(), shingle, levels.value)
-            token = s.token[s.pos < _prefix(s.size, part)[s.number]]
-            yield pa.record_batch([pa.array(token.view(np.int64))], ["token"])
-
-    tokens = docs.select(text).mapInArrow(run, "token long")
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    word = F.col("token").bitwiseAND(F.lit((1 << (BITMAP - 6)) - 1)).cast("int").alias("word")
-    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(token, 40) & 63 as int))")
-    found = shared.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()  # 2**20 rows at most, whatever the data
-    bits = np.zeros(1 << (BITMAP - 6), np.uint64)
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bits
+            sig, digest = s.marks()
+            prefix = s.pos < _prefix(s.size, part)[s.number]
+            token = np.concatenate((s.token[prefix], digest))
+            # 40 bits tell sets apart here; for digests a number that no other line of the task has
+            own = np.concatenate(((digest ^ sig)[s.number[prefix]] >> np.uint64(24), np.arange(count, count + len(digest), dtype=np.uint64)))
+            count += len(digest)
+            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(own.astype(np.int64)), pa.array(np.arange(len(token)) >= prefix.sum())], ["token", "own", "whole"])
+
+    tokens = docs.select(text).mapInArrow(run, "token long, own long, whole boolean")
+    shared = tokens.groupBy("token", "whole").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count_if("whole").alias("n")).where("n > 1 or not whole and a <> b")
+    return _bitmap(shared, "token")
 
 
 def _prefix(size: np.ndarray, part: tuple[int, int]) -> np.ndarray:
@@ -137,12 +159,12 @@ def _entries(docs: DataFrame, shingle: int, part: tuple[int, int], levels, bits,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
             s = LineSets(b.column(text).to_pylist(), shingle, levels.value)
-            word = (s.token & np.uint64((1 << (BITMAP - 6)) - 1)).astype(np.int64)
-            hit = (bits.value[word] >> ((s.token >> np.uint64(40)) & np.uint64(63))) & np.uint64(1)
-            at = np.flatnonzero((s.pos < _prefix(s.size, part)[s.number]) & (hit == 1))
-            n = s.number[at]
             sig, digest = s.marks()
-            columns = [pa.array(s.token[at].view(np.int64)), b.column(key).take(pa.array(s.row[n])), pa.array(s.line[n], pa.int32()), pa.array(s.size[n], pa.int32()), pa.array(s.pos[at], pa.int32()), pa.array(sig[n].view(np.int64)), pa.array(digest[n].view(np.int64))]
+            at = np.flatnonzero((s.pos < _prefix(s.size, part)[s.number]) & _in_bitmap(bits.value, s.token))
+            whole = np.flatnonzero(_in_bitmap(bits.value, digest))
+            n = np.concatenate((s.number[at], whole))
+            token, pos = np.concatenate((s.token[at], digest[whole])), np.concatenate((s.pos[at], np.zeros(len(whole), np.int64)))
+            columns = [pa.array(token.view(np.int64)), b.column(key).take(pa.array(s.row[n])), pa.array(s.line[n], pa.int32()), pa.array(s.size[n], pa.int32()), pa.array(pos, pa.int32()), pa.array(sig[n].view(np.int64)), pa.array(digest[n].view(np.int64))]
             yield pa.record_batch(columns, schema.names)
 
     return docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, schema)
@@ -166,17 +188,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, part: tuple[int,
     same = (F.col("x.digest") == F.col("y.digest")) & (F.col("x.sig") == F.col("y.sig")) & (F.col("x.size") == F.col("y.size"))
     equal, other = pairs.where(same), pairs.where(~same)
     spot = lambda e: F.struct(F.col(f"{e}.doc").alias("doc"), F.col(f"{e}.line").alias("line"))
-    wanted = other.select(F.explode(F.array(spot("x"), spot("y"))).alias("s")).groupBy(F.col("s.doc").alias("_dl_doc")).agg(F.collect_set("s.line").alias("_dl_lines"))
-    found = docs.select(key, text).join(wanted, F.col(key) == F.col("_dl_doc")).select(key, text, "_dl_lines")
+    wanted = other.select(F.explode(F.array(spot("x"), spot("y"))).alias("s"))
+    place = F.xxhash64("s.doc").bitwiseXOR(F.col("s.line").cast("long") * LINE_STEP)
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(place.alias("place")), "place"))
     schema = T.StructType([T.StructField("doc", docs.schema[key].dataType), T.StructField("line", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
-            s = LineSets(b.column(text).to_pylist(), shingle, levels.value, b.column("_dl_lines").to_pylist())
+            texts = b.column(text).to_pylist()
+            only = []
+            for t, h in zip(texts, b.column("_dl_hash").to_pylist(), strict=True):
+                lines = np.arange((t or "").count("\n") + 1, dtype=np.int64)
+                only.append(set(np.flatnonzero(_in_bitmap(bits.value, (np.int64(h) ^ (lines * LINE_STEP)).view(np.uint64))).tolist()))
+            s = LineSets(texts, shingle, levels.value, only)
             lists = pa.ListArray.from_arrays(pa.array(np.append(s.begin, len(s.token)), pa.int32()), pa.array(s.token.view(np.int64)))
             yield pa.record_batch([b.column(key).take(pa.array(s.row)), pa.array(s.line, pa.int32()), lists], schema.names)
 
-    sets = found.mapInArrow(run, schema)
+    source = docs.where(F.col(key).isNotNull()).select(key, text, F.xxhash64(key).alias("_dl_hash"))
+    sets = materialize(source.mapInArrow(run, schema), "lines-sets")
     one = sets.select(F.struct("doc", "line").alias("xs"), F.col("tokens").alias("xt"))
     two = sets.select(F.struct("doc", "line").alias("ys"), F.col("tokens").alias("yt"))
     near = other.select(spot("x").alias("xs"), spot("y").alias("ys")).join(one, "xs").join(two, "ys")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.vectors import neighbours
+from docloom.session import cut_lineage
 
 EDGES_PER_DOCUMENT = 5
 OVERLAP_SHARE, OVERLAP_LEAST = 0.8, 3
@@ -64,7 +65,7 @@ def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFra
         best = choice.withColumn("gain", F.round(gain, 9)).groupBy("node").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("to"), F.max(F.when(F.col("to") == F.col("now"), F.round(gain, 9))).alias("stay"), F.max("gain").alias("top"))
         turn = F.pmod(F.xxhash64("node", F.lit(42)), F.lit(2)) == i % 2
         moved = label.join(best, "node", "left").select("node", "d", F.when(turn & (F.col("top") > F.coalesce("stay", F.lit(0.0))), F.col("to")).otherwise(F.col("community")).alias("community"), F.col("community").alias("before"))
-        moved = moved.checkpoint()
+        moved = cut_lineage(moved)
         changed = moved.where("community <> before").limit(1).count()
         label = moved.drop("before")
         if not changed and i % 2:

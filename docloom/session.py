@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", partitions: int = 8, **settings: str) -> SparkSession:
@@ -17,3 +18,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, **settings: str)
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | settings
     return SparkSession.builder.master(f"local[{cores}]").appName("docloom").config(map=conf).getOrCreate()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A checkpoint in the folder that the session names; one of its own only where none is named."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+    return df.checkpoint()

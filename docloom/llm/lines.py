@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its word shingles (``shingle`` words, lower case; hashed). Lines of fewer words are left alone. A line is
+A line is the set of its word shingles (``shingle`` words, lower case; hashed to 64 bits). Lines of fewer words are left alone. A line is
 removed when an earlier one (by document id, then line number) has a Jaccard similarity of ``part[0] / part[1]`` or more, whether or
 not that one stays itself.
 
@@ -21,14 +21,14 @@ Rows with a null id keep their lines. Extra columns pass through; names that sta
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_64_intdigest
 
 from docloom.llm.common import materialize, text_slices
 
@@ -37,45 +37,85 @@ BITMAP = 26
 #: Spreads the lines of a document over the bitmap.
 LINE_STEP = 1_000_003
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def line_shingles(texts: list[str | None], shingle: int, only: list[set[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line, code) of every shingle of the lines that have one, line after line; only: line numbers wanted of each text."""
-    words: list[bytes] = []
-    row, line, size = [], [], []
-    for r, t in enumerate(texts):
-        wanted = None if only is None else only[r]
-        if wanted is not None and not wanted:
-            continue
-        for n, x in enumerate((t or "").lower().encode().split(b"\n")):
-            if (wanted is None or n in wanted) and len(own := x.split()) >= shingle:
-                words += own
-                row.append(r)
-                line.append(n)
-                size.append(len(own))
-    code = np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
+#: Of the polynomial hash; odd, so that its powers have inverses.
+BASE = 0xD6E8FEB86659FD93
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base**0 to base**n modulo 2**64."""
+    out = np.full(n + 1, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+@lru_cache(maxsize=1)
+def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
+
+
+def word_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the words at begin to end, all from one running sum over the bytes, then mixed."""
+    up, down = _tables(1 << max(16, len(flat).bit_length()))
+    total = np.zeros(len(flat) + 1, np.uint64)
+    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=total[1:])
+    return _mix((total[end] - total[begin]) * down[begin])
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * _ODD
+    h = (h ^ (h >> np.uint64(29))) * _ODD
+    return h ^ (h >> np.uint64(32))
+
+
+def line_shingles(texts: list[str | None], shingle: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line, code) of every shingle of the lines that have one, line after line; wanted says of (row, line) which lines count."""
+    parts = [(t or "").lower().encode() for t in texts]
+    data = b"\n".join(parts)
+    flat = np.frombuffer(data, np.uint8)
+    space = np.concatenate(([True], _SPACE[flat], [True]))
+    begin, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    breaks = np.flatnonzero(flat == 10)
+    first = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])]) if parts else np.zeros(0, np.int64)
+    number = np.searchsorted(breaks, begin)  # the line of each word, counted through the batch
+    row_of = np.repeat(np.arange(len(parts)), [p.count(b"\n") + 1 for p in parts])
+    line_of = np.arange(len(row_of)) - np.searchsorted(breaks, first)[row_of]
+    size = np.bincount(number, minlength=len(row_of))
+    use = size >= shingle
+    if wanted is not None:
+        use &= wanted(row_of, line_of)
+    if not use.all():
+        keep = use[number]
+        begin, end, number = begin[keep], end[keep], number[keep]
+    code = word_hashes(flat, begin, end)
     mixed = code.copy()
     for i in range(1, shingle):
         mixed[:-i] = mixed[:-i] * _ODD + code[i:]
-    mixed ^= mixed >> np.uint64(29)
-    mixed *= _ODD
-    mixed ^= mixed >> np.uint64(32)
-    sizes = np.array(size, np.int64)
-    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))  # words from here to the line's end
-    keep = left >= shingle
-    return np.repeat(np.array(row, np.int64), sizes)[keep], np.repeat(np.array(line, np.int64), sizes)[keep], mixed[keep]
+    whole = np.zeros(len(number), bool)
+    whole[: max(0, len(number) - shingle + 1)] = number[shingle - 1 :] == number[: max(0, len(number) - shingle + 1)]
+    number = number[whole]
+    return row_of[number], line_of[number], _mix(mixed[whole])
+
+
+def _by_number(number: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Order by number, then token: one sort of both in 64 bits, and the full sort if the bits left out could matter."""
+    bits = np.uint64(max(1, int(number[-1]).bit_length() if len(number) else 1))
+    key = (number.astype(np.uint64) << (np.uint64(64) - bits)) | (token >> bits)
+    order = np.argsort(key)
+    tie = key[order[1:]] == key[order[:-1]]
+    return np.lexsort((token, number)) if (tie & (token[order[1:]] != token[order[:-1]])).any() else order
 
 
 class LineSets:
     """Ordered shingle sets of the lines of a batch."""
 
-    def __init__(self, texts: list[str | None], shingle: int, levels: np.ndarray, only: list[set[int]] | None = None):
-        row, line, code = line_shingles(texts, shingle, only)
+    def __init__(self, texts: list[str | None], shingle: int, levels: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
+        row, line, code = line_shingles(texts, shingle, wanted)
         place = (code >> np.uint64(64 - PLACES)).astype(np.int64)
         token = (levels[place].astype(np.uint64) << np.uint64(56)) | (code & np.uint64((1 << 56) - 1))
         first = np.concatenate(([True], (row[1:] != row[:-1]) | (line[1:] != line[:-1]))) if len(row) else np.zeros(0, bool)
         number = np.cumsum(first) - 1
-        order = np.lexsort((token, number))
+        order = _by_number(number, token)
         token, number = token[order], number[order]
         keep = np.concatenate(([True], (token[1:] != token[:-1]) | (number[1:] != number[:-1]))) if len(token) else np.zeros(0, bool)
         self.token, self.number = token[keep], number[keep]
@@ -195,12 +235,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, part: tuple[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
-            texts = b.column(text).to_pylist()
-            only = []
-            for t, h in zip(texts, b.column("_dl_hash").to_pylist(), strict=True):
-                lines = np.arange((t or "").count("\n") + 1, dtype=np.int64)
-                only.append(set(np.flatnonzero(_in_bitmap(bits.value, (np.int64(h) ^ (lines * LINE_STEP)).view(np.uint64))).tolist()))
-            s = LineSets(texts, shingle, levels.value, only)
+            code = b.column("_dl_hash").to_numpy()
+            wanted = lambda row, line, code=code: _in_bitmap(bits.value, (code[row] ^ (line * LINE_STEP)).view(np.uint64))
+            s = LineSets(b.column(text).to_pylist(), shingle, levels.value, wanted)
             lists = pa.ListArray.from_arrays(pa.array(np.append(s.begin, len(s.token)), pa.int32()), pa.array(s.token.view(np.int64)))
             yield pa.record_batch([b.column(key).take(pa.array(s.row)), pa.array(s.line, pa.int32()), lists], schema.names)
 

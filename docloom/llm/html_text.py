@@ -198,4 +198,4 @@ def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page
             texts = [main_text(h) for h in b.column(html).to_pylist()]
             yield pa.record_batch([*(b.column(c) for c in keep), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return pages.select(*keep, html).mapInArrow(run, schema)
+    return pages.select(*dict.fromkeys((*keep, html))).mapInArrow(run, schema)

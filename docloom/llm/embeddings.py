@@ -2,8 +2,10 @@
 
 Equal vectors are one node that counts as many. Neighbour lists start from random-hyperplane buckets. Each round joins every node's
 neighbours with one another (forward and reverse lists, in blocks of bounded size) and keeps the ``k`` best of each node.
-Edges at or over the threshold form components. Lists that hold nothing but such edges are saturated: they are enlarged to
-the node's whole component, which is compared block by block, so that no link inside a component is lost and no group of
+What a block links at or over the threshold is kept beside the lists for good, as one edge of each node to the first of its group there,
+so that no link once seen is lost to a better one. These edges form components. Lists that hold nothing but such edges are saturated and
+look no further: inside a component all is compared block by block, and saturated nodes of different components are compared
+through pieces of bounded size, of which only those are left out whose centres and radii rule a link out. No group of
 copies sits in one task. After each round a bounded sample of vectors is compared with all; rounds go on while the found share of
 its true links is under ``recall``.
 
@@ -18,6 +20,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,16 +90,30 @@ def block_spans(starts: np.ndarray, end: int, block: int) -> Iterator[tuple[int,
             yield i, min(i + block, e)
 
 
-_EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("sim", T.DoubleType())])
+_EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("sim", T.DoubleType()), T.StructField("link", T.BooleanType())])
+#: Similarity of rows that are links through others only.
+_NO_SIM = -3.0
 
 
-def _local_join(keys: list[str], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Within each group (in blocks), edges from each node to its k best there that beat its list's last entry."""
+def first_linked(near: np.ndarray) -> np.ndarray:
+    """For each place of a symmetric matrix the first place that it is linked with, directly or through others."""
+    n = len(near)
+    label = np.arange(n)
+    while True:
+        now = np.minimum(label, np.where(near, label, n).min(axis=1))
+        now = now[now]
+        if (now == label).all():
+            return label
+        label = now
+
+
+def _local_join(keys: list[str], k: int, threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Within each group (in blocks), edges from each node to its k best there that beat its list's last entry, and its link to the first of its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, keys):
             node, unit, worst = t.column("node").to_numpy(), matrix(t.column("unit")), t.column("worst").to_numpy()
-            a, b, sim = [], [], []
+            a, b, sim, link = [], [], [], []
             for s, e in block_spans(group_starts(t, keys), t.num_rows, BLOCK):
                 if e - s < 2:
                     continue
@@ -108,20 +125,30 @@ def _local_join(keys: list[str], k: int) -> Callable[[Iterator[pa.RecordBatch]],
                 a.append(node[s:e][i])
                 b.append(node[s:e][best[i, j]])
                 sim.append(value[i, j])
+                link.append(np.zeros(len(i), bool))
+                near = got >= threshold
+                if near.any():
+                    head = first_linked(near)
+                    i = np.flatnonzero(node[s:e][head] != node[s:e])
+                    a.append(node[s:e][i])
+                    b.append(node[s:e][head[i]])
+                    sim.append(np.full(len(i), _NO_SIM))
+                    link.append(np.ones(len(i), bool))
             if a:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (a, b, sim)], ["a", "b", "sim"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (a, b, sim, link)], _EDGES.names)
 
     return run
 
 
 def _best(edges: DataFrame, k: int) -> DataFrame:
-    """The k best distinct neighbours of each node; each task first cuts what it has."""
-    top = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"))
-    top = top.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("sim", "b")), False), 1, k).alias("l"))
-    return top.select("a", F.inline("l")).select("a", "b", "sim")
+    """The k best distinct neighbours of each node (best), and all its links (link)."""
+    top = edges.groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("link").alias("link"))
+    top = top.groupBy("a").agg(F.sort_array(F.collect_list(F.struct("sim", "b", "link")), False).alias("l"))
+    top = top.select("a", F.posexplode("l").alias("at", "x")).select("a", "x.*", ((F.col("at") < k) & (F.col("x.sim") > _NO_SIM)).alias("best"))
+    return top.where("best or link").select("a", "b", "sim", "link", "best")
 
 
-def start_lists(nodes: DataFrame, count: int, k: int, tables: int, seed: int) -> DataFrame:
+def start_lists(nodes: DataFrame, count: int, k: int, tables: int, seed: int, threshold: float) -> DataFrame:
     """First lists from buckets of random hyperplanes, about half a block in each."""
     bits = max(1, math.ceil(math.log2(max(2, 2 * count / BLOCK))))
     schema = T.StructType([T.StructField("table", T.IntegerType()), T.StructField("bucket", T.LongType()), T.StructField("place", T.DoubleType()), T.StructField("node", T.LongType()), T.StructField("unit", T.ArrayType(T.DoubleType())), T.StructField("worst", T.DoubleType())])
@@ -139,19 +166,20 @@ def start_lists(nodes: DataFrame, count: int, k: int, tables: int, seed: int) ->
     spread = nodes.mapInArrow(run, schema)
     # by range of bucket and place: a bucket with very many vectors goes to many tasks
     spread = spread.repartitionByRange(shuffle_partitions(nodes.sparkSession), "table", "bucket", "place").sortWithinPartitions("table", "bucket", "place")
-    return _best(spread.mapInArrow(_local_join(["table", "bucket"], k), _EDGES), k)
+    return _best(spread.mapInArrow(_local_join(["table", "bucket"], k, threshold), _EDGES), k)
 
 
-def descend(nodes: DataFrame, edges: DataFrame, k: int) -> DataFrame:
+def descend(nodes: DataFrame, edges: DataFrame, k: int, threshold: float) -> DataFrame:
     """One round: the neighbours of every node, either way, are compared with one another."""
-    worst = edges.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
+    best = edges.where("best")
+    worst = best.groupBy("a").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("worst"))
     own = nodes.join(worst, nodes.node == worst.a, "left").select("node", "unit", F.coalesce("worst", F.lit(-2.0)).alias("worst"))
-    ends = edges.select(F.col("a").alias("center"), F.col("b").alias("node"))
-    ends = ends.unionByName(edges.select(F.col("b").alias("center"), F.col("a").alias("node"))).distinct()
+    ends = best.select(F.col("a").alias("center"), F.col("b").alias("node"))
+    ends = ends.unionByName(best.select(F.col("b").alias("center"), F.col("a").alias("node"))).distinct()
     n = shuffle_partitions(nodes.sparkSession)
     met = ends.join(own, "node").withColumn("place", F.xxhash64("node", "center"))
     met = met.repartitionByRange(n, "center", "place").sortWithinPartitions("center", "place")
-    return _best(edges.unionByName(met.mapInArrow(_local_join(["center"], k), _EDGES)), k)
+    return _best(edges.drop("best").unionByName(met.mapInArrow(_local_join(["center"], k, threshold), _EDGES)), k)
 
 
 def component_links(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
@@ -185,6 +213,99 @@ def component_links(members: DataFrame, threshold: float, block: int = 256) -> D
     return pair.drop("blocks").mapInArrow(run, "node long, links long").groupBy("node").agg(F.sum("links").alias("links"))
 
 
+def pieces(members: DataFrame, block: int) -> DataFrame:
+    """members (component, node, unit) in pieces of block nodes of one component; the first row of each holds its centre and radius (an angle)."""
+    schema = T.StructType([T.StructField("piece", T.LongType()), *(members.schema[c] for c in ("component", "node", "unit")), T.StructField("center", T.ArrayType(T.DoubleType())), T.StructField("radius", T.DoubleType())])
+    spread = T.StructType([*(members.schema[c] for c in ("component", "node", "unit")), T.StructField("place", T.DoubleType())])
+
+    def lay(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            unit = matrix(b.column("unit"))
+            side = unit @ np.random.default_rng(11).normal(size=(unit.shape[1], 9))
+            place = (side[:, :8] > 0) @ (1 << np.arange(8)) + 0.5 + np.arctan(side[:, 8]) / 4
+            yield pa.record_batch([b.column("component"), b.column("node"), b.column("unit"), pa.array(place.astype(float))], spread.names)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for t in whole_groups(batches, ["component"]):
+            unit = matrix(t.column("unit"))
+            piece, center, radius = np.zeros(t.num_rows, np.int64), [None] * t.num_rows, [None] * t.num_rows
+            for s, e in block_spans(group_starts(t, ["component"]), t.num_rows, block):
+                piece[s:e] = number = number + 1
+                middle = unit[s:e].sum(axis=0)
+                middle = middle / length if (length := np.linalg.norm(middle)) > 1e-6 else unit[s]
+                center[s], radius[s] = middle, float(np.arccos(np.clip((unit[s:e] @ middle).min(), -1, 1)))
+            columns = [pa.array(piece), *(t.column(c).combine_chunks() for c in ("component", "node", "unit")), pa.array(center, pa.list_(pa.float64())), pa.array(radius, pa.float64())]
+            yield pa.record_batch(columns, schema.names)
+
+    laid = members.select("component", "node", "unit").mapInArrow(lay, spread)
+    laid = laid.repartitionByRange(shuffle_partitions(members.sparkSession), "component", "place").sortWithinPartitions("component", "place")
+    return materialize(laid.drop("place").mapInArrow(cut, schema), "pieces")
+
+
+def near_pieces(heads: DataFrame, threshold: float, chunk: int) -> DataFrame:
+    """(p, q) of the pieces of different components that centres and radii do not keep from a link; chunk pieces are sent to all tasks at a time."""
+    sc, count = heads.sparkSession.sparkContext, heads.count()
+    steps = max(1, math.ceil(count / chunk))
+    angle = math.acos(threshold) + 1e-6
+    found = None
+    for step in range(steps):
+        some = heads.where(F.pmod(F.xxhash64("piece", F.lit(5)), F.lit(steps)) == step).select("piece", "component", "center", "radius").toArrow()
+        if not some.num_rows:
+            continue
+        shipped = sc.broadcast((some.column("piece").to_numpy(), some.column("component").to_numpy(), matrix(some.column("center")), some.column("radius").to_numpy() + angle))
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
+            piece, component, center, reach = shipped.value
+            ahead = np.column_stack((center, -np.cos(reach), np.sin(reach)))  # times the other side: cosine less cosine of the reach
+            for whole in batches:
+                for at in range(0, whole.num_rows, 1024):
+                    b = whole.slice(at, 1024)
+                    radius, own = b.column("radius").to_numpy(), b.column("piece").to_numpy()
+                    behind = np.column_stack((matrix(b.column("center")), np.cos(radius), np.sin(radius)))
+                    open_ = ahead @ behind.T >= -1e-9
+                    if reach.max() + radius.max() >= math.pi:
+                        open_ |= reach[:, None] + radius >= math.pi
+                    i, j = np.nonzero(open_)
+                    keep = (piece[i] < own[j]) & (component[i] != b.column("component").to_numpy()[j])
+                    yield pa.record_batch([pa.array(piece[i][keep]), pa.array(own[j][keep])], ["p", "q"])
+
+        pairs = materialize(heads.select("piece", "component", "center", "radius").mapInArrow(run, "p long, q long"), "pieces-near")
+        found = pairs if found is None else found.unionByName(pairs)
+    return heads.select(F.col("piece").alias("p"), F.col("piece").alias("q")).limit(0) if found is None else found
+
+
+def cross_links(members: DataFrame, threshold: float, block: int = 256, chunk: int = 4096) -> DataFrame:
+    """(a, b): components of members (component, node, unit) that a link of two of their members joins. Exact."""
+    parts = pieces(members, block)
+    pairs = near_pieces(parts.where("center is not null"), threshold, chunk)
+    ends = pairs.select("p", "q", F.explode(F.array("p", "q")).alias("piece"))
+    met = ends.join(parts.select("piece", "component", "unit"), "piece")
+    met = met.repartition(shuffle_partitions(members.sparkSession), "p", "q").sortWithinPartitions("p", "q", "piece")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["p", "q"], most=1 << 30):
+            unit, piece, q, component = matrix(t.column("unit")), t.column("piece").to_numpy(), t.column("q").to_numpy(), t.column("component").to_numpy()
+            starts = group_starts(t, ["p", "q"])
+            a, b = [], []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                m = s + int(np.searchsorted(piece[s:e], q[s]))
+                if (unit[s:m] @ unit[m:e].T >= threshold).any():
+                    a.append(component[s])
+                    b.append(component[m])
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return met.mapInArrow(run, "a long, b long").distinct()
+
+
+def joined(parts: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """parts with the components joined that cross_links finds among members."""
+    more = materialize(cross_links(members, threshold), "cross")
+    if more.isEmpty():
+        return parts
+    return materialize(connected_components(parts.toDF("a", "b").unionByName(more)), "parts")
+
+
 def audit(nodes: DataFrame, parts: DataFrame, threshold: float, sample: int) -> float:
     """Share of the links of a bounded sample, found by comparing it with all vectors, that lie inside one found component."""
     chosen = nodes.orderBy(F.xxhash64("node", F.lit(3))).limit(sample).toArrow()
@@ -211,16 +332,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, tab
     units = materialize(unit_vectors(vectors, key, column), "units")
     nodes = materialize(units.groupBy("unit").agg(F.min(key).alias("node"), F.count("*").alias("copies")), "nodes")
     count = nodes.count()
-    lists = materialize(start_lists(nodes.select("node", "unit"), count, k, tables, seed=1), "lists")
+    lists = materialize(start_lists(nodes.select("node", "unit"), count, k, tables, 1, threshold), "lists")
     for done in range(1, most_rounds + 1):
-        lists = materialize(descend(nodes.select("node", "unit"), lists, k), "lists")
+        lists = materialize(descend(nodes.select("node", "unit"), lists, k, threshold), "lists")
         if done < rounds:
             continue
-        parts = materialize(connected_components(lists.where(F.col("sim") >= threshold).select("a", "b")), "parts")
+        parts = materialize(connected_components(lists.where((F.col("sim") >= threshold) | F.col("link")).select("a", "b")), "parts")
+        full = lists.where("best").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("sim").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold))
+        parts = joined(parts, nodes.join(full, "node").join(parts, "node").select("component", "node", "unit"), threshold)
         if audit(nodes, parts, threshold, sample) >= recall:
             break
-        fresh = start_lists(nodes.select("node", "unit"), count, k, tables, seed=1 + done)
-        lists = materialize(_best(lists.unionByName(fresh), k), "lists")
+        fresh = start_lists(nodes.select("node", "unit"), count, k, tables, 1 + done, threshold)
+        lists = materialize(_best(lists.unionByName(fresh).drop("best"), k), "lists")
     members = nodes.join(parts, "node").select("component", "node", "unit", "copies")
     links = component_links(members, threshold)
     found = nodes.join(parts, "node", "left").join(links, "node", "left")

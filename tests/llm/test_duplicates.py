@@ -163,6 +163,35 @@ def test_embedding_links_against_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_between_saturated_groups(spark):
+    rng = np.random.default_rng(4)
+    base = np.linalg.qr(rng.normal(size=(64, 64)))[0]
+    one, two = base[0], 0.955 * base[0] + (1 - 0.955**2) ** 0.5 * base[1]
+    groups = [c + rng.normal(scale=0.004, size=(n, 64)) for c, n in ((one, 1500), (two, 1500), (base[2], 40))]
+    x = np.concatenate((*groups, rng.normal(size=(300, 64)))).astype(np.float32)
+    u = x.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near[:1500, 1500:3000].any() and near[:1500, :1500].sum(axis=1).min() >= 8
+    want = components(range(len(x)), [(0, i) for i in range(1, 3000)] + [(3000, i) for i in range(3001, 3040)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (near[i].sum(), want[i]) for i in range(len(x)))
+
+
+@pytest.mark.parametrize("block, chunk", [(256, 4096), (3, 7)])
+def test_cross_links_are_exact(spark, block, chunk):
+    x = vectors(np.random.default_rng(6)).astype(np.float64)[:640]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    group = [i // 4 * 4 for i in range(len(x))]
+    near = x @ x.T >= 0.95
+    want = {(min(group[i], group[j]), max(group[i], group[j])) for i, j in zip(*np.nonzero(near), strict=True) if group[i] != group[j]}
+    df = spark.createDataFrame([(group[i], i, v.tolist()) for i, v in enumerate(x)], "component long, node long, unit array<double>")
+    got = {(min(r.a, r.b), max(r.a, r.b)) for r in embeddings.cross_links(df, 0.95, block, chunk).collect()}
+    assert got == want and want
+
+
 def test_top_k_against_brute_force(spark):
     from pyspark.sql import functions as F
 

@@ -192,6 +192,31 @@ def test_cross_links_are_exact(spark, block, chunk):
     assert got == want and want
 
 
+def test_audit_sees_missed_pairs(spark):
+    rng = np.random.default_rng(8)
+    dense = rng.normal(size=16) + rng.normal(scale=0.02, size=(100, 16))
+    pairs = np.repeat(rng.normal(size=(50, 16)), 2, axis=0) + rng.normal(scale=0.02, size=(100, 16))
+    u = np.concatenate((dense, pairs))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    nodes = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(u)], "node long, unit array<double>")
+    only_dense = [(i, 0) for i in range(100)]
+    all_parts = only_dense + [(i, i // 2 * 2) for i in range(100, 200)]
+    assert embeddings.audit(nodes, spark.createDataFrame(only_dense, "node long, component long"), 0.95, 512) < 0.1
+    assert embeddings.audit(nodes, spark.createDataFrame(all_parts, "node long, component long"), 0.95, 512) == 1
+
+
+def test_embedding_links_where_rounds_end_too_early(spark):
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(1500, 16)), 2, axis=0) + rng.normal(scale=0.1, size=(3000, 16))
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.95
+    np.fill_diagonal(near, False)
+    want = components(range(len(x)), zip(*np.nonzero(near), strict=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, k=1, tables=1, rounds=1, most_rounds=1).collect()}
+    assert all((got[i].n_links, got[i].component_id) == (near[i].sum(), want[i]) for i in range(len(x)))
+
+
 def test_top_k_against_brute_force(spark):
     from pyspark.sql import functions as F
 

@@ -1,6 +1,7 @@
 """Line dedup by an exact set-similarity join.
 
-A line is the set of its word shingles (``shingle`` words, lower case; hashed to 64 bits). Lines of fewer words are left alone. A line is
+A line is the set of its word shingles (``shingle`` words, lower case; hashed to 64 bits). A line of fewer words, but ``least`` at
+least (``shingle`` if not given), is one shingle of all its words; others are left alone. A line is
 removed when an earlier one (by document id, then line number) has a Jaccard similarity of ``part[0] / part[1]`` or more, whether or
 not that one stays itself.
 
@@ -68,7 +69,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def line_shingles(texts: list[str | None], shingle: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def line_shingles(texts: list[str | None], shingle: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, least: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, line, code) of every shingle of the lines that have one, line after line; wanted says of (row, line) which lines count."""
     parts = [(t or "").lower().encode() for t in texts]
     data = b"\n".join(parts)
@@ -81,18 +82,19 @@ def line_shingles(texts: list[str | None], shingle: int, wanted: Callable[[np.nd
     row_of = np.repeat(np.arange(len(parts)), [p.count(b"\n") + 1 for p in parts])
     line_of = np.arange(len(row_of)) - np.searchsorted(breaks, first)[row_of]
     size = np.bincount(number, minlength=len(row_of))
-    use = size >= shingle
+    use = size >= min(shingle, least or shingle)
     if wanted is not None:
         use &= wanted(row_of, line_of)
     if not use.all():
         keep = use[number]
         begin, end, number = begin[keep], end[keep], number[keep]
     code = word_hashes(flat, begin, end)
-    mixed = code.copy()
-    for i in range(1, shingle):
-        mixed[:-i] = mixed[:-i] * _ODD + code[i:]
+    mixed, size = code.copy(), size[number]
+    for i in range(1, shingle):  # where a line has i words only, its hash stays as it is
+        mixed[:-i] = np.where(size[:-i] > i, mixed[:-i] * _ODD + code[i:], mixed[:-i])
     whole = np.zeros(len(number), bool)
     whole[: max(0, len(number) - shingle + 1)] = number[shingle - 1 :] == number[: max(0, len(number) - shingle + 1)]
+    whole |= (size < shingle) & np.concatenate((np.ones(min(1, len(number)), bool), number[1:] != number[:-1]))
     number = number[whole]
     return row_of[number], line_of[number], _mix(mixed[whole])
 
@@ -109,8 +111,8 @@ def _by_number(number: np.ndarray, token: np.ndarray) -> np.ndarray:
 class LineSets:
     """Ordered shingle sets of the lines of a batch."""
 
-    def __init__(self, texts: list[str | None], shingle: int, levels: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None):
-        row, line, code = line_shingles(texts, shingle, wanted)
+    def __init__(self, texts: list[str | None], shingle: int, levels: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, least: int | None = None):
+        row, line, code = line_shingles(texts, shingle, wanted, least)
         place = (code >> np.uint64(64 - PLACES)).astype(np.int64)
         token = (levels[place].astype(np.uint64) << np.uint64(56)) | (code & np.uint64((1 << 56) - 1))
         first = np.concatenate(([True], (row[1:] != row[:-1]) | (line[1:] != line[:-1]))) if len(row) else np.zeros(0, bool)
@@ -133,14 +135,14 @@ class LineSets:
         return np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), self.begin), np.add.reduceat(mixed * mixed, self.begin)
 
 
-def _levels(docs: DataFrame, shingle: int, text: str) -> np.ndarray:
+def _levels(docs: DataFrame, shingle: int, text: str, least: int | None) -> np.ndarray:
     """For each hash place a level of its count, in 255 steps of an eighth of a doubling."""
     schema = "place int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << PLACES, np.int64)
         for b in text_slices(batches, text):
-            _, _, code = line_shingles(b.column(text).to_pylist(), shingle)
+            _, _, code = line_shingles(b.column(text).to_pylist(), shingle, least=least)
             total += np.bincount((code >> np.uint64(64 - PLACES)).astype(np.int64), minlength=1 << PLACES)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used])], ["place", "n"])
@@ -168,13 +170,13 @@ def _in_bitmap(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (bits[word] >> ((code >> np.uint64(40)) & np.uint64(63))) & np.uint64(1) == 1
 
 
-def _shared_bits(docs: DataFrame, shingle: int, part: tuple[int, int], levels, text: str) -> np.ndarray:
+def _shared_bits(docs: DataFrame, shingle: int, part: tuple[int, int], levels, text: str, least: int | None) -> np.ndarray:
     """Bitmap of the prefix shingles that two different sets hold, and of the digests that two lines have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = 0
         for b in text_slices(batches, text):
-            s = LineSets(b.column(text).to_pylist(), shingle, levels.value)
+            s = LineSets(b.column(text).to_pylist(), shingle, levels.value, least=least)
             sig, digest = s.marks()
             prefix = s.pos < _prefix(s.size, part)[s.number]
             token = np.concatenate((s.token[prefix], digest))
@@ -192,13 +194,13 @@ def _prefix(size: np.ndarray, part: tuple[int, int]) -> np.ndarray:
     return size - -(-part[0] * size // part[1]) + 1
 
 
-def _entries(docs: DataFrame, shingle: int, part: tuple[int, int], levels, bits, text: str, key: str) -> DataFrame:
+def _entries(docs: DataFrame, shingle: int, part: tuple[int, int], levels, bits, text: str, key: str, least: int | None) -> DataFrame:
     kind = docs.schema[key].dataType
     schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("doc", kind), T.StructField("line", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("sig", T.LongType()), T.StructField("digest", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
-            s = LineSets(b.column(text).to_pylist(), shingle, levels.value)
+            s = LineSets(b.column(text).to_pylist(), shingle, levels.value, least=least)
             sig, digest = s.marks()
             at = np.flatnonzero((s.pos < _prefix(s.size, part)[s.number]) & _in_bitmap(bits.value, s.token))
             whole = np.flatnonzero(_in_bitmap(bits.value, digest))
@@ -222,7 +224,7 @@ def _may_match(x: str, y: str, part: tuple[int, int]) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, part: tuple[int, int], levels, text: str, key: str) -> DataFrame:
+def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, part: tuple[int, int], levels, text: str, key: str, least: int | None) -> DataFrame:
     """Of candidate pairs (x later, y earlier; structs of doc, line, sig, digest, size) the x of those that are similar."""
     pairs = materialize(pairs, "lines-pairs")
     same = (F.col("x.digest") == F.col("y.digest")) & (F.col("x.sig") == F.col("y.sig")) & (F.col("x.size") == F.col("y.size"))
@@ -237,7 +239,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, part: tuple[int,
         for b in text_slices(batches, text):
             code = b.column("_dl_hash").to_numpy()
             wanted = lambda row, line, code=code: _in_bitmap(bits.value, (code[row] ^ (line * LINE_STEP)).view(np.uint64))
-            s = LineSets(b.column(text).to_pylist(), shingle, levels.value, wanted)
+            s = LineSets(b.column(text).to_pylist(), shingle, levels.value, wanted, least)
             lists = pa.ListArray.from_arrays(pa.array(np.append(s.begin, len(s.token)), pa.int32()), pa.array(s.token.view(np.int64)))
             yield pa.record_batch([b.column(key).take(pa.array(s.row)), pa.array(s.line, pa.int32()), lists], schema.names)
 
@@ -251,26 +253,26 @@ def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, part: tuple[int,
     return equal.select("x.doc", "x.line").unionByName(near.select("xs.doc", "xs.line")).distinct()
 
 
-def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
+def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id", least: int | None = None) -> DataFrame:
     """(doc, line) of the lines to remove."""
     sc = docs.sparkSession.sparkContext
-    levels = sc.broadcast(_levels(docs, shingle, text))
-    bits = sc.broadcast(_shared_bits(docs, shingle, part, levels, text))
-    entries = materialize(_entries(docs, shingle, part, levels, bits, text, key), "lines-entries")
+    levels = sc.broadcast(_levels(docs, shingle, text, least))
+    bits = sc.broadcast(_shared_bits(docs, shingle, part, levels, text, least))
+    entries = materialize(_entries(docs, shingle, part, levels, bits, text, key, least), "lines-entries")
     e = entries.select("token", F.struct("doc", "line", "size", "pos", "sig", "digest").alias("e"))
     strip = lambda name: F.struct(*(F.col(f"{name}.{f}").alias(f) for f in ("doc", "line", "size", "sig", "digest"))).alias(name)
     later = (F.col("x.doc") > F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") > F.col("y.line")))
     earliest = e.groupBy("token").agg(F.min("e").alias("y"), F.count("*").alias("n")).where("n > 1").select("token", "y")
     first = e.withColumnRenamed("e", "x").join(earliest, "token").where(later & _may_match("x", "y", part)).select(strip("x"), strip("y")).distinct()
-    gone = materialize(_verified(first, docs, shingle, part, levels, text, key), "lines-gone")
+    gone = materialize(_verified(first, docs, shingle, part, levels, text, key, least), "lines-gone")
     open_lines = entries.join(gone, ["doc", "line"], "left_anti").select("token", F.struct("doc", "line", "size", "pos", "sig", "digest").alias("x"))
     more = open_lines.join(e.withColumnRenamed("e", "y"), "token").where(later & _may_match("x", "y", part)).select(strip("x"), strip("y")).distinct()
-    return gone.unionByName(_verified(more, docs, shingle, part, levels, text, key))
+    return gone.unionByName(_verified(more, docs, shingle, part, levels, text, key, least))
 
 
-def dedup(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id", least: int | None = None) -> DataFrame:
     """docs with the text less its repeated lines, and _dl_removed: how many."""
-    gone = repeated_lines(docs, shingle, part, text, key).groupBy(F.col("doc").alias("_dl_key")).agg(F.collect_set("line").alias("_dl_lines"))
+    gone = repeated_lines(docs, shingle, part, text, key, least).groupBy(F.col("doc").alias("_dl_key")).agg(F.collect_set("line").alias("_dl_lines"))
     joined = docs.join(gone, docs[key] == gone["_dl_key"], "left").drop("_dl_key")
     schema = T.StructType([*docs.schema.fields, T.StructField("_dl_removed", T.IntegerType())])
     names = docs.columns

@@ -44,7 +44,7 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its text less the lines that repeat earlier ones, and how many were removed."""
-    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
     return out.select("doc_id", "text", F.col("_dl_removed").alias("removed_lines"))
 
 

@@ -97,6 +97,24 @@ def test_lines_against_brute_force(spark):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def test_short_lines_against_brute_force(spark):
+    rng = random.Random(21)
+    rows = [(i, "\n".join(" ".join(rng.choice("abcA") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 5)))) for i in range(40)]
+    rows += [(50, "東京都に行きました。"), (51, "x\n東京都に行きました。\n\n \n\n"), (52, "All rights reserved.\nall  rights RESERVED."), (53, "Of."), (54, "y Of.\nOf.")]
+    seen, gone = [], set()
+    for d, t in rows:
+        for n, line in enumerate(t.split("\n")):
+            w = line.lower().split()
+            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+            if w and any(5 * len(s & o) >= 4 * len(s | o) for o in seen):
+                gone.add((d, n))
+            if w:
+                seen.append(s)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(51, 1), (52, 1), (54, 1)} <= gone and (54, 0) not in gone
+    assert {tuple(r) for r in lines.repeated_lines(df, least=1).collect()} == gone
+
+
 def test_substring_passages(spark):
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdefghijé") for _ in range(rng.randint(2, 9))) for _ in range(20_000)]

@@ -2,9 +2,10 @@
 
 A gear rolling hash runs over the UTF-8 bytes of a text; a chunk ends after a white-space byte where the hash, which
 depends on the 16 bytes before only, falls under a threshold. So an insertion moves the cuts near it and no others, and a
-passage is cut alike wherever it stands. Chunks are compared by a 64-bit digest. Of all places of a digest the first (by
-document id, then position) stays; runs of consecutive repeated chunks that hold ``min_words`` words or more are removed, so that neither a
-common phrase nor a single digest collision ever cuts a text.
+passage is cut alike wherever it stands. Compared are windows: the shortest runs of consecutive chunks that hold ``min_words`` words or
+more, from each chunk on and up to each chunk, by a 64-bit digest of their chunks' digests. Of all places of a window the first (by
+document id, then position) stays; later ones are removed, but for those that overlap the first. So what is removed stands in one earlier place as a whole, or is
+joined from such passages, and common phrases from several documents never cut a text.
 
 Null texts stay null and empty ones empty. A text that repeats an earlier one whole becomes empty; its row stays. Rows
 that repeat an id count as one document and lose nothing to each other. Rows with a null id are left as they are. A stretch without white space is
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh64_intdigest
 
 from docloom.llm.common import materialize, text_slices
+from docloom.llm.lines import _mix, _tables
 
 #: The gear table, made by a rule: low 32 bits of XXH64 of the byte.
 GEAR = np.array([xxh64_intdigest(bytes([b]), 1) & 0xFFFFFFFF for b in range(256)], np.uint32)
@@ -64,8 +66,23 @@ def _whole(data: bytes, at: int) -> int:
     return at
 
 
-def chunks(docs: DataFrame, mean_words: int, text: str, key: str) -> DataFrame:
-    """(key, begin, end, digest) of every chunk; white space at a chunk's end is no part of the digest."""
+def windows(words: np.ndarray, digest: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first chunk, last chunk, digest) of the shortest runs of min_words words from each chunk of a text on, and up to each."""
+    n = len(words)
+    total = np.concatenate(([0], np.cumsum(words)))
+    last = np.searchsorted(total, total[:-1] + min_words) - 1
+    first = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    ahead, behind = np.flatnonzero(last < n), np.flatnonzero(first >= 0)
+    behind = behind[last[first[behind]] != behind]  # the others are there already
+    one, two = np.concatenate((ahead, first[behind])), np.concatenate((last[ahead], behind))
+    up, down = _tables(1 << max(16, n.bit_length()))
+    run = np.zeros(n + 1, np.uint64)
+    np.cumsum(_mix(digest) * up[:n], out=run[1:])
+    return one, two, _mix((run[two + 1] - run[one]) * down[one])
+
+
+def passages(docs: DataFrame, mean_words: int, min_words: int, text: str, key: str) -> DataFrame:
+    """(key, begin, end, digest) of every window; white space at a chunk's end is no part of the digest."""
     schema = T.StructType([docs.schema[key], T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("digest", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,35 +91,42 @@ def chunks(docs: DataFrame, mean_words: int, text: str, key: str) -> DataFrame:
             for row, t in enumerate(b.column(text).to_pylist()):
                 data = (t or "").encode()
                 ends = cut(data, mean_words)
-                starts = [0, *ends[:-1]] if ends else []
-                owner.append(np.full(len(ends), row))
-                begin += starts
-                end += ends
-                digest += [xxh3_64_intdigest(data[s:e].rstrip()) for s, e in zip(starts, ends, strict=True)]
+                if not ends:
+                    continue
+                starts = [0, *ends[:-1]]
+                space = _SPACE[np.frombuffer(data, np.uint8)]
+                seen = np.concatenate(([0], np.cumsum(~space & np.concatenate(([True], space[:-1])))))
+                s, e = np.array(starts), np.array(ends)
+                own = np.array([xxh3_64_intdigest(data[x:y].rstrip()) for x, y in zip(starts, ends, strict=True)], np.uint64)
+                one, two, code = windows(seen[e] - seen[s], own, min_words)
+                owner.append(np.full(len(one), row))
+                begin.append(s[one])
+                end.append(e[two])
+                digest.append(code)
             if digest:
-                yield pa.record_batch([b.column(key).take(pa.array(np.concatenate(owner))), pa.array(begin, pa.int32()), pa.array(end, pa.int32()), pa.array(np.array(digest, np.uint64).view(np.int64))], schema.names)
+                yield pa.record_batch([b.column(key).take(pa.array(np.concatenate(owner))), pa.array(np.concatenate(begin), pa.int32()), pa.array(np.concatenate(end), pa.int32()), pa.array(np.concatenate(digest).view(np.int64))], schema.names)
 
     return docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, schema)
 
 
-def long_runs(data: bytes, spots: list[tuple[int, int]], min_words: int) -> list[tuple[int, int]]:
-    """Stretches of adjoining spots with min_words words or more."""
+def long_runs(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Stretches of adjoining or overlapping spots."""
     out: list[tuple[int, int]] = []
     for begin, end in sorted(spots):
-        if out and out[-1][1] == begin:
-            out[-1] = (out[-1][0], end)
+        if out and begin <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
             out.append((begin, end))
-    return [(b, e) for b, e in out if len(data[b:e].split()) >= min_words]
+    return out
 
 
 def dedup(docs: DataFrame, mean_words: int = 4, min_words: int = 12, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with the text less its repeated passages, and _dl_removed (bytes removed) and _dl_sources (ids that hold their first places)."""
-    parts = chunks(docs, mean_words, text, key)
-    first = F.min(F.struct(F.col(key).alias("source"), F.col("begin").alias("at")))
-    repeated = parts.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("digest", "first.source", "first.at")
+    parts = passages(docs, mean_words, min_words, text, key)
+    first = F.min(F.struct(F.col(key).alias("source"), F.col("begin").alias("at"), F.col("end").alias("till")))
+    repeated = parts.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1").select("digest", "first.source", "first.till")
     repeated = materialize(repeated, "chunks-repeated")
-    later = parts.join(repeated, "digest").where((F.col(key) != F.col("source")) | (F.col("begin") != F.col("at")))
+    later = parts.join(repeated, "digest").where((F.col(key) != F.col("source")) | (F.col("begin") >= F.col("till")))
     spots = later.groupBy(F.col(key).alias("_dl_key")).agg(F.collect_set(F.struct("begin", "end", "source")).alias("_dl_spots"))
     joined = docs.join(spots, docs[key] == spots["_dl_key"], "left").drop("_dl_key")
     schema = T.StructType([*docs.schema.fields, T.StructField("_dl_removed", T.LongType()), T.StructField("_dl_sources", T.ArrayType(docs.schema[key].dataType))])
@@ -114,7 +138,7 @@ def dedup(docs: DataFrame, mean_words: int = 4, min_words: int = 12, text: str =
             texts, removed, sources = [], [], []
             for t, found in zip(b.column(text).to_pylist(), b.column("_dl_spots").to_pylist(), strict=True):
                 data = (t or "").encode()
-                gone = long_runs(data, [(s["begin"], s["end"]) for s in found or ()], min_words)
+                gone = long_runs([(s["begin"], s["end"]) for s in found or ()])
                 kept, last, own = [], 0, set()
                 for begin, end in gone:
                     kept.append(data[last:begin])

@@ -137,6 +137,37 @@ def test_substring_passages(spark):
     assert substring.dedup(df.limit(0)).count() == 0
 
 
+def test_phrases_of_several_documents_cut_nothing(spark):
+    rng = random.Random(31)
+    phrases = []
+    while len(phrases) < 6:  # each phrase is one chunk wherever it stands: it ends where the text is cut, and is long enough
+        p = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(4)) + " "
+        if substring.cut((p * 2).encode())[0] == len(p):
+            phrases.append(p)
+    fill = lambda: " ".join("".join(rng.choice("klmnopqrst") for _ in range(7)) for _ in range(30)) + " "
+    ends = lambda: next(f for f in iter(fill, None) if substring.cut((f + phrases[0]).encode())[-2] == len(f))
+    rows = [(i, ends() + p + fill()) for i, p in enumerate(phrases)]
+    rows += [(10, ends() + "".join(phrases) + fill()), (11, fill() + "".join(phrases) + fill())]
+    rows += [(12, "".join(phrases[:3]) * 3)]
+    out = {r.doc_id: r for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].text == t for i, t in rows if i <= 10)
+    assert out[11]._dl_sources == [10] and out[11]._dl_removed >= 100
+    assert out[12].text == "" and out[12]._dl_sources == [10, 12]  # runs over a seam stand in 12 first
+
+
+def test_every_word_of_a_repeated_run_is_in_a_window():
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        words, digest = rng.integers(0, 9, 20), rng.integers(0, 1 << 60, 20).astype(np.uint64)
+        one, two, code = substring.windows(words, digest, 12)
+        assert len(set(zip(one.tolist(), two.tolist(), strict=True))) == len(one) == len(set(code.tolist()))
+        assert all(words[a : b + 1].sum() >= 12 for a, b in zip(one, two, strict=True))
+        whole = np.zeros(20, bool)
+        for a, b in zip(one, two, strict=True):
+            whole[a : b + 1] = True
+        assert whole.all() == (words.sum() >= 12) or (words == 0).any()
+
+
 @pytest.mark.parametrize("data", ["", "a b", "word " * 3000, "x" * 9000, "é" * 4000 + " b", "\n" * 50])
 def test_cuts_cover_the_text(data):
     raw = data.encode()

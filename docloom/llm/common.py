@@ -16,14 +16,24 @@ SLICE_BYTES = 4 << 20
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A setting of the session wins; tests have none."""
+    """The folder that driver and executors share: the session's setting, which only a local session may lack."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = f"{tempfile.gettempdir()}/docloom-scratch"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="docloom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores as it needs to be no column of df."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it again."""
     spark = df.sparkSession

@@ -1,102 +1,82 @@
 """Line dedup by an exact set-similarity join.
 
 A line is the set of its word shingles (``shingle`` words, lower case; hashed to 64 bits). A line of fewer words, but ``least`` at
-least (``shingle`` if not given), is one shingle of all its words; others are left alone. A line is
+least, is one shingle of all its words; lines of fewer words than that, blank ones among them, are left alone. A line is
 removed when an earlier one (by document id, then line number) has a Jaccard similarity of ``part[0] / part[1]`` or more, whether or
 not that one stays itself.
 
 1. Shingles are counted over all documents in 2**18 hash places; the order of shingles is by that count, then by hash. A
    place's count is at least the shingle's own, and any common order keeps the join exact.
-2. A line's prefix holds its ``n - ceil(part * n) + 1`` rarest shingles; similar lines share one. Prefix shingles of
-   two different sets or more set a bit in a bitmap of fixed size, and so do digests of sets that more than one line has; only
-   those go on. (With more data than the bitmap can hold apart, more go on than need be.)
-3. Entries of one shingle meet. Length filter, positional filter and a 64-bit parity signature (its differing bits never exceed
-   the shingles that differ) leave the candidates. First every line meets the earliest of each shingle; lines
-   that this removes need no other partner, so groups of copies never emit all their pairs. The others then meet all earlier lines.
-4. Candidates that are not equal sets are verified on their shingles, read again from the documents; a bitmap of fixed size
-   says which lines may be wanted, so no text is shuffled for it.
-
-Null texts stay null; empty texts and blank lines stay. Rows that repeat an id are one document: none of them removes a line of another, and a removal counts for all.
-Rows with a null id keep their lines. Extra columns pass through; names that start with ``_dl_`` are used inside.
+2. Every line is read once into its set. Of the equal sets of one batch the first place alone goes on, so a line that very many
+   documents share reaches the shuffle once a batch. Equal sets (two 64-bit digests and the size) then meet by a grouped minimum.
+3. A set's prefix holds its ``n - ceil(part * n) + 1`` rarest shingles; similar sets share one. Prefix entries are dealt by
+   range of (shingle, set), so that a hot shingle spreads over tasks. Length filter, positional filter and a 64-bit parity signature (its
+   differing bits never exceed the shingles that differ) leave the candidates. In groups of up to ``SMALL`` sets all meet; in larger ones,
+   and in those that go on in another task, every set meets the earliest first, and only sets that this does not remove go on to meet the
+   others, a pair of bounded blocks at a time. So groups of near copies never emit all their pairs.
+4. Candidates are verified on their sets, read again from the documents that hold them.
+
+Null texts stay null; empty texts and blank lines stay. Rows are told apart by id and text: rows that repeat an id with another text
+lose only what they repeat themselves, and may be repeats of each other; rows that repeat both are one document and stay alike. Rows
+with a null id stay as they are and remove nothing. Very long texts are read whole, one at a time. Extra columns pass through, whatever
+their names, but for one with the name of the count, which is replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import materialize, text_slices
+from docloom.llm.common import free_name, materialize, shuffle_partitions, text_slices
+from docloom.llm.embeddings import whole_groups
+from docloom.llm.words import ODD, first_of_each, is_space, mix, word_bounds, word_hashes
 
 PLACES = 18
-BITMAP = 26
-#: Spreads the lines of a document over the bitmap.
-LINE_STEP = 1_000_003
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Of the polynomial hash; odd, so that its powers have inverses.
-BASE = 0xD6E8FEB86659FD93
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Text bytes of a step: its arrays stay in the processor's cache.
+STEP_BYTES = 1 << 19
+#: Sets of a shingle up to which all meet at once, and sets of a block beyond.
+SMALL, BLOCK = 8, 2048
+#: Lines up to which the places of candidates are broadcast; more are joined by shuffle.
+BROADCAST_LINES = 1_000_000
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    """base**0 to base**n modulo 2**64."""
-    out = np.full(n + 1, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-@lru_cache(maxsize=1)
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(BASE, n), _powers(pow(BASE, -1, 1 << 64), n)
-
-
-def word_hashes(flat: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of the words at begin to end, all from one running sum over the bytes, then mixed."""
-    up, down = _tables(1 << max(16, len(flat).bit_length()))
-    total = np.zeros(len(flat) + 1, np.uint64)
-    np.cumsum((flat.astype(np.uint64) + np.uint64(1)) * up[: len(flat)], out=total[1:])
-    return _mix((total[end] - total[begin]) * down[begin])
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _ODD
-    h = (h ^ (h >> np.uint64(29))) * _ODD
-    return h ^ (h >> np.uint64(32))
-
-
-def line_shingles(texts: list[str | None], shingle: int, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, least: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, line, code) of every shingle of the lines that have one, line after line; wanted says of (row, line) which lines count."""
+def line_shingles(texts: list[str | None], shingle: int, least: int = 1, wanted: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line, code) of every shingle of the lines that have one, line after line; wanted: which lines of each row."""
     parts = [(t or "").lower().encode() for t in texts]
     data = b"\n".join(parts)
     flat = np.frombuffer(data, np.uint8)
-    space = np.concatenate(([True], _SPACE[flat], [True]))
-    begin, end = np.flatnonzero(space[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & space[1:])
+    begin, end = word_bounds(is_space(flat))
     breaks = np.flatnonzero(flat == 10)
-    first = np.cumsum([0, *(len(p) + 1 for p in parts[:-1])]) if parts else np.zeros(0, np.int64)
-    number = np.searchsorted(breaks, begin)  # the line of each word, counted through the batch
+    size = np.diff(np.searchsorted(begin, breaks), prepend=0, append=len(begin))  # words of each line, counted through the batch
     row_of = np.repeat(np.arange(len(parts)), [p.count(b"\n") + 1 for p in parts])
-    line_of = np.arange(len(row_of)) - np.searchsorted(breaks, first)[row_of]
-    size = np.bincount(number, minlength=len(row_of))
-    use = size >= min(shingle, least or shingle)
+    first = np.searchsorted(row_of, np.arange(len(parts)))
+    line_of = np.arange(len(row_of)) - first[row_of]
+    if not parts:
+        return row_of, line_of, np.zeros(0, np.uint64)
+    use = size >= min(shingle, least)
     if wanted is not None:
-        use &= wanted(row_of, line_of)
+        asked = np.zeros(len(row_of), bool)
+        asked[np.concatenate([first[i] + np.asarray(w, np.int64) for i, w in enumerate(wanted)])] = True
+        use &= asked
+    number = np.repeat(np.arange(len(size)), size)
     if not use.all():
         keep = use[number]
         begin, end, number = begin[keep], end[keep], number[keep]
-    code = word_hashes(flat, begin, end)
+    code = word_hashes(data, begin, end)
     mixed, size = code.copy(), size[number]
     for i in range(1, shingle):  # where a line has i words only, its hash stays as it is
-        mixed[:-i] = np.where(size[:-i] > i, mixed[:-i] * _ODD + code[i:], mixed[:-i])
+        mixed[:-i] = np.where(size[:-i] > i, mixed[:-i] * ODD + code[i:], mixed[:-i])
     whole = np.zeros(len(number), bool)
     whole[: max(0, len(number) - shingle + 1)] = number[shingle - 1 :] == number[: max(0, len(number) - shingle + 1)]
     whole |= (size < shingle) & np.concatenate((np.ones(min(1, len(number)), bool), number[1:] != number[:-1]))
     number = number[whole]
-    return row_of[number], line_of[number], _mix(mixed[whole])
+    return row_of[number], line_of[number], mix(mixed[whole])
 
 
 def _by_number(number: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -109,18 +89,17 @@ def _by_number(number: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 
 class LineSets:
-    """Ordered shingle sets of the lines of a batch."""
+    """Ordered shingle sets of the lines of a batch: token holds the level of a shingle's count above 56 bits of its hash."""
 
-    def __init__(self, texts: list[str | None], shingle: int, levels: np.ndarray, wanted: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None, least: int | None = None):
-        row, line, code = line_shingles(texts, shingle, wanted, least)
-        place = (code >> np.uint64(64 - PLACES)).astype(np.int64)
-        token = (levels[place].astype(np.uint64) << np.uint64(56)) | (code & np.uint64((1 << 56) - 1))
+    def __init__(self, texts: list[str | None], shingle: int, levels: np.ndarray, least: int = 1, wanted: list[list[int]] | None = None):
+        row, line, code = line_shingles(texts, shingle, least, wanted)
+        token = (levels[(code >> np.uint64(64 - PLACES)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (code & np.uint64((1 << 56) - 1))
         first = np.concatenate(([True], (row[1:] != row[:-1]) | (line[1:] != line[:-1]))) if len(row) else np.zeros(0, bool)
         number = np.cumsum(first) - 1
         order = _by_number(number, token)
-        token, number = token[order], number[order]
+        token, number, code = token[order], number[order], code[order]
         keep = np.concatenate(([True], (token[1:] != token[:-1]) | (number[1:] != number[:-1]))) if len(token) else np.zeros(0, bool)
-        self.token, self.number = token[keep], number[keep]
+        self.token, self.number, self.code = token[keep], number[keep], code[keep]
         self.row, self.line = row[first], line[first]
         self.size = np.bincount(self.number, minlength=len(self.row))
         self.begin = np.cumsum(self.size) - self.size
@@ -130,90 +109,80 @@ class LineSets:
         """Parity signature and digest of each line's set."""
         if not len(self.begin):
             return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-        mixed = self.token & np.uint64((1 << 56) - 1)
-        mixed = (mixed ^ (mixed >> np.uint64(31))) * _ODD
-        return np.bitwise_xor.reduceat(np.uint64(1) << (mixed >> np.uint64(58)), self.begin), np.add.reduceat(mixed * mixed, self.begin)
+        bits = mix(self.code)
+        return np.bitwise_xor.reduceat(np.uint64(1) << (bits >> np.uint64(58)), self.begin), np.add.reduceat(bits * bits, self.begin)
 
 
-def _levels(docs: DataFrame, shingle: int, text: str, least: int | None) -> np.ndarray:
+def _levels(docs: DataFrame, shingle: int, text: str, least: int) -> np.ndarray:
     """For each hash place a level of its count, in 255 steps of an eighth of a doubling."""
-    schema = "place int, n long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << PLACES, np.int64)
-        for b in text_slices(batches, text):
-            _, _, code = line_shingles(b.column(text).to_pylist(), shingle, least=least)
+        for b in text_slices(batches, text, STEP_BYTES):
+            _, _, code = line_shingles(b.column(text).to_pylist(), shingle, least)
             total += np.bincount((code >> np.uint64(64 - PLACES)).astype(np.int64), minlength=1 << PLACES)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used])], ["place", "n"])
 
-    counts = docs.select(text).mapInArrow(run, schema).groupBy("place").agg(F.sum("n").alias("n"))
+    counts = docs.select(text).mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("int").alias("level")
-    found = counts.select("place", level).where("level > 0").toArrow()  # 2**20 rows at most, whatever the data
+    found = counts.select("place", level).where("level > 0").toArrow()  # 2**PLACES rows at most, whatever the data
     levels = np.zeros(1 << PLACES, np.uint8)
     levels[found["place"].to_numpy()] = found["level"].to_numpy()
     return levels
 
 
-def _bitmap(rows: DataFrame, code: str) -> np.ndarray:
-    """Bitmap of the long column code: 2**(BITMAP - 6) words reach the driver at most, whatever the data."""
-    word = F.col(code).bitwiseAND(F.lit((1 << (BITMAP - 6)) - 1)).cast("int").alias("word")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({code}, 40) & 63 as int))")
-    found = rows.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(1 << (BITMAP - 6), np.uint64)
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
-    return bits
-
-
-def _in_bitmap(bits: np.ndarray, code: np.ndarray) -> np.ndarray:
-    word = (code & np.uint64((1 << (BITMAP - 6)) - 1)).astype(np.int64)
-    return (bits[word] >> ((code >> np.uint64(40)) & np.uint64(63))) & np.uint64(1) == 1
-
-
-def _shared_bits(docs: DataFrame, shingle: int, part: tuple[int, int], levels, text: str, least: int | None) -> np.ndarray:
-    """Bitmap of the prefix shingles that two different sets hold, and of the digests that two lines have."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = 0
-        for b in text_slices(batches, text):
-            s = LineSets(b.column(text).to_pylist(), shingle, levels.value, least=least)
-            sig, digest = s.marks()
-            prefix = s.pos < _prefix(s.size, part)[s.number]
-            token = np.concatenate((s.token[prefix], digest))
-            # 40 bits tell sets apart here; for digests a number that no other line of the task has
-            own = np.concatenate(((digest ^ sig)[s.number[prefix]] >> np.uint64(24), np.arange(count, count + len(digest), dtype=np.uint64)))
-            count += len(digest)
-            yield pa.record_batch([pa.array(token.view(np.int64)), pa.array(own.astype(np.int64)), pa.array(np.arange(len(token)) >= prefix.sum())], ["token", "own", "whole"])
-
-    tokens = docs.select(text).mapInArrow(run, "token long, own long, whole boolean")
-    shared = tokens.groupBy("token", "whole").agg(F.min("own").alias("a"), F.max("own").alias("b"), F.count_if("whole").alias("n")).where("n > 1 or not whole and a <> b")
-    return _bitmap(shared, "token")
-
-
 def _prefix(size: np.ndarray, part: tuple[int, int]) -> np.ndarray:
     return size - -(-part[0] * size // part[1]) + 1
 
 
-def _entries(docs: DataFrame, shingle: int, part: tuple[int, int], levels, bits, text: str, key: str, least: int | None) -> DataFrame:
-    kind = docs.schema[key].dataType
-    schema = T.StructType([T.StructField("token", T.LongType()), T.StructField("doc", kind), T.StructField("line", T.IntegerType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("sig", T.LongType()), T.StructField("digest", T.LongType())])
+def line_sets(own: DataFrame, kind: T.DataType, shingle: int, part: tuple[int, int], levels, least: int) -> DataFrame:
+    """A row for each line of own (doc, uid, body): digest, sig, size, and the prefix where no equal set of the batch comes before."""
+    schema = T.StructType([T.StructField("doc", kind), T.StructField("uid", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("digest", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("again", T.BooleanType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text):
-            s = LineSets(b.column(text).to_pylist(), shingle, levels.value, least=least)
-            sig, digest = s.marks()
-            at = np.flatnonzero((s.pos < _prefix(s.size, part)[s.number]) & _in_bitmap(bits.value, s.token))
-            whole = np.flatnonzero(_in_bitmap(bits.value, digest))
-            n = np.concatenate((s.number[at], whole))
-            token, pos = np.concatenate((s.token[at], digest[whole])), np.concatenate((s.pos[at], np.zeros(len(whole), np.int64)))
-            columns = [pa.array(token.view(np.int64)), b.column(key).take(pa.array(s.row[n])), pa.array(s.line[n], pa.int32()), pa.array(s.size[n], pa.int32()), pa.array(pos, pa.int32()), pa.array(sig[n].view(np.int64)), pa.array(digest[n].view(np.int64))]
-            yield pa.record_batch(columns, schema.names)
-
-    return docs.select(key, text).where(F.col(key).isNotNull()).mapInArrow(run, schema)
-
-
-def _may_match(x: str, y: str, part: tuple[int, int]) -> Column:
-    """Length, positional and parity filters between the entries x and y (structs)."""
+        for batch in batches:
+            rank = pa.compute.rank(batch.column("doc"), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+            uid = batch.column("uid").to_numpy()
+            rows, line, digest, sig, size, tokens, at = [], [], [], [], [], [], 0
+            for b in text_slices(iter((batch,)), "body", STEP_BYTES):
+                s = LineSets(b.column("body").to_pylist(), shingle, levels.value, least)
+                mark, code = s.marks()
+                tokens.append(s.token[s.pos < _prefix(s.size, part)[s.number]])
+                rows.append(s.row + at)
+                line.append(s.line)
+                digest.append(code)
+                sig.append(mark)
+                size.append(s.size)
+                at += b.num_rows
+            if not rows:
+                continue
+            rows, line, digest, sig, size, tokens = map(np.concatenate, (rows, line, digest, sig, size, tokens))
+            first = first_of_each(digest ^ sig * ODD, rank[rows], uid[rows], line)
+            again = (rank[rows] != rank[rows][first]) | (uid[rows] != uid[rows][first]) | (line != line[first])
+            leads = first == np.arange(len(first))
+            put = leads | again  # a repeated row says nothing new
+            length = _prefix(size, part)
+            held = np.repeat(leads, length)
+            offsets = np.concatenate(([0], np.cumsum(np.where(leads, length, 0)[put])))
+            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens[held].view(np.int64)))
+            rows = rows[put]
+            yield pa.record_batch([batch.column("doc").take(pa.array(rows)), pa.array(uid[rows]), pa.array(line[put], pa.int32()), pa.array(digest[put].view(np.int64)), pa.array(sig[put].view(np.int64)), pa.array(size[put], pa.int32()), pa.array(again[put]), lists], schema.names)
+
+    return own.mapInArrow(run, schema)
+
+
+def _may_match(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], part: tuple[int, int]) -> np.ndarray:
+    """Length, positional and parity filters between entries (size, pos, sig)."""
+    (n, i, x), (m, j, y) = one, two
+    both = n + m
+    need = -(-both * part[0] // (part[0] + part[1]))
+    fits = (np.minimum(n, m) * part[1] >= np.maximum(n, m) * part[0]) & (np.minimum(n - i, m - j) >= need)
+    return fits & (np.bitwise_count((x ^ y).view(np.uint64)) <= both - 2 * need)
+
+
+def _column_match(x: str, y: str, part: tuple[int, int]) -> Column:
+    """The same filters between two structs."""
     c = lambda e, f: F.col(f"{e}.{f}")
     both = c(x, "size") + c(y, "size")
     need = F.ceil(both * part[0] / (part[0] + part[1]) - 1e-9)
@@ -224,65 +193,155 @@ def _may_match(x: str, y: str, part: tuple[int, int]) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, part: tuple[int, int], levels, text: str, key: str, least: int | None) -> DataFrame:
-    """Of candidate pairs (x later, y earlier; structs of doc, line, sig, digest, size) the x of those that are similar."""
-    pairs = materialize(pairs, "lines-pairs")
-    same = (F.col("x.digest") == F.col("y.digest")) & (F.col("x.sig") == F.col("y.sig")) & (F.col("x.size") == F.col("y.size"))
-    equal, other = pairs.where(same), pairs.where(~same)
-    spot = lambda e: F.struct(F.col(f"{e}.doc").alias("doc"), F.col(f"{e}.line").alias("line"))
-    wanted = other.select(F.explode(F.array(spot("x"), spot("y"))).alias("s"))
-    place = F.xxhash64("s.doc").bitwiseXOR(F.col("s.line").cast("long") * LINE_STEP)
-    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(place.alias("place")), "place"))
-    schema = T.StructType([T.StructField("doc", docs.schema[key].dataType), T.StructField("line", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+_MEET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("token", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("block", T.LongType())])
+
+
+def meet(entries: DataFrame, part: tuple[int, int], partitions: int) -> DataFrame:
+    """Candidates (a, b: digests) of entries (token, digest, sig, size, pos, age) in small groups and with the earliest of large ones; the entries of large ones, in blocks."""
+    dealt = entries.repartitionByRange(partitions, "token", "digest").sortWithinPartitions("token", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text):
-            code = b.column("_dl_hash").to_numpy()
-            wanted = lambda row, line, code=code: _in_bitmap(bits.value, (code[row] ^ (line * LINE_STEP)).view(np.uint64))
-            s = LineSets(b.column(text).to_pylist(), shingle, levels.value, wanted, least)
-            lists = pa.ListArray.from_arrays(pa.array(np.append(s.begin, len(s.token)), pa.int32()), pa.array(s.token.view(np.int64)))
-            yield pa.record_batch([b.column(key).take(pa.array(s.row)), pa.array(s.line, pa.int32()), lists], schema.names)
-
-    source = docs.where(F.col(key).isNotNull()).select(key, text, F.xxhash64(key).alias("_dl_hash"))
-    sets = materialize(source.mapInArrow(run, schema), "lines-sets")
-    one = sets.select(F.struct("doc", "line").alias("xs"), F.col("tokens").alias("xt"))
-    two = sets.select(F.struct("doc", "line").alias("ys"), F.col("tokens").alias("yt"))
-    near = other.select(spot("x").alias("xs"), spot("y").alias("ys")).join(one, "xs").join(two, "ys")
-    common = F.size(F.array_intersect("xt", "yt"))
-    near = near.where(common * part[1] >= (F.size("xt") + F.size("yt") - common) * part[0])
-    return equal.select("x.doc", "x.line").unionByName(near.select("xs.doc", "xs.line")).distinct()
-
-
-def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id", least: int | None = None) -> DataFrame:
-    """(doc, line) of the lines to remove."""
-    sc = docs.sparkSession.sparkContext
-    levels = sc.broadcast(_levels(docs, shingle, text, least))
-    bits = sc.broadcast(_shared_bits(docs, shingle, part, levels, text, least))
-    entries = materialize(_entries(docs, shingle, part, levels, bits, text, key, least), "lines-entries")
-    e = entries.select("token", F.struct("doc", "line", "size", "pos", "sig", "digest").alias("e"))
-    strip = lambda name: F.struct(*(F.col(f"{name}.{f}").alias(f) for f in ("doc", "line", "size", "sig", "digest"))).alias(name)
-    later = (F.col("x.doc") > F.col("y.doc")) | ((F.col("x.doc") == F.col("y.doc")) & (F.col("x.line") > F.col("y.line")))
-    earliest = e.groupBy("token").agg(F.min("e").alias("y"), F.count("*").alias("n")).where("n > 1").select("token", "y")
-    first = e.withColumnRenamed("e", "x").join(earliest, "token").where(later & _may_match("x", "y", part)).select(strip("x"), strip("y")).distinct()
-    gone = materialize(_verified(first, docs, shingle, part, levels, text, key, least), "lines-gone")
-    open_lines = entries.join(gone, ["doc", "line"], "left_anti").select("token", F.struct("doc", "line", "size", "pos", "sig", "digest").alias("x"))
-    more = open_lines.join(e.withColumnRenamed("e", "y"), "token").where(later & _may_match("x", "y", part)).select(strip("x"), strip("y")).distinct()
-    return gone.unionByName(_verified(more, docs, shingle, part, levels, text, key, least))
-
-
-def dedup(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id", least: int | None = None) -> DataFrame:
-    """docs with the text less its repeated lines, and _dl_removed: how many."""
-    gone = repeated_lines(docs, shingle, part, text, key, least).groupBy(F.col("doc").alias("_dl_key")).agg(F.collect_set("line").alias("_dl_lines"))
-    joined = docs.join(gone, docs[key] == gone["_dl_key"], "left").drop("_dl_key")
-    schema = T.StructType([*docs.schema.fields, T.StructField("_dl_removed", T.IntegerType())])
-    names = docs.columns
-    at = names.index(text)
+        block = TaskContext.get().partitionId() << 40
+        ahead, last = None, None  # the table before is held back until it is known whether it is the last one
+
+        def tables() -> Iterator[tuple[pa.Table, bool, bool]]:
+            nonlocal ahead
+            begun = False
+            for t in whole_groups(batches, ["token"]):
+                if ahead is not None:
+                    yield ahead, not begun, False
+                    begun = True
+                ahead = t
+            if ahead is not None:
+                yield ahead, not begun, True
+
+        for t, at_begin, at_end in tables():
+            token, digest, sig = (t.column(c).to_numpy() for c in ("token", "digest", "sig"))
+            size, pos, age = (t.column(c).to_numpy().astype(np.int64) for c in ("size", "pos", "age"))
+            keep = np.ones(len(token), bool)
+            keep[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])  # equal sets of several batches
+            token, digest, sig, size, pos, age = (x[keep] for x in (token, digest, sig, size, pos, age))
+            starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+            count = np.diff(starts, append=len(token))
+            large = count > SMALL
+            if at_begin:
+                large[0] = True
+            if at_end:
+                large[-1] = True
+            if last is not None and last == token[0]:  # a group longer than what is held at a time
+                large[0] = True
+            last = token[-1]
+            a, b = [], []
+
+            def compare(i: np.ndarray, j: np.ndarray, fields=(size, pos, sig), digest=digest, a=a, b=b) -> None:
+                fits = _may_match(tuple(f[i] for f in fields), tuple(f[j] for f in fields), part)
+                a.append(digest[i[fits]])
+                b.append(digest[j[fits]])
+
+            for gap in range(1, SMALL):
+                group = np.flatnonzero(~large & (count > gap))
+                i = np.concatenate([np.arange(0)] + [starts[group[count[group] > k + gap]] + k for k in range(SMALL - gap)])
+                compare(i, i + gap)
+            group = np.flatnonzero(large)
+            many = count[group]
+            own, inner = np.repeat(np.arange(len(group)), many), np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            at = starts[group][own] + inner
+            order = np.lexsort((digest[at], age[at], own))
+            first = at[order[np.cumsum(many) - many]][own] if len(group) else at
+            compare(at[at != first], first[at != first])
+            parts = -(-many // BLOCK)
+            blocks = (block + np.cumsum(parts) - parts)[own] + inner // BLOCK
+            block += int(parts.sum())
+            a, b = np.concatenate(a), np.concatenate(b)
+            if not len(a) and not len(at):
+                continue
+            pairs, rows = len(a), len(at)
+            wide = lambda x, kind: pa.concat_arrays([pa.nulls(pairs, kind), pa.array(x, kind)])
+            less = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(rows, pa.int64())])
+            yield pa.record_batch([less(np.minimum(a, b)), less(np.maximum(a, b)), wide(token[at], pa.int64()), wide(digest[at], pa.int64()), wide(sig[at], pa.int64()), wide(size[at], pa.int32()), wide(pos[at], pa.int32()), wide(blocks, pa.int64())], _MEET.names)
+
+    return dealt.mapInArrow(run, _MEET)
+
+
+def block_pairs(met: DataFrame, gone: DataFrame, part: tuple[int, int]) -> DataFrame:
+    """Candidates among the entries of large groups: sets that are not gone against all others, a pair of blocks at a time."""
+    entry = F.struct("digest", "sig", "size", "pos")
+    rows = met.where("token is not null")
+    every = rows.select("token", F.col("block").alias("yb"), entry.alias("y"))
+    still = rows.join(gone, "digest", "left_anti").select("token", F.col("block").alias("xb"), entry.alias("x"))
+    spans = every.groupBy("token", "yb").agg(F.min("y.size").alias("low"), F.max("y.size").alias("high"))
+    asking = still.groupBy("token", "xb").agg(F.min("x.size").alias("least"), F.max("x.size").alias("most"))
+    fits = (F.col("low") * part[0] <= F.col("most") * part[1]) & (F.col("least") * part[0] <= F.col("high") * part[1])
+    pairs = asking.join(spans, "token").where(fits).select("token", "xb", "yb")
+    x, y = still.join(pairs, ["token", "xb"]), every.join(pairs, ["token", "yb"])
+    both = x.join(y, ["token", "xb", "yb"]).where((F.col("x.digest") != F.col("y.digest")) & _column_match("x", "y", part))
+    return both.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
+
+
+def _same_row(own: DataFrame, found: DataFrame, rows: int, how: str = "inner") -> DataFrame:
+    """own (doc, uid, ...) with found of the same row; found is broadcast up to BROADCAST_LINES, else shuffled."""
+    return own.join(F.broadcast(found) if rows <= BROADCAST_LINES else found, ["doc", "uid"], how)
+
+
+def similar_sets(pairs: DataFrame, firsts: DataFrame, own: DataFrame, shingle: int, part: tuple[int, int], levels, least: int) -> DataFrame:
+    """(digest): the later set of each candidate pair that is similar."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    spots = materialize(ends.join(firsts, "digest"), "lines-spots")
+    lists = spots.groupBy("doc", "uid").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    schema = T.StructType([own.schema["doc"], T.StructField("uid", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in text_slices(batches, "body", STEP_BYTES):
+            s = LineSets(b.column("body").to_pylist(), shingle, levels.value, least, b.column("lines").to_pylist())
+            tokens = pa.ListArray.from_arrays(pa.array(np.append(s.begin, len(s.token)), pa.int32()), pa.array(s.token.view(np.int64)))
+            rows = pa.array(s.row)
+            yield pa.record_batch([b.column("doc").take(rows), b.column("uid").take(rows), pa.array(s.line, pa.int32()), tokens], schema.names)
+
+    read = _same_row(own, lists, spots.count()).mapInArrow(run, schema).dropDuplicates(["doc", "uid", "line"])
+    sets = materialize(read.join(spots, ["doc", "uid", "line"]).select("digest", F.struct("doc", "uid", "line").alias("p"), "tokens"), "lines-sets")
+    met = pairs.join(sets.toDF("a", "ap", "at"), "a").join(sets.toDF("b", "bp", "bt"), "b")
+    common = F.size(F.array_intersect("at", "bt"))
+    near = met.where(common * part[1] >= (F.size("at") + F.size("bt") - common) * part[0])
+    return materialize(near.select(F.when(F.col("ap") > F.col("bp"), F.col("a")).otherwise(F.col("b")).alias("digest")).distinct(), "lines-gone")
+
+
+def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id", least: int = 1) -> DataFrame:
+    """(doc, uid, line) of the lines to remove; uid is the 64-bit hash of the row's text."""
+    spark = docs.sparkSession
+    levels = spark.sparkContext.broadcast(_levels(docs, shingle, text, least))
+    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("uid"), F.col(text).alias("body"))
+    sets = materialize(line_sets(own, docs.schema[key].dataType, shingle, part, levels, least), "lines-read")
+    lead = sets.where("not again")
+    place = F.struct("doc", "uid", "line")
+    firsts = lead.groupBy("digest", "sig", "size").agg(F.min(place).alias("p"), F.count("*").alias("n"))
+    firsts = materialize(firsts.select("digest", "sig", "size", "p.*", "n"), "lines-firsts")
+    age = F.xxhash64("doc") if not isinstance(docs.schema[key].dataType, T.IntegralType) else F.col("doc").cast("long")
+    entries = lead.select(F.posexplode("prefix").alias("pos", "token"), "digest", "sig", "size", age.alias("age"))
+    met = materialize(meet(entries, part, shuffle_partitions(spark)), "lines-met")
+    spots = firsts.select("digest", "doc", "uid", "line")
+    pairs = materialize(met.where("a is not null").select("a", "b").distinct(), "lines-pairs")
+    gone = similar_sets(pairs, spots, own, shingle, part, levels, least)
+    more = materialize(block_pairs(met, gone, part).join(pairs, ["a", "b"], "left_anti"), "lines-pairs")
+    if not more.isEmpty():
+        gone = gone.unionByName(similar_sets(more, spots, own, shingle, part, levels, least)).distinct()
+    equal = lead.join(firsts.where("n > 1").select("digest", "sig", "size", F.struct("doc", "uid", "line").alias("p")), ["digest", "sig", "size"]).where(place != F.col("p"))
+    out = sets.where("again").select("doc", "uid", "line").unionByName(equal.select("doc", "uid", "line"))
+    return out.unionByName(gone.join(spots, "digest").select("doc", "uid", "line"))
+
+
+def dedup(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id", least: int = 1, removed: str = "removed_lines") -> DataFrame:
+    """docs with the text less its repeated lines, and how many were removed."""
+    doc, uid, found = (free_name(docs, n) for n in ("doc", "uid", "lines"))
+    gone = repeated_lines(docs, shingle, part, text, key, least).groupBy(F.col("doc").alias(doc), F.col("uid").alias(uid)).agg(F.collect_set("line").alias(found))
+    joined = docs.join(gone, (docs[key] == gone[doc]) & (F.xxhash64(docs[text]) == gone[uid]), "left").drop(doc, uid)
+    fields = [f for f in docs.schema.fields if f.name.lower() != removed.lower()]
+    schema = T.StructType([*fields, T.StructField(removed, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
-            found = [set(x or ()) for x in b.column("_dl_lines").to_pylist()]
-            texts = ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in f) if t and f else t for t, f in zip(b.column(text).to_pylist(), found, strict=True)]
-            columns = [pa.array(texts, pa.string()) if i == at else b.column(n) for i, n in enumerate(names)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(map(len, found), pa.int32())], names=schema.names)
+            lost = [set(x or ()) for x in b.column(found).to_pylist()]
+            texts = ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in f) if t and f else t for t, f in zip(b.column(text).to_pylist(), lost, strict=True)]
+            columns = [pa.array(texts, pa.string()) if f.name == text else b.column(f.name) for f in fields]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(map(len, lost), pa.int32())], names=schema.names)
 
     return joined.mapInArrow(run, schema)

@@ -35,7 +35,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its text less the passages that an earlier document holds, the bytes removed, and the ids that hold them."""
     out = substring.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "text", F.col("_dl_removed").alias("removed_bytes"), F.col("_dl_sources").alias("source_doc_ids"))
+    return out.select("doc_id", "text", "removed_bytes", "source_doc_ids")
 
 
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,8 +44,8 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its text less the lines that repeat earlier ones, and how many were removed."""
-    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
-    return out.select("doc_id", "text", F.col("_dl_removed").alias("removed_lines"))
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "text", "removed_lines")
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

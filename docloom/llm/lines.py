@@ -12,9 +12,10 @@ not that one stays itself.
 3. A set's prefix holds its ``n - ceil(part * n) + 1`` rarest shingles; similar sets share one. Prefix entries are dealt by
    range of (shingle, set), so that a hot shingle spreads over tasks. Length filter, positional filter and a 64-bit parity signature (its
    differing bits never exceed the shingles that differ) leave the candidates. In groups of up to ``SMALL`` sets all meet; in larger ones,
-   and in those that go on in another task, every set meets the earliest first, and only sets that this does not remove go on to meet the
-   others, a pair of bounded blocks at a time. So groups of near copies never emit all their pairs.
-4. Candidates are verified on their sets, read again from the documents that hold them.
+   and in those that go on in another task, every set meets the earliest first. Candidates are verified on their sets, read again
+   from the documents that hold them.
+4. Sets of large groups that this does not remove meet the others a pair of bounded blocks at a time, and are verified there; a set
+   is all that comes out, never its pairs.
 
 Null texts stay null; empty texts and blank lines stay. Rows are told apart by id and text: rows that repeat an id with another text
 lose only what they repeat themselves, and may be repeats of each other; rows that repeat both are one document and stay alike. Rows
@@ -28,20 +29,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docloom.llm.common import free_name, materialize, shuffle_partitions, text_slices
-from docloom.llm.embeddings import whole_groups
+from docloom.llm.embeddings import group_starts, whole_groups
 from docloom.llm.words import ODD, first_of_each, is_space, mix, word_bounds, word_hashes
 
 PLACES = 18
 #: Text bytes of a step: its arrays stay in the processor's cache.
 STEP_BYTES = 1 << 19
 #: Sets of a shingle up to which all meet at once, and sets of a block beyond.
-SMALL, BLOCK = 8, 2048
+SMALL, BLOCK = 16, 512
 #: Lines up to which the places of candidates are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -142,7 +144,7 @@ def line_sets(own: DataFrame, kind: T.DataType, shingle: int, part: tuple[int, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rank = pa.compute.rank(batch.column("doc"), sort_keys="ascending", tiebreaker="dense").to_numpy().astype(np.int64)
+            rank = pc.rank(batch.column("doc"), tiebreaker="dense").to_numpy().astype(np.int64)
             uid = batch.column("uid").to_numpy()
             rows, line, digest, sig, size, tokens, at = [], [], [], [], [], [], 0
             for b in text_slices(iter((batch,)), "body", STEP_BYTES):
@@ -181,18 +183,6 @@ def _may_match(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], part: t
     return fits & (np.bitwise_count((x ^ y).view(np.uint64)) <= both - 2 * need)
 
 
-def _column_match(x: str, y: str, part: tuple[int, int]) -> Column:
-    """The same filters between two structs."""
-    c = lambda e, f: F.col(f"{e}.{f}")
-    both = c(x, "size") + c(y, "size")
-    need = F.ceil(both * part[0] / (part[0] + part[1]) - 1e-9)
-    return (
-        (F.least(c(x, "size"), c(y, "size")) * part[1] >= F.greatest(c(x, "size"), c(y, "size")) * part[0])
-        & (F.least(c(x, "size") - c(x, "pos"), c(y, "size") - c(y, "pos")) >= need)
-        & (F.bit_count(c(x, "sig").bitwiseXOR(c(y, "sig"))) <= both - 2 * need)
-    )
-
-
 _MEET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("token", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("block", T.LongType())])
 
 
@@ -263,30 +253,14 @@ def meet(entries: DataFrame, part: tuple[int, int], partitions: int) -> DataFram
     return dealt.mapInArrow(run, _MEET)
 
 
-def block_pairs(met: DataFrame, gone: DataFrame, part: tuple[int, int]) -> DataFrame:
-    """Candidates among the entries of large groups: sets that are not gone against all others, a pair of blocks at a time."""
-    entry = F.struct("digest", "sig", "size", "pos")
-    rows = met.where("token is not null")
-    every = rows.select("token", F.col("block").alias("yb"), entry.alias("y"))
-    still = rows.join(gone, "digest", "left_anti").select("token", F.col("block").alias("xb"), entry.alias("x"))
-    spans = every.groupBy("token", "yb").agg(F.min("y.size").alias("low"), F.max("y.size").alias("high"))
-    asking = still.groupBy("token", "xb").agg(F.min("x.size").alias("least"), F.max("x.size").alias("most"))
-    fits = (F.col("low") * part[0] <= F.col("most") * part[1]) & (F.col("least") * part[0] <= F.col("high") * part[1])
-    pairs = asking.join(spans, "token").where(fits).select("token", "xb", "yb")
-    x, y = still.join(pairs, ["token", "xb"]), every.join(pairs, ["token", "yb"])
-    both = x.join(y, ["token", "xb", "yb"]).where((F.col("x.digest") != F.col("y.digest")) & _column_match("x", "y", part))
-    return both.select(F.least("x.digest", "y.digest").alias("a"), F.greatest("x.digest", "y.digest").alias("b")).distinct()
-
-
-def _same_row(own: DataFrame, found: DataFrame, rows: int, how: str = "inner") -> DataFrame:
+def _same_row(own: DataFrame, found: DataFrame, rows: int) -> DataFrame:
     """own (doc, uid, ...) with found of the same row; found is broadcast up to BROADCAST_LINES, else shuffled."""
-    return own.join(F.broadcast(found) if rows <= BROADCAST_LINES else found, ["doc", "uid"], how)
+    return own.join(F.broadcast(found) if rows <= BROADCAST_LINES else found, ["doc", "uid"])
 
 
-def similar_sets(pairs: DataFrame, firsts: DataFrame, own: DataFrame, shingle: int, part: tuple[int, int], levels, least: int) -> DataFrame:
-    """(digest): the later set of each candidate pair that is similar."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    spots = materialize(ends.join(firsts, "digest"), "lines-spots")
+def read_sets(digests: DataFrame, firsts: DataFrame, own: DataFrame, shingle: int, levels, least: int) -> DataFrame:
+    """(digest, p: its first place, tokens) of the sets with these digests, read from the documents that hold the first places."""
+    spots = materialize(digests.join(firsts, "digest"), "lines-spots")
     lists = spots.groupBy("doc", "uid").agg(F.sort_array(F.collect_set("line")).alias("lines"))
     schema = T.StructType([own.schema["doc"], T.StructField("uid", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
@@ -298,13 +272,77 @@ def similar_sets(pairs: DataFrame, firsts: DataFrame, own: DataFrame, shingle: i
             yield pa.record_batch([b.column("doc").take(rows), b.column("uid").take(rows), pa.array(s.line, pa.int32()), tokens], schema.names)
 
     read = _same_row(own, lists, spots.count()).mapInArrow(run, schema).dropDuplicates(["doc", "uid", "line"])
-    sets = materialize(read.join(spots, ["doc", "uid", "line"]).select("digest", F.struct("doc", "uid", "line").alias("p"), "tokens"), "lines-sets")
+    return materialize(read.join(spots, ["doc", "uid", "line"]).select("digest", F.struct("doc", "uid", "line").alias("p"), "tokens"), "lines-sets")
+
+
+def similar_pairs(pairs: DataFrame, sets: DataFrame, part: tuple[int, int]) -> DataFrame:
+    """(digest): the later set of each candidate pair (a, b) that is similar."""
     met = pairs.join(sets.toDF("a", "ap", "at"), "a").join(sets.toDF("b", "bp", "bt"), "b")
     common = F.size(F.array_intersect("at", "bt"))
     near = met.where(common * part[1] >= (F.size("at") + F.size("bt") - common) * part[0])
     return materialize(near.select(F.when(F.col("ap") > F.col("bp"), F.col("a")).otherwise(F.col("b")).alias("digest")).distinct(), "lines-gone")
 
 
+def common_tokens(x: list[np.ndarray], y: list[np.ndarray], wide: int = 4096) -> np.ndarray:
+    """How many tokens each set of x shares with each of y."""
+    tx, ty = np.concatenate(x), np.concatenate(y)
+    shared = np.intersect1d(tx, ty)
+    out = np.zeros((len(x), len(y)), np.int64)
+    if not len(shared):
+        return out
+
+    def cells(t: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.minimum(np.searchsorted(shared, t), len(shared) - 1)
+        hit = shared[at] == t
+        return row[hit], at[hit]
+
+    (rx, cx), (ry, cy) = cells(tx, x), cells(ty, y)
+    for low in range(0, len(shared), wide):  # a slice of the shared tokens at a time
+        n = min(wide, len(shared) - low)
+        mx, my = np.zeros((len(x), n), np.float32), np.zeros((len(y), n), np.float32)
+        kx, ky = (cx >= low) & (cx < low + n), (cy >= low) & (cy < low + n)
+        mx[rx[kx], cx[kx] - low] = 1
+        my[ry[ky], cy[ky] - low] = 1
+        out += (mx @ my.T).astype(np.int64)
+    return out
+
+
+def similar_in_groups(rows: DataFrame, sets: DataFrame, part: tuple[int, int]) -> DataFrame:
+    """(digest): the sets of large groups that are still open and have a similar earlier set, found a pair of blocks at a time."""
+    full = materialize(rows.join(sets, "digest").select("token", "block", "open", "digest", "p.*", "tokens"), "lines-large")
+    spans = full.groupBy("token", F.col("block").alias("yb")).agg(F.min(F.size("tokens")).alias("low"), F.max(F.size("tokens")).alias("high"))
+    asking = full.where("open").groupBy("token", F.col("block").alias("xb")).agg(F.min(F.size("tokens")).alias("least"), F.max(F.size("tokens")).alias("most"))
+    fits = (F.col("low") * part[0] <= F.col("most") * part[1]) & (F.col("least") * part[0] <= F.col("high") * part[1])
+    pairs = asking.join(spans, "token").where(fits).select("token", "xb", "yb")
+    fields = ["digest", "doc", "uid", "line", "tokens"]
+    x = full.where("open").withColumnRenamed("block", "xb").join(pairs, ["token", "xb"]).select("token", "xb", "yb", F.lit(0).alias("side"), *fields)
+    y = full.withColumnRenamed("block", "yb").join(pairs, ["token", "yb"]).select("token", "xb", "yb", F.lit(1).alias("side"), *fields)
+    keys = ["token", "xb", "yb"]
+    met = x.unionByName(y).repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, keys, most=1 << 30):  # a pair of blocks has 2 * BLOCK rows at most
+            starts = group_starts(t, keys)
+            gone = []
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), t.num_rows], strict=True):
+                own = t.slice(s, e - s)
+                digest, uid, line = (own.column(c).to_numpy() for c in ("digest", "uid", "line"))
+                rank = pc.rank(own.column("doc").combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64)
+                age = np.zeros(e - s, np.int64)
+                age[np.lexsort((line, uid, rank))] = np.arange(e - s)
+                n = int(np.searchsorted(own.column("side").to_numpy(), 1))
+                tokens = [x.values.to_numpy() for x in own.column("tokens")]
+                size = np.array([len(x) for x in tokens])
+                common = common_tokens(tokens[:n], tokens[n:])
+                near = common * part[1] >= (size[:n, None] + size[None, n:] - common) * part[0]
+                near &= (digest[:n, None] != digest[None, n:]) & (age[:n, None] > age[None, n:])
+                gone.append(digest[:n][near.any(axis=1)])
+            yield pa.record_batch([pa.array(np.unique(np.concatenate(gone)))], ["digest"])
+
+    return materialize(met.mapInArrow(run, "digest long").distinct(), "lines-gone")
+
+
 def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id", least: int = 1) -> DataFrame:
     """(doc, uid, line) of the lines to remove; uid is the 64-bit hash of the row's text."""
     spark = docs.sparkSession
@@ -320,10 +358,15 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
     met = materialize(meet(entries, part, shuffle_partitions(spark)), "lines-met")
     spots = firsts.select("digest", "doc", "uid", "line")
     pairs = materialize(met.where("a is not null").select("a", "b").distinct(), "lines-pairs")
-    gone = similar_sets(pairs, spots, own, shingle, part, levels, least)
-    more = materialize(block_pairs(met, gone, part).join(pairs, ["a", "b"], "left_anti"), "lines-pairs")
-    if not more.isEmpty():
-        gone = gone.unionByName(similar_sets(more, spots, own, shingle, part, levels, least)).distinct()
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
+    gone = similar_pairs(pairs, read_sets(ends, spots, own, shingle, levels, least), part)
+    rows = met.where("token is not null").select("token", "block", "digest").join(gone.withColumn("gone", F.lit(True)), "digest", "left")
+    rows = rows.select("token", "block", "digest", F.col("gone").isNull().alias("open"))
+    many = rows.groupBy("token").agg(F.count_if("open").alias("n"), F.count("*").alias("all")).where("n > 0 and all > 1").select("token")
+    rows = materialize(rows.join(many, "token"), "lines-open")
+    if not rows.isEmpty():
+        held = read_sets(rows.select("digest").distinct(), spots, own, shingle, levels, least)
+        gone = gone.unionByName(similar_in_groups(rows, held, part)).distinct()
     equal = lead.join(firsts.where("n > 1").select("digest", "sig", "size", F.struct("doc", "uid", "line").alias("p")), ["digest", "sig", "size"]).where(place != F.col("p"))
     out = sets.where("again").select("doc", "uid", "line").unionByName(equal.select("doc", "uid", "line"))
     return out.unionByName(gone.join(spots, "digest").select("doc", "uid", "line"))

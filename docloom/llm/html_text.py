@@ -1,14 +1,19 @@
 """Main text of web pages by tag-path ratios.
 
-A page is read once into blocks: stretches of text between block-level tags, each with its root-to-leaf tag path. Blocks inside elements that
-are named as page furniture (menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts) are left out.
-For every path the text length and the punctuation of its nodes are summed; both ratios (per node) are smoothed along the page,
-multiplied, and paths whose product reaches a part of the greatest are content. Their containers (the article or main element around
-them, else their parent) give the text: all their blocks in page order, so that short headings and list items stay.
+A page is read once into blocks: stretches of text between block-level tags, each with its root-to-leaf tag path. For every path
+the text length, the punctuation and the linked text of its blocks are summed. Length and punctuation per block are smoothed along the
+page and multiplied; the share of linked text and a prior of the names of the elements around lower the product. Paths that
+reach a part of the greatest product are content; blocks of the others stay only as short company of content (headings, list items):
+inside the article or main element around content, or, where there is none, beside content in the same parent.
+
+Names are a prior, no verdict: an element named as page furniture (a menu, footer, sidebar, notice, advert, form, comment) counts little,
+one with such a word among others a bit less, and neither where it holds an article or main element. Forms and the like that hold
+half of a page's text count as wrappers too, where the page has no article or main element. Scripts, styles and hidden elements are never read.
 
 A null or empty page, and one without any content, give the empty text. Broken markup is read as browsers do in the common cases:
-paragraphs, list items and cells close each other, unknown end tags are ignored, open elements end with their parent. Pages that
-repeat are read again. Extra columns are not read; an empty table gives no rows.
+paragraphs, list items and cells close each other, unknown end tags are ignored, open elements end with their parent. Paths of equal
+product are all content or none is. Pages that repeat are read again; very long pages are read whole, one at a time. Columns other than
+the html and those kept are not read, so their names may clash; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,54 +49,84 @@ FURNITURE_WORDS = frozenset(
     "sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay pagination pager login signup search "
     "contentinfo complementary dialog form masthead".split()
 )
+#: Words beside them that say nothing, and words that turn them round: has-sidebar is no sidebar (fixed values).
+PLAIN_WORDS = frozenset("site page main left right top bottom global list box block wrap wrapper container section area bar inner outer item items links widget primary secondary".split())
+TURNING_WORDS = frozenset("has have no with without is are open closed enabled disabled".split())
+#: Furniture that never wraps a page, however much text it holds.
+CLOSED_TAGS = frozenset("nav footer aside select button menu dialog".split())
+CLOSED_WORDS = frozenset("comment comments commentlist replies respond disqus footer".split())
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Priors of furniture by its whole name and by a part of it.
+STRONG, WEAK = 0.02, 0.3
+_RIGHTS = re.compile(r"(?:©|\(c\)\s|copyright\b).{0,180}\Z|.{0,150}all rights reserved\W*\Z", re.I | re.S)
 
 
 @dataclass
-class Block:
-    path: tuple[str, ...]
-    text: list[str] = field(default_factory=list)
+class Element:
+    """An open or closed element; those of furniture count how much text they hold."""
+
+    name: str
+    prior: float = 1.0
+    closed: bool = False
+    holds_article: bool = False
+    chars: int = 0
 
 
 @dataclass
-class _Open:
-    name: str
-    furniture: bool
-    in_article: bool
+class Block:
+    around: tuple[Element, ...]
+    path: tuple[str, ...] = ()
+    text: list[str] = field(default_factory=list)
+    linked: int = 0
+
+    @property
+    def words(self) -> str:
+        return self.text[0]
 
 
-def _furniture(name: str, attributes: str, in_article: bool) -> bool:
-    if name in FURNITURE_TAGS or name == "header" and not in_article:
-        return True
-    if not attributes or name in ("html", "body"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    words = {w for m in _NAMES.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & FURNITURE_WORDS)
+def _named(name: str, attributes: str) -> tuple[float, bool]:
+    """Prior of an element by its tag and names, and whether it never wraps a page."""
+    prior, closed = (STRONG, name in CLOSED_TAGS) if name in FURNITURE_TAGS or name == "header" else (1.0, False)
+    if not attributes or name in ARTICLE or name in HEADINGS or name in ("html", "body"):
+        return prior, closed
+    for m in _NAMES.finditer(attributes):
+        for token in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+            known = [w for w in parts if w in FURNITURE_WORDS]
+            if known and not TURNING_WORDS.intersection(parts):
+                whole = all(w in FURNITURE_WORDS or w in PLAIN_WORDS for w in parts)
+                prior = min(prior, STRONG if whole else WEAK)
+                closed |= whole and bool(CLOSED_WORDS.intersection(known))
+    return prior, closed
 
 
 def blocks(page: str) -> list[Block]:
-    """Text blocks in page order without furniture."""
+    """Text blocks in page order."""
     out: list[Block] = []
-    stack: list[_Open] = []
-    fresh = True
+    stack: list[Element] = []
+    fresh, links, hidden = True, 0, 0
 
     def put(raw: str) -> None:
         nonlocal fresh
-        if not raw or stack and stack[-1].furniture:
+        if not raw or hidden:
             return
         if fresh:
             if not raw.strip():
                 return
-            out.append(Block(tuple(x.name for x in stack if x.name not in INLINE)))
+            around = tuple(x for x in stack if x.name not in INLINE or x.prior < 1)
+            out.append(Block(around, tuple(x.name for x in around)))
             fresh = False
         out[-1].text.append(raw)
+        if links:
+            out[-1].linked += len(raw.strip())
 
     def close(to: int) -> None:
-        nonlocal fresh
-        fresh = fresh or any(x.name not in INLINE for x in stack[to:])
+        nonlocal fresh, links, hidden
+        for x in stack[to:]:
+            fresh = fresh or x.name not in INLINE
+            links -= x.name == "a"
+            hidden -= x.prior == 0
         del stack[to:]
 
     at, end = 0, len(page)
@@ -128,7 +163,7 @@ def blocks(page: str) -> list[Block]:
                     close(i)
                     if name != "tr" or not any(x.name in CLOSES[name] for x in stack[max(0, i - 1) :]):
                         break
-                elif stack[i].name in HOLDERS or stack[i].furniture:
+                elif stack[i].name in HOLDERS or stack[i].name in FURNITURE_TAGS:
                     break
         elif name not in INLINE:
             for i in range(len(stack) - 1, -1, -1):
@@ -137,15 +172,23 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i].name not in INLINE:
                     break
-        above = stack[-1] if stack else _Open("", False, False)
-        hidden = above.furniture or _furniture(name, m[3], above.in_article)
+        prior, closed = _named(name, m[3])
+        if name == "header" and any(x.name in ARTICLE for x in stack):
+            prior = 1.0
+        if m[3] and name not in ("html", "body") and _HIDDEN.search(m[3]):
+            prior = 0.0
+        if name in ARTICLE:
+            for x in stack:
+                x.holds_article = True
         if name not in INLINE:
             fresh = True
         if not m[0].endswith("/>") or name not in INLINE:
-            stack.append(_Open(name, hidden, above.in_article or name in ARTICLE))
+            stack.append(Element(name, prior, closed))
+            links += name == "a"
+            hidden += prior == 0
     for b in out:
         b.text = [" ".join(html_lib.unescape("".join(b.text)).split())]
-    return [b for b in out if b.text[0]]
+    return [b for b in out if b.words]
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -154,9 +197,40 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (wide[:-2] + 2 * wide[1:-1] + wide[2:]) / 4
 
 
-def _container(path: tuple[str, ...]) -> tuple[str, ...]:
-    inner = max((i for i, n in enumerate(path) if n in ARTICLE), default=None)
-    return path[: inner + 1] if inner is not None else path[:-1] if path and path[-1] not in ("body", "html", "div", "section") else path
+def _priors(found: list[Block]) -> list[float]:
+    """Of each block, the product of the priors around it that are no wrapper's."""
+    total = 0
+    for b in found:
+        own = max(0, len(b.words) - b.linked)
+        total += own
+        for x in b.around:
+            if x.prior < 1:
+                x.chars += own
+    article = any(x.name in ARTICLE for b in found for x in b.around)
+    wraps = lambda x: x.holds_article or not article and not x.closed and 2 * x.chars > total
+    out = []
+    for b in found:
+        prior = STRONG if _RIGHTS.match(b.words) and not any(x.name in ARTICLE for x in b.around) else 1.0
+        for x in b.around:
+            if x.prior < 1 and not wraps(x):
+                prior *= x.prior
+        out.append(prior)
+    return out
+
+
+def path_scores(found: list[Block], priors: list[float]) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Number of each block's path (told apart by prior), the fused score of each path, and its share of linked text."""
+    number: dict[tuple, int] = {}
+    own = [number.setdefault((b.path, p), len(number)) for b, p in zip(found, priors, strict=True)]
+    nodes, chars, marks, linked, prior = (np.zeros(len(number)) for _ in range(5))
+    for i, b, p in zip(own, found, priors, strict=True):
+        nodes[i] += 1
+        chars[i] += len(b.words)
+        marks[i] += 1 + len(_PUNCTUATION.findall(b.words))
+        linked[i] += min(b.linked, len(b.words))
+        prior[i] = p
+    share = linked / chars
+    return own, _smooth(chars / nodes) * _smooth(marks / nodes) * np.sqrt(chars) * (1 - share) ** 2 * prior, share
 
 
 def main_text(page: str | None, part: float = 0.1) -> str:
@@ -164,29 +238,31 @@ def main_text(page: str | None, part: float = 0.1) -> str:
     found = blocks(page or "")
     if not found:
         return ""
-    paths = list(dict.fromkeys(b.path for b in found))
-    number = {p: i for i, p in enumerate(paths)}
-    nodes, chars, marks = np.zeros(len(paths)), np.zeros(len(paths)), np.zeros(len(paths))
-    for b in found:
-        i = number[b.path]
-        nodes[i] += 1
-        chars[i] += len(b.text[0])
-        marks[i] += 1 + len(_PUNCTUATION.findall(b.text[0]))
-    score = _smooth(chars / nodes) * _smooth(marks / nodes) * np.sqrt(chars)
-    weight: dict[tuple[str, ...], float] = {}
-    for p, s, n in zip(paths, score, chars, strict=True):
-        if s >= part * score.max():
-            weight[_container(p)] = weight.get(_container(p), 0) + n
-    least = 0.3 * max(weight.values())
-    keep = [c for c, n in weight.items() if n >= least]
-
-    def inside(path: tuple[str, ...]) -> bool:
-        for c in keep:
-            if path[: len(c)] == c and (any(n in ARTICLE for n in c) or not any(n in ("div", "section") for n in path[len(c) :])):
-                return True
-        return False
-
-    return "\n".join(b.text[0] for b in found if inside(b.path))
+    priors = _priors(found)
+    own, score, share = path_scores(found, priors)
+    if score.max() <= 0:
+        return ""
+    content = [score[i] >= part * score.max() for i in own]
+    outer = [next((x for x in b.around if x.name in ARTICLE), None) for b in found]
+    inside = sum(len(b.words) for b, c, o in zip(found, content, outer, strict=True) if c and o is not None)
+    total = sum(len(b.words) for b, c in zip(found, content, strict=True) if c)
+    company = [p > STRONG and (share[i] <= 0.8 or b.path[-1:] and b.path[-1] in HEADINGS) for b, p, i in zip(found, priors, own, strict=True)]
+    if 2 * inside >= total:
+        holders = {id(o) for o, c in zip(outer, content, strict=True) if c and o is not None}
+        keep = [o is not None and id(o) in holders and (c or q) for o, c, q in zip(outer, content, company, strict=True)]
+    else:
+        parents = {id(_parent(b)) for b, c in zip(found, content, strict=True) if c}
+        above = {id(x) for b, c in zip(found, content, strict=True) if c for x in (_ROOT, *b.around)}  # of titles
+        keep = [c or q and id(_parent(b)) in (above if b.path[-1:] and b.path[-1] in HEADINGS else parents) for b, c, q in zip(found, content, company, strict=True)]
+    return "\n".join(b.words for b, k in zip(found, keep, strict=True) if k)
+
+
+_ROOT = Element("")
+
+
+def _parent(b: Block) -> Element:
+    """The div, section or body that a block stands in."""
+    return next((x for x in reversed(b.around) if x.name in ("div", "section", "body", "html", *ARTICLE)), _ROOT)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.llm import chat, html_text, quality
@@ -25,6 +26,41 @@ def test_page_without_article():
     assert html_text.main_text(page) == "Title\nSome text, long enough, to be content.\nAnd more, text."
 
 
+PROSE = "Some words of the text, and then more of them, to be read. " * 4
+PAR = f"<p>{PROSE}</p>"
+MENU = "<div><a href=x>Home</a> <a href=y>News</a></div>"
+RIGHTS = "<p>Copyright 2024, Acme Inc. All rights reserved.</p>"
+LAYOUTS = [
+    (f'<main class="has-sidebar"><h1>T</h1>{PAR}</main>', "TC"),
+    (f'<div class="layout with-comments"><article><h1>T</h1>{PAR}</article></div>', "TC"),
+    (f'<article class="post search-hit"><h1>T</h1>{PAR}</article>', "TC"),
+    (f"<form action=x><h1>T</h1>{PAR}{PAR}<input></form>", "TCC"),
+    (f"<form><article><h1>T</h1>{PAR}</article></form>", "TC"),
+    (f"{MENU}<article><h1>T</h1>{PAR}</article>{RIGHTS}", "TC"),
+    (f"{MENU}<h1>T</h1>{PAR}{PAR}{RIGHTS}", "TCC"),
+    (f'<article><h2 id="related-work">T</h2>{PAR}<section id="social-impact">{PAR}</section><p id="notice-2">{PROSE}</p></article>', "TCCC"),
+    (f"<main><h1>T</h1><p>T</p><article>{PAR}</article></main>", "TTC"),
+    (f'<div><h1>T</h1><div>{PAR * 8}</div><section>{PAR}</section></div><div class="comments">{PAR * 30}</div>', "TCCCCCCCCC"),
+    (f"<div>{PAR * 3}<div id=comment-list><div><b>Al</b> says<p>Nice, really, good.</p></div></div></div>", "CCC"),
+    (f"<article><h1>T</h1>{PAR}<ul><li>T<li>T</ul><div class=share-buttons><a>x</a></div></article>", "TCTT"),
+]
+
+
+@pytest.mark.parametrize("page, want", LAYOUTS)
+def test_layouts(page, want):
+    got = html_text.main_text(f"<html><body>{page}</body></html>")
+    assert got == "\n".join({"T": "T", "C": PROSE.strip()}.get(x, x) for x in want) or want.startswith("T") and got.replace("Related work", "T") == want
+
+
+def test_scores_decide(monkeypatch):
+    """Without the ratios, unmarked menus and footers come through."""
+    pages = [f"<html><body>{p}</body></html>" for p, _ in LAYOUTS]
+    with_scores = [html_text.main_text(p) for p in pages]
+    plain = html_text.path_scores
+    monkeypatch.setattr(html_text, "path_scores", lambda found, priors: (plain(found, priors)[0], *(np.ones(len(plain(found, priors)[1])) * x for x in (1, 0))))
+    assert sum(a != html_text.main_text(p) for a, p in zip(with_scores, pages, strict=True)) >= 3
+
+
 def test_odd_pages(spark):
     rows = [(1, "u", None, 9), (2, "u", "", 9), (3, None, "<", 9), (4, "u", "plain, text", 9), (5, "u", "<p>a, b<p", 9), (6, "u", "<div>" * 3000 + "deep, text", 9), (7, "u", "<article>" + "<p>w, w</p>" * 5000, 9), (7, "u", "<script>", 9)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")

@@ -1,13 +1,15 @@
 """Exact top-k search over an impact-ordered index, score at a time.
 
-Vectors become integers. Rows are dealt to blocks of bounded size; in a block, postings (dimension, row) stand in segments by
-their quantised impact, the size of the component in ``LEVELS`` steps. Segments are processed in falling impact for a block of
-queries; what is left of a score is bounded by the smaller of two proofs, ``sum |q_d| * next impact`` and Cauchy-Schwarz on the
-unprocessed part of the row. Processing stops when the rows that may still be among the k best are few, and only those are scored exactly.
+Vectors become integers. Rows are dealt to blocks of bounded size. In a block, postings (dimension, row, value) stand in segments by
+their dimension and quantised impact, the size of the component in ``LEVELS`` steps. Queries take the segments in falling impact and add up scores; what is
+left of a score is bounded by the smaller of two proofs, ``sum |q_d| * next impact`` and Cauchy-Schwarz on the postings of a row that are still to
+come. A query is done when the rows that may still be among its k best are few, and only those are scored exactly; queries
+that are done take no further segments.
 
 Each query's best of each block are merged. Ties go to the smaller id. Vectors that are null or hold null or non-finite components take
-no part; shorter vectors count as filled up with zeros. Queries that repeat an id are one query, and rows of the query's own id are not its candidates. Scores are exact
-below 2**53. Extra columns are not read; an empty table gives no rows.
+no part; shorter vectors count as filled up with zeros. Queries that repeat an id are one query (the smallest vector in array order), and rows
+of the query's own id are not its candidates; other rows that repeat an id are candidates of their own. Scores are exact; those beyond
+the range of a long are returned as its nearest end. Extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,61 +22,105 @@ from pyspark.sql import functions as F
 from docloom.llm.embeddings import matrix
 
 LEVELS = 16
-#: Rows of a query for which exact scores cost less than another level.
-FEW = 48
+#: Queries that take segments together, and rows of a query for which exact scores cost less than another level.
+TOGETHER, FEW = 256, 48
+
+
+class ImpactIndex:
+    """Posting segments of a block of rows: for each level, the highest first, the (dimension, rows, values) that have it."""
+
+    def __init__(self, rows: np.ndarray):
+        n, width = rows.shape
+        self.top = max(1.0, float(np.abs(rows).max(initial=0)))
+        level = np.ceil(np.abs(rows.T) * (LEVELS / self.top)).astype(np.int64)
+        segment = ((LEVELS - level) * width + np.arange(width)[:, None]).ravel()
+        order = np.argsort(segment, kind="stable")
+        row, value = order % n, rows.T.ravel()[order]
+        ends = np.searchsorted(segment[order], np.arange(LEVELS * width), "right")
+        starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        rest, self.levels = (rows**2).sum(axis=1), []
+        for i in range(LEVELS):
+            spans = [(d, slice(starts[i * width + d], ends[i * width + d])) for d in range(width) if ends[i * width + d] > starts[i * width + d]]
+            for _, at in spans:
+                rest[row[at]] -= value[at] ** 2
+            self.levels.append(([(d, row[at], value[at, None]) for d, at in spans], np.sqrt(np.maximum(rest, 0))))
+
+    def candidates(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, row) of all rows that may be among the k best of a query; own marks rows that are none of its candidates."""
+        n = own.shape[1]
+        length, weight = np.sqrt((queries**2).sum(axis=1)), np.abs(queries).sum(axis=1)
+        active, score = np.arange(len(queries)), np.zeros((n, len(queries)))  # a row of the block beside another
+        by_dim, found = np.ascontiguousarray(queries.T), []
+        for step, (segments, rest) in enumerate(self.levels):
+            for d, rows, values in segments:
+                score[rows] += values * by_dim[d]
+            if (step % 3 != 2 and step + 1 < LEVELS) or n <= k:
+                continue
+            impact = self.top * (LEVELS - step - 1) / LEVELS  # no posting to come is larger
+            left = np.minimum(rest[:, None] * length[active], weight[active] * impact)
+            low = score - left
+            low[own[active].T] = -np.inf
+            proof = np.partition(low, n - k, axis=0)[n - k]
+            slack = 1e-9 * length[active] * (self.top * np.sqrt(queries.shape[1])) + 1e-6
+            may = (score + left >= proof - slack) & ~own[active].T
+            done = may.sum(axis=0) <= FEW if step + 1 < LEVELS else np.ones(len(active), bool)
+            if done.any():
+                r, q = np.nonzero(may[:, done])
+                found.append((active[done][q], r))
+                active, score, by_dim = active[~done], score[:, ~done], by_dim[:, ~done]
+            if not len(active):
+                break
+        if len(active):
+            q, r = np.nonzero(~own[active])
+            found.append((active[q], r))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of integer vectors pair by pair; whole numbers of Python where doubles could round."""
+    bound = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * queries.shape[1]
+    if bound < 2**53:
+        return np.einsum("ij,ij->i", queries, rows).astype(np.int64)
+    low, high = -(1 << 63), (1 << 63) - 1
+    sums = (sum(int(a) * int(b) for a, b in zip(q, r, strict=True)) for q, r in zip(queries.tolist(), rows.tolist(), strict=True))
+    return np.array([min(high, max(low, s)) for s in sums], np.int64)
 
 
 def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the k best rows of each query in this block."""
-    rows, queries = rows.astype(np.float64), queries.astype(np.float64)
-    top = max(1.0, float(np.abs(rows).max()))
-    level = np.ceil(np.abs(rows) * LEVELS / top).astype(np.int8)
-    score = np.zeros((len(queries), len(rows)))
-    own = query_ids[:, None] == ids[None, :]
-    length, weight = np.sqrt((queries**2).sum(axis=1)), np.abs(queries).sum(axis=1)
-    rest = np.where(level > 0, rows, 0.0)
-    may = ~own
-    for step in range(LEVELS, 0, -1):
-        segment = np.where(level == step, rows, 0.0)
-        score += queries @ segment.T
-        rest -= segment
-        left = np.minimum(length[:, None] * np.sqrt((rest**2).sum(axis=1))[None, :], (weight * top * (step - 1) / LEVELS)[:, None])
-        if step % 3 == 1 and len(ids) > k:
-            low = np.where(own, -np.inf, score - left)
-            proof = np.partition(low, -k, axis=1)[:, -k]
-            may = ~own & (score + left >= proof[:, None] - 1e-6)
-            if may.sum(axis=1).max(initial=0) <= FEW:
-                break
-    q, r = np.nonzero(may)
-    exact = np.einsum("ij,ij->i", queries[q], rows[r]).astype(np.int64)
-    order = np.lexsort((ids[r], -exact, q))
-    q, r, exact = q[order], r[order], exact[order]
-    place = np.arange(len(q)) - np.searchsorted(q, q)
-    keep = place < k
-    return query_ids[q[keep]], ids[r[keep]], exact[keep]
+    index = ImpactIndex(rows)
+    out = []
+    for i in range(0, len(queries), TOGETHER):
+        some, names = queries[i : i + TOGETHER], query_ids[i : i + TOGETHER]
+        q, r = index.candidates(some, names[:, None] == ids[None, :], k)
+        exact = _exact(some[q], rows[r])
+        order = np.lexsort((ids[r], -exact.astype(object) if len(exact) and exact.min() == -(1 << 63) else -exact, q))
+        q, r, exact = q[order], r[order], exact[order]
+        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+        out.append((names[q[keep]], ids[r[keep]], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, query_block: int = 512, row_block: int = 4096, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, query_block: int = 2048, row_block: int = 4096, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all rows for each query row."""
     inf = float("inf")
     fine = vectors.where(F.col(key).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)))
-    whole = F.transform(column, lambda x: F.floor(x.cast("double") * scale))
-    fine = fine.select(F.col(key).cast("long").alias("id"), whole.alias("v"), is_query.alias("asks"))
+    fine = fine.select(F.col(key).cast("long").alias("id"), F.transform(column, lambda x: x.cast("double")).alias("v"), is_query.alias("asks"))
     rows, asking, width = fine.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
     row_blocks, query_blocks = max(1, -(-rows // row_block)), max(1, -(-(asking or 0) // query_block))
-    filled = F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width or 0) - F.size("v")))
+    filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width or 0) - F.size("v")))
     fine = fine.withColumn("v", filled)
     q_of = F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")
     r_of = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(row_blocks)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     candidates = fine.select(r_of.alias("r"), every(query_blocks).alias("q"), "id", "v")
-    queries = fine.where("asks").dropDuplicates(["id"]).select(q_of.alias("q"), every(row_blocks).alias("r"), "id", "v")
+    queries = fine.where("asks").groupBy("id").agg(F.min("v").alias("v")).select(q_of.alias("q"), every(row_blocks).alias("r"), "id", "v")
 
     def run(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            found = [np.zeros(0, np.int64)] * 3
-        else:
-            found = search_block(left.column("id").to_numpy(), matrix(left.column("v")), right.column("id").to_numpy(), matrix(right.column("v")), k)
+        found = [np.zeros(0, np.int64)] * 3
+        if left.num_rows and right.num_rows and width:
+            whole = lambda t: np.floor(matrix(t.column("v")) * scale)
+            found = search_block(left.column("id").to_numpy(), whole(left), right.column("id").to_numpy(), whole(right), k)
         return pa.table([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     met = candidates.groupBy("q", "r").cogroup(queries.groupBy("q", "r")).applyInArrow(run, "query_id long, vec_id long, score long")

@@ -60,11 +60,18 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLI
             yield batch.slice(start)
 
 
+def with_hot_keys(rows: DataFrame, owner: DataFrame, key: str, count: int, most: int = 10_000) -> DataFrame:
+    """rows joined with owner (key, n: how many of the count rows have it, ...). Keys of more than a most-th of all rows, fewer than most, are broadcast."""
+    bound = max(1000, count // most)
+    hot, plain = F.broadcast(owner.where(F.col("n") > bound)), owner.where(F.col("n") <= bound)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(plain, key))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, component) for every node of the undirected edges (a, b): component is the smallest reachable id.
 
-    Alternates the large-star and small-star steps, so that paths shrink by halves and a hub never
-    gathers its edges in one task: each step is a grouped minimum (combined before the shuffle) and a join.
+    Alternates the large-star and small-star steps, so that paths shrink by halves: each step is a grouped minimum (combined before
+    the shuffle) and a join, whose side of edges the adaptive skew join splits where a hub has very many.
     Rounds end when the edge set no longer changes, found by an order-free hash of all edges.
     """
     def marks(e: DataFrame) -> tuple:

@@ -1,17 +1,22 @@
 """Embedding near-dedup by NN-descent.
 
-Equal vectors are one node that counts as many. Neighbour lists start from random-hyperplane buckets. Each round joins every node's
-neighbours with one another (forward and reverse lists, in blocks of bounded size) and keeps the ``k`` best of each node.
-What a block links at or over the threshold is kept beside the lists for good, as one edge of each node to the first of its group there,
-so that no link once seen is lost to a better one. These edges form components. Lists that hold nothing but such edges are saturated and
-look no further: inside a component all is compared block by block, and saturated nodes of different components are compared
-through pieces of bounded size, of which only those are left out whose centres and radii rule a link out. No group of
-copies sits in one task. After each round a bounded sample of vectors is compared with all; rounds go on while the found share of
-a vector's true links, on average over the vectors with about as many links, is under ``recall`` for any such size. Where it still is after
-``most_rounds``, all components are compared with one another exactly.
+Equal vectors are one node that counts as many, known by the 64-bit hash of its unit vector. Neighbour lists start from random-hyperplane
+buckets. Each round joins every node's neighbours with one another (forward and reverse lists, in blocks of bounded size) and keeps the
+``k`` best of each node. What a block links at or over the threshold is kept beside the lists for good, as one edge of each node to the first
+of its group there, so that no link once seen is lost to a better one. These edges form components. Lists that hold nothing but such
+edges are saturated and look no further: inside a component all is compared block by block, and saturated nodes of different components
+are compared through pieces of bounded size, of which only those are left out whose centres and radii rule a link out. No group of
+copies sits in one task.
+
+Recall is audited twice after each round. A bounded sample of vectors is compared with all: the found share of a vector's true links, on average
+over the vectors with about as many links. And each of the sample has had a partner planted at the threshold's edge, which takes part in all
+rounds and is taken out before components are formed: the share of these that was found, so that a table without links is audited too.
+Rounds go on while either is under ``recall``. Where it still is after ``most_rounds``, all components are compared with one another exactly.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; they get zero links and their own id.
-Shorter vectors count as filled up with zeros. Extra columns are not read; an empty table gives no rows.
+Shorter vectors count as filled up with zeros. Rows that repeat an id are vectors of their own: each has a row with its links, and
+``kept`` holds for every row whose id is its component's; rows that repeat id and vector count in each other's links. Ties in a list go to the
+greater node. Extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh3_64_intdigest
 
-from docloom.llm.common import connected_components, materialize, shuffle_partitions
+from docloom.llm.common import connected_components, materialize, shuffle_partitions, with_hot_keys
 
 BLOCK = 64
 
@@ -39,22 +45,22 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def unit_vectors(vectors: DataFrame, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(key, unit array<double>) of the vectors that can link."""
+    """(key, raw: hash of the vector as it stands, unit array<double>) of the vectors that can link."""
     inf = float("inf")
     good = vectors.where(F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)) & F.exists(column, lambda x: x != 0))
-    good = good.select(key, column)
-    width = good.agg(F.max(F.size(column))).first()[0] or 1
-    schema = T.StructType([good.schema[key], T.StructField("unit", T.ArrayType(T.DoubleType(), False))])
+    good = good.select(F.col(key).alias("key"), F.xxhash64(column).alias("raw"), F.col(column).alias("v"))
+    width = good.agg(F.max(F.size("v"))).first()[0] or 1
+    schema = T.StructType([good.schema["key"], T.StructField("raw", T.LongType()), T.StructField("unit", T.ArrayType(T.DoubleType(), False))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = np.zeros((b.num_rows, width))
-            for i, v in enumerate(b.column(column)):
+            for i, v in enumerate(b.column("v")):
                 x = v.values.to_numpy(zero_copy_only=False)
                 rows[i, : len(x)] = x
             rows /= np.abs(rows).max(axis=1, keepdims=True)
             rows /= np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-            yield pa.record_batch([b.column(key), pa.FixedSizeListArray.from_arrays(pa.array((rows + 0.0).ravel()), width).cast(pa.list_(pa.float64()))], schema.names)
+            yield pa.record_batch([b.column("key"), b.column("raw"), pa.FixedSizeListArray.from_arrays(pa.array((rows + 0.0).ravel()), width).cast(pa.list_(pa.float64()))], schema.names)
 
     return good.mapInArrow(run, schema)
 
@@ -183,7 +189,7 @@ def descend(nodes: DataFrame, edges: DataFrame, k: int, threshold: float) -> Dat
     return _best(edges.drop("best").unionByName(met.mapInArrow(_local_join(["center"], k, threshold), _EDGES)), k)
 
 
-def component_links(members: DataFrame, threshold: float, block: int = 256) -> DataFrame:
+def component_links(members: DataFrame, threshold: float, block: int = 1024) -> DataFrame:
     """(node, links) by comparing each component (component, node, unit, copies) with itself, a pair of blocks at a time."""
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     put = members.join(sizes, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
@@ -307,6 +313,33 @@ def joined(parts: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     return materialize(connected_components(parts.toDF("a", "b").unionByName(more)), "parts")
 
 
+def planted(nodes: DataFrame, threshold: float, sample: int, seed: int = 17) -> tuple[DataFrame, np.ndarray]:
+    """A partner of each of a bounded sample of nodes, a tenth of the way from the threshold to one, as nodes; and the pairs of node ids."""
+    spark = nodes.sparkSession
+    schema = T.StructType([nodes.schema["node"], nodes.schema["unit"]])
+    chosen = nodes.orderBy(F.xxhash64("node", F.lit(3))).limit(sample).select("node", "unit").toArrow()
+    unit = matrix(chosen.column("unit"))
+    if not chosen.num_rows or unit.shape[1] < 2:
+        return spark.createDataFrame([], schema), np.zeros((0, 2), np.int64)
+    side = np.random.default_rng(seed).normal(size=unit.shape)
+    side -= (side * unit).sum(axis=1, keepdims=True) * unit
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.9 * threshold + 0.1
+    made = near * unit + math.sqrt(1 - near * near) * side
+    ids = chosen.column("node").to_numpy()
+    own = np.array([xxh3_64_intdigest(v.tobytes(), seed) for v in made], np.uint64).view(np.int64)
+    return spark.createDataFrame(list(zip(own.tolist(), made.tolist(), strict=True)), schema), np.column_stack((ids, own))
+
+
+def planted_recall(lists: DataFrame, pairs: np.ndarray, threshold: float) -> float:
+    """Share of the planted pairs that the lists link."""
+    if not len(pairs):
+        return 1.0
+    want = F.broadcast(lists.sparkSession.createDataFrame(pairs.tolist(), "a long, b long"))
+    both = lists.where((F.col("sim") >= threshold) | F.col("link")).select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
+    return both.join(want.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")), ["x", "y"]).distinct().count() / len(pairs)
+
+
 def audit(nodes: DataFrame, parts: DataFrame, threshold: float, sample: int) -> float:
     """Share of a vector's links, found by comparing a bounded sample with all vectors, that lie inside one found component.
 
@@ -334,30 +367,37 @@ def audit(nodes: DataFrame, parts: DataFrame, threshold: float, sample: int) ->
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, k: int = 8, tables: int = 8, rounds: int = 2, most_rounds: int = 6, recall: float = 0.97, sample: int = 512, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(key, n_links, component_id, kept) of every row."""
-    units = materialize(unit_vectors(vectors, key, column), "units")
-    nodes = materialize(units.groupBy("unit").agg(F.min(key).alias("node"), F.count("*").alias("copies")), "nodes")
+    units = materialize(unit_vectors(vectors, key, column).withColumn("node", F.xxhash64("unit")), "units")
+    nodes = materialize(units.groupBy("node").agg(F.first("unit").alias("unit"), F.min("key").alias("least"), F.count("*").alias("copies")), "nodes")
     count = nodes.count()
-    lists = materialize(start_lists(nodes.select("node", "unit"), count, k, tables, 1, threshold), "lists")
+    plants, pairs = planted(nodes, threshold, sample)
+    taking = nodes.select("node", "unit").unionByName(plants)
+    lists = materialize(start_lists(taking, count, k, tables, 1, threshold), "lists")
     for done in range(1, most_rounds + 1):
-        lists = materialize(descend(nodes.select("node", "unit"), lists, k, threshold), "lists")
+        lists = materialize(descend(taking, lists, k, threshold), "lists")
         if done < rounds:
             continue
-        parts = materialize(connected_components(lists.where((F.col("sim") >= threshold) | F.col("link")).select("a", "b")), "parts")
-        full = lists.where("best").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("sim").alias("least")).where((F.col("n") >= k) & (F.col("least") >= threshold))
+        out = F.broadcast(plants.select("node"))  # sample rows at most
+        own = lists.join(out, lists.a == out.node, "left_anti").join(out, F.col("b") == out.node, "left_anti")
+        parts = materialize(connected_components(own.where((F.col("sim") >= threshold) | F.col("link")).select("a", "b")), "parts")
+        full = lists.where("best").groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n"), F.min("sim").alias("least_sim")).where((F.col("n") >= k) & (F.col("least_sim") >= threshold))
         parts = joined(parts, nodes.join(full, "node").join(parts, "node").select("component", "node", "unit"), threshold)
-        if audit(nodes, parts, threshold, sample) >= recall:
+        if planted_recall(lists, pairs, threshold) >= recall and audit(nodes, parts, threshold, sample) >= recall:
             break
         if done == most_rounds:
             every = nodes.join(parts, "node", "left").select(F.coalesce("component", "node").alias("component"), "node", "unit")
             parts = joined(parts, every, threshold)
             break
-        fresh = start_lists(nodes.select("node", "unit"), count, k, tables, 1 + done, threshold)
+        fresh = start_lists(taking, count, k, tables, 1 + done, threshold)
         lists = materialize(_best(lists.unionByName(fresh).drop("best"), k), "lists")
     members = nodes.join(parts, "node").select("component", "node", "unit", "copies")
     links = component_links(members, threshold)
-    found = nodes.join(parts, "node", "left").join(links, "node", "left")
-    found = found.select("unit", F.coalesce("component", "node").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    owner = units.join(found, "unit").select(F.col(key).alias("_dl_key"), "n_links", "component_id")
-    out = vectors.select(key).join(owner, F.col(key) == F.col("_dl_key"), "left")
+    named = parts.join(nodes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    found = nodes.join(parts, "node", "left").join(F.broadcast(named) if count <= 1_000_000 else named, "component", "left").join(links, "node", "left")
+    found = found.select("node", F.col("copies").alias("n"), F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = units.select("key", "raw", "node").distinct()
+    owner = with_hot_keys(rows, materialize(found, "found"), "node", units.count()).select("key", "raw", "n_links", "component_id")
+    asked = vectors.select(F.col(key).alias("key"), F.xxhash64(column).alias("raw"))
+    out = asked.join(owner, ["key", "raw"], "left").withColumnRenamed("key", key)
     component = F.coalesce("component_id", key)
     return out.select(key, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col(key) == component).alias("kept"))

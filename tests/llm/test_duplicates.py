@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from docloom.llm import embeddings, simhash, topk
@@ -87,6 +88,27 @@ def test_embedding_links_against_brute_force(spark):
     assert embeddings.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_an_id(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.99, 0.05]
+    rows = [(1, a), (1, b), (2, a), (3, c), (4, None), (4, None), (5, [2.0, 0.0, 0.0]), (6, [0.0, 0.0, 1.0]), (6, [0.0, 0.0, 1.0])]
+    got = sorted(tuple(r) for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 2, 1, False), (3, 1, 1, False), (4, 0, 4, True), (4, 0, 4, True), (5, 2, 1, False), (6, 1, 6, True), (6, 1, 6, True)]
+
+
+def test_planted_pairs_are_found_without_links(spark):
+    x = np.random.default_rng(8).normal(size=(900, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    nodes = embeddings.unit_vectors(df).withColumn("node", F.xxhash64("unit"))
+    plants, pairs = embeddings.planted(nodes, 0.95, 64)
+    assert plants.count() == len(pairs) == 64
+    own = {r.node: np.array(r.unit) for r in nodes.unionByName(plants, allowMissingColumns=True).collect()}
+    assert all(0.95 <= own[a] @ own[b] < 0.96 for a, b in pairs.tolist())
+    lists = embeddings.start_lists(nodes.select("node", "unit").unionByName(plants), 900, 8, 8, 1, 0.95)
+    assert embeddings.planted_recall(lists, pairs, 0.95) > 0.9
+    assert embeddings.planted_recall(lists.limit(0), pairs, 0.95) == 0
+    assert all((r.n_links, r.kept) == (0, True) for r in embeddings.near_duplicates(df).collect())
+
+
 def test_embedding_links_between_saturated_groups(spark):
     rng = np.random.default_rng(4)
     base = np.linalg.qr(rng.normal(size=(64, 64)))[0]

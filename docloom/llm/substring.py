@@ -67,7 +67,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Chunks:
     """Words of several texts and the chunks they form; places are bytes of data, in which text i begins at start[i]."""
 
-    def __init__(self, texts: list[str | None], mean_words: int = 4):
+    def __init__(self, texts: list[str | None], mean_words: int = 5):
         parts = [(t or "").encode() for t in texts]
         gap = b"\n" * WIDTH  # before each text, so that no hash reaches into another
         self.data = b"".join(x for p in parts for x in (gap, p)) + b"\n"
@@ -125,7 +125,7 @@ class Chunks:
         return text, self.begin[one] - self.start[text], stop - self.start[text], mix((run[two + 1] - run[one]) * down[one])
 
 
-def cut(text: str, mean_words: int = 4) -> list[int]:
+def cut(text: str, mean_words: int = 5) -> list[int]:
     """Byte places at which the chunks of a text end."""
     c = Chunks([text], mean_words)
     return (c.end[c.last] - c.start[0]).tolist()
@@ -201,12 +201,12 @@ def long_runs(spots: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def dedup(docs: DataFrame, mean_words: int = 4, min_words: int = 12, text: str = "text", key: str = "doc_id", removed: str = "removed_bytes", sources: str = "source_doc_ids") -> DataFrame:
+def dedup(docs: DataFrame, mean_words: int = 5, min_words: int = 12, text: str = "text", key: str = "doc_id", removed: str = "removed_bytes", sources: str = "source_doc_ids") -> DataFrame:
     """docs with the text less its repeated passages, the bytes removed, and the ids that hold their first places."""
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("uid"), F.col(text).alias("body"))
     gone = repeats(passages(own, mean_words, min_words))
     doc, uid, found = (free_name(docs, n) for n in ("doc", "uid", "spots"))
-    spots = gone.groupBy(F.col("doc").alias(doc), F.col("uid").alias(uid)).agg(F.collect_set(F.struct("begin", "end", "source")).alias(found))
+    spots = gone.groupBy(F.col("doc").alias(doc), F.col("uid").alias(uid)).agg(F.struct(F.collect_list("begin").alias("begin"), F.collect_list("end").alias("end"), F.sort_array(F.collect_set("source")).alias("source")).alias(found))
     joined = docs.join(spots, (docs[key] == spots[doc]) & (F.xxhash64(docs[text]) == spots[uid]), "left").drop(doc, uid)
     fields = [f for f in docs.schema.fields if f.name.lower() not in (removed.lower(), sources.lower())]
     schema = T.StructType([*fields, T.StructField(removed, T.LongType()), T.StructField(sources, T.ArrayType(docs.schema[key].dataType))])
@@ -215,8 +215,9 @@ def dedup(docs: DataFrame, mean_words: int = 4, min_words: int = 12, text: str =
         for b in text_slices(batches, text):
             texts, lost, origins = [], [], []
             for t, here in zip(b.column(text).to_pylist(), b.column(found).to_pylist(), strict=True):
-                gone = long_runs([(s["begin"], s["end"]) for s in here or ()])
-                if gone:
+                gone = []
+                if here:
+                    gone = long_runs(list(zip(here["begin"], here["end"], strict=True)))
                     data, kept, last = t.encode(), [], 0
                     for begin, end in gone:
                         kept.append(data[last:begin])
@@ -224,7 +225,7 @@ def dedup(docs: DataFrame, mean_words: int = 4, min_words: int = 12, text: str =
                     t = b"".join([*kept, data[last:]]).decode()
                 texts.append(t)
                 lost.append(sum(e - s for s, e in gone))
-                origins.append(sorted({s["source"] for s in here or ()}))
+                origins.append(here["source"] if here else [])
             columns = [pa.array(texts, pa.string()) if f.name == text else b.column(f.name) for f in fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(lost, pa.int64()), pa.array(origins, pa.list_(b.column(key).type))], names=schema.names)
 

@@ -94,7 +94,7 @@ def _loss(m: FactorisationMachine, rows: list[tuple[np.ndarray, np.ndarray]], la
     return float(-np.where(labels > 0, np.log(p), np.log(1 - p)).mean())
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, rank: int = 4, rate: float = 0.1, decay: float = 1e-4, batch: int = 128, steps: int = 50, most_steps: int = 2000, gain: float = 0.02) -> FactorisationMachine:
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int, rank: int = 4, rate: float = 0.1, decay: float = 1e-4, batch: int = 128, steps: int = 50, most_steps: int = 600, gain: float = 0.05) -> FactorisationMachine:
     """Adagrad on the log loss, until the loss of every fifth row, which it does not learn from, has not fallen by gain for three times steps."""
     rng = np.random.default_rng(7)
     n = (1 << bits) + (STATISTICS + 1) * BINS

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Upload types by suffix and their media types (fixed values).
 MEDIA_TYPES = {
-    "txt": "text/plain",
-    "md": "text/markdown",
+    "txt": "text/plain; charset=utf-8",
+    "md": "text/markdown; charset=utf-8",
     "pdf": "application/pdf",
     "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document",
     "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet",

@@ -53,10 +53,18 @@ def claim_jobs(jobs: DataFrame, now: Column, lease_seconds: int, limit: int) ->
 
 
 def fail_jobs(jobs: DataFrame, now: Column) -> DataFrame:
-    """Processing jobs after a failure: an error at the third attempt, else pending again after 2**attempts seconds."""
+    """Processing jobs after a failure: done if a pending job of the kind waits anyhow, an error at the third attempt, else pending again after 2**attempts seconds."""
+    waiting = jobs.where("status = 'pending'").select("document_id", "kind").distinct().withColumn("waits", F.lit(True))
+    met = jobs.where("status = 'processing'").join(waiting, ["document_id", "kind"], "left")
     wait = F.make_dt_interval(secs=F.pow(F.lit(2.0), F.col("attempts")).cast("decimal(18,6)"))
-    over = F.col("attempts") >= MOST_ATTEMPTS
-    return jobs.where("status = 'processing'").withColumns({"status": F.when(over, "error").otherwise("pending"), "next_attempt_at": F.when(over, F.col("next_attempt_at")).otherwise(now + wait), "lease_expires_at": F.lit(None).cast("timestamp")})
+    superseded, over = F.col("waits").isNotNull(), F.col("attempts") >= MOST_ATTEMPTS
+    out = met.withColumns({"status": F.when(superseded, "done").when(over, "error").otherwise("pending"), "next_attempt_at": F.when(superseded | over, F.col("next_attempt_at")).otherwise(now + wait), "lease_expires_at": F.lit(None).cast("timestamp")})
+    return out.select(*jobs.columns)
+
+
+def lock_seconds(failures: Column, limit: int = 10, first: float = 60.0, most: float = 3600.0) -> Column:
+    """How long a login is locked after so many failures: from the limit on twice as long each time."""
+    return F.when(failures >= limit, F.least(first * F.pow(F.lit(2.0), F.least(failures - limit, F.lit(30))), F.lit(most))).otherwise(0.0)
 
 
 def sweep_jobs(jobs: DataFrame, now: Column) -> DataFrame:
@@ -93,7 +101,8 @@ def transfer_owner(docs: DataFrame, grants: DataFrame, old: str, new: str) -> tu
 
 
 def write_results(docs: DataFrame, writes: DataFrame) -> DataFrame:
-    """(document_id, result, version) of optimistic writes (document_id, client_version, content_hash)."""
-    met = writes.join(docs.select(F.col("id").alias("document_id"), F.col("version").alias("now"), F.col("content_hash").alias("hash")), "document_id", "left")
+    """(document_id, result, version) of optimistic writes (document_id, client_version, content_hash); a text written where none was keeps its version."""
+    blank = F.regexp_replace("content", r"^[ \t\r\n\f]+", "") == ""
+    met = writes.join(docs.select(F.col("id").alias("document_id"), F.col("version").alias("now"), F.col("content_hash").alias("hash"), F.coalesce(blank, F.lit(True)).alias("blank")), "document_id", "left")
     result = F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("client_version"), "conflict").when(F.col("hash") == F.col("content_hash"), "unchanged").otherwise("applied")
-    return met.select("document_id", result.alias("result"), F.when(result == "applied", F.col("now") + 1).otherwise(F.col("now")).alias("version"))
+    return met.select("document_id", result.alias("result"), F.when((result == "applied") & ~F.col("blank"), F.col("now") + 1).otherwise(F.col("now")).alias("version"))

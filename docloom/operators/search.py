@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.functions.text import identifier_pattern
 from docloom.operators import graph, visibility
 from docloom.operators.vectors import best_per, with_distance
+from docloom.session import cut_lineage
 
 OVER_FETCH = 5
 HOP_COST = 2.0
@@ -33,11 +36,29 @@ def kind_rank(kind: str | Column) -> Column:
     return out
 
 
+STEM, EDITION = r" \(\d{4}판\)$", r" \((\d{4})판\)$"
+
+
+def edition_of(text: str) -> str | None:
+    """The one edition that a query asks for: a year before 판 or 년판."""
+    years = set(re.findall(r"(?<!\d)(?:19|20)\d{2}(?=\s*(?:판|년판))", text))
+    return years.pop() if len(years) == 1 else None
+
+
 def title_rank(title: Column, text: str) -> Column:
-    """0 for the title that the query names, 1 for others; a title's edition suffix " (YYYY판)" counts when the query has that year."""
-    stem, year = F.regexp_replace(title, r" \(\d{4}판\)$", ""), F.regexp_extract(title, r" \((\d{4})판\)$", 1)
-    edition = (year != "") & F.lit(text).contains(year) & F.lit(text).contains(stem)
-    return F.when((title == F.lit(text)) | edition, 0).otherwise(1)
+    """0 for the title that the query is, or, where it asks for one edition, names; that edition is then demanded. 1 for others."""
+    edition = edition_of(text)
+    if edition is None:
+        return F.when(title == F.lit(text), 0).otherwise(1)
+    named = (title == F.lit(text)) | F.lit(text).contains(F.regexp_replace(title, STEM, ""))
+    return F.when(named & (F.regexp_extract(title, EDITION, 1) == edition), 0).otherwise(1)
+
+
+def number_rank(title: Column, text: str) -> Column:
+    """0 for titles that a query with one numbered decision or article names, 1 for others."""
+    if identifier_pattern(text) is None:
+        return F.lit(1)
+    return F.when(F.lit(text).contains(F.regexp_replace(title, STEM, "")), 0).otherwise(1)
 
 
 def matching(corpus, request: Request, in_folder: bool = True) -> DataFrame:
@@ -60,12 +81,18 @@ def candidates(corpus, request: Request, query: DataFrame) -> DataFrame:
     return near.select("document_id", "title", "version", "chunk_index", "distance").orderBy("distance", "document_id", "chunk_index").limit(OVER_FETCH * request.k)
 
 
+def ranked_hits(found: DataFrame, request: Request) -> DataFrame:
+    """The best candidate of each document with its rank, documents that the query names first."""
+    best = best_per(found, ["document_id"], "distance", "chunk_index")
+    order = Window.orderBy("title_rank", "number_rank", "distance", "document_id")  # over five times k rows at most
+    ranked = best.withColumns({"title_rank": title_rank(F.col("title"), request.text), "number_rank": number_rank(F.col("title"), request.text)})
+    return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= request.k)
+
+
 def direct_hits(corpus, request: Request, query: DataFrame) -> DataFrame:
-    """(document_id, chunk_index, distance, score, rank): the best chunk of each document, documents that the query names first."""
-    best = best_per(candidates(corpus, request, query), ["document_id"], "distance", "chunk_index")
-    order = Window.orderBy("title_rank", "distance", "document_id")  # over five times k rows at most
-    ranked = best.withColumn("title_rank", title_rank(F.col("title"), request.text)).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= request.k).select("document_id", "chunk_index", "distance", F.round(1 - F.col("distance"), 6).alias("score"), "rank")
+    """(document_id, chunk_index, distance, score, rank)."""
+    ranked = ranked_hits(candidates(corpus, request, query), request)
+    return ranked.select("document_id", "chunk_index", "distance", F.round(1 - F.col("distance"), 6).alias("score"), "rank")
 
 
 def context(chunks: DataFrame, spots: DataFrame, reach: int = 1) -> DataFrame:
@@ -114,19 +141,24 @@ def walk(start: DataFrame, steps: DataFrame, allowed: DataFrame, skip: DataFrame
 
 
 def search(corpus, request: Request, query: DataFrame, edges: DataFrame) -> DataFrame:
-    """(document_id, version, chunk_index, depth, kind, distance, score, part_rank): k direct hits and k expansions."""
-    found = candidates(corpus, request, query)
-    direct = direct_hits(corpus, request, query)
-    visible = visibility.visible_documents(corpus, request.principal)
-    reached = walk(found, traversal_edges(edges, resolved_links(corpus, visible)), matching(corpus, request, in_folder=False), direct)
-    near = with_distance(corpus.chunks, query).select("document_id", F.col("chunk_index").alias("c"), F.col("distance").alias("chunk_distance"))
+    """(document_id, version, chunk_index, depth, kind, distance, score, part_rank): k direct hits and k expansions.
+
+    The candidates, five times k rows, are written out once; of the chunks only those of documents that the walk reaches are scored.
+    """
+    visible = visibility.hold_visible(corpus, request.principal)
+    found = cut_lineage(candidates(corpus, request, query))
+    direct = cut_lineage(ranked_hits(found, request))
+    reached = cut_lineage(walk(found, traversal_edges(edges, resolved_links(corpus, visible)), matching(corpus, request, in_folder=False), direct))
+    own = corpus.chunks.join(F.broadcast(reached.select("document_id").distinct()) if reached.count() <= 100_000 else reached.select("document_id").distinct(), "document_id", "left_semi")
+    near = with_distance(own, query).select("document_id", "version", F.col("chunk_index").alias("c"), F.col("distance").alias("chunk_distance"))
     spot = reached.join(near, "document_id").where(F.col("target_chunk").isNull() | (F.col("target_chunk") == F.col("c")))
-    spot = best_per(spot, ["document_id", "target_chunk"], "chunk_distance", "c").select("document_id", F.lit(1).cast("long").alias("version"), F.col("c").alias("chunk_index"), "depth", "kind", "distance")
-    shown = direct.select("document_id", "distance")
-    revised = corpus.versions.where("version = 2").join(shown, "document_id").select("document_id", "version", F.lit(None).cast("long").alias("chunk_index"), F.lit(1).alias("depth"), F.lit("revision").alias("kind"), (F.col("distance") + HOP_COST).alias("distance"))
-    more = best_per(spot.unionByName(revised), ["document_id", "version", "chunk_index"], "distance", kind_rank("kind"), "depth")
-    order = Window.orderBy("distance", kind_rank("kind"), "document_id", "version", F.asc_nulls_last("chunk_index"))
-    top = more.orderBy("distance", kind_rank("kind"), "document_id", "version", F.asc_nulls_last("chunk_index")).limit(request.k)
-    top = top.withColumn("part_rank", F.row_number().over(order))
-    first = direct.select("document_id", F.lit(1).cast("long").alias("version"), "chunk_index", F.lit(0).alias("depth"), F.lit("direct").alias("kind"), "distance", F.col("rank").alias("part_rank"))
+    spot = best_per(spot, ["document_id", "target_chunk"], "chunk_distance", "c").select("document_id", "version", F.col("c").alias("chunk_index"), "depth", "kind", "distance")
+    before = corpus.versions.select("document_id", "version")
+    asked = found.select("document_id", (F.col("version") - 1).alias("version"), "chunk_index", F.lit(1).alias("depth"), F.lit("revision").alias("kind"), (F.col("distance") + HOP_COST).alias("distance"))
+    revised = asked.join(before, ["document_id", "version"], "left_semi")
+    each = F.when(F.col("kind") != "revision", F.col("chunk_index")).otherwise(-1)
+    more = best_per(spot.unionByName(revised).withColumn("spot", each), ["document_id", "version", "spot"], "distance", kind_rank("kind"), "depth", "chunk_index").drop("spot")
+    order = ("distance", kind_rank("kind"), "depth", "document_id", "version", "chunk_index")
+    top = more.orderBy(*order).limit(request.k).withColumn("part_rank", F.row_number().over(Window.orderBy(*order)))
+    first = direct.select("document_id", "version", "chunk_index", F.lit(0).alias("depth"), F.lit("direct").alias("kind"), "distance", F.col("rank").alias("part_rank"))
     return first.unionByName(top).withColumn("score", F.round(1 - F.col("distance"), 6)).withColumn("distance", F.round("distance", 6))

@@ -20,7 +20,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
 
 def with_distance(chunks: DataFrame, query: DataFrame) -> DataFrame:
     """chunks with their distance to the one vector of query (column q)."""
-    return chunks.crossJoin(F.broadcast(query.limit(1))).withColumn("distance", cosine_distance(F.col("embedding"), F.col("q"))).drop("q")
+    one = F.broadcast(query.limit(1).select("q", F.sqrt(dot(F.col("q"), F.col("q"))).alias("q_length")))
+    e, q = F.col("embedding"), F.col("q")
+    distance = F.round(1 - F.try_divide(dot(e, q), F.sqrt(dot(e, e)) * F.col("q_length")), PLACES)
+    return chunks.crossJoin(one).withColumn("distance", distance).drop("q", "q_length")
 
 
 def best_per(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
@@ -31,8 +34,8 @@ def best_per(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFram
 def neighbours(chunks: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
     """The k nearest chunks of other documents for every chunk: (src, src_chunk, dst, dst_chunk, distance).
 
-    Blocks of chunks meet in pairs, each pair in one task as a matrix product; per pair of blocks at most k rows of each chunk
-    leave, so what is shuffled grows with the number of blocks, not with the pairs.
+    Each unordered pair of blocks of chunks meets once, in one task as a matrix product that serves both directions; per pair of blocks at most
+    k rows of each chunk leave, so what is shuffled grows with the number of blocks, not with the pairs.
     """
     import numpy as np
     import pyarrow as pa
@@ -40,10 +43,8 @@ def neighbours(chunks: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
     own = chunks.select("document_id", "chunk_index", "embedding")
     blocks = max(1, -(-own.count() // block))
     number = F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(blocks)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = own.select(number.alias("one"), every.alias("two"), "*")
-    right = own.select(number.alias("other_two"), every.alias("other_one"), *(F.col(c).alias(f"other_{c}") for c in own.columns))
-    right = right.toDF(*(c.removeprefix("other_") for c in right.columns))
+    left = own.select(number.alias("one"), F.explode(F.sequence(number, F.lit(blocks - 1))).alias("two"), "*")
+    right = own.select(number.alias("two"), F.explode(F.sequence(F.lit(0), number)).alias("one"), "*").toDF("two", "one", "document_id", "chunk_index", "embedding")
 
     def unit(t: pa.Table) -> np.ndarray:
         rows = t.column("embedding").combine_chunks()
@@ -51,20 +52,22 @@ def neighbours(chunks: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
         with np.errstate(invalid="ignore", divide="ignore"):
             return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
 
+    def nearest(far: np.ndarray, src: tuple[np.ndarray, np.ndarray], dst: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+        rank = np.lexsort((dst[1], dst[0]))  # ties by id: columns in that order, then a stable sort
+        order = rank[np.argsort(far[:, rank], axis=1, kind="stable")[:, :k]]
+        i, j = np.repeat(np.arange(len(src[0])), order.shape[1]), order.ravel()
+        keep = np.isfinite(far[i, j])
+        i, j = i[keep], j[keep]
+        return pa.table({"src": src[0][i], "src_chunk": src[1][i], "dst": dst[0][j], "dst_chunk": dst[1][j], "distance": far[i, j]})
+
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({n: pa.array([], t) for n, t in (("src", pa.int64()), ("src_chunk", pa.int64()), ("dst", pa.int64()), ("dst_chunk", pa.int64()), ("distance", pa.float64()))})
         far = np.round(1 - unit(a) @ unit(b).T, PLACES)
-        src, dst = a.column("document_id").to_numpy(), b.column("document_id").to_numpy()
-        si, di = a.column("chunk_index").to_numpy(), b.column("chunk_index").to_numpy()
-        far[(src[:, None] == dst[None, :]) | np.isnan(far)] = np.inf
-        rank = np.lexsort((di, dst))  # ties by id: columns in that order, then a stable sort
-        order = rank[np.argsort(far[:, rank], axis=1, kind="stable")[:, :k]]
-        i = np.repeat(np.arange(len(src)), order.shape[1])
-        j = order.ravel()
-        keep = np.isfinite(far[i, j])
-        i, j = i[keep], j[keep]
-        return pa.table({"src": src[i], "src_chunk": si[i], "dst": dst[j], "dst_chunk": di[j], "distance": far[i, j]})
+        one, two = ((t.column("document_id").to_numpy(), t.column("chunk_index").to_numpy()) for t in (a, b))
+        far[(one[0][:, None] == two[0][None, :]) | np.isnan(far)] = np.inf
+        out = nearest(far, one, two)
+        return out if key[0].as_py() == key[1].as_py() else pa.concat_tables([out, nearest(far.T, two, one)])
 
     met = left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInArrow(run, "src long, src_chunk long, dst long, dst_chunk long, distance double")
     rank = F.row_number().over(Window.partitionBy("src", "src_chunk").orderBy("distance", "dst", "dst_chunk"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.session import cut_lineage
+
 
 def ancestors(folders: DataFrame, most_levels: int = 64) -> DataFrame:
     """(folder_id, ancestor_id, depth) of every folder and all above it; depth 0 is the folder itself.
@@ -23,9 +25,9 @@ def ancestors(folders: DataFrame, most_levels: int = 64) -> DataFrame:
 
 
 def closure(corpus) -> DataFrame:
-    """The corpus's own ancestors, worked out once."""
+    """The corpus's own ancestors, worked out and written once."""
     if "_closure" not in corpus.__dict__:
-        corpus.__dict__["_closure"] = ancestors(corpus.folders)
+        corpus.__dict__["_closure"] = cut_lineage(ancestors(corpus.folders.select("id", "parent_id")))
     return corpus.__dict__["_closure"]
 
 
@@ -56,11 +58,21 @@ def visible_folders(corpus, principal: str | None) -> DataFrame:
     return above.join(open_roots, "ancestor_id", "left_semi").select("folder_id").distinct()
 
 
+def hold_visible(corpus, principal: str | None) -> DataFrame:
+    """visible_documents, written once for all further uses by this corpus."""
+    held = corpus.__dict__.setdefault("_visible", {})
+    if principal not in held:
+        held[principal] = cut_lineage(visible_documents(corpus, principal))
+    return held[principal]
+
+
 def visible_documents(corpus, principal: str | None) -> DataFrame:
     """(id) of the documents that a user, a share or, with None, anybody sees.
 
     A document that follows its folder has the folder's visibility alone; owners see their own; the trash is hidden from all.
     """
+    if principal in corpus.__dict__.get("_visible", {}):
+        return corpus.__dict__["_visible"][principal]
     docs = corpus.documents.where("deleted_at is null").select("id", "owner_id", "visibility", "folder_id", "follows_folder")
     folders = visible_folders(corpus, principal).withColumnRenamed("folder_id", "open_folder")
     in_open = docs.join(folders, F.col("folder_id") == F.col("open_folder"), "left_semi")

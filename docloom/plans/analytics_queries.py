@@ -210,10 +210,10 @@ def audit_csv(c):
     return c.audit_log.select("id", F.concat(F.when(F.col("id") % 3 == 0, "=").otherwise(""), "action").alias("v")).select("id", csv_cell("v").alias("cell"))
 
 
-@query(with_tables("""SELECT actor, failures, CASE WHEN failures > 10 THEN least(3600, 60 * power(2, failures - 10)) ELSE 0 END AS lock_seconds FROM (SELECT actor, document_id % 20 AS d, count(*) AS failures FROM audit_log GROUP BY 1, 2) WHERE d = 1"""))
+@query(with_tables("""SELECT actor, failures, CASE WHEN failures >= 10 THEN least(60 * power(2, least(failures - 10, 30)), 3600) ELSE 0 END AS lock_seconds FROM (SELECT actor, document_id % 20 AS d, count(*) AS failures FROM audit_log GROUP BY 1, 2) WHERE d = 1"""))
 def login_lockout(c):
     n = c.audit_log.groupBy("actor", (F.col("document_id") % 20).alias("d")).agg(F.count("*").alias("failures")).where("d = 1")
-    return n.select("actor", "failures", F.when(F.col("failures") > 10, F.least(F.lit(3600.0), 60 * F.pow(F.lit(2.0), F.col("failures") - 10))).otherwise(0.0).alias("lock_seconds"))
+    return n.select("actor", "failures", changes.lock_seconds(F.col("failures")).alias("lock_seconds"))
 
 
 @query(with_tables("""SELECT actor, min(occurred_at) AS started, max(occurred_at) AS ended, count(*) AS failures FROM (SELECT *, sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER (PARTITION BY actor ORDER BY occurred_at, id) AS island
@@ -288,7 +288,8 @@ def claim_jobs(c):
     return changes.claim_jobs(c.jobs, _now(), 60, 100).select("id", "kind", "status", "attempts", "lease_expires_at")
 
 
-@query(with_tables(f"""SELECT id, CASE WHEN attempts >= 3 THEN 'error' ELSE 'pending' END AS status, CASE WHEN attempts >= 3 THEN next_attempt_at ELSE {NOW} + to_seconds(power(2, attempts)) END AS next_attempt_at FROM jobs WHERE status = 'processing'"""))
+@query(with_tables(f"""SELECT j.id, CASE WHEN p.document_id IS NOT NULL THEN 'done' WHEN attempts >= 3 THEN 'error' ELSE 'pending' END AS status, CASE WHEN p.document_id IS NOT NULL OR attempts >= 3 THEN next_attempt_at ELSE {NOW} + to_seconds(power(2, attempts)) END AS next_attempt_at
+    FROM jobs j LEFT JOIN (SELECT DISTINCT document_id, kind FROM jobs WHERE status = 'pending') p ON p.document_id = j.document_id AND p.kind = j.kind WHERE status = 'processing'"""))
 def fail_jobs(c):
     return changes.fail_jobs(c.jobs, _now()).select("id", "status", "next_attempt_at")
 
@@ -321,12 +322,13 @@ def owner_transfer(c):
     return grants.select("document_id", "user_id", "group_id")
 
 
-@query(with_tables("""SELECT d.id AS document_id, 1 + d.id % 2 AS client_version, CASE WHEN d.id % 2 <> 0 THEN 'conflict' WHEN d.id % 3 = 0 THEN 'unchanged' ELSE 'applied' END AS result FROM docs d"""))
+@query(with_tables("""SELECT d.id AS document_id, 1 + d.id % 2 AS client_version, CASE WHEN d.id % 2 <> 0 THEN 'conflict' WHEN d.id % 3 = 0 THEN 'unchanged' ELSE 'applied' END AS result, CASE WHEN d.id % 2 = 0 AND d.id % 3 <> 0 AND d.id % 7 <> 1 THEN 2 ELSE 1 END AS version FROM docs d"""))
 def optimistic_writes(c):
     i = F.col("id")
     w = c.documents.select(i.alias("document_id"), (1 + i % 2).alias("client_version"), F.when(i % 3 == 0, F.col("content_hash")).otherwise("new").alias("content_hash"))
-    out = changes.write_results(c.documents, w).select("document_id", "result")
-    return out.select("document_id", (1 + F.col("document_id") % 2).alias("client_version"), "result")
+    docs = c.documents.withColumn("content", F.when(i % 7 == 1, " \t\n").otherwise("x"))
+    out = changes.write_results(docs, w)
+    return out.select("document_id", (1 + F.col("document_id") % 2).alias("client_version"), "result", "version")
 
 
 @query(with_tables("SELECT action, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS most, count(*) AS n FROM audit_log GROUP BY 1"))

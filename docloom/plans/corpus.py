@@ -32,7 +32,7 @@ class Corpus:
             F.lit(1).alias("version"),
             F.concat(F.lit("user"), number(7)).alias("owner_id"),
             F.when(i % 5 == 0, "private").otherwise("public").alias("visibility"),
-            F.when(i % 2 == 1, "md").otherwise("txt").alias("content_type"),
+            F.when(i % 2 == 1, "md").when(i % 16 == 0, "docx").when(i % 16 == 2, "xlsx").when(i % 16 == 4, "hwpx").otherwise("txt").alias("content_type"),
             F.when(i % 11 == 0, F.array().cast("array<string>")).otherwise(F.array("lang", "source", F.concat(F.lit("group-"), number(10)))).alias("tags"),
             F.when(i % 37 == 0, stamp).alias("deleted_at"),
             F.when(i % 3 != 0, F.concat(F.lit("n"), number(25))).alias("folder_id"),
@@ -103,7 +103,15 @@ class Corpus:
         twin = own.where("document_id % 10 = 0").crossJoin(F.broadcast(docs)).select((F.col("n") + F.floor(F.col("document_id") / 10)).alias("document_id"), "chunk_index", "embedding")
         text = self.table("documents").select(F.col("doc_id").alias("document_id"), "text")
         both = own.unionByName(twin).join(text, "document_id")
-        return both.select("document_id", F.lit(1).alias("version"), "chunk_index", F.expr("substr(text, cast(1 + 200 * chunk_index as int), 200)").alias("content"), "embedding")
+        return both.select("document_id", (1 + F.col("document_id") % 3).alias("version"), "chunk_index", F.expr("substr(text, cast(1 + 200 * chunk_index as int), 200)").alias("content"), "embedding")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        """The similarity graph of the chunks, built once for each state of their tables and stored."""
+        from docloom.operators.graph import build_edges
+        from docloom.sources.store import stored
+
+        return stored("edges", "src", [self.table("embeddings"), self.table("documents")], lambda: build_edges(self.chunks))
 
     @cached_property
     def versions(self) -> DataFrame:
@@ -132,7 +140,7 @@ class Corpus:
 #: The same tables for the SQL that results are held against.
 CTES = {
     "docs": """SELECT doc_id AS id, 'Title ' || (doc_id // 2) AS title, text AS content, sha256(text) AS content_hash, 1 AS version, 'user' || (doc_id % 7) AS owner_id,
-        CASE WHEN doc_id % 5 = 0 THEN 'private' ELSE 'public' END AS visibility, CASE WHEN doc_id % 2 = 1 THEN 'md' ELSE 'txt' END AS content_type,
+        CASE WHEN doc_id % 5 = 0 THEN 'private' ELSE 'public' END AS visibility, CASE WHEN doc_id % 2 = 1 THEN 'md' WHEN doc_id % 16 = 0 THEN 'docx' WHEN doc_id % 16 = 2 THEN 'xlsx' WHEN doc_id % 16 = 4 THEN 'hwpx' ELSE 'txt' END AS content_type,
         CASE WHEN doc_id % 11 = 0 THEN CAST([] AS VARCHAR[]) ELSE [lang, source, 'group-' || (doc_id % 10)] END AS tags,
         CASE WHEN doc_id % 37 = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(doc_id) END AS deleted_at,
         CASE WHEN doc_id % 3 <> 0 THEN 'n' || (doc_id % 25) END AS folder_id, doc_id % 4 <> 0 AS follows_folder,
@@ -152,7 +160,7 @@ CTES = {
     "folder_grants": """SELECT 'r' || r_regionkey AS folder_id, CASE WHEN r_regionkey <> 3 THEN 'user' || (r_regionkey * 2 % 7) END AS user_id, CASE WHEN r_regionkey = 3 THEN 'BUILDING' END AS group_id FROM region""",
     "share_folders": """SELECT 'share:1' AS share_id, id AS folder_id FROM folders WHERE id = 'r1'""",
     "own_chunks": """SELECT vec_id // 5 AS document_id, vec_id % 5 AS chunk_index, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings""",
-    "chunks": """SELECT document_id, 1 AS version, chunk_index, substr(text, 1 + 200 * chunk_index, 200) AS content, embedding FROM (SELECT * FROM own_chunks
+    "chunks": """SELECT document_id, 1 + document_id % 3 AS version, chunk_index, substr(text, 1 + 200 * chunk_index, 200) AS content, embedding FROM (SELECT * FROM own_chunks
         UNION ALL SELECT (SELECT max(vec_id) // 5 + 1 FROM embeddings) + document_id // 10, chunk_index, embedding FROM own_chunks WHERE document_id % 10 = 0) JOIN documents ON doc_id = document_id""",
     "versions": """SELECT conv_id AS document_id, turn + 1 AS version, text AS content, role AS author_via FROM conversations""",
     "audit_log": """SELECT event_id AS id, ts AS occurred_at, 'user' || (user_id % 7) AS actor, event_type AS action, event_id % 200 AS document_id, props AS detail, value FROM events""",

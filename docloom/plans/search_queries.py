@@ -8,6 +8,7 @@ from docloom.operators import graph, search, vectors, visibility
 from docloom.operators.search import Request
 from docloom.plans.corpus import SHARE, visible_folders_sql, visible_sql, with_tables
 from docloom.plans.registry import query
+from docloom.sources.store import replace_by_source
 
 DISTANCE = "round(list_cosine_distance(embedding, q), 9)"
 NEAR = f"SELECT c.*, {DISTANCE} AS distance FROM chunks c, qv"
@@ -83,9 +84,27 @@ def vector_topk_folder(c):
     return _direct(c, folder_id="r2")
 
 
-@query(with_tables("SELECT id, CASE WHEN title = 'Title 3' THEN 0 ELSE 1 END AS title_rank FROM docs"))
+#: Queries and which documents each promotes: (text, whole title, stem, edition demanded).
+ASKED = (("Title 3", "Title 3", None, None), ("Rules 2021판", None, "Rules", "2021"), ("Rules 2020판 and 2021판", None, None, None), ("2020 and 2021 of Rules", None, None, None), ("the Rules of 2020년판", None, "Rules", "2020"))
+
+
+def _title_sql(whole, stem, edition) -> str:
+    return f"title = '{whole}'" if whole else f"title = '{stem} ({edition}판)'" if stem else "false"
+
+
+@query(with_tables("SELECT q, id, title, CASE WHEN CASE q " + " ".join(f"WHEN {i} THEN {_title_sql(w, s, e)}" for i, (_, w, s, e) in enumerate(ASKED)) + """ END THEN 0 ELSE 1 END AS title_rank
+    FROM (SELECT id, CASE id % 3 WHEN 0 THEN title ELSE 'Rules (' || (2018 + id % 5) || '판)' END AS title FROM docs), (SELECT unnest(range(5)) AS q)"""))
 def title_priority(c):
-    return c.documents.select("id", search.title_rank(F.col("title"), "Title 3").alias("title_rank"))
+    i = F.col("id")
+    docs = c.documents.select("id", F.when(i % 3 == 0, F.col("title")).otherwise(F.concat(F.lit("Rules ("), 2018 + i % 5, F.lit("판)"))).alias("title"))
+    ranks = F.array(*(F.struct(F.lit(n).cast("long").alias("q"), search.title_rank(F.col("title"), text).alias("title_rank")) for n, (text, *_) in enumerate(ASKED)))
+    return docs.select("id", "title", F.inline(ranks)).select("q", "id", "title", "title_rank")
+
+
+@query(with_tables("SELECT id, CASE WHEN title = 'Title 12' THEN 0 WHEN title = 'Title 1' THEN 0 ELSE 1 END AS number_rank, 1 AS plain_rank FROM docs"))
+def number_priority(c):
+    rank = lambda text: search.number_rank(F.col("title"), text)
+    return c.documents.select("id", rank("ADR-7 in Title 12").alias("number_rank"), rank("ADR-7 and ADR-8 in Title 12").alias("plain_rank"))
 
 
 @query(with_tables("""SELECT a.document_id, a.chunk_index, string_agg(b.content, chr(10) || chr(10) ORDER BY b.chunk_index) AS context
@@ -115,7 +134,8 @@ BOTH = "SELECT src AS a, dst AS b, kind, dst_chunk AS b_chunk, score FROM edges
 
 
 def edges_of(c):
-    return graph.build_edges(c.chunks)
+    """The stored graph."""
+    return c.edges
 
 
 @query(with_tables("SELECT src, dst, matched_src, matched_dst, round(min_distance, 6) AS min_distance FROM stats", **GRAPH))
@@ -125,9 +145,29 @@ def edge_pair_stats(c):
 
 @query(with_tables("SELECT * FROM edges", **GRAPH))
 def build_edges(c):
+    return graph.build_edges(c.chunks)
+
+
+@query(with_tables("SELECT * FROM edges", **GRAPH))
+def stored_edges(c):
     return edges_of(c)
 
 
+@query(with_tables("SELECT src, dst, kind, CASE WHEN src % 10 = 3 THEN score ELSE -1 END AS score FROM edges", **GRAPH))
+def replace_edges(c):
+    """Edges of some documents are built again and replace theirs in an older state of the graph; those that point to them stay."""
+    old = edges_of(c).withColumn("score", F.lit(-1.0))
+    sources = c.documents.where("id % 10 = 3").select(F.col("id").alias("src"))
+    return replace_by_source(old, edges_of(c), sources, "src").select("src", "dst", "kind", "score")
+
+
+@query(with_tables("SELECT document_id, chunk_index, CASE WHEN document_id % 4 = 1 THEN substr(content, 1, 20) ELSE content END AS content FROM chunks WHERE document_id % 4 <> 1 OR chunk_index < 2"))
+def replace_chunks(c):
+    own = c.chunks.select("document_id", "chunk_index", "content")
+    fresh = own.where("chunk_index < 2").withColumn("content", F.substring("content", 1, 20))
+    return replace_by_source(own, fresh, own.where("document_id % 4 = 1"), "document_id")
+
+
 @query(with_tables("SELECT n.k, round(avg(d), 6) AS avg_docs, min(d) AS min_docs, max(d) AS max_docs FROM (SELECT k, src, src_chunk, count(DISTINCT dst) AS d FROM (SELECT unnest([5, 10]) AS k) n JOIN (SELECT *, row_number() OVER (PARTITION BY src, src_chunk ORDER BY distance, dst, dst_chunk) AS r FROM knn) x ON x.r <= n.k GROUP BY ALL) n GROUP BY 1", **GRAPH))
 def edge_neighbour_spread(c):
     from pyspark.sql import Window
@@ -186,8 +226,8 @@ WALK = {
     "resolved": RESOLVED,
     **GRAPH,
     "near": NEAR,
-    "cand": "SELECT n.document_id, d.title, n.chunk_index, n.distance FROM near n JOIN docs d ON d.id = n.document_id JOIN vis ON vis.id = d.id ORDER BY distance, document_id, chunk_index LIMIT 50",
-    "direct": """SELECT document_id, chunk_index, distance, row_number() OVER (ORDER BY CASE WHEN title = 'Title 3' THEN 0 ELSE 1 END, distance, document_id) AS rank
+    "cand": "SELECT n.document_id, n.version, d.title, n.chunk_index, n.distance FROM near n JOIN docs d ON d.id = n.document_id JOIN vis ON vis.id = d.id ORDER BY distance, document_id, chunk_index LIMIT 50",
+    "direct": """SELECT document_id, version, chunk_index, distance, row_number() OVER (ORDER BY CASE WHEN title = 'Title 3' THEN 0 ELSE 1 END, distance, document_id) AS rank
         FROM (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY distance, chunk_index) = 1) QUALIFY rank <= 10""",
     "steps": """SELECT DISTINCT a, b, kind, b_chunk FROM (SELECT src AS a, dst AS b, kind, dst_chunk AS b_chunk FROM edges UNION ALL SELECT dst, src, kind, src_chunk FROM edges
         UNION ALL SELECT src, dst, 'refers', NULL FROM resolved) WHERE b IN (SELECT id FROM vis) AND b NOT IN (SELECT document_id FROM direct)""",
@@ -195,10 +235,10 @@ WALK = {
     "two": "SELECT o.origin, s.b AS document_id, s.b_chunk AS target_chunk, o.distance + 2.0 AS distance, s.kind, 2 AS depth, s.a AS via FROM (SELECT DISTINCT origin, document_id, distance FROM one) o JOIN steps s ON s.a = o.document_id WHERE s.b <> o.origin",
     "reached": f"""SELECT document_id, target_chunk, distance, kind, depth, via FROM (SELECT * FROM one UNION ALL SELECT * FROM two) WHERE document_id <> origin
         QUALIFY row_number() OVER (PARTITION BY document_id, coalesce(target_chunk, -1) ORDER BY distance, {KIND}, depth, via, origin) = 1""",
-    "spot": """SELECT r.document_id, 1 AS version, n.chunk_index, r.depth, r.kind, r.distance FROM reached r JOIN near n ON n.document_id = r.document_id AND (r.target_chunk IS NULL OR r.target_chunk = n.chunk_index)
+    "spot": """SELECT r.document_id, n.version, n.chunk_index, r.depth, r.kind, r.distance FROM reached r JOIN near n ON n.document_id = r.document_id AND (r.target_chunk IS NULL OR r.target_chunk = n.chunk_index)
         QUALIFY row_number() OVER (PARTITION BY r.document_id, r.target_chunk ORDER BY n.distance, n.chunk_index) = 1""",
-    "more": f"""SELECT * FROM (SELECT * FROM spot UNION ALL SELECT v.document_id, v.version, NULL, 1, 'revision', d.distance + 2.0 FROM versions v JOIN direct d ON d.document_id = v.document_id WHERE v.version = 2)
-        QUALIFY row_number() OVER (PARTITION BY document_id, version, chunk_index ORDER BY distance, {KIND}, depth) = 1""",
+    "more": f"""SELECT * FROM (SELECT * FROM spot UNION ALL SELECT c.document_id, v.version, c.chunk_index, 1, 'revision', c.distance + 2.0 FROM cand c JOIN versions v ON v.document_id = c.document_id AND v.version + 1 = c.version)
+        QUALIFY row_number() OVER (PARTITION BY document_id, version, CASE kind WHEN 'revision' THEN -1 ELSE chunk_index END ORDER BY distance, {KIND}, depth, chunk_index) = 1""",
 }
 
 
@@ -215,8 +255,8 @@ def search_expand_edges(c):
 
 
 @query(with_tables(f"""SELECT document_id, version, chunk_index, depth, kind, part_rank, round(1 - distance, 6) AS score, round(distance, 6) AS distance FROM (
-    SELECT document_id, 1 AS version, chunk_index, 0 AS depth, 'direct' AS kind, distance, rank AS part_rank FROM direct UNION ALL
-    SELECT *, row_number() OVER (ORDER BY distance, {KIND}, document_id, version, chunk_index NULLS LAST) AS part_rank FROM more QUALIFY part_rank <= 10)""", **WALK))
+    SELECT document_id, version, chunk_index, 0 AS depth, 'direct' AS kind, distance, rank AS part_rank FROM direct UNION ALL
+    SELECT *, row_number() OVER (ORDER BY distance, {KIND}, depth, document_id, version, chunk_index) AS part_rank FROM more QUALIFY part_rank <= 10)""", **WALK))
 def search_full(c):
     return search.search(c, _request(), c.query_vector, edges_of(c))
 

@@ -78,10 +78,10 @@ def finalize_embeddings(c):
     return made.join(seen, "document_id").select("document_id", "chunks", F.when(F.col("made_from") != F.col("content_hash"), "discarded").otherwise("ready").alias("result"))
 
 
-@query(with_tables("SELECT content_type, count(*) AS wanted FROM docs d WHERE content_type IN ('md', 'docx', 'pptx', 'xlsx') AND deleted_at IS NULL AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.document_id = d.id AND j.kind = 'preview' AND j.status = 'pending') GROUP BY 1"))
+@query(with_tables("SELECT content_type, count(*) AS wanted FROM docs d WHERE content_type IN ('hwp', 'hwpx', 'docx', 'xlsx', 'pptx') AND deleted_at IS NULL AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.document_id = d.id AND j.kind = 'preview' AND j.status = 'pending') GROUP BY 1"))
 def preview_jobs(c):
     waiting = c.jobs.where("kind = 'preview' and status = 'pending'").select(F.col("document_id").alias("id"))
-    due = c.documents.where(F.col("content_type").isin("md", "docx", "pptx", "xlsx") & F.col("deleted_at").isNull()).join(waiting, "id", "left_anti")
+    due = c.documents.where(F.col("content_type").isin("hwp", "hwpx", "docx", "xlsx", "pptx") & F.col("deleted_at").isNull()).join(waiting, "id", "left_anti")
     return due.groupBy("content_type").agg(F.count("*").alias("wanted"))
 
 

@@ -20,9 +20,20 @@ def local_session(cores: int | str = "*", partitions: int = 8, **settings: str)
     return SparkSession.builder.master(f"local[{cores}]").appName("docloom").config(map=conf).getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names; a local session that names none gets one of its own, any other must name one."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="docloom-")
+        spark.conf.set("spark.checkpoint.dir", path)
+    return path.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that the session names; one of its own only where none is named."""
+    """A checkpoint in the folder that the session names."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docloom-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()

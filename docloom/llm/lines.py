@@ -30,7 +30,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,8 +41,8 @@ from docloom.llm.words import ODD, first_of_each, is_space, mix, word_bounds, wo
 PLACES = 18
 #: Text bytes of a step: its arrays stay in the processor's cache.
 STEP_BYTES = 1 << 19
-#: Sets of a shingle up to which all meet at once, and sets of a block beyond.
-SMALL, BLOCK = 16, 512
+#: Sets of a shingle up to which all meet at once; beyond, sets of a block, and those of it that are compared at a time.
+SMALL, BLOCK, TILE = 16, 1024, 256
 #: Lines up to which the places of candidates are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -183,15 +182,14 @@ def _may_match(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], part: t
     return fits & (np.bitwise_count((x ^ y).view(np.uint64)) <= both - 2 * need)
 
 
-_MEET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("token", T.LongType()), T.StructField("digest", T.LongType()), T.StructField("sig", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("block", T.LongType())])
+_MEET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("token", T.LongType()), T.StructField("digest", T.LongType())])
 
 
 def meet(entries: DataFrame, part: tuple[int, int], partitions: int) -> DataFrame:
-    """Candidates (a, b: digests) of entries (token, digest, sig, size, pos, age) in small groups and with the earliest of large ones; the entries of large ones, in blocks."""
+    """Candidates (a, b: digests) of entries (token, digest, sig, size, pos, age) in small groups and with the earliest of large ones; (token, digest) of large ones."""
     dealt = entries.repartitionByRange(partitions, "token", "digest").sortWithinPartitions("token", "digest")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 40
         ahead, last = None, None  # the table before is held back until it is known whether it is the last one
 
         def tables() -> Iterator[tuple[pa.Table, bool, bool]]:
@@ -239,16 +237,13 @@ def meet(entries: DataFrame, part: tuple[int, int], partitions: int) -> DataFram
             order = np.lexsort((digest[at], age[at], own))
             first = at[order[np.cumsum(many) - many]][own] if len(group) else at
             compare(at[at != first], first[at != first])
-            parts = -(-many // BLOCK)
-            blocks = (block + np.cumsum(parts) - parts)[own] + inner // BLOCK
-            block += int(parts.sum())
             a, b = np.concatenate(a), np.concatenate(b)
             if not len(a) and not len(at):
                 continue
             pairs, rows = len(a), len(at)
             wide = lambda x, kind: pa.concat_arrays([pa.nulls(pairs, kind), pa.array(x, kind)])
             less = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(rows, pa.int64())])
-            yield pa.record_batch([less(np.minimum(a, b)), less(np.maximum(a, b)), wide(token[at], pa.int64()), wide(digest[at], pa.int64()), wide(sig[at], pa.int64()), wide(size[at], pa.int32()), wide(pos[at], pa.int32()), wide(blocks, pa.int64())], _MEET.names)
+            yield pa.record_batch([less(np.minimum(a, b)), less(np.maximum(a, b)), wide(token[at], pa.int64()), wide(digest[at], pa.int64())], _MEET.names)
 
     return dealt.mapInArrow(run, _MEET)
 
@@ -309,15 +304,16 @@ def common_tokens(x: list[np.ndarray], y: list[np.ndarray], wide: int = 4096) ->
 
 
 def similar_in_groups(rows: DataFrame, sets: DataFrame, part: tuple[int, int]) -> DataFrame:
-    """(digest): the sets of large groups that are still open and have a similar earlier set, found a pair of blocks at a time."""
-    full = materialize(rows.join(sets, "digest").select("token", "block", "open", "digest", "p.*", "tokens"), "lines-large")
-    spans = full.groupBy("token", F.col("block").alias("yb")).agg(F.min(F.size("tokens")).alias("low"), F.max(F.size("tokens")).alias("high"))
-    asking = full.where("open").groupBy("token", F.col("block").alias("xb")).agg(F.min(F.size("tokens")).alias("least"), F.max(F.size("tokens")).alias("most"))
-    fits = (F.col("low") * part[0] <= F.col("most") * part[1]) & (F.col("least") * part[0] <= F.col("high") * part[1])
-    pairs = asking.join(spans, "token").where(fits).select("token", "xb", "yb")
+    """(digest): the open sets of large groups (token, digest, open, xn, yn) that have a similar earlier set, found a pair of blocks at a time.
+
+    The open sets of a group are dealt to xn blocks and all its sets to yn, so that a set travels as often as the other side has blocks.
+    """
+    full = rows.join(sets, "digest").select("token", "open", "digest", "p.*", "tokens", "xn", "yn")
+    block = lambda n: F.pmod(F.xxhash64("digest", F.lit(3)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     fields = ["digest", "doc", "uid", "line", "tokens"]
-    x = full.where("open").withColumnRenamed("block", "xb").join(pairs, ["token", "xb"]).select("token", "xb", "yb", F.lit(0).alias("side"), *fields)
-    y = full.withColumnRenamed("block", "yb").join(pairs, ["token", "yb"]).select("token", "xb", "yb", F.lit(1).alias("side"), *fields)
+    x = full.where("open").select("token", block("xn").alias("xb"), every("yn").alias("yb"), F.lit(0).alias("side"), *fields)
+    y = full.select("token", every("xn").alias("xb"), block("yn").alias("yb"), F.lit(1).alias("side"), *fields)
     keys = ["token", "xb", "yb"]
     met = x.unionByName(y).repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "side")
 
@@ -334,10 +330,12 @@ def similar_in_groups(rows: DataFrame, sets: DataFrame, part: tuple[int, int]) -
                 n = int(np.searchsorted(own.column("side").to_numpy(), 1))
                 tokens = [x.values.to_numpy() for x in own.column("tokens")]
                 size = np.array([len(x) for x in tokens])
-                common = common_tokens(tokens[:n], tokens[n:])
-                near = common * part[1] >= (size[:n, None] + size[None, n:] - common) * part[0]
-                near &= (digest[:n, None] != digest[None, n:]) & (age[:n, None] > age[None, n:])
-                gone.append(digest[:n][near.any(axis=1)])
+                for i in range(0, n, TILE):
+                    j = min(i + TILE, n)
+                    common = common_tokens(tokens[i:j], tokens[n:])
+                    near = common * part[1] >= (size[i:j, None] + size[None, n:] - common) * part[0]
+                    near &= (digest[i:j, None] != digest[None, n:]) & (age[i:j, None] > age[None, n:])
+                    gone.append(digest[i:j][near.any(axis=1)])
             yield pa.record_batch([pa.array(np.unique(np.concatenate(gone)))], ["digest"])
 
     return materialize(met.mapInArrow(run, "digest long").distinct(), "lines-gone")
@@ -360,11 +358,13 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
     pairs = materialize(met.where("a is not null").select("a", "b").distinct(), "lines-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     gone = similar_pairs(pairs, read_sets(ends, spots, own, shingle, levels, least), part)
-    rows = met.where("token is not null").select("token", "block", "digest").join(gone.withColumn("gone", F.lit(True)), "digest", "left")
-    rows = rows.select("token", "block", "digest", F.col("gone").isNull().alias("open"))
-    many = rows.groupBy("token").agg(F.count_if("open").alias("n"), F.count("*").alias("all")).where("n > 0 and all > 1").select("token")
-    rows = materialize(rows.join(many, "token"), "lines-open")
-    if not rows.isEmpty():
+    rows = met.where("token is not null").select("token", "digest").join(gone.withColumn("gone", F.lit(True)), "digest", "left")
+    rows = materialize(rows.select("token", "digest", F.col("gone").isNull().alias("open")), "lines-rows")
+    many = rows.groupBy("token").agg(F.count_if("open").alias("xn"), F.count("*").alias("yn")).where("xn > 0 and yn > 1")
+    many = materialize(many.select("token", *(F.ceil(F.col(n) / BLOCK).alias(n) for n in ("xn", "yn"))), "lines-many")
+    groups = many.count()
+    if groups:
+        rows = materialize(rows.join(F.broadcast(many) if groups <= BROADCAST_LINES else many, "token"), "lines-open")
         held = read_sets(rows.select("digest").distinct(), spots, own, shingle, levels, least)
         gone = gone.unionByName(similar_in_groups(rows, held, part)).distinct()
     equal = lead.join(firsts.where("n > 1").select("digest", "sig", "size", F.struct("doc", "uid", "line").alias("p")), ["digest", "sig", "size"]).where(place != F.col("p"))

@@ -78,7 +78,7 @@ def test_short_lines_and_repeated_ids(spark):
     check_lines(spark, rows)
 
 
-@pytest.mark.parametrize("small, block", [(2, 4), (16, 512)])
+@pytest.mark.parametrize("small, block", [(2, 4), (16, 1024)])
 def test_large_groups_of_similar_lines(spark, monkeypatch, small, block):
     """Many different lines that share their shingles: more than a small group, and over several blocks and tasks."""
     monkeypatch.setattr(lines, "SMALL", small)

@@ -330,13 +330,13 @@ def similar_in_groups(rows: DataFrame, sets: DataFrame, part: tuple[int, int]) -
                 n = int(np.searchsorted(own.column("side").to_numpy(), 1))
                 tokens = [x.values.to_numpy() for x in own.column("tokens")]
                 size = np.array([len(x) for x in tokens])
-                for i in range(0, n, TILE):
+                for i in range(0, n if n < len(tokens) else 0, TILE):
                     j = min(i + TILE, n)
                     common = common_tokens(tokens[i:j], tokens[n:])
                     near = common * part[1] >= (size[i:j, None] + size[None, n:] - common) * part[0]
                     near &= (digest[i:j, None] != digest[None, n:]) & (age[i:j, None] > age[None, n:])
                     gone.append(digest[i:j][near.any(axis=1)])
-            yield pa.record_batch([pa.array(np.unique(np.concatenate(gone)))], ["digest"])
+            yield pa.record_batch([pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *gone])))], ["digest"])
 
     return materialize(met.mapInArrow(run, "digest long").distinct(), "lines-gone")
 

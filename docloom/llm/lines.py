@@ -376,7 +376,7 @@ def dedup(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), tex
     """docs with the text less its repeated lines, and how many were removed."""
     doc, uid, found = (free_name(docs, n) for n in ("doc", "uid", "lines"))
     gone = repeated_lines(docs, shingle, part, text, key, least).groupBy(F.col("doc").alias(doc), F.col("uid").alias(uid)).agg(F.collect_set("line").alias(found))
-    joined = docs.join(gone, (docs[key] == gone[doc]) & (F.xxhash64(docs[text]) == gone[uid]), "left").drop(doc, uid)
+    joined = docs.join(gone.hint("merge"), (docs[key] == gone[doc]) & (F.xxhash64(docs[text]) == gone[uid]), "left").drop(doc, uid)
     fields = [f for f in docs.schema.fields if f.name.lower() != removed.lower()]
     schema = T.StructType([*fields, T.StructField(removed, T.IntegerType())])
 

@@ -68,5 +68,18 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_best_fit_packing, op4_substring_dedup, op5_embedding_near_dedup, op6_line_dedup, op7_quality_classifier, op8_simhash_near_dedup, op9_exact_top_k, op10_bpe_round_trip)}
 
 
+LINKS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+    link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95),
+    reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+    part AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY 1)
+    SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN part USING (vec_id) LEFT JOIN n USING (vec_id)"""
+BEST_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS z FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+    SELECT query_id, CAST(rank AS INT) AS rank, vec_id, CAST(s AS BIGINT) AS score FROM (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.z, c.z) AS s,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.z, c.z) DESC, c.vec_id) AS rank FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id) WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can say what a query gives; the others are tested against brute force, a round trip, the library or held-out labels."""
+    return {"op5_embedding_near_dedup": LINKS_SQL, "op9_exact_top_k": BEST_SQL}

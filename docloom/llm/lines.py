@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import free_name, materialize, shuffle_partitions, text_slices
+from docloom.llm.common import bucketed, materialize, shuffle_partitions, text_slices
 from docloom.llm.embeddings import group_starts, whole_groups
 from docloom.llm.words import ODD, first_of_each, is_space, mix, word_bounds, word_hashes
 
@@ -43,8 +43,8 @@ PLACES = 18
 STEP_BYTES = 1 << 19
 #: Sets of a shingle up to which all meet at once; beyond, sets of a block, and those of it that are compared at a time.
 SMALL, BLOCK, TILE = 16, 1024, 256
-#: Lines up to which the places of candidates are broadcast; more are joined by shuffle.
-BROADCAST_LINES = 1_000_000
+#: Large groups up to which their block counts are broadcast; more are joined by shuffle.
+BROADCAST_GROUPS = 1_000_000
 
 
 def line_shingles(texts: list[str | None], shingle: int, least: int = 1, wanted: list[list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,18 +114,18 @@ class LineSets:
         return np.bitwise_xor.reduceat(np.uint64(1) << (bits >> np.uint64(58)), self.begin), np.add.reduceat(bits * bits, self.begin)
 
 
-def _levels(docs: DataFrame, shingle: int, text: str, least: int) -> np.ndarray:
+def _levels(own: DataFrame, shingle: int, least: int) -> np.ndarray:
     """For each hash place a level of its count, in 255 steps of an eighth of a doubling."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << PLACES, np.int64)
-        for b in text_slices(batches, text, STEP_BYTES):
-            _, _, code = line_shingles(b.column(text).to_pylist(), shingle, least)
+        for b in text_slices(batches, "body", STEP_BYTES):
+            _, _, code = line_shingles(b.column("body").to_pylist(), shingle, least)
             total += np.bincount((code >> np.uint64(64 - PLACES)).astype(np.int64), minlength=1 << PLACES)
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used])], ["place", "n"])
 
-    counts = docs.select(text).mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    counts = own.select("body").mapInArrow(run, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     level = F.least(F.lit(255), F.floor(8 * F.log2("n"))).cast("int").alias("level")
     found = counts.select("place", level).where("level > 0").toArrow()  # 2**PLACES rows at most, whatever the data
     levels = np.zeros(1 << PLACES, np.uint8)
@@ -248,11 +248,6 @@ def meet(entries: DataFrame, part: tuple[int, int], partitions: int) -> DataFram
     return dealt.mapInArrow(run, _MEET)
 
 
-def _same_row(own: DataFrame, found: DataFrame, rows: int) -> DataFrame:
-    """own (doc, uid, ...) with found of the same row; found is broadcast up to BROADCAST_LINES, else shuffled."""
-    return own.join(F.broadcast(found) if rows <= BROADCAST_LINES else found, ["doc", "uid"])
-
-
 def read_sets(digests: DataFrame, firsts: DataFrame, own: DataFrame, shingle: int, levels, least: int) -> DataFrame:
     """(digest, p: its first place, tokens) of the sets with these digests, read from the documents that hold the first places."""
     spots = materialize(digests.join(firsts, "digest"), "lines-spots")
@@ -266,7 +261,7 @@ def read_sets(digests: DataFrame, firsts: DataFrame, own: DataFrame, shingle: in
             rows = pa.array(s.row)
             yield pa.record_batch([b.column("doc").take(rows), b.column("uid").take(rows), pa.array(s.line, pa.int32()), tokens], schema.names)
 
-    read = _same_row(own, lists, spots.count()).mapInArrow(run, schema).dropDuplicates(["doc", "uid", "line"])
+    read = own.join(lists, ["doc", "uid"]).mapInArrow(run, schema).dropDuplicates(["doc", "uid", "line"])
     return materialize(read.join(spots, ["doc", "uid", "line"]).select("digest", F.struct("doc", "uid", "line").alias("p"), "tokens"), "lines-sets")
 
 
@@ -341,17 +336,17 @@ def similar_in_groups(rows: DataFrame, sets: DataFrame, part: tuple[int, int]) -
     return materialize(met.mapInArrow(run, "digest long").distinct(), "lines-gone")
 
 
-def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id", least: int = 1) -> DataFrame:
-    """(doc, uid, line) of the lines to remove; uid is the 64-bit hash of the row's text."""
-    spark = docs.sparkSession
-    levels = spark.sparkContext.broadcast(_levels(docs, shingle, text, least))
-    own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("uid"), F.col(text).alias("body"))
-    sets = materialize(line_sets(own, docs.schema[key].dataType, shingle, part, levels, least), "lines-read")
+def repeated_lines(own: DataFrame, shingle: int, part: tuple[int, int], least: int) -> DataFrame:
+    """(doc, uid, line) of the lines to remove from own (doc, uid, body)."""
+    spark, kind = own.sparkSession, own.schema["doc"].dataType
+    levels = spark.sparkContext.broadcast(_levels(own, shingle, least))
+    own = own.where("doc is not null")
+    sets = materialize(line_sets(own, kind, shingle, part, levels, least), "lines-read")
     lead = sets.where("not again")
     place = F.struct("doc", "uid", "line")
     firsts = lead.groupBy("digest", "sig", "size").agg(F.min(place).alias("p"), F.count("*").alias("n"))
     firsts = materialize(firsts.select("digest", "sig", "size", "p.*", "n"), "lines-firsts")
-    age = F.xxhash64("doc") if not isinstance(docs.schema[key].dataType, T.IntegralType) else F.col("doc").cast("long")
+    age = F.xxhash64("doc") if not isinstance(kind, T.IntegralType) else F.col("doc").cast("long")
     entries = lead.select(F.posexplode("prefix").alias("pos", "token"), "digest", "sig", "size", age.alias("age"))
     met = materialize(meet(entries, part, shuffle_partitions(spark)), "lines-met")
     spots = firsts.select("digest", "doc", "uid", "line")
@@ -364,7 +359,7 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
     many = materialize(many.select("token", *(F.ceil(F.col(n) / BLOCK).alias(n) for n in ("xn", "yn"))), "lines-many")
     groups = many.count()
     if groups:
-        rows = materialize(rows.join(F.broadcast(many) if groups <= BROADCAST_LINES else many, "token"), "lines-open")
+        rows = materialize(rows.join(F.broadcast(many) if groups <= BROADCAST_GROUPS else many, "token"), "lines-open")
         held = read_sets(rows.select("digest").distinct(), spots, own, shingle, levels, least)
         gone = gone.unionByName(similar_in_groups(rows, held, part)).distinct()
     equal = lead.join(firsts.where("n > 1").select("digest", "sig", "size", F.struct("doc", "uid", "line").alias("p")), ["digest", "sig", "size"]).where(place != F.col("p"))
@@ -373,18 +368,22 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
 
 
 def dedup(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4, 5), text: str = "text", key: str = "doc_id", least: int = 1, removed: str = "removed_lines") -> DataFrame:
-    """docs with the text less its repeated lines, and how many were removed."""
-    doc, uid, found = (free_name(docs, n) for n in ("doc", "uid", "lines"))
-    gone = repeated_lines(docs, shingle, part, text, key, least).groupBy(F.col("doc").alias(doc), F.col("uid").alias(uid)).agg(F.collect_set("line").alias(found))
-    joined = docs.join(gone.hint("merge"), (docs[key] == gone[doc]) & (F.xxhash64(docs[text]) == gone[uid]), "left").drop(doc, uid)
-    fields = [f for f in docs.schema.fields if f.name.lower() != removed.lower()]
-    schema = T.StructType([*fields, T.StructField(removed, T.IntegerType())])
+    """docs with the text less its repeated lines, and how many were removed.
+
+    The rows are written once, dealt by id and text hash, which no later run of their plan can change; their texts are not shuffled again.
+    """
+    fields = {f"c{i}": f for i, f in enumerate(docs.schema.fields) if f.name.lower() != removed.lower()}
+    body = next(c for c, f in fields.items() if f.name == text)
+    held = bucketed(docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("uid"), *(F.col(f"`{f.name}`").alias(c) for c, f in fields.items())), "lines_rows", "doc", "uid")
+    gone = repeated_lines(held.select("doc", "uid", F.col(body).alias("body")), shingle, part, least).groupBy("doc", "uid").agg(F.collect_set("line").alias("lines"))
+    joined = held.join(gone.hint("merge"), ["doc", "uid"], "left")
+    schema = T.StructType([*fields.values(), T.StructField(removed, T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in text_slices(batches, text):
-            lost = [set(x or ()) for x in b.column(found).to_pylist()]
-            texts = ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in f) if t and f else t for t, f in zip(b.column(text).to_pylist(), lost, strict=True)]
-            columns = [pa.array(texts, pa.string()) if f.name == text else b.column(f.name) for f in fields]
+        for b in text_slices(batches, body):
+            lost = [set(x or ()) for x in b.column("lines").to_pylist()]
+            texts = ["\n".join(x for i, x in enumerate(t.split("\n")) if i not in f) if t and f else t for t, f in zip(b.column(body).to_pylist(), lost, strict=True)]
+            columns = [pa.array(texts, pa.string()) if c == body else b.column(c) for c in fields]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(map(len, lost), pa.int32())], names=schema.names)
 
     return joined.mapInArrow(run, schema)

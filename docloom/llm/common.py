@@ -42,15 +42,6 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, label: str, *keys: str) -> DataFrame:
-    """materialize, with the rows in one bucket by keys for each shuffle partition, so that joins on the keys move the other side alone."""
-    spark = df.sparkSession
-    name, buckets = f"{label}_{uuid.uuid4().hex}", shuffle_partitions(spark)
-    dealt = df.repartition(buckets, *keys)
-    dealt.write.format("parquet").bucketBy(buckets, *keys).option("path", f"{scratch_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -135,3 +135,18 @@ def retrieval_metrics(ranked: DataFrame, relevant: DataFrame, k: int = 5) -> Dat
         F.count("*").alias("queries"), F.round(F.avg(F.col("found") / F.col("n")), 6).alias("recall_at_k"), F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
         F.count_if(F.col("first") == 1).alias("top1"), F.count_if(F.col("first").isNull()).alias("missed"),
     )
+
+
+#: The name of documents without a cluster and of clusters beyond the cap.
+UNCATEGORIZED, OTHER = "미분류", "기타"
+
+
+def fold_clusters(assignment: DataFrame, most: int = 20) -> DataFrame:
+    """(node, name) with the largest named clusters kept and the others folded into one, so that there are ``most`` names; the uncategorised stay apart."""
+    sizes = assignment.groupBy("name").agg(F.count("*").alias("size"))
+    spare = F.col("name") == UNCATEGORIZED
+    total = sizes.agg(F.count("*").alias("clusters"), F.count_if(spare).alias("reserved"))
+    top = sizes.where(~spare).orderBy(F.desc("size"), "name").limit(most)
+    rank = F.row_number().over(Window.orderBy(F.desc("size"), "name"))  # over ``most`` rows
+    kept = top.withColumn("rank", rank).join(F.broadcast(total)).where(f"clusters <= {most} or rank <= {most} - reserved - 1").select("name", F.lit(True).alias("kept"))
+    return assignment.join(F.broadcast(kept), "name", "left").select("node", F.when(spare | F.col("kept"), F.col("name")).otherwise(OTHER).alias("name"))

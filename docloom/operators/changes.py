@@ -106,3 +106,35 @@ def write_results(docs: DataFrame, writes: DataFrame) -> DataFrame:
     met = writes.join(docs.select(F.col("id").alias("document_id"), F.col("version").alias("now"), F.col("content_hash").alias("hash"), F.coalesce(blank, F.lit(True)).alias("blank")), "document_id", "left")
     result = F.when(F.col("now").isNull(), "missing").when(F.col("now") != F.col("client_version"), "conflict").when(F.col("hash") == F.col("content_hash"), "unchanged").otherwise("applied")
     return met.select("document_id", result.alias("result"), F.when((result == "applied") & ~F.col("blank"), F.col("now") + 1).otherwise(F.col("now")).alias("version"))
+
+
+def version_authors(versions: DataFrame) -> DataFrame:
+    """versions (…, source, actor, via) with author and author_via: texts of the extraction belong to the worker, others to who acts."""
+    read = F.coalesce(F.col("source") == "extraction", F.lit(False))
+    return versions.withColumns({"author": F.when(~read, F.col("actor")), "author_via": F.when(read, "worker").otherwise(F.coalesce("via", F.lit("direct")))}).drop("source", "actor", "via")
+
+
+def derive_extract_jobs(before: DataFrame, after: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(document_id, kind) extract jobs of documents that came in waiting for extraction or turned to it; one pending for each."""
+    was = before.select("id", F.col("extraction_status").alias("was"))
+    asked = after.join(was, "id", "left").where((F.col("extraction_status") == "pending") & ~F.col("was").eqNullSafe(F.lit("pending")))
+    waiting = jobs.where("status = 'pending' and kind = 'extract'").select("document_id")
+    return asked.select(F.col("id").alias("document_id"), F.lit("extract").alias("kind")).join(waiting, "document_id", "left_anti")
+
+
+def restore_results(docs: DataFrame, versions: DataFrame, asks: DataFrame) -> DataFrame:
+    """(document_id, result, version) of restoring asks (document_id, wanted, client_version): the old text is written as a new version; unextracted documents refuse."""
+    past = versions.select("document_id", F.col("version").alias("wanted"), F.sha2(F.encode("content", "UTF-8"), 256).alias("content_hash"))
+    ready = docs.select(F.col("id").alias("document_id"), "extraction_status")
+    met = asks.join(ready, "document_id").join(past, ["document_id", "wanted"], "left")
+    fit = met.where("extraction_status = 'done' and content_hash is not null")
+    refused = met.where("extraction_status <> 'done' or content_hash is null").select("document_id", F.when(F.col("extraction_status") != "done", "not_extracted").otherwise("no_version").alias("result"))
+    refused = refused.join(docs.select(F.col("id").alias("document_id"), "version"), "document_id")
+    return write_results(docs, fit.select("document_id", "client_version", "content_hash")).unionByName(refused)
+
+
+def reembed(docs: DataFrame, jobs: DataFrame) -> DataFrame:
+    """(document_id, result) of asking for new embeddings: a new job, the one that waits already, or a refusal where there is no text yet."""
+    waiting = jobs.where("status = 'pending' and kind = 'embed'").select(F.col("document_id").alias("id"), F.lit(True).alias("waits")).distinct()
+    state = F.when(F.col("extraction_status") == "failed", "recognition_failed").when(F.col("extraction_status") == "pending", "extracting").when(F.col("waits"), "waiting").otherwise("queued")
+    return docs.join(waiting, "id", "left").select(F.col("id").alias("document_id"), state.alias("result"))

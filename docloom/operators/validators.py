@@ -32,3 +32,29 @@ def violations(corpus, edges: DataFrame, most_chars: int = 500_000) -> DataFrame
         one("chunk_without_document", corpus.chunks.join(ids, "document_id", "left_anti")),
     ]
     return reduce(DataFrame.unionByName, found)
+
+
+def preview_violations(previews: DataFrame) -> DataFrame:
+    """A preview is ready exactly when it has a PDF."""
+    return previews.where("(status = 'ready') <> (pdf_sha256 is not null)")
+
+
+def department_violations(users: DataFrame, members: DataFrame, folders: DataFrame) -> dict[str, DataFrame]:
+    """Users (user_id, group_id) of a department without being its member; departments with several folders; department folders (id, parent_id, group_id) below the top."""
+    named = folders.where("group_id is not null")
+    return {
+        "department_without_membership": users.where("group_id is not null").join(members, ["user_id", "group_id"], "left_anti"),
+        "department_with_folders": named.groupBy("group_id").count().where("count > 1"),
+        "department_folder_below_top": named.where("parent_id is not null"),
+    }
+
+
+def changed_rows(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
+    """(key): rows of an append-only table that are gone or differ in a later snapshot."""
+    whole = lambda df, name: df.select(key, F.xxhash64(*before.columns).alias(name))
+    return whole(before, "was").join(whole(after, "now"), key, "left").where(~F.col("was").eqNullSafe(F.col("now"))).select(key)
+
+
+def outage_violations(outages: DataFrame) -> DataFrame:
+    """The last good answer comes before the first failure, and that before the recovery."""
+    return outages.where("not (last_ok_at <= first_failure_at and first_failure_at <= recovered_at)")

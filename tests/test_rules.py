@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import analytics, listing, validators
+from docloom.operators import analytics, listing, validators, verification
 
 
 def test_natural_order(spark):
@@ -39,3 +39,12 @@ def test_few_clusters_stay(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, analytics.UNCATEGORIZED)], "node int, name string")
     assert {r.node: r.name for r in analytics.fold_clusters(df).collect()} == {1: "a", 2: "b", 3: analytics.UNCATEGORIZED}
     assert {r.node: r.name for r in analytics.fold_clusters(df, 2).collect()} == {1: analytics.OTHER, 2: analytics.OTHER, 3: analytics.UNCATEGORIZED}
+
+
+def test_recovery_point(spark):
+    at = lambda s: F.timestamp_seconds(F.lit(s))
+    rows = [("a", "h", 1), ("b", "h", 2), ("c", "h", 3), ("d", "h", 10), ("e", "h", 15), ("f", "h", 20), ("g", "h", 25)]
+    up = spark.createDataFrame(rows, "title string, hash string, t int").select("title", "hash", F.timestamp_seconds("t").alias("at"))
+    kept = spark.createDataFrame([("a", "h"), ("a", "h"), ("b", "x"), ("d", "h"), ("f", "h")], "title string, hash string")
+    out = verification.recovery_point(up, kept, at(10), at(20)).first().asDict()
+    assert out == {"must": 3, "lost": 1, "mismatched": 1, "duplicates": 1, "ambiguous": 2, "ambiguous_present": 1, "after": 2, "after_present": 1, "gap_micros": 8_000_000}

@@ -8,7 +8,8 @@ not that one stays itself.
 1. Shingles are counted over all documents in 2**18 hash places; the order of shingles is by that count, then by hash. A
    place's count is at least the shingle's own, and any common order keeps the join exact.
 2. Every line is read once into its set. Of the equal sets of one batch the first place alone goes on, so a line that very many
-   documents share reaches the shuffle once a batch. Equal sets (two 64-bit digests and the size) then meet by a grouped minimum.
+   documents share reaches the shuffle once a batch. Equal sets (two 64-bit digests and the size) then meet in a window by place:
+   the first stands for all, the others go.
 3. A set's prefix holds its ``n - ceil(part * n) + 1`` rarest shingles; similar sets share one. Prefix entries are dealt by
    range of (shingle, set), so that a hot shingle spreads over tasks. Length filter, positional filter and a 64-bit parity signature (its
    differing bits never exceed the shingles that differ) leave the candidates. In groups of up to ``SMALL`` sets all meet; in larger ones,
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -348,13 +349,14 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("uid"), F.col(text).alias("body"))
     sets = materialize(line_sets(own, docs.schema[key].dataType, shingle, part, levels, least), "lines-read")
     lead = sets.where("not again")
-    place = F.struct("doc", "uid", "line")
-    firsts = lead.groupBy("digest", "sig", "size").agg(F.min(place).alias("p"), F.count("*").alias("n"))
-    firsts = materialize(firsts.select("digest", "sig", "size", "p.*", "n"), "lines-firsts")
+    same = Window.partitionBy("digest", "sig", "size").orderBy("doc", "uid", "line")
+    places = lead.select("doc", "uid", "line", "digest", (F.row_number().over(same) == 1).alias("first"), (F.rank().over(same) > 1).alias("gone"))
+    places = places.where("first or gone").unionByName(sets.where("again").select("doc", "uid", "line", "digest", F.lit(False).alias("first"), F.lit(True).alias("gone")))
+    places = materialize(places, "lines-places")
     age = F.xxhash64("doc") if not isinstance(docs.schema[key].dataType, T.IntegralType) else F.col("doc").cast("long")
     entries = lead.select(F.posexplode("prefix").alias("pos", "token"), "digest", "sig", "size", age.alias("age"))
     met = materialize(meet(entries, part, shuffle_partitions(spark)), "lines-met")
-    spots = firsts.select("digest", "doc", "uid", "line")
+    spots = places.where("first").select("digest", "doc", "uid", "line")
     pairs = materialize(met.where("a is not null").select("a", "b").distinct(), "lines-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
     gone = similar_pairs(pairs, read_sets(ends, spots, own, shingle, levels, least), part)
@@ -367,8 +369,7 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
         rows = materialize(rows.join(F.broadcast(many) if groups <= BROADCAST_LINES else many, "token"), "lines-open")
         held = read_sets(rows.select("digest").distinct(), spots, own, shingle, levels, least)
         gone = gone.unionByName(similar_in_groups(rows, held, part)).distinct()
-    equal = lead.join(firsts.where("n > 1").select("digest", "sig", "size", F.struct("doc", "uid", "line").alias("p")), ["digest", "sig", "size"]).where(place != F.col("p"))
-    out = sets.where("again").select("doc", "uid", "line").unionByName(equal.select("doc", "uid", "line"))
+    out = places.where("gone").select("doc", "uid", "line")
     return out.unionByName(gone.join(spots, "digest").select("doc", "uid", "line"))
 
 

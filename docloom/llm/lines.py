@@ -255,20 +255,20 @@ def _same_row(own: DataFrame, found: DataFrame, rows: int) -> DataFrame:
 
 
 def read_sets(digests: DataFrame, firsts: DataFrame, own: DataFrame, shingle: int, levels, least: int) -> DataFrame:
-    """(digest, p: its first place, tokens) of the sets with these digests, read from the documents that hold the first places."""
+    """(digest, p: its first place, tokens) of the sets with these digests, read from the documents that hold the first places; a row a digest."""
     spots = materialize(digests.join(firsts, "digest"), "lines-spots")
     lists = spots.groupBy("doc", "uid").agg(F.sort_array(F.collect_set("line")).alias("lines"))
-    schema = T.StructType([own.schema["doc"], T.StructField("uid", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
+    schema = T.StructType([own.schema["doc"], T.StructField("uid", T.LongType()), T.StructField("line", T.IntegerType()), T.StructField("digest", T.LongType()), T.StructField("tokens", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, "body", STEP_BYTES):
             s = LineSets(b.column("body").to_pylist(), shingle, levels.value, least, b.column("lines").to_pylist())
             tokens = pa.ListArray.from_arrays(pa.array(np.append(s.begin, len(s.token)), pa.int32()), pa.array(s.token.view(np.int64)))
             rows = pa.array(s.row)
-            yield pa.record_batch([b.column("doc").take(rows), b.column("uid").take(rows), pa.array(s.line, pa.int32()), tokens], schema.names)
+            yield pa.record_batch([b.column("doc").take(rows), b.column("uid").take(rows), pa.array(s.line, pa.int32()), pa.array(s.marks()[1].view(np.int64)), tokens], schema.names)
 
-    read = _same_row(own, lists, spots.count()).mapInArrow(run, schema).dropDuplicates(["doc", "uid", "line"])
-    return materialize(read.join(spots, ["doc", "uid", "line"]).select("digest", F.struct("doc", "uid", "line").alias("p"), "tokens"), "lines-sets")
+    read = _same_row(own, lists, spots.count()).mapInArrow(run, schema)
+    return read.select("digest", F.struct("doc", "uid", "line").alias("p"), "tokens").dropDuplicates(["digest"])
 
 
 def similar_pairs(pairs: DataFrame, sets: DataFrame, part: tuple[int, int]) -> DataFrame:
@@ -307,14 +307,16 @@ def common_tokens(x: list[np.ndarray], y: list[np.ndarray], wide: int = 4096) ->
 def similar_in_groups(rows: DataFrame, sets: DataFrame, part: tuple[int, int]) -> DataFrame:
     """(digest): the open sets of large groups (token, digest, open, xn, yn) that have a similar earlier set, found a pair of blocks at a time.
 
-    The open sets of a group are dealt to xn blocks and all its sets to yn, so that a set travels as often as the other side has blocks.
+    The open sets of a group are dealt to xn blocks and all its sets to yn, so that a set travels as often as the other side has blocks;
+    where both are one, an open set travels once and is on both sides.
     """
     full = rows.join(sets, "digest").select("token", "open", "digest", "p.*", "tokens", "xn", "yn")
     block = lambda n: F.pmod(F.xxhash64("digest", F.lit(3)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
     fields = ["digest", "doc", "uid", "line", "tokens"]
-    x = full.where("open").select("token", block("xn").alias("xb"), every("yn").alias("yb"), F.lit(0).alias("side"), *fields)
-    y = full.select("token", every("xn").alias("xb"), block("yn").alias("yb"), F.lit(1).alias("side"), *fields)
+    full = full.withColumn("alone", F.expr("xn = 1 and yn = 1"))
+    x = full.where("open").select("token", block("xn").alias("xb"), every("yn").alias("yb"), F.lit(0).alias("side"), "alone", *fields)
+    y = full.where("not (open and alone)").select("token", every("xn").alias("xb"), block("yn").alias("yb"), F.lit(1).alias("side"), "alone", *fields)
     keys = ["token", "xb", "yb"]
     met = x.unionByName(y).repartition(shuffle_partitions(rows.sparkSession), *keys).sortWithinPartitions(*keys, "side")
 
@@ -331,11 +333,12 @@ def similar_in_groups(rows: DataFrame, sets: DataFrame, part: tuple[int, int]) -
                 n = int(np.searchsorted(own.column("side").to_numpy(), 1))
                 tokens = [x.values.to_numpy() for x in own.column("tokens")]
                 size = np.array([len(x) for x in tokens])
-                for i in range(0, n if n < len(tokens) else 0, TILE):
+                y = 0 if own.column("alone")[0].as_py() else n  # where the other side begins
+                for i in range(0, n if y < len(tokens) else 0, TILE):
                     j = min(i + TILE, n)
-                    common = common_tokens(tokens[i:j], tokens[n:])
-                    near = common * part[1] >= (size[i:j, None] + size[None, n:] - common) * part[0]
-                    near &= (digest[i:j, None] != digest[None, n:]) & (age[i:j, None] > age[None, n:])
+                    common = common_tokens(tokens[i:j], tokens[y:])
+                    near = common * part[1] >= (size[i:j, None] + size[None, y:] - common) * part[0]
+                    near &= (digest[i:j, None] != digest[None, y:]) & (age[i:j, None] > age[None, y:])
                     gone.append(digest[i:j][near.any(axis=1)])
             yield pa.record_batch([pa.array(np.unique(np.concatenate([np.zeros(0, np.int64), *gone])))], ["digest"])
 
@@ -367,7 +370,7 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
     groups = many.count()
     if groups:
         rows = materialize(rows.join(F.broadcast(many) if groups <= BROADCAST_LINES else many, "token"), "lines-open")
-        held = read_sets(rows.select("digest").distinct(), spots, own, shingle, levels, least)
+        held = materialize(read_sets(rows.select("digest").distinct(), spots, own, shingle, levels, least), "lines-sets")
         gone = gone.unionByName(similar_in_groups(rows, held, part)).distinct()
     out = places.where("gone").select("doc", "uid", "line")
     return out.unionByName(gone.join(spots, "digest").select("doc", "uid", "line"))

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import free_name, materialize, shuffle_partitions, text_slices
+from docloom.llm.common import discard, free_name, materialize, scratch_path, shuffle_partitions, text_slices
 from docloom.llm.embeddings import group_starts, whole_groups
 from docloom.llm.words import ODD, first_of_each, is_space, mix, word_bounds, word_hashes
 
@@ -350,7 +350,7 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
     spark = docs.sparkSession
     levels = spark.sparkContext.broadcast(_levels(docs, shingle, text, least))
     own = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("doc"), F.xxhash64(text).alias("uid"), F.col(text).alias("body"))
-    sets = materialize(line_sets(own, docs.schema[key].dataType, shingle, part, levels, least), "lines-read")
+    sets = materialize(line_sets(own, docs.schema[key].dataType, shingle, part, levels, least), "lines-read", read := scratch_path(spark, "lines-read"))
     lead = sets.where("not again")
     same = Window.partitionBy("digest", "sig", "size").orderBy("doc", "uid", "line")
     places = lead.select("doc", "uid", "line", "digest", (F.row_number().over(same) == 1).alias("first"), (F.rank().over(same) > 1).alias("gone"))
@@ -359,6 +359,7 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
     age = F.xxhash64("doc") if not isinstance(docs.schema[key].dataType, T.IntegralType) else F.col("doc").cast("long")
     entries = lead.select(F.posexplode("prefix").alias("pos", "token"), "digest", "sig", "size", age.alias("age"))
     met = materialize(meet(entries, part, shuffle_partitions(spark)), "lines-met")
+    discard(spark, read)
     spots = places.where("first").select("digest", "doc", "uid", "line")
     pairs = materialize(met.where("a is not null").select("a", "b").distinct(), "lines-pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import bpe, chat, embeddings, html_text, lines, packing, quality, simhash, substring, topk
+from docloom.llm import bpe, chat, embeddings, html_text, lines, packing, prefix_trie, quality, secrets, simhash, spelling, substring, topk
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -64,8 +64,21 @@ def op10_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_best_fit_packing, op4_substring_dedup, op5_embedding_near_dedup, op6_line_dedup, op7_quality_classifier, op8_simhash_near_dedup, op9_exact_top_k, op10_bpe_round_trip)}
+    ten = (op1_html_extraction, op2_chat_formatting, op3_best_fit_packing, op4_substring_dedup, op5_embedding_near_dedup, op6_line_dedup, op7_quality_classifier, op8_simhash_near_dedup, op9_exact_top_k, op10_bpe_round_trip)
+    return {f.__name__: f for f in (*ten, op11_spelling_variants, op12_prefix_trie, op13_secret_scan)}
 
 
 LINKS_SQL = """WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),

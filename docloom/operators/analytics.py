@@ -76,20 +76,29 @@ def duplicates(corpus, edges: DataFrame, principal: str | None, top: int = 10) -
     return both.withColumn("rank", rank).where(F.col("rank") <= top).join(totals, "match_type").select("match_type", "a", "b", "score", "rank", "total")
 
 
-def cluster_names(corpus, assignment: DataFrame) -> DataFrame:
-    """(community, name): the tag that most sets a community apart (inside less outside count), else its smallest title.
+def cluster_names(docs: DataFrame, assignment: DataFrame, edges: DataFrame) -> DataFrame:
+    """(community, kind, name, size) of communities (node, community) of docs (id, title, tags).
 
-    Names used twice get a number, the larger community first.
+    The name is the tag that most sets a community apart (its count inside less that in all other documents, if above none: tagged), else the
+    title of the document with the most partners inside (community). A name of a bucket tells where it comes from; names used twice get a number,
+    the larger community first. edges: (src, dst), a pair of documents counts once.
     """
-    tags = corpus.documents.join(assignment, F.col("id") == F.col("node")).select("community", F.explode("tags").alias("tag"))
-    inside = tags.groupBy("community", "tag").agg(F.count("*").alias("inside"))
-    total = tags.groupBy("tag").agg(F.count("*").alias("total"))
+    own = docs.select(F.col("id").alias("node"), "title", "tags").join(assignment, "node")
+    total = docs.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("total"))
+    inside = own.select("community", F.explode("tags").alias("tag")).groupBy("community", "tag").agg(F.count("*").alias("inside"))
     scored = inside.join(total, "tag").withColumn("score", 2 * F.col("inside") - F.col("total")).where("score > 0")
-    best = best_per(scored, ["community"], F.desc("score"), "tag").select("community", "tag")
-    titles = corpus.documents.join(assignment, F.col("id") == F.col("node")).groupBy("community").agg(F.min("title").alias("title"), F.count("*").alias("size"))
-    named = titles.join(best, "community", "left").withColumn("base", F.coalesce("tag", "title"))
-    number = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("size"), "title", "community"))
-    return named.withColumn("n", number).select("community", F.when(F.col("n") > 1, F.concat("base", F.lit(" "), "n")).otherwise(F.col("base")).alias("name"), "size")
+    best = scored.groupBy("community").agg(F.min(F.struct((-F.col("score")).alias("s"), "tag")).getField("tag").alias("tag"))
+    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).where("a <> b").distinct()
+    met = pairs.join(assignment.toDF("a", "ca"), "a").join(assignment.toDF("b", "cb"), "b").where("ca = cb")
+    degree = met.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
+    central = F.min(F.struct((-F.coalesce("degree", F.lit(0))).alias("d"), "title", "node")).getField("title")
+    titles = own.join(degree, "node", "left").groupBy("community").agg(central.alias("central"), F.min("title").alias("first"), F.count("*").alias("size"))
+    named = titles.join(best, "community", "left").withColumn("label", F.coalesce("tag", "central"))
+    origin = F.when(F.col("tag").isNotNull(), " (태그)").otherwise(" (문서)")
+    named = named.withColumn("label", F.when(F.col("label").isin(UNCATEGORIZED, OTHER), F.concat("label", origin)).otherwise(F.col("label")))
+    number = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("size"), "first", "community"))
+    name = F.when(F.col("n") > 1, F.concat("label", F.lit(" ("), "n", F.lit(")"))).otherwise(F.col("label"))
+    return named.withColumn("n", number).select("community", F.when(F.col("tag").isNotNull(), "tagged").otherwise("community").alias("kind"), name.alias("name"), "size")
 
 
 def cluster_connections(assignment: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The document similarity graph: building its edges, walking them, and communities."""
+"""The document similarity graph: building its edges and walking them."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators.vectors import neighbours
-from docloom.session import cut_lineage
 
 EDGES_PER_DOCUMENT = 5
 OVERLAP_SHARE, OVERLAP_LEAST = 0.8, 3
@@ -42,34 +41,3 @@ def both_ways(edges: DataFrame) -> DataFrame:
     """(a, b, kind, b_chunk, score): every edge from each of its ends."""
     out = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), "kind", F.col("dst_chunk").alias("b_chunk"), "score")
     return out.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "kind", F.col("src_chunk").alias("b_chunk"), "score"))
-
-
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """(node, community) by seeded label moves that raise modularity, each round one set of joins.
-
-    Every node takes the community with the greatest modularity gain, ties to the smallest id; odd and even rounds move the halves of
-    a hash of the node, so that neighbours do not trade places for ever. Rounds end when nothing moves.
-    """
-    pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    pairs = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
-    degree = pairs.groupBy("a").agg(F.count("*").alias("d"))
-    label = nodes.select(F.col("id").alias("node")).join(degree, F.col("node") == F.col("a"), "left").select("node", F.coalesce("d", F.lit(0)).alias("d"), F.col("node").alias("community"))
-    total = pairs.count() or 1
-    for i in range(rounds):
-        weight = label.groupBy("community").agg(F.sum("d").alias("tot"))
-        ends = pairs.join(label.select(F.col("node").alias("b"), F.col("community").alias("to")), "b").groupBy("a", "to").agg(F.count("*").alias("k"))
-        here = label.select("node", "d", F.col("community").alias("now"))
-        choice = ends.join(here, F.col("a") == F.col("node")).join(weight.withColumnRenamed("community", "to"), "to")
-        inside = F.when(F.col("to") == F.col("now"), F.col("d")).otherwise(0)
-        gain = F.col("k") - F.col("d") * (F.col("tot") - inside) / F.lit(float(total))
-        best = choice.withColumn("gain", F.round(gain, 9)).groupBy("node").agg(F.min_by("to", F.struct(-F.col("gain"), F.col("to"))).alias("to"), F.max(F.when(F.col("to") == F.col("now"), F.round(gain, 9))).alias("stay"), F.max("gain").alias("top"))
-        turn = F.pmod(F.xxhash64("node", F.lit(42)), F.lit(2)) == i % 2
-        moved = label.join(best, "node", "left").select("node", "d", F.when(turn & (F.col("top") > F.coalesce("stay", F.lit(0.0))), F.col("to")).otherwise(F.col("community")).alias("community"), F.col("community").alias("before"))
-        moved = cut_lineage(moved)
-        changed = moved.where("community <> before").limit(1).count()
-        label = moved.drop("before")
-        if not changed and i % 2:
-            break
-    pairs.unpersist()
-    smallest = label.groupBy("community").agg(F.min("node").alias("least"))
-    return label.join(smallest, "community").select("node", F.col("least").alias("community"))

@@ -7,55 +7,54 @@ from pyspark.sql import functions as F
 
 from docloom.session import cut_lineage
 
+#: Levels of folders, beyond which a recursion counts as a circle and raises an error.
+MOST_LEVELS = 64
 
-def ancestors(folders: DataFrame, most_levels: int = 64) -> DataFrame:
-    """(folder_id, ancestor_id, depth) of every folder and all above it; depth 0 is the folder itself.
+ANCESTORS = f"""WITH RECURSIVE up(folder_id, ancestor_id, depth) MAX RECURSION LEVEL {MOST_LEVELS} AS (
+    SELECT id, id, 0 FROM {{folders}}
+    UNION ALL SELECT up.folder_id, f.parent_id, up.depth + 1 FROM up JOIN {{folders}} f ON f.id = up.ancestor_id WHERE f.parent_id IS NOT NULL)
+    SELECT folder_id, ancestor_id, depth FROM up"""
+BELOW = f"""WITH RECURSIVE down(folder_id) MAX RECURSION LEVEL {MOST_LEVELS} AS (
+    SELECT folder_id FROM {{start}}
+    UNION ALL SELECT f.id FROM down JOIN {{folders}} f ON f.parent_id = down.folder_id)
+    SELECT DISTINCT folder_id FROM down"""
+GRANTED = "(g.user_id = :user OR g.group_id IN (SELECT group_id FROM {members} WHERE user_id = :user))"
+OPEN_ROOTS = f"""SELECT id AS folder_id FROM {{folders}} WHERE parent_id IS NULL
+    AND (visibility = 'public' OR created_by = :user OR id IN (SELECT g.folder_id FROM {{grants}} g WHERE {GRANTED}))"""
+VISIBLE = f"""SELECT id FROM {{docs}} WHERE deleted_at IS NULL AND (coalesce(owner_id = :user, false)
+    OR CASE WHEN follows_folder AND folder_id IS NOT NULL THEN folder_id IN (SELECT folder_id FROM {{open}})
+    ELSE visibility = 'public' OR id IN (SELECT g.document_id FROM {{grants}} g WHERE {GRANTED}) END)"""
+SHARED = """SELECT id FROM {docs} WHERE deleted_at IS NULL AND (folder_id IN (SELECT folder_id FROM {open})
+    OR id IN (SELECT document_id FROM {grants} WHERE share_id = :user))"""
+
+
+def _sql(corpus, text: str, principal: str | None, **tables: DataFrame) -> DataFrame:
+    return corpus.spark.sql(text, {"user": principal}, **tables)
 
-    One self-join for each level of the hierarchy; a cycle would not end, so most_levels ends it with an error.
-    """
-    up = folders.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")).where("parent_id is not null")
-    level = folders.select(F.col("id").alias("folder_id"), F.col("id").alias("ancestor_id"), F.lit(0).alias("depth"))
-    out = level
-    for depth in range(1, most_levels):
-        level = level.join(up, F.col("ancestor_id") == F.col("child")).select("folder_id", F.col("parent").alias("ancestor_id"), F.lit(depth).alias("depth"))
-        if level.isEmpty():
-            return out
-        out = out.unionByName(level)
-    raise ValueError(f"folders are nested more than {most_levels} deep, or in a circle")
+
+def ancestors(folders: DataFrame) -> DataFrame:
+    """(folder_id, ancestor_id, depth) of every folder and all above it; depth 0 is the folder itself. A circle raises an error."""
+    return folders.sparkSession.sql(ANCESTORS, folders=folders.select("id", "parent_id"))
 
 
 def closure(corpus) -> DataFrame:
     """The corpus's own ancestors, worked out and written once."""
     if "_closure" not in corpus.__dict__:
-        corpus.__dict__["_closure"] = cut_lineage(ancestors(corpus.folders.select("id", "parent_id")))
+        corpus.__dict__["_closure"] = cut_lineage(ancestors(corpus.folders))
     return corpus.__dict__["_closure"]
 
 
-def _groups_of(members: DataFrame, user: str | None) -> DataFrame:
-    return members.where(F.col("user_id") == F.lit(user)).select("group_id").distinct()
-
-
-def _granted(grants: DataFrame, members: DataFrame, user: str | None, key: str) -> DataFrame:
-    """Ids that a grant opens to the user or to one of the user's groups."""
-    direct = grants.where(F.col("user_id") == F.lit(user)).select(key)
-    return direct.unionByName(grants.join(_groups_of(members, user), "group_id", "left_semi").select(key)).distinct()
-
-
 def _is_share(principal: str | None) -> bool:
     return bool(principal) and principal.startswith("share:")
 
 
 def visible_folders(corpus, principal: str | None) -> DataFrame:
-    """(folder_id): those whose root is public, the user's own or granted; for a share, those under its folders."""
-    above = closure(corpus)
+    """(folder_id): those whose root is public, the user's own or granted; for a share, those under its folders. One recursion, from the open ones down."""
     if _is_share(principal):
-        shared = corpus.share_folders.where(F.col("share_id") == principal).select(F.col("folder_id").alias("ancestor_id"))
-        return above.join(shared, "ancestor_id", "left_semi").select("folder_id").distinct()
-    roots = corpus.folders.where("parent_id is null")
-    own = roots.where((F.col("visibility") == "public") | F.coalesce(F.col("created_by") == F.lit(principal), F.lit(False))).select(F.col("id").alias("ancestor_id"))
-    granted = _granted(corpus.folder_grants, corpus.members, principal, "folder_id").toDF("ancestor_id")
-    open_roots = own.unionByName(granted.join(roots, F.col("ancestor_id") == F.col("id"), "left_semi")).distinct()
-    return above.join(open_roots, "ancestor_id", "left_semi").select("folder_id").distinct()
+        start = corpus.share_folders.where(F.col("share_id") == principal).select("folder_id")
+    else:
+        start = _sql(corpus, OPEN_ROOTS, principal, folders=corpus.folders, grants=corpus.folder_grants, members=corpus.members)
+    return corpus.spark.sql(BELOW, start=start, folders=corpus.folders.select("id", "parent_id"))
 
 
 def hold_visible(corpus, principal: str | None) -> DataFrame:
@@ -67,26 +66,28 @@ def hold_visible(corpus, principal: str | None) -> DataFrame:
 
 
 def visible_documents(corpus, principal: str | None) -> DataFrame:
-    """(id) of the documents that a user, a share or, with None, anybody sees.
+    """(id) of the documents that a user, a share or, with None, anybody sees: one pass over the documents.
 
     A document that follows its folder has the folder's visibility alone; owners see their own; the trash is hidden from all.
     """
     if principal in corpus.__dict__.get("_visible", {}):
         return corpus.__dict__["_visible"][principal]
-    docs = corpus.documents.where("deleted_at is null").select("id", "owner_id", "visibility", "folder_id", "follows_folder")
-    folders = visible_folders(corpus, principal).withColumnRenamed("folder_id", "open_folder")
-    in_open = docs.join(folders, F.col("folder_id") == F.col("open_folder"), "left_semi")
+    seen = visible_folders(corpus, principal)
     if _is_share(principal):
-        granted = corpus.document_grants.where(F.col("share_id") == principal).select(F.col("document_id").alias("id"))
-        return in_open.select("id").unionByName(docs.join(granted, "id", "left_semi").select("id")).distinct()
-    follows = F.col("follows_folder") & F.col("folder_id").isNotNull()
-    granted = _granted(corpus.document_grants, corpus.members, principal, "document_id").toDF("id")
-    free = docs.where(~follows)
-    own = docs.where(F.col("owner_id") == F.lit(principal)).select("id")
-    parts = [in_open.where(follows).select("id"), free.where("visibility = 'public'").select("id"), free.join(granted, "id", "left_semi").select("id")]
-    for p in parts:
-        own = own.unionByName(p)
-    return own.distinct()
+        return _sql(corpus, SHARED, principal, docs=corpus.documents, open=seen, grants=corpus.document_grants)
+    return _sql(corpus, VISIBLE, principal, docs=corpus.documents, open=seen, grants=corpus.document_grants, members=corpus.members)
+
+
+class NotVisible(LookupError):
+    """Some documents asked for are not there or not seen."""
+
+
+def ensure_visible(corpus, principal: str | None, ids: DataFrame) -> DataFrame:
+    """ids (id) if the principal sees all of them; else NotVisible, which names up to ten that are missing or hidden alike."""
+    hidden = ids.select("id").distinct().join(visible_documents(corpus, principal), "id", "left_anti").limit(10).collect()
+    if hidden:
+        raise NotVisible(f"not found: {sorted(r.id for r in hidden)}")
+    return ids
 
 
 def effective_visibility(corpus) -> DataFrame:

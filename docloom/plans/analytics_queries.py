@@ -78,12 +78,14 @@ def _by_folder(c):
 ASSIGNED = "SELECT id AS node, CAST(substr(folder_id, 2) AS BIGINT) AS community FROM docs WHERE folder_id IS NOT NULL"
 
 
-@query(with_tables("""SELECT community, CASE WHEN n > 1 THEN base || ' ' || n ELSE base END AS name, size FROM (SELECT *, row_number() OVER (PARTITION BY base ORDER BY size DESC, title, community) AS n FROM (
-    SELECT t.community, t.size, t.title, coalesce(b.tag, t.title) AS base FROM (SELECT community, count(*) AS size, min(title) AS title FROM assigned JOIN docs ON id = node GROUP BY 1) t
-    LEFT JOIN (SELECT community, tag FROM (SELECT community, tag, 2 * count(*) - sum(count(*)) OVER (PARTITION BY tag) AS score FROM (SELECT community, unnest(tags) AS tag FROM assigned JOIN docs ON id = node) GROUP BY 1, 2)
-    WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY community ORDER BY score DESC, tag) = 1) b USING (community)))""", assigned=ASSIGNED))
+@query(with_tables("""SELECT community, kind, CASE WHEN n > 1 THEN label || ' (' || n || ')' ELSE label END AS name, size FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY size DESC, first, community) AS n FROM (
+    SELECT t.community, t.size, t.first, CASE WHEN b.tag IS NULL THEN 'community' ELSE 'tagged' END AS kind, coalesce(b.tag, m.title) AS label FROM (SELECT community, count(*) AS size, min(title) AS first FROM assigned JOIN docs ON id = node GROUP BY 1) t
+    LEFT JOIN (SELECT community, tag FROM (SELECT community, tag, 2 * n - total AS score FROM (SELECT community, tag, count(*) AS n FROM (SELECT community, unnest(tags) AS tag FROM assigned JOIN docs ON id = node) GROUP BY 1, 2)
+        JOIN (SELECT tag, count(*) AS total FROM (SELECT unnest(tags) AS tag FROM docs) GROUP BY 1) USING (tag)) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY community ORDER BY score DESC, tag) = 1) b USING (community)
+    JOIN (SELECT community, title FROM assigned JOIN docs ON id = node LEFT JOIN (SELECT node, count(*) AS degree FROM (SELECT unnest([a, b]) AS node FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges)
+        JOIN assigned x ON x.node = a JOIN assigned y ON y.node = b WHERE x.community = y.community) GROUP BY 1) USING (node) QUALIFY row_number() OVER (PARTITION BY community ORDER BY coalesce(degree, 0) DESC, title, node) = 1) m USING (community)))""", assigned=ASSIGNED, **GRAPH))
 def cluster_names(c):
-    return analytics.cluster_names(c, _by_folder(c))
+    return analytics.cluster_names(c.documents, _by_folder(c), edges_of(c))
 
 
 @query(with_tables("SELECT least(x.community, y.community) AS one, greatest(x.community, y.community) AS two, count(*) AS pairs FROM (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges) JOIN assigned x ON x.node = a JOIN assigned y ON y.node = b WHERE x.community <> y.community GROUP BY 1, 2", assigned=ASSIGNED, **GRAPH))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import graph, search, vectors, visibility
+from docloom.operators import analytics, communities, graph, search, vectors, visibility
 from docloom.operators.search import Request
 from docloom.plans.corpus import SHARE, visible_folders_sql, visible_sql, with_tables
 from docloom.plans.registry import query
@@ -275,9 +275,11 @@ def search_passages(c):
 
 @query()
 def clusters(c):
-    seen = visibility.visible_documents(c, "user1")
-    edges = graph.both_ways(edges_of(c)).select("a", "b")
-    edges = edges.join(seen.withColumnRenamed("id", "a"), "a", "left_semi").join(seen.withColumnRenamed("id", "b"), "b", "left_semi")
-    return graph.communities(seen, edges)
-
-
+    """(node, name) of every visible document: communities of the graph between visible documents by name, the uncategorised apart."""
+    seen = visibility.hold_visible(c, "user1")
+    edges = c.edges.join(seen.withColumnRenamed("id", "src"), "src", "left_semi").join(seen.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    docs = c.documents.join(seen, "id", "left_semi").select("id", "title", "tags")
+    found = communities.louvain(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = found.join(analytics.cluster_names(docs, found, edges), "community").select("node", "name")
+    every = docs.select(F.col("id").alias("node")).join(named, "node", "left").withColumn("name", F.coalesce("name", F.lit(analytics.UNCATEGORIZED)))
+    return analytics.fold_clusters(every)

@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import columns, text
-from docloom.operators import graph
 from docloom.sources import extract, sinks
 from docloom.streaming import changes
 
@@ -93,14 +92,6 @@ def test_columns(spark):
     assert [tuple(r) for r in rows] == [("pdf", "application/pdf", ["x"], 3.0, "'=1"), (None, "application/octet-stream", None, None, "ok")]
 
 
-def test_communities_split_two_groups(spark):
-    edges = [(a, b) for g in (0, 10) for a in range(g, g + 5) for b in range(g, a)] + [(0, 10)]
-    nodes = spark.createDataFrame([(i,) for i in [*range(5), *range(10, 15), 99]], "id long")
-    got = {r.node: r.community for r in graph.communities(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert len({got[i] for i in range(5)}) == 1 and len({got[i] for i in range(10, 15)}) == 1
-    assert got[0] != got[10] and got[99] == 99
-
-
 def test_stream_counts_a_change_once(spark, tmp_path):
     source = str(tmp_path / "in")
     rows = [(1, 1, "see [[Title 2]]", "h1", "done"), (1, 1, "see [[Title 2]]", "h1", "done"), (2, 1, "x", "h2", "pending")]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators.vectors import neighbours
+from docloom.operators.vectors import nearest_to, neighbours
+from docloom.sources.store import Kept
 
 EDGES_PER_DOCUMENT = 5
 OVERLAP_SHARE, OVERLAP_LEAST = 0.8, 3
@@ -17,11 +18,27 @@ def pair_stats(near: DataFrame) -> DataFrame:
 
 
 def build_edges(chunks: DataFrame, k: int = 10) -> DataFrame:
-    """(src, dst, kind, src_chunk, dst_chunk, score): the five strongest partners of each document, for all documents at once.
+    """(src, dst, kind, src_chunk, dst_chunk, score): the five strongest partners of each document, for all documents at once."""
+    return edges_from(neighbours(chunks, k), chunks)
 
-    An edge is an overlap when four fifths of the chunks of either side matched, three at least; its score is then the lesser share.
+
+def build_edges_of(sources: DataFrame, chunks: DataFrame, k: int = 10) -> DataFrame:
+    """The edges that build_edges gives for some sources (one column of ids): their chunks alone are compared with all."""
+    own = sources.select(F.col(sources.columns[0]).alias("document_id")).distinct()
+    return edges_from(nearest_to(chunks.join(own, "document_id", "left_semi"), chunks, k), chunks)
+
+
+def rebuild_edges(kept: Kept, sources: DataFrame, chunks: DataFrame, state: str, k: int = 10) -> DataFrame:
+    """The kept graph after the chunks of sources changed: their outgoing edges are built again, those that point to them stay."""
+    return kept.replace(state, sources, build_edges_of(sources, chunks, k))
+
+
+def edges_from(near: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Edges of the documents that near has the nearest chunks of.
+
+    An edge is an overlap when four fifths of the chunks of either side matched, three at least; its score is then the share of its source's
+    chunks that matched.
     """
-    near = neighbours(chunks, k)
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("n"))
     order = Window.partitionBy("src").orderBy(F.desc("matched_src"), "min_distance", "dst")
     ranked = pair_stats(near).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= EDGES_PER_DOCUMENT)
@@ -33,7 +50,7 @@ def build_edges(chunks: DataFrame, k: int = 10) -> DataFrame:
     overlap = (share >= OVERLAP_SHARE) & (F.col("matched_src") >= OVERLAP_LEAST) & (F.col("matched_dst") >= OVERLAP_LEAST)
     return sized.select(
         "src", "dst", F.when(overlap, "overlaps").otherwise("related").alias("kind"), F.when(~overlap, F.col("c.src_chunk")).alias("src_chunk"),
-        F.when(~overlap, F.col("c.dst_chunk")).alias("dst_chunk"), F.round(F.when(overlap, share).otherwise(1 - F.col("min_distance")), 6).alias("score"),
+        F.when(~overlap, F.col("c.dst_chunk")).alias("dst_chunk"), F.round(F.when(overlap, F.col("matched_src") / F.col("n_src")).otherwise(1 - F.col("min_distance")), 6).alias("score"),
     )
 
 

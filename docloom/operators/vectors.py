@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,47 +33,86 @@ def best_per(rows: DataFrame, keys: list[str], *order: str | Column) -> DataFram
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+NEAR_SCHEMA = "src long, src_chunk long, dst long, dst_chunk long, distance double"
+
+
+def _unit(t: pa.Table) -> np.ndarray:
+    rows = t.column("embedding").combine_chunks()
+    rows = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+
+
+def _ids(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return t.column("document_id").to_numpy(), t.column("chunk_index").to_numpy()
+
+
+def distances(one: pa.Table, two: pa.Table) -> np.ndarray:
+    """Rounded cosine distances of all rows of two tables (document_id, chunk_index, embedding); infinite within a document and for zero vectors."""
+    far = np.round(1 - _unit(one) @ _unit(two).T, PLACES)
+    far[(_ids(one)[0][:, None] == _ids(two)[0][None, :]) | np.isnan(far)] = np.inf
+    return far
+
+
+def nearest_of(far: np.ndarray, one: pa.Table, two: pa.Table, k: int) -> pa.Table:
+    """The k nearest rows of two for each row of one, ties by id."""
+    src, dst = _ids(one), _ids(two)
+    rank = np.lexsort((dst[1], dst[0]))  # columns in the order of ids, then a stable sort
+    order = rank[np.argsort(far[:, rank], axis=1, kind="stable")[:, :k]]
+    i, j = np.repeat(np.arange(len(src[0])), order.shape[1]), order.ravel()
+    keep = np.isfinite(far[i, j])
+    i, j = i[keep], j[keep]
+    return pa.table({"src": src[0][i], "src_chunk": src[1][i], "dst": dst[0][j], "dst_chunk": dst[1][j], "distance": far[i, j]})
+
+
+def no_pairs() -> pa.Table:
+    return pa.table({n: pa.array([], t) for n, t in (("src", pa.int64()), ("src_chunk", pa.int64()), ("dst", pa.int64()), ("dst_chunk", pa.int64()), ("distance", pa.float64()))})
+
+
+def k_nearest(met: DataFrame, k: int) -> DataFrame:
+    """The k nearest rows of each chunk, of those that tasks found."""
+    rank = F.row_number().over(Window.partitionBy("src", "src_chunk").orderBy("distance", "dst", "dst_chunk"))
+    return met.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+
+
+def _blocks(own: DataFrame, block: int) -> tuple[int, Column]:
+    blocks = max(1, -(-own.count() // block))
+    return blocks, F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(blocks)).cast("int")
+
+
 def neighbours(chunks: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
     """The k nearest chunks of other documents for every chunk: (src, src_chunk, dst, dst_chunk, distance).
 
     Each unordered pair of blocks of chunks meets once, in one task as a matrix product that serves both directions; per pair of blocks at most
     k rows of each chunk leave, so what is shuffled grows with the number of blocks, not with the pairs.
     """
-    import numpy as np
-    import pyarrow as pa
-
     own = chunks.select("document_id", "chunk_index", "embedding")
-    blocks = max(1, -(-own.count() // block))
-    number = F.pmod(F.xxhash64("document_id", "chunk_index"), F.lit(blocks)).cast("int")
+    blocks, number = _blocks(own, block)
     left = own.select(number.alias("one"), F.explode(F.sequence(number, F.lit(blocks - 1))).alias("two"), "*")
     right = own.select(number.alias("two"), F.explode(F.sequence(F.lit(0), number)).alias("one"), "*").toDF("two", "one", "document_id", "chunk_index", "embedding")
 
-    def unit(t: pa.Table) -> np.ndarray:
-        rows = t.column("embedding").combine_chunks()
-        rows = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            return rows / np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-
-    def nearest(far: np.ndarray, src: tuple[np.ndarray, np.ndarray], dst: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-        rank = np.lexsort((dst[1], dst[0]))  # ties by id: columns in that order, then a stable sort
-        order = rank[np.argsort(far[:, rank], axis=1, kind="stable")[:, :k]]
-        i, j = np.repeat(np.arange(len(src[0])), order.shape[1]), order.ravel()
-        keep = np.isfinite(far[i, j])
-        i, j = i[keep], j[keep]
-        return pa.table({"src": src[0][i], "src_chunk": src[1][i], "dst": dst[0][j], "dst_chunk": dst[1][j], "distance": far[i, j]})
-
     def run(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
-            return pa.table({n: pa.array([], t) for n, t in (("src", pa.int64()), ("src_chunk", pa.int64()), ("dst", pa.int64()), ("dst_chunk", pa.int64()), ("distance", pa.float64()))})
-        far = np.round(1 - unit(a) @ unit(b).T, PLACES)
-        one, two = ((t.column("document_id").to_numpy(), t.column("chunk_index").to_numpy()) for t in (a, b))
-        far[(one[0][:, None] == two[0][None, :]) | np.isnan(far)] = np.inf
-        out = nearest(far, one, two)
-        return out if key[0].as_py() == key[1].as_py() else pa.concat_tables([out, nearest(far.T, two, one)])
-
-    met = left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInArrow(run, "src long, src_chunk long, dst long, dst_chunk long, distance double")
-    rank = F.row_number().over(Window.partitionBy("src", "src_chunk").orderBy("distance", "dst", "dst_chunk"))
-    return met.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+            return no_pairs()
+        far = distances(a, b)
+        out = nearest_of(far, a, b, k)
+        return out if key[0].as_py() == key[1].as_py() else pa.concat_tables([out, nearest_of(far.T, b, a, k)])
+
+    return k_nearest(left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInArrow(run, NEAR_SCHEMA), k)
+
+
+def nearest_to(queries: DataFrame, chunks: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
+    """The k nearest chunks of other documents for some chunks only: every block of queries meets every block of chunks."""
+    asked, own = (x.select("document_id", "chunk_index", "embedding") for x in (queries, chunks))
+    few, one = _blocks(asked, block)
+    many, two = _blocks(own, block)
+    left = asked.select(one.alias("one"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("two"), "*")
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("one"), two.alias("two"), "*").toDF("one", "two", *own.columns)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        return nearest_of(distances(a, b), a, b, k) if a.num_rows and b.num_rows else no_pairs()
+
+    return k_nearest(left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInArrow(run, NEAR_SCHEMA), k)
 
 
 def hash_embedding(docs: DataFrame, dim: int = 64, key: str = "id", text: str = "content") -> DataFrame:

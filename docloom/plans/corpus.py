@@ -7,6 +7,9 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.operators import graph, vectors
+from docloom.sources.store import Kept, stored
+
 SHARE = "share:1"
 
 
@@ -106,12 +109,13 @@ class Corpus:
         return both.select("document_id", (1 + F.col("document_id") % 3).alias("version"), "chunk_index", F.expr("substr(text, cast(1 + 200 * chunk_index as int), 200)").alias("content"), "embedding")
 
     @cached_property
-    def edges(self) -> DataFrame:
-        """The similarity graph of the chunks, built once for each state of their tables and stored."""
-        from docloom.operators.graph import build_edges
-        from docloom.sources.store import stored
+    def kept_edges(self) -> Kept:
+        """The similarity graph of the chunks, built once for each state of their tables and of the code that builds it."""
+        return stored("edges", "src", [self.table("embeddings"), self.table("documents")], lambda: graph.build_edges(self.chunks), graph, vectors)
 
-        return stored("edges", "src", [self.table("embeddings"), self.table("documents")], lambda: build_edges(self.chunks))
+    @cached_property
+    def edges(self) -> DataFrame:
+        return self.kept_edges.read()
 
     @cached_property
     def versions(self) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from docloom.operators import analytics, communities, graph, search, vectors, visibility
+from docloom.operators import analytics, communities, graph, partition_index, search, vectors, visibility
 from docloom.operators.search import Request
 from docloom.plans.corpus import SHARE, visible_folders_sql, visible_sql, with_tables
 from docloom.plans.registry import query
@@ -125,7 +127,7 @@ KNN = """SELECT src, src_chunk, dst, dst_chunk, distance FROM (SELECT a.document
     QUALIFY row_number() OVER (PARTITION BY src, src_chunk ORDER BY distance, dst, dst_chunk) <= 10"""
 STATS = "SELECT src, dst, count(DISTINCT src_chunk) AS matched_src, count(DISTINCT dst_chunk) AS matched_dst, min(distance) AS min_distance FROM knn GROUP BY 1, 2"
 EDGES = """SELECT src, dst, CASE WHEN o THEN 'overlaps' ELSE 'related' END AS kind, CASE WHEN NOT o THEN sc END AS src_chunk, CASE WHEN NOT o THEN dc END AS dst_chunk,
-    round(CASE WHEN o THEN share ELSE 1 - min_distance END, 6) AS score FROM (SELECT s.*, x.c.b AS sc, x.c.c AS dc, least(matched_src / ns.n, matched_dst / nd.n) AS share,
+    round(CASE WHEN o THEN matched_src / n_src ELSE 1 - min_distance END, 6) AS score FROM (SELECT s.*, x.c.b AS sc, x.c.c AS dc, ns.n AS n_src,
     least(matched_src / ns.n, matched_dst / nd.n) >= 0.8 AND matched_src >= 3 AND matched_dst >= 3 AS o FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY matched_src DESC, min_distance, dst) AS rank FROM stats QUALIFY rank <= 5) s
     JOIN (SELECT src, dst, min({'a': distance, 'b': src_chunk, 'c': dst_chunk}) AS c FROM knn GROUP BY 1, 2) x USING (src, dst)
     JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1) ns ON ns.document_id = src JOIN (SELECT document_id, count(*) AS n FROM chunks GROUP BY 1) nd ON nd.document_id = dst)"""
@@ -153,12 +155,24 @@ def stored_edges(c):
     return edges_of(c)
 
 
-@query(with_tables("SELECT src, dst, kind, CASE WHEN src % 10 = 3 THEN score ELSE -1 END AS score FROM edges", **GRAPH))
-def replace_edges(c):
-    """Edges of some documents are built again and replace theirs in an older state of the graph; those that point to them stay."""
-    old = edges_of(c).withColumn("score", F.lit(-1.0))
+CUT = {"cut": "SELECT * FROM chunks WHERE document_id % 10 <> 3 OR chunk_index < 3"} | {
+    f"{n}_cut": GRAPH[n].replace("chunks", "cut").replace("knn", "knn_cut").replace("stats", "stats_cut") for n in GRAPH
+}
+
+
+@query(with_tables("SELECT * FROM edges WHERE src % 10 <> 3 UNION ALL SELECT * FROM edges_cut WHERE src % 10 = 3", **GRAPH, **CUT))
+def rebuild_edges(c):
+    """Some documents lost their last chunks: their edges are built again in a copy of the kept graph; those of all others stay as they are."""
+    fork = c.kept_edges.fork(f"edges-rebuilt-{uuid.uuid4().hex}")
     sources = c.documents.where("id % 10 = 3").select(F.col("id").alias("src"))
-    return replace_by_source(old, edges_of(c), sources, "src").select("src", "dst", "kind", "score")
+    return graph.rebuild_edges(fork, sources, c.chunks.where("document_id % 10 <> 3 OR chunk_index < 3"), "rebuilt")
+
+
+@query(with_tables("SELECT * FROM knn", knn=KNN))
+def indexed_neighbours(c):
+    """The exact nearest chunks by inverted lists: some lists probed, then those that the bound cannot leave out."""
+    index = partition_index.build(c.chunks)
+    return partition_index.search(index, c.chunks, exact=True)
 
 
 @query(with_tables("SELECT document_id, chunk_index, CASE WHEN document_id % 4 = 1 THEN substr(content, 1, 20) ELSE content END AS content FROM chunks WHERE document_id % 4 <> 1 OR chunk_index < 2"))

@@ -51,16 +51,17 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp): the fingerprint as a signed 64-bit integer."""
-    schema = T.StructType([docs.schema[key], T.StructField("fp", T.LongType())])
+def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(key, fp): the fingerprint as a signed 64-bit integer. row: name of a further column, the hash of the text, which tells rows of one key apart."""
+    kept = [docs.schema[key], *([T.StructField(row, T.LongType())] if row else [])]
+    schema = T.StructType([*kept, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in text_slices(batches, text):
             fp = np.fromiter((fingerprint(t, shingle) for t in b.column(text).to_pylist()), np.uint64, b.num_rows)
-            yield pa.record_batch([b.column(key), pa.array(fp.view(np.int64))], [key, "fp"])
+            yield pa.record_batch([*(b.column(f.name) for f in kept), pa.array(fp.view(np.int64))], schema.names)
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text, *([F.xxhash64(text).alias(row)] if row else [])).mapInArrow(run, schema)
 
 
 def segment_counts(fp: Column) -> Column:
@@ -107,9 +108,9 @@ def near_pairs(fps: DataFrame, ranges: int = 6, max_bits: int = 4, pivots: int =
     return first.unionByName(rest.select("a", "b").distinct())
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fingerprint as 16 hex digits, component_id: smallest key reachable by links)."""
-    marked = materialize(fingerprints(docs, shingle, text, key), "simhash")
+def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, text: str = "text", key: str = "doc_id", row: str | None = None) -> DataFrame:
+    """(key, row if named, fingerprint as 16 hex digits, component_id: smallest key reachable by links)."""
+    marked = materialize(fingerprints(docs, shingle, text, key, row), "simhash")
     classes = materialize(marked.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n")), "simhash-classes")
     count, rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     parts = materialize(connected_components(near_pairs(classes.select("fp"), grid_ranges(count, max_bits), max_bits)), "simhash-parts")
@@ -117,4 +118,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, text:
     least = linked.groupBy("component").agg(F.min("least").alias("component_id"))
     owner = linked.select("fp", "component").join(least, "component").select("fp", "component_id")
     owner = classes.join(owner, "fp", "left").select("fp", "n", F.coalesce("component_id", "least").alias("component_id"))
-    return with_hot_keys(marked, materialize(owner, "simhash-owner"), "fp", rows).select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return with_hot_keys(marked, materialize(owner, "simhash-owner"), "fp", rows).select(key, *([row] if row else []), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -51,3 +51,14 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark, tmp_path):
+    rng = random.Random(8)
+    text = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(200))
+    a, b = text(), text()
+    rows = [(3, a, 1), (5, a, 2), (5, b, 3), (6, text(), 4), (None, a, 5), (None, text(), 6), (7, None, 7), (8, "", 8), (9, text() * 300, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, dropped long")
+    kept = corpus_pipeline.simhash_near_dedup(spark, docs, str(tmp_path))
+    assert kept.columns == docs.columns
+    assert sorted(r.dropped for r in kept.collect()) == [1, 3, 4, 5, 6, 7, 9]  # null and empty texts are one group

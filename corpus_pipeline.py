@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, with
 n_chars set to the length of the text as it then is. A stage only sees what the one before kept.
+
+Null and empty texts are documents like any other and go with what the classifier says of an empty text; null ids stay what they are and are
+dropped by no stage that compares documents. Rows that repeat an id are told apart by their texts, equal rows are repeated documents. Very
+long texts are read whole by each stage. Ties (equal scores, copies) are settled by the smaller id. Further columns, whatever their names, come
+through all stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,9 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import lines, packing, quality, simhash, substring
-from docloom.llm.common import materialize
+from docloom.llm.common import free_name, materialize
 
-#: SQL has no factorisation machine; tests hold the stages against brute force.
+#: SQL has no factorisation machine; tests hold the stages' operators against brute force, and the stages on planted documents.
 ORACLE_SQL = None
 
 
@@ -30,9 +35,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id stays."""
-    dropped = simhash.near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near-duplicates the document with the smallest id stays. Rows are told apart by id and text, so that another text of a dropped id stays."""
+    row, of = free_name(docs, "text_hash"), free_name(docs, "dropped")
+    dropped = simhash.near_duplicates(docs, row=row).where("doc_id <> component_id").select(F.col("doc_id").alias(of), row)
+    return docs.join(dropped, (docs.doc_id == dropped[of]) & (F.xxhash64(docs.text) == dropped[row]), "left_anti").select(*docs.columns)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -103,14 +103,21 @@ def context(chunks: DataFrame, spots: DataFrame, reach: int = 1) -> DataFrame:
     return met.select("document_id", "chunk_index", F.array_join(F.col("c.content"), "\n\n").alias("context"))
 
 
+def link_targets(content: Column) -> Column:
+    """The distinct titles in [[...]] of a text: without embeds, alias, anchor, path, media names and quoted ones."""
+    found = F.regexp_extract_all(F.replace(content, F.lit("\\|"), F.lit("|")), F.lit(r"(!?)\[\[([^\[\]]+)\]\]"), F.lit(0))
+
+    def target(m: Column) -> Column:
+        name = F.split_part(F.split_part(F.regexp_extract(m, r"\[\[([^\[\]]+)\]\]", 1), F.lit("|"), F.lit(1)), F.lit("#"), F.lit(1))
+        return F.trim(F.regexp_replace(name, "^.*/", ""))
+
+    named = F.transform(F.filter(found, lambda m: ~F.startswith(m, F.lit("!"))), target)
+    return F.array_distinct(F.filter(named, lambda t: (t != "") & ~F.startswith(t, F.lit('"')) & ~F.lower(t).rlike(r"\.(png|jpe?g|gif|svg|webp|bmp|pdf|mp3|mp4)$")))
+
+
 def wikilinks(docs: DataFrame) -> DataFrame:
-    """(id, target): titles in [[...]], without embeds, alias, anchor, path, media names and quoted ones."""
-    text = F.replace("content", F.lit("\\|"), F.lit("|"))
-    raw = docs.select("id", F.explode(F.regexp_extract_all(text, F.lit(r"(!?)\[\[([^\[\]]+)\]\]"), F.lit(0))).alias("m")).where(~F.startswith("m", F.lit("!")))
-    inner = F.regexp_extract("m", r"\[\[([^\[\]]+)\]\]", 1)
-    name = F.split_part(F.split_part(inner, F.lit("|"), F.lit(1)), F.lit("#"), F.lit(1))
-    target = F.trim(F.regexp_replace(name, "^.*/", ""))
-    return raw.select("id", target.alias("target")).where("target <> '' and not startswith(target, '\"')").where(~F.lower("target").rlike(r"\.(png|jpe?g|gif|svg|webp|bmp|pdf|mp3|mp4)$")).distinct()
+    """(id, target) of every link, once."""
+    return docs.select("id", F.explode(link_targets(F.col("content"))).alias("target")).distinct()
 
 
 def resolved_links(corpus, visible: DataFrame) -> DataFrame:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from docloom.functions import columns, text
 from docloom.sources import extract, sinks
-from docloom.streaming import changes
 
 
 def test_chunks():
@@ -90,16 +89,3 @@ def test_columns(spark):
     df = spark.createDataFrame([("a.PDF", ["x ", " ", "x"], "😀a", "=1"), ("b", None, None, "ok")], "f string, t array<string>, u string, c string")
     rows = df.select(columns.content_type("f"), columns.media_type("f"), columns.clean_tags("t"), columns.utf16_units("u"), sinks.csv_cell("c")).collect()
     assert [tuple(r) for r in rows] == [("pdf", "application/pdf", ["x"], 3.0, "'=1"), (None, "application/octet-stream", None, None, "ok")]
-
-
-def test_stream_counts_a_change_once(spark, tmp_path):
-    source = str(tmp_path / "in")
-    rows = [(1, 1, "see [[Title 2]]", "h1", "done"), (1, 1, "see [[Title 2]]", "h1", "done"), (2, 1, "x", "h2", "pending")]
-    made = spark.createDataFrame(rows, "id long, version int, content string, content_hash string, extraction_status string").withColumn("at", F.to_timestamp(F.lit("2024-01-01")))
-    made.write.parquet(source)
-    for _ in range(2):
-        query = changes.start(spark.readStream.schema(made.schema).parquet(source), str(tmp_path / "out"), str(tmp_path / "check"))
-        query.awaitTermination()
-        made.limit(0).write.mode("append").parquet(source)
-    assert spark.read.parquet(f"{tmp_path}/out/versions").count() == 1
-    assert spark.read.parquet(f"{tmp_path}/out/links").first().target == "Title 2"

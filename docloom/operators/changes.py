@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,11 +80,46 @@ def sweep_jobs(jobs: DataFrame, now: Column) -> DataFrame:
     return marked.select("id", F.when(tired, "error").when(F.col("waits").isNotNull() | ~F.col("first"), "done").otherwise("pending").alias("status"))
 
 
-def idempotent(requests: DataFrame) -> DataFrame:
-    """(owner_id, key, result): the first request of a key creates, equal ones replay, others conflict."""
-    first = requests.groupBy("owner_id", "key").agg(F.min(F.struct("at", "id", "request_hash")).alias("f"))
-    met = requests.join(first, ["owner_id", "key"])
-    return met.select("id", "owner_id", "key", F.when(F.col("id") == F.col("f.id"), "created").when(F.col("request_hash") == F.col("f.request_hash"), "replayed").otherwise("conflict").alias("result"))
+def idempotent(requests: DataFrame, hours: int = 24) -> DataFrame:
+    """(id, owner_id, key, result, created_by): the first request of a key creates, equal ones replay it, others conflict, until hours have passed; the next one creates again.
+
+    requests: id, owner_id, key, at, request_hash. Each accepted request opens a window of its own, so the requests of a key are folded in order
+    (at, id): sorted by Spark, streamed, with the open request alone in memory. created_by is the request whose result counts.
+    """
+    span = hours * 3_600_000_000
+    own = requests.select("id", "owner_id", "key", F.unix_micros(F.col("at").cast("timestamp")).alias("at"), "request_hash")
+    dealt = own.repartition("owner_id", "key").sortWithinPartitions("owner_id", "key", "at", "id")
+    types = {c: requests.schema[c].dataType.simpleString() for c in ("id", "owner_id", "key")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, opened, first, digest = None, 0, None, None
+        for b in batches:
+            result, by = [], []
+            for i, owner, key, at, asked in zip(*(b.column(c).to_pylist() for c in ("id", "owner_id", "key", "at", "request_hash")), strict=True):
+                if (owner, key) != of or at - opened > span:
+                    of, opened, first, digest = (owner, key), at, i, asked
+                    result.append("created")
+                else:
+                    result.append("replayed" if asked == digest else "conflict")
+                by.append(first)
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("owner_id"), b.column("key"), pa.array(result, pa.string()), pa.array(by, b.column("id").type)], ["id", "owner_id", "key", "result", "created_by"])
+
+    return dealt.mapInArrow(run, f"id {types['id']}, owner_id {types['owner_id']}, key {types['key']}, result string, created_by {types['id']}")
+
+
+def backfill_authors(versions: DataFrame, audit: DataFrame) -> DataFrame:
+    """versions (document_id, version, created_at) with author and author_via of the audit row written at the same time.
+
+    audit: id, document_id, occurred_at, action, actor, actor_via, detail (JSON). A first version belongs to document_created, a later one to the
+    text_updated row that names it; of several the first by id counts. The join is by document and time, so no version meets another's rows.
+    """
+    told = audit.where("action in ('document_created', 'text_updated')").select(
+        "document_id", F.col("occurred_at").alias("created_at"), F.col("id").alias("audit_id"), "action", "actor", "actor_via", F.get_json_object("detail", "$.version").try_cast("int").alias("told")
+    )
+    fits = F.when(F.col("version") == 1, F.col("action") == "document_created").otherwise((F.col("action") == "text_updated") & (F.col("told") == F.col("version")))
+    met = versions.select("document_id", "version", "created_at").join(told, ["document_id", "created_at"]).where(fits)
+    first = met.groupBy("document_id", "version").agg(F.min_by(F.struct("actor", "actor_via"), "audit_id").alias("a"))
+    return versions.join(first, ["document_id", "version"], "left").select(*versions.columns, F.col("a.actor").alias("author"), F.when(F.col("a").isNotNull(), F.coalesce("a.actor_via", F.lit("direct"))).alias("author_via"))
 
 
 def grant_diff(old: DataFrame, new: DataFrame) -> DataFrame:

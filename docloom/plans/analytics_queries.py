@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.operators import analytics, changes, search, validators, visibility
+from docloom.operators import analytics, changes, search, trigrams, validators, visibility
 from docloom.plans.corpus import with_tables
 from docloom.plans.registry import query
 from docloom.plans.search_queries import BOTH, GRAPH, KIND, LINKS, edges_of
@@ -305,8 +305,13 @@ def sweep_jobs(c):
 REQUESTS = "SELECT id, actor AS owner_id, document_id % 40 AS key, occurred_at AS t, action AS request_hash FROM audit_log"
 
 
-@query(with_tables("""SELECT id, owner_id, key, CASE WHEN id = f.c THEN 'created' WHEN request_hash = f.d THEN 'replayed' ELSE 'conflict' END AS result FROM requests
-    JOIN (SELECT owner_id, key, {'c': id, 'd': request_hash} AS f FROM requests QUALIFY row_number() OVER (PARTITION BY owner_id, key ORDER BY t, id) = 1) USING (owner_id, key)""", requests=REQUESTS))
+OPENED = """WITH RECURSIVE opened AS (SELECT id, owner_id, key, t, request_hash FROM requests QUALIFY row_number() OVER (PARTITION BY owner_id, key ORDER BY t, id) = 1
+    UNION ALL SELECT r.id, r.owner_id, r.key, r.t, r.request_hash FROM opened o JOIN requests r ON r.owner_id = o.owner_id AND r.key = o.key AND r.t > o.t + INTERVAL 24 HOUR QUALIFY row_number() OVER (PARTITION BY r.owner_id, r.key ORDER BY r.t, r.id) = 1)
+    SELECT * FROM opened"""
+
+
+@query(with_tables("""SELECT r.id, r.owner_id, r.key, CASE WHEN r.id = o.id THEN 'created' WHEN r.request_hash = o.request_hash THEN 'replayed' ELSE 'conflict' END AS result, o.id AS created_by FROM requests r JOIN accepted o
+    ON r.owner_id = o.owner_id AND r.key = o.key AND (o.t < r.t OR (o.t = r.t AND o.id <= r.id)) QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY o.t DESC, o.id DESC) = 1""", requests=REQUESTS, accepted=OPENED))
 def idempotent_create(c):
     r = c.audit_log.select("id", F.col("actor").alias("owner_id"), (F.col("document_id") % 40).alias("key"), F.col("occurred_at").alias("at"), F.col("action").alias("request_hash"))
     return changes.idempotent(r)
@@ -393,10 +398,43 @@ def find_folder(c):
     return below.join(F.broadcast(name), F.col("name") == F.col("wanted"), "left_semi").orderBy("id").limit(1).select("id")
 
 
-@query(with_tables("""SELECT v.document_id, v.version, a.actor FROM versions v JOIN audit_log a ON a.document_id = v.document_id QUALIFY row_number() OVER (PARTITION BY v.document_id, v.version ORDER BY a.occurred_at, a.id) = v.version"""))
+WRITTEN = "SELECT conv_id AS document_id, turn + 1 AS version, TIMESTAMP '2024-01-01' + to_minutes(conv_id * 100 + turn) AS created_at FROM conversations"
+TOLD = """SELECT (document_id * 100 + version) * 2 + n AS id, document_id, created_at AS occurred_at, CASE WHEN version = 1 OR document_id % 7 = 2 THEN 'document_created' ELSE 'text_updated' END AS action,
+    'user' || ((document_id + version + n) % 7) AS actor, CASE WHEN version % 3 = 0 THEN 'token' END AS actor_via, CASE WHEN version > 1 THEN version + CASE WHEN document_id % 11 = 3 THEN 1 ELSE 0 END END AS told
+    FROM written, (SELECT unnest([0, 1]) AS n) WHERE document_id % 5 <> 4 OR version % 2 = 0"""
+
+
+@query(with_tables("""SELECT document_id, version, author, author_via FROM written LEFT JOIN (SELECT w.document_id, w.version, a.actor AS author, coalesce(a.actor_via, 'direct') AS author_via FROM written w JOIN told a ON a.document_id = w.document_id AND a.occurred_at = w.created_at
+    WHERE (w.version = 1 AND a.action = 'document_created') OR (w.version > 1 AND a.action = 'text_updated' AND a.told = w.version) QUALIFY row_number() OVER (PARTITION BY w.document_id, w.version ORDER BY a.id) = 1) USING (document_id, version)""", written=WRITTEN, told=TOLD))
 def version_author_backfill(c):
-    met = c.versions.select("document_id", "version").join(c.audit_log.select("document_id", "actor", "occurred_at", F.col("id").alias("aid")), "document_id")
-    n = F.row_number().over(Window.partitionBy("document_id", "version").orderBy("occurred_at", "aid"))
-    return met.withColumn("n", n).where("n = version").select("document_id", "version", "actor")
+    """Turns stand for versions; each was told of twice in the audit log, some not at all, by another action or with another number."""
+    d, v, n = F.col("document_id"), F.col("version"), F.col("n")
+    made = F.timestamp_seconds(F.lit(1704067200) + (d * 100 + v - 1) * 60)
+    written = c.versions.select("document_id", "version", made.alias("created_at"))
+    twice = written.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).where((d % 5 != 4) | (v % 2 == 0))
+    audit = twice.select(
+        ((d * 100 + v) * 2 + n).alias("id"), d, F.col("created_at").alias("occurred_at"), F.when((v == 1) | (d % 7 == 2), "document_created").otherwise("text_updated").alias("action"),
+        F.concat(F.lit("user"), (d + v + n) % 7).alias("actor"), F.when(v % 3 == 0, "token").alias("actor_via"), F.to_json(F.struct(F.when(v > 1, v + F.when(d % 11 == 3, 1).otherwise(0)).alias("version"))).alias("detail"),
+    )
+    return changes.backfill_authors(written, audit).select("document_id", "version", "author", "author_via")
+
+
+TRIGRAMS = """SELECT title, list_filter(flatten(list_transform(list_filter(string_split_regex(lower(title), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))), lambda t: true) AS tri FROM (SELECT DISTINCT title FROM docs)"""
+ONE_WAY = """SELECT a, b, coalesce(max(hits / (n + len(list_distinct(run)) - hits)), 0) AS s FROM (SELECT *, len(list_intersect(run, sa)) AS hits FROM (SELECT x.title AS a, y.title AS b, x.tri AS sa, len(list_distinct(x.tri)) AS n, y.tri[i:j] AS run
+    FROM trigrams x JOIN trigrams y ON x.title <> y.title, unnest(range(1, len(y.tri) + 1)) AS f(i), unnest(range(1, len(y.tri) + 1)) AS l(j) WHERE i <= j AND list_contains(x.tri, y.tri[i]) AND list_contains(x.tri, y.tri[j]))) GROUP BY 1, 2"""
+ALIKE = "SELECT p.a, p.b, p.s AS ab, q.s AS ba FROM one_way p JOIN one_way q ON p.a = q.b AND p.b = q.a WHERE p.a < p.b AND greatest(p.s, q.s) >= 0.8 - 1e-9"
+
+
+def _titles(c):
+    return c.documents.select("title").distinct()
+
+
+@query(with_tables("SELECT a, b, round(ab, 6) AS ab, round(ba, 6) AS ba FROM alike", trigrams=TRIGRAMS, one_way=ONE_WAY, alike=ALIKE))
+def similar_titles(c):
+    return trigrams.similar(_titles(c), 0.8, key="title").select("a", "b", F.round("ab", 6).alias("ab"), F.round("ba", 6).alias("ba"))
 
 
+@query(with_tables("SELECT count(*) AS pairs, count(*) FILTER (abs(ab - ba) < 0.1) AS below, list_transform(quantile_cont(abs(ab - ba), [0.5, 0.75, 0.9, 0.95]), lambda x: round(x, 6)) AS percentiles FROM alike", trigrams=TRIGRAMS, one_way=ONE_WAY, alike=ALIKE))
+def title_margins(c):
+    out = trigrams.margins(trigrams.similar(_titles(c), 0.8, key="title"))
+    return out.withColumn("percentiles", F.transform("percentiles", lambda x: F.round(x, 6)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import search, visibility
+from docloom.operators import answers, passages, search, visibility
 from docloom.operators.search import Request
-from docloom.plans.corpus import with_tables
+from docloom.plans.corpus import Corpus, with_tables
 from docloom.plans.registry import query
 from docloom.plans.search_queries import NEAR, WALK
 
@@ -39,26 +40,69 @@ def search_previews(c):
     return text.previews(hits, "the thing of nations")
 
 
-@query(with_tables("""SELECT document_id, min(chunk_index) - 2 AS first, max(chunk_index) + 2 AS last, arg_min(chunk_index, distance * 1000000 + chunk_index / 1000) AS anchor, count(*) AS members FROM (
-    SELECT *, sum(CASE WHEN prev IS NULL OR chunk_index - 2 > prev + 3 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY chunk_index) AS island
-    FROM (SELECT *, lag(chunk_index) OVER (PARTITION BY document_id ORDER BY chunk_index) AS prev FROM cand)) GROUP BY document_id, island""", **FOUND))
+class Numbered(Corpus):
+    """The corpus with a numbered decision at the head of each chunk."""
+
+    @cached_property
+    def chunks(self):
+        number = ((F.col("document_id") + F.col("chunk_index")) % 3).cast("string")
+        return super().chunks.withColumn("content", F.concat(F.lit("ADR-"), number, F.lit(" "), "content"))
+
+
+NEAREST = {
+    **FOUND,
+    "direct": WALK["direct"],
+    "num": "SELECT document_id, version, chunk_index, 'ADR-' || ((document_id + chunk_index) % 3) || ' ' || content AS content FROM chunks",
+    "excerpt": "SELECT n.document_id, n.version, n.chunk_index AS excerpt_index FROM near n JOIN num USING (document_id, version, chunk_index) WHERE num.content LIKE 'ADR-1 %' QUALIFY row_number() OVER (PARTITION BY n.document_id, n.version ORDER BY distance, n.chunk_index) = 1",
+    "eight": "SELECT document_id, version, chunk_index, distance FROM cand QUALIFY row_number() OVER (PARTITION BY document_id, version ORDER BY distance, chunk_index) <= 8",
+    "spans": "SELECT e.document_id, e.version, e.chunk_index, e.distance, min(x.chunk_index) AS first, max(x.chunk_index) AS last FROM eight e JOIN chunks x ON x.document_id = e.document_id AND x.version = e.version AND x.chunk_index BETWEEN e.chunk_index - 2 AND e.chunk_index + 2 GROUP BY ALL",
+    "islands": """SELECT *, sum(CASE WHEN first > reached + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY document_id, version ORDER BY first, chunk_index) AS island FROM (
+        SELECT *, max(last) OVER (PARTITION BY document_id, version ORDER BY first, chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM spans)""",
+    "merged": """SELECT g.document_id, g.version, g.chunk_index, g.first, g.last, g.distance, string_agg(x.content, chr(10) || chr(10) ORDER BY x.chunk_index) AS content, CAST(coalesce(sum(length(x.content) + 2) FILTER (x.chunk_index < g.chunk_index), 0) AS BIGINT) AS focus_from,
+        CAST(coalesce(sum(length(x.content) + 2) FILTER (x.chunk_index < g.chunk_index), 0) + max(length(x.content)) FILTER (x.chunk_index = g.chunk_index) AS BIGINT) AS focus_to
+        FROM (SELECT document_id, version, island, min(first) AS first, max(last) AS last, min({'d': distance, 'c': chunk_index}).c AS chunk_index, min(distance) AS distance FROM islands GROUP BY 1, 2, 3) g
+        JOIN chunks x ON x.document_id = g.document_id AND x.version = g.version AND x.chunk_index BETWEEN g.first AND g.last GROUP BY ALL""",
+}
+
+
+@query(with_tables("""SELECT document_id, rank, chunk_index AS shown_index, coalesce((SELECT string_agg(x.content, chr(10) || chr(10) ORDER BY x.chunk_index) FROM num x WHERE x.document_id = d.document_id AND x.version = d.version AND x.chunk_index BETWEEN excerpt_index - 1 AND excerpt_index + 1),
+    (SELECT string_agg(x.content, chr(10) || chr(10) ORDER BY x.chunk_index) FROM num x WHERE x.document_id = d.document_id AND x.chunk_index BETWEEN d.chunk_index - 1 AND d.chunk_index + 1)) AS content,
+    (SELECT string_agg(x.chunk_index, ',' ORDER BY x.chunk_index) FROM num x WHERE x.document_id = d.document_id AND x.version = d.version AND x.chunk_index BETWEEN coalesce(excerpt_index, d.chunk_index) - 1 AND coalesce(excerpt_index, d.chunk_index) + 1) AS near,
+    (SELECT substr(x.content, 1, 300) FROM num x WHERE x.document_id = d.document_id AND x.chunk_index = d.chunk_index AND x.content LIKE 'ADR-1 %' AND abs(x.chunk_index - coalesce(excerpt_index, d.chunk_index)) <= 1) AS preview FROM direct d LEFT JOIN excerpt USING (document_id, version)""", **NEAREST))
+def search_output(c):
+    """What a search for one numbered decision shows of its hits."""
+    numbered = Numbered(c.spark, c.sf_dir)
+    hits, _ = passages.hits_and_passages(numbered, Request("user1", text="ADR-1 in Title 3"), c.query_vector)
+    return hits.select("document_id", "rank", "shown_index", "content", F.array_join(F.transform("near", lambda x: x["chunk_index"].cast("string")), ",").alias("near"), "preview")
+
+
+@query(with_tables("SELECT document_id, version, chunk_index, first, last, content, round(1 - distance, 6) AS score, focus_from, focus_to, row_number() OVER (PARTITION BY document_id, version ORDER BY distance, chunk_index) AS place FROM merged", **NEAREST))
 def passage_merge(c):
-    w = Window.partitionBy("document_id").orderBy("chunk_index")
-    prev = F.lag("chunk_index").over(w)
-    marked = _found(c).withColumn("new", (prev.isNull() | (F.col("chunk_index") - 2 > prev + 3)).cast("int"))
-    grouped = marked.withColumn("island", F.sum("new").over(w)).groupBy("document_id", "island")
-    out = grouped.agg((F.min("chunk_index") - 2).alias("first"), (F.max("chunk_index") + 2).alias("last"), F.min_by("chunk_index", F.struct("distance", "chunk_index")).alias("anchor"), F.count("*").alias("members"))
-    return out.drop("island")
+    return passages.merged_passages(c.chunks, _found(c))
+
 
+ITEMS = """SELECT row_number() OVER (ORDER BY d.rank, m.distance, m.chunk_index) AS n, m.document_id, m.chunk_index, m.version, m.content, length(m.content) AS size, trim(m.content, E' \\n\\t\\r\\f\\v') AS whole,
+    focus_from + length(f) - length(ltrim(f, E' \\n\\t\\r\\f\\v')) AS b, focus_from + length(rtrim(f, E' \\n\\t\\r\\f\\v')) AS e, v.current FROM (SELECT *, substr(content, focus_from + 1, focus_to - focus_from) AS f FROM merged) m JOIN direct d USING (document_id, version)
+    JOIN (SELECT docs.id, coalesce(max(w.version), 1) AS current FROM docs LEFT JOIN versions w ON w.document_id = docs.id GROUP BY 1) v ON v.id = m.document_id"""
+PASS_ONE = """WITH RECURSIVE one AS (SELECT 0 AS n, CAST(4000 AS BIGINT) AS room, CAST([] AS VARCHAR[]) AS seen, false AS took, CAST(0 AS BIGINT) AS used
+    UNION ALL SELECT n, room - CASE WHEN took THEN used ELSE 0 END, CASE WHEN took THEN list_append(seen, whole) ELSE seen END, took, used FROM (SELECT i.n, o.room, o.seen, i.whole, least(i.e - i.b, o.room) AS used,
+        o.room > 0 AND i.whole <> '' AND NOT list_contains(o.seen, i.whole) AND NOT (i.e - i.b > o.room AND len(o.seen) > 0) AS took FROM one o JOIN items i ON i.n = o.n + 1))
+    SELECT n, used, room, row_number() OVER (ORDER BY n) AS k FROM one WHERE took"""
+PASS_TWO = """WITH RECURSIVE two AS (SELECT CAST(0 AS BIGINT) AS k, (SELECT min(room) FROM first_pass) AS room, CAST(0 AS BIGINT) AS b, CAST(0 AS BIGINT) AS e
+    UNION ALL SELECT k, room - CASE WHEN room > 0 THEN (e2 - b2) - used ELSE 0 END, CASE WHEN room > 0 THEN b2 ELSE b END, CASE WHEN room > 0 THEN e2 ELSE b + used END FROM (SELECT *, CASE WHEN e - b >= lim THEN b ELSE least(greatest(0, b - (least(lim, size) - (e - b)) // 2), size - least(lim, size)) END AS b2,
+        CASE WHEN e - b >= lim THEN b + lim ELSE least(greatest(0, b - (least(lim, size) - (e - b)) // 2), size - least(lim, size)) + least(lim, size) END AS e2 FROM (SELECT f.k, t.room, f.used, i.b, i.e, i.size, f.used + t.room AS lim FROM two t JOIN first_pass f ON f.k = t.k + 1 JOIN items i ON i.n = f.n)))
+    SELECT * FROM two WHERE k > 0"""
 
-@query(with_tables("""SELECT document_id, chunk_index, place, used FROM (SELECT *, sum(n) OVER (ORDER BY place) AS used FROM (SELECT k.document_id, k.chunk_index, length(x.content) AS n, row_number() OVER (ORDER BY distance, k.document_id, k.chunk_index) AS place
-    FROM cand k JOIN chunks x USING (document_id, chunk_index))) WHERE used <= 4000""", **FOUND))
+
+@query(with_tables("""SELECT row_number() OVER (ORDER BY k) AS label, document_id, chunk_index, version AS based_on_version, current AS current_version, version < current AS revised, trim(substr(content, t.b + 1, t.e - t.b), E' \n\t\r\f\v') AS content
+    FROM second_pass t JOIN first_pass f USING (k) JOIN items i ON i.n = f.n""", **NEAREST, items=ITEMS, first_pass=PASS_ONE, second_pass=PASS_TWO))
 def evidence(c):
-    """Passages in rank order while they fit 4,000 characters; over five times k candidates, so the one window is bounded."""
-    order = Window.orderBy("distance", "document_id", "chunk_index")
-    hits = _found(c).join(c.chunks.select("document_id", "chunk_index", "content"), ["document_id", "chunk_index"])
-    used = F.sum(F.length("content")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return hits.select("document_id", "chunk_index", F.row_number().over(order).alias("place"), used.alias("used")).where("used <= 4000")
+    """Evidence of 4,000 characters from the passages of a search's hits."""
+    hits, found = passages.hits_and_passages(c, Request("user1", text="Title 3"), c.query_vector)
+    newest = c.versions.groupBy(F.col("document_id").alias("d")).agg(F.max("version").alias("current_version"))
+    rows = found.withColumnRenamed("place", "passage").join(hits.select("document_id", "version", "title", F.col("rank").alias("place")), ["document_id", "version"]).join(newest, F.col("document_id") == F.col("d"), "left")
+    rows = rows.select(F.lit(1).alias("query_id"), "place", "passage", "document_id", "title", "chunk_index", F.col("version").alias("based_on_version"), F.coalesce("current_version", F.lit(1)).alias("current_version"), "content", "focus_from", "focus_to")
+    return answers.evidence(rows, 4000).select("label", "document_id", "chunk_index", "based_on_version", "current_version", "revised", "content")
 
 
 @query(with_tables("SELECT id, list_sort(list_distinct(list_transform(regexp_extract_all('a [' || (id % 5) || '] b [' || (id % 3) || '] [x]', '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS INT)))) AS cited FROM docs"))

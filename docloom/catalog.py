@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.plans import analytics_queries, file_queries, search_queries, state_queries, stream_queries, text_queries  # noqa: F401  (they register their queries)
+from docloom.plans import analytics_queries, audit_queries, file_queries, search_queries, state_queries, stream_queries, text_queries  # noqa: F401  (they register their queries)
 from docloom.plans.registry import ORACLES, QUERIES, Query
 
 

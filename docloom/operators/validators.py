@@ -58,3 +58,22 @@ def changed_rows(before: DataFrame, after: DataFrame, key: str = "id") -> DataFr
 def outage_violations(outages: DataFrame) -> DataFrame:
     """The last good answer comes before the first failure, and that before the recovery."""
     return outages.where("not (last_ok_at <= first_failure_at and first_failure_at <= recovered_at)")
+
+
+EDGE_KINDS = ("overlaps", "related")
+
+
+def orphans(children: dict[str, DataFrame], documents: DataFrame) -> dict[str, DataFrame]:
+    """Rows of tables (document_id, ...) whose document is gone."""
+    ids = documents.select(F.col("id").alias("document_id"))
+    return {f"{name}_without_document": df.join(ids, "document_id", "left_anti") for name, df in children.items()}
+
+
+def integrity(documents: DataFrame, edges: DataFrame, grants: DataFrame, previews: DataFrame, outages: DataFrame, log: tuple[DataFrame, DataFrame], departments: tuple[DataFrame, DataFrame, DataFrame], children: dict[str, DataFrame]) -> DataFrame:
+    """(rule, violations) of the rules over edges, grants, previews, outages, the audit log (before, after), departments (users, members, folders) and children of documents."""
+    given = F.col("user_id").isNotNull().cast("int") + F.col("group_id").isNotNull().cast("int") + F.col("share_id").isNotNull().cast("int")
+    rules = {
+        "edge_kind_unknown": edges.where(~F.col("kind").isin(*EDGE_KINDS) | F.col("kind").isNull()), "grantees_not_one": grants.where(given != 1), "preview_ready_without_pdf": preview_violations(previews),
+        "outage_out_of_order": outage_violations(outages), "audit_row_changed": changed_rows(*log), **department_violations(*departments), **orphans(children, documents),
+    }
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations") for rule, df in rules.items()))

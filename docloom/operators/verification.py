@@ -66,3 +66,49 @@ def unfinished(docs: DataFrame, jobs: DataFrame, chunks: DataFrame, prefix: str)
     j = jobs.join(own, "document_id", "left_semi").agg(F.count_if(F.col("status").isin("pending", "processing")).alias("jobs"), F.count_if(F.col("status") == "error").alias("error"))
     stale = chunks.join(own, "document_id").where("version <> now").agg(F.countDistinct("document_id").alias("inconsistent"))
     return j.join(stale).join(own.agg(F.count_if(F.col("embedding_status") != "ready").alias("not_ready")))
+
+
+def reconcile(ledger: DataFrame, rows: DataFrame) -> DataFrame:
+    """(class, title): what a ledger of uploads (title, ok, sha256, file_sha256) and stored rows (title, stored, recomputed, version, files) disagree on.
+
+    lost, mismatched (a stored or recomputed hash), file_mismatched (the files (file_version, stored, recomputed) are not the one uploaded, where its hash is
+    known) and version_drift are acknowledged uploads; a ghost was refused and is there; a duplicate is there twice; an unknown one is in no ledger.
+    Of several rows of a title the greatest version speaks for versions and files.
+    """
+    found = rows.groupBy("title").agg(
+        F.count("*").alias("n"), F.array_union(F.collect_set("stored"), F.collect_set("recomputed")).alias("hashes"), F.max("version").alias("version"), F.max_by("files", "version").alias("files"),
+    )
+    met = ledger.join(found, "title", "full").withColumn("there", F.col("n").isNotNull())
+    known, acked = F.col("ok").isNotNull(), F.coalesce("ok", F.lit(False))
+    one = F.array(F.struct(F.lit(1).cast("long").alias("file_version"), F.col("file_sha256").alias("stored"), F.col("file_sha256").alias("recomputed")))
+    files = F.transform(F.coalesce("files", F.array().cast("array<struct<file_version:long,stored:string,recomputed:string>>")), lambda f: F.struct(f["file_version"].cast("long").alias("file_version"), f["stored"].alias("stored"), f["recomputed"].alias("recomputed")))
+    classes = F.array_compact(F.array(
+        F.when(acked & ~F.col("there"), "lost"), F.when(acked & F.col("there") & F.exists("hashes", lambda h: ~h.eqNullSafe(F.col("sha256"))), "mismatched"), F.when(known & ~acked & F.col("there"), "ghost"),
+        F.when(F.col("n") > 1, "duplicate"), F.when(~known, "unknown"), F.when(acked & F.col("there") & F.col("file_sha256").isNotNull() & (files != one), "file_mismatched"), F.when(acked & (F.col("version") != 1), "version_drift"),
+    ))
+    return met.select(F.explode(classes).alias("class"), "title").distinct()
+
+
+JOB_PATH = ("pending", "processing", "done")
+
+
+def between(first: DataFrame, restored: DataFrame, second: DataFrame, fields: list[str], key: str = "title") -> DataFrame:
+    """(key, problem): why a restored snapshot does not lie between two others: rows that both have and it lacks, rows that neither has, fields that did not change but differ."""
+    side = lambda df, name: df.select(key, F.struct(*fields).alias(name))
+    met = side(first, "a").join(side(restored, "r"), key, "full").join(side(second, "b"), key, "full")
+    a, r, b = F.col("a"), F.col("r"), F.col("b")
+    changed = [F.when(a.isNotNull() & b.isNotNull() & r.isNotNull() & a[f].eqNullSafe(b[f]) & ~r[f].eqNullSafe(b[f]), F.lit(f)) for f in fields]
+    problems = F.array_compact(F.array(F.when(a.isNotNull() & b.isNotNull() & r.isNull(), "missing"), F.when(a.isNull() & b.isNull(), "extra"), *changed))
+    return met.select(key, F.explode(problems).alias("problem"))
+
+
+def jobs_between(first: DataFrame, restored: DataFrame, second: DataFrame) -> DataFrame:
+    """(id, status): restored jobs whose status is not on the path from the first snapshot's to the second's; off the path of pending, processing and done only the two ends are."""
+    path = F.array(*map(F.lit, JOB_PATH))
+    met = restored.select("id", "status").join(first.select("id", F.col("status").alias("a")), "id", "left").join(second.select("id", F.col("status").alias("b")), "id", "left")
+    at = lambda c: F.array_position(path, F.col(c))
+    on_path = (at("a") > 0) & (at("b") > 0)
+    within = (at("status") > 0) & (at("status") >= at("a")) & (at("status") <= at("b"))
+    ends = F.array_contains(F.array_compact(F.array("a", "b")), F.col("status"))
+    backwards = F.coalesce(on_path & (at("a") > at("b")), F.lit(False))  # nothing is told of a job that went back
+    return met.where((F.col("a").isNotNull() | F.col("b").isNotNull()) & ~backwards & ~F.when(F.coalesce(on_path, F.lit(False)), within).otherwise(ends)).select("id", "status")

@@ -351,19 +351,6 @@ def retrieval_metrics(c):
     return analytics.retrieval_metrics(ranked, edges.where("dst % 2 = 0").select(F.col("src").alias("query"), F.col("dst").alias("document")).distinct())
 
 
-LEDGER = "SELECT id, title, content_hash AS hash FROM docs WHERE id % 9 <> 2"
-STORED = "SELECT id, title, CASE WHEN id % 17 = 3 THEN 'x' ELSE content_hash END AS hash FROM docs WHERE id % 11 <> 5"
-
-
-@query(with_tables("SELECT CASE WHEN s.id IS NULL THEN 'lost' WHEN l.id IS NULL THEN 'ghost' WHEN l.hash <> s.hash THEN 'mismatched' ELSE 'same' END AS class, count(*) AS documents FROM ledger l FULL JOIN stored s ON l.id = s.id GROUP BY 1", ledger=LEDGER, stored=STORED))
-def reconcile_ledger(c):
-    d = c.documents
-    led = d.where("id % 9 <> 2").select("id", F.col("content_hash").alias("wanted"))
-    got = d.where("id % 11 <> 5").select(F.col("id").alias("sid"), F.when(F.col("id") % 17 == 3, "x").otherwise(F.col("content_hash")).alias("hash"))
-    kind = F.when(F.col("sid").isNull(), "lost").when(F.col("id").isNull(), "ghost").when(F.col("wanted") != F.col("hash"), "mismatched").otherwise("same")
-    return led.join(got, F.col("id") == F.col("sid"), "full").groupBy(kind.alias("class")).agg(F.count("*").alias("documents"))
-
-
 @query(with_tables("SELECT md5(string_agg(md5(id || ':' || content_hash), '' ORDER BY id)) AS digest FROM docs"))
 def table_digest(c):
     """A fingerprint of the ordered row hashes, which by its definition are one string of 32 characters a row."""

@@ -7,11 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import analytics, changes, files, listing, validators, verification, visibility
+from docloom.functions import text
+from docloom.operators import analytics, changes, diffs, files, listing, search, validators, verification, visibility
 from docloom.operators.listing import Filters
 from docloom.plans.analytics_queries import BEFORE, USER, _before
 from docloom.plans.corpus import with_tables
 from docloom.plans.registry import query
+from docloom.plans.search_queries import GRAPH, LINKS
+from docloom.session import cut_lineage
+from docloom.sources import sinks
 
 FILES = """SELECT id AS document_id, v AS file_version, 'f' || id || '.' || CASE WHEN id % 8 = 6 THEN 'PDF' ELSE content_type END AS filename,
     CASE WHEN v = 1 THEN content_hash ELSE sha256(content || 'x') END AS sha256 FROM docs, (SELECT unnest([1, 2]) AS v) WHERE v = 1 OR id % 3 = 0"""
@@ -135,3 +139,100 @@ def version_authors(c):
 def restore_requests(c):
     i = F.col("id")
     return changes.restore_results(c.documents, c.versions, c.documents.select(i.alias("document_id"), F.lit(2).alias("wanted"), F.when(i % 5 == 0, 7).otherwise(1).alias("client_version")))
+
+
+@query(with_tables("""SELECT 'edge_kind_unknown' AS rule, (SELECT count(*) FROM edges WHERE kind NOT IN ('overlaps', 'related') OR (kind = 'overlaps' AND src % 3 = 0)) AS violations
+    UNION ALL SELECT 'grantees_not_one', (SELECT count(*) FROM document_grants WHERE CAST(user_id IS NOT NULL AS INT) + CAST(group_id IS NOT NULL AS INT) + CAST(share_id IS NOT NULL AS INT) <> 1)
+    UNION ALL SELECT 'preview_ready_without_pdf', (SELECT count(*) FROM converted WHERE (status = 'ready') <> (pdf_sha256 IS NOT NULL AND document_id % 5 <> 0))
+    UNION ALL SELECT 'outage_out_of_order', (SELECT count(*) FROM audit_log WHERE NOT (document_id <= value * 10 AND value * 10 <= document_id + 50))
+    UNION ALL SELECT 'audit_row_changed', (SELECT count(*) FROM audit_log WHERE id % 50 IN (3, 4))
+    UNION ALL SELECT 'department_without_membership', (SELECT count(*) FROM (SELECT 'user' || (c_custkey % 7) AS u, c_mktsegment AS g FROM customer WHERE c_custkey % 3 <> 0) WHERE (u, g) NOT IN (SELECT (user_id, group_id) FROM members))
+    UNION ALL SELECT 'department_with_folders', (SELECT count(*) FROM (SELECT 1 FROM folders WHERE right(id, 1) IN ('1', '2') GROUP BY right(id, 1) HAVING count(*) > 1))
+    UNION ALL SELECT 'department_folder_below_top', (SELECT count(*) FROM folders WHERE right(id, 1) IN ('1', '2') AND parent_id IS NOT NULL)
+    UNION ALL SELECT 'job_without_document', (SELECT count(*) FROM jobs WHERE document_id NOT IN (SELECT id FROM kept))
+    UNION ALL SELECT 'edge_without_document', (SELECT count(*) FROM edges WHERE src NOT IN (SELECT id FROM kept)) UNION ALL SELECT 'link_without_document', (SELECT count(*) FROM links WHERE id NOT IN (SELECT id FROM kept))
+    UNION ALL SELECT 'file_without_document', (SELECT count(*) FROM files WHERE document_id NOT IN (SELECT id FROM kept)) UNION ALL SELECT 'grant_without_document', (SELECT count(*) FROM document_grants WHERE document_id NOT IN (SELECT id FROM kept))""",
+    links=LINKS, kept="SELECT id FROM docs WHERE id % 6 <> 1", **GRAPH, **STORE))
+def integrity_violations(c):
+    """The rules over tables in which some are broken: every sixth document is gone, and values are changed by id."""
+    last = F.substring("id", -1, 1)
+    log = c.audit_log.select("id", "actor", "action")
+    changed = log.where("id % 50 <> 4").withColumn("actor", F.when(F.col("id") % 50 == 3, "someone else").otherwise(F.col("actor")))
+    users = c.table("customer").where("c_custkey % 3 <> 0").select(F.concat(F.lit("user"), F.col("c_custkey") % 7).alias("user_id"), F.col("c_mktsegment").alias("group_id"))
+    return validators.integrity(
+        c.documents.where("id % 6 <> 1"), c.edges.withColumn("kind", F.when((F.col("kind") == "overlaps") & (F.col("src") % 3 == 0), "like").otherwise(F.col("kind"))), c.document_grants,
+        _converted(c).withColumn("pdf_sha256", F.when(F.col("document_id") % 5 != 0, F.col("pdf_sha256"))),
+        c.audit_log.select(F.col("document_id").alias("last_ok_at"), (F.col("value") * 10).alias("first_failure_at"), (F.col("document_id") + 50).alias("recovered_at")), (log, changed),
+        (users, c.members, c.folders.select("id", "parent_id", F.when(last.isin("1", "2"), last).alias("group_id"))),
+        {"job": c.jobs, "edge": c.edges.withColumnRenamed("src", "document_id"), "link": search.wikilinks(c.linked_text).withColumnRenamed("id", "document_id"), "file": _files(c), "grant": c.document_grants},
+    )
+
+
+@query(with_tables("SELECT id, CASE WHEN n = 1 THEN stem || '.md' ELSE stem || ' (' || n || ').md' END AS name, length(content) AS chars FROM (SELECT *, row_number() OVER (PARTITION BY lower(stem) ORDER BY created_at, CAST(id AS VARCHAR)) AS n FROM (SELECT *, CASE id % 3 WHEN 0 THEN 'Note_' ELSE 'nOTE_' END || (id % 20) AS stem FROM docs WHERE owner_id = 'user1' AND extraction_status = 'done'))"))
+def export_files(c):
+    """What an export of one owner's documents writes; titles collide but for case."""
+    title = F.concat(F.when(F.col("id") % 3 == 0, " .Note?").otherwise("nOTE/"), F.col("id") % 20)
+    out = sinks.export(c.documents.withColumn("title", title), USER)
+    return out.select("id", "name", F.length(F.regexp_replace("body", r"(?s)^---\n.*?\n---\n", "")).cast("long").alias("chars"))
+
+
+@query()
+def version_hunks(c):
+    """The lines of each version that differ from the one before, with three lines around them."""
+    new = c.versions.select(F.struct("document_id", "version").alias("id"), F.col("content").alias("new"))
+    old = c.versions.select(F.struct("document_id", (F.col("version") + 1).alias("version")).alias("id"), F.col("content").alias("old"))
+    pairs = cut_lineage(new.join(old, "id"))
+    return diffs.hunk_lines(diffs.hunks(text.diff_versions(pairs)), pairs).select("id.document_id", "id.version", "hunk", "place", "line", "op", "text")
+
+
+SENT = "SELECT 'T' || id AS title, id % 13 <> 0 AS ok, content_hash AS sha256, CASE WHEN id % 4 = 0 THEN content_hash END AS file_sha256, id FROM docs WHERE id % 19 <> 6"
+KEPT = """SELECT 'T' || id AS title, CASE WHEN id % 17 = 3 THEN 'x' ELSE content_hash END AS stored, sha256(CASE WHEN id % 23 = 8 THEN content || 'x' ELSE content END) AS computed, CASE WHEN id % 31 = 5 THEN 2 ELSE 1 END AS version, id, content_hash, n
+    FROM docs, (SELECT unnest([1, 2]) AS n) WHERE id % 9 <> 2 AND (n = 1 OR id % 29 = 3)"""
+
+
+@query(with_tables("""SELECT 'lost' AS class, title FROM sent WHERE ok AND title NOT IN (SELECT title FROM stored) UNION ALL SELECT DISTINCT 'mismatched', s.title FROM sent s JOIN stored k USING (title) WHERE ok AND (k.stored <> s.sha256 OR k.computed <> s.sha256)
+    UNION ALL SELECT DISTINCT 'ghost', s.title FROM sent s JOIN stored USING (title) WHERE NOT ok UNION ALL SELECT 'duplicate', title FROM stored GROUP BY title HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'unknown', title FROM stored WHERE title NOT IN (SELECT title FROM sent)
+    UNION ALL SELECT DISTINCT 'file_mismatched', s.title FROM sent s JOIN stored k USING (title) WHERE ok AND file_sha256 IS NOT NULL AND k.id % 8 = 4 UNION ALL SELECT DISTINCT 'version_drift', s.title FROM sent s JOIN stored k USING (title) WHERE ok AND version <> 1""", sent=SENT, stored=KEPT))
+def reconcile_ledger(c):
+    """A ledger of uploads against stored rows, whose texts are hashed again; some are lost, doubled, changed or refused."""
+    i, title = F.col("id"), F.concat(F.lit("T"), "id")
+    sent = c.documents.where("id % 19 <> 6").select(title.alias("title"), (i % 13 != 0).alias("ok"), F.col("content_hash").alias("sha256"), F.when(i % 4 == 0, F.col("content_hash")).alias("file_sha256"))
+    twice = c.documents.where("id % 9 <> 2").withColumn("n", F.explode(F.when(i % 29 == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))))
+    file = lambda n: F.struct(F.lit(n).alias("file_version"), F.col("content_hash").alias("stored"), F.col("content_hash").alias("recomputed"))
+    stored = twice.select(
+        title.alias("title"), F.when(i % 17 == 3, "x").otherwise(F.col("content_hash")).alias("stored"), F.sha2(F.encode(F.when(i % 23 == 8, F.concat("content", F.lit("x"))).otherwise(F.col("content")), "UTF-8"), 256).alias("recomputed"),
+        F.when(i % 31 == 5, 2).otherwise(1).alias("version"), F.when(i % 8 == 4, F.array(file(1), file(2))).otherwise(F.array(file(1))).alias("files"),
+    )
+    return verification.reconcile(sent, stored)
+
+
+POINTS = {
+    "s1": "SELECT id, content_hash AS h, 1 AS v, embedding_status AS e FROM docs WHERE id % 7 <> 0",
+    "mid": "SELECT id, CASE WHEN id % 17 = 2 THEN 'x' WHEN id % 2 = 0 THEN 'new' ELSE content_hash END AS h, CASE WHEN id % 19 = 0 THEN 9 ELSE 1 END AS v, embedding_status AS e FROM docs WHERE id % 14 <> 3 UNION ALL SELECT -1, 'h', 1, 'ready'",
+    "s2": "SELECT id, CASE WHEN id % 2 = 0 THEN 'new' ELSE content_hash END AS h, CASE WHEN id % 4 = 0 THEN 2 ELSE 1 END AS v, 'ready' AS e FROM docs",
+}
+
+
+@query(with_tables("""SELECT a.id, 'missing' AS problem FROM s1 a JOIN s2 USING (id) WHERE id NOT IN (SELECT id FROM mid) UNION ALL SELECT id, 'extra' FROM mid WHERE id NOT IN (SELECT id FROM s1) AND id NOT IN (SELECT id FROM s2)
+    UNION ALL SELECT id, unnest(list_filter([CASE WHEN a.h = b.h AND m.h <> b.h THEN 'content_hash' END, CASE WHEN a.v = b.v AND m.v <> b.v THEN 'version' END, CASE WHEN a.e = b.e AND m.e <> b.e THEN 'embedding_status' END], lambda x: x IS NOT NULL)) FROM s1 a JOIN mid m USING (id) JOIN s2 b USING (id)""", **POINTS))
+def snapshot_between(c):
+    """Whether a restored state lies between two others, document by document and field by field."""
+    i, h = F.col("id"), F.col("content_hash")
+    fields = ["content_hash", "version", "embedding_status"]
+    changed = F.when(i % 2 == 0, "new").otherwise(h)
+    one = c.documents.where("id % 7 <> 0").select("id", *fields)
+    back = c.documents.where("id % 14 <> 3").select("id", F.when(i % 17 == 2, "x").otherwise(changed).alias("content_hash"), F.when(i % 19 == 0, 9).otherwise(1).alias("version"), "embedding_status")
+    extra = back.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("h").alias("content_hash"), F.lit(1).alias("version"), F.lit("ready").alias("embedding_status"))
+    two = c.documents.select("id", changed.alias("content_hash"), F.when(i % 4 == 0, 2).otherwise(1).alias("version"), F.lit("ready").alias("embedding_status"))
+    return verification.between(one, back.unionByName(extra), two, fields, key="id")
+
+
+@query(with_tables("""SELECT id, status FROM (SELECT id, CASE WHEN id % 5 = 0 THEN 'done' ELSE a END AS status, a, CASE WHEN id % 3 = 0 THEN 'done' ELSE a END AS b FROM (SELECT id, min(status) AS a FROM jobs GROUP BY 1)) WHERE
+    CASE WHEN a IN ('pending', 'processing', 'done') AND b IN ('pending', 'processing', 'done') THEN list_position(['pending', 'processing', 'done'], a) <= list_position(['pending', 'processing', 'done'], b)
+        AND NOT coalesce(list_position(['pending', 'processing', 'done'], status) BETWEEN list_position(['pending', 'processing', 'done'], a) AND list_position(['pending', 'processing', 'done'], b), false) ELSE status NOT IN (a, b) END"""))
+def restored_jobs(c):
+    """Jobs of a restored state whose status is off the path between two others."""
+    jobs = c.jobs.groupBy("id").agg(F.min("status").alias("status"))  # an id stands for one job
+    state = lambda status: jobs.select("id", status.alias("status"))
+    i, own = F.col("id"), F.col("status")
+    return verification.jobs_between(state(own), state(F.when(i % 5 == 0, "done").otherwise(own)), state(F.when(i % 3 == 0, "done").otherwise(own)))

@@ -126,24 +126,6 @@ def pending_previews(c):
     return c.documents.join(first, i == F.col("document_id"), "left").select("id", F.when(i % 3 == 0, None).when(i % 2 == 0, F.length("content")).otherwise(F.col("n")).alias("chars"))
 
 
-SNAPSHOTS = {
-    "s1": "SELECT id, 1 AS v FROM docs WHERE id % 7 <> 0",
-    "mid": "SELECT id, CASE WHEN id % 4 = 0 THEN 2 WHEN id % 19 = 0 THEN 9 ELSE 1 END AS v FROM docs WHERE id % 14 <> 0",
-    "s2": "SELECT id, CASE WHEN id % 2 = 0 THEN 2 ELSE 1 END AS v FROM docs",
-}
-
-
-@query(with_tables("SELECT class, count(*) AS documents FROM (SELECT CASE WHEN m.v IS NULL AND a.v IS NULL THEN 'not yet' WHEN m.v IS NULL THEN 'lost' WHEN m.v BETWEEN coalesce(a.v, 0) AND b.v THEN 'between' ELSE 'outside' END AS class FROM s2 b LEFT JOIN mid m USING (id) LEFT JOIN s1 a USING (id)) GROUP BY 1", **SNAPSHOTS))
-def snapshot_between(c):
-    i = F.col("id")
-    one = c.documents.where("id % 7 <> 0").select("id", F.lit(1).alias("a"))
-    mid = c.documents.where("id % 14 <> 0").select("id", F.when(i % 4 == 0, 2).when(i % 19 == 0, 9).otherwise(1).alias("m"))
-    two = c.documents.select("id", F.when(i % 2 == 0, 2).otherwise(1).alias("b"))
-    met = two.join(mid, "id", "full").join(one, "id", "full")
-    kind = F.when(F.col("m").isNull() & F.col("a").isNull(), "not yet").when(F.col("m").isNull(), "lost").when(F.col("m").between(F.coalesce("a", F.lit(0)), F.col("b")), "between").otherwise("outside")
-    return met.groupBy(kind.alias("class")).agg(F.count("*").alias("documents"))
-
-
 @query(with_tables("SELECT c_custkey AS token_id, 'user' || (c_custkey % 7) AS owner, c_nationkey % 3 = 0 AS expired FROM customer WHERE c_mktsegment <> 'BUILDING'"))
 def valid_tokens(c):
     """Tokens with their state: those of one segment are revoked, and a third have run out by now."""

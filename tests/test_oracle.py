@@ -24,4 +24,4 @@ def test_query(spark, small, con, name):
 
 
 def test_every_query_has_sql_or_reason():
-    assert set(catalog.queries()) - set(ORACLES) <= {"clusters", "chunk_documents", "version_diff", "search_previews"}
+    assert set(catalog.queries()) - set(ORACLES) <= {"clusters", "chunk_documents", "version_diff", "version_hunks", "search_previews"}

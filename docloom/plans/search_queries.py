@@ -155,6 +155,14 @@ def stored_edges(c):
     return edges_of(c)
 
 
+@query(with_tables("SELECT src, dst, kind, CASE WHEN src % 10 = 3 THEN score ELSE -1 END AS score FROM edges", **GRAPH))
+def replace_edges(c):
+    """Edges of some documents replace theirs in an older state of the graph; those that point to them stay."""
+    old = edges_of(c).withColumn("score", F.lit(-1.0))
+    sources = c.documents.where("id % 10 = 3").select(F.col("id").alias("src"))
+    return replace_by_source(old, edges_of(c), sources, "src").select("src", "dst", "kind", "score")
+
+
 CUT = {"cut": "SELECT * FROM chunks WHERE document_id % 10 <> 3 OR chunk_index < 3"} | {
     f"{n}_cut": GRAPH[n].replace("chunks", "cut").replace("knn", "knn_cut").replace("stats", "stats_cut") for n in GRAPH
 }

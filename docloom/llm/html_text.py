@@ -3,12 +3,14 @@
 A page is read once into blocks: stretches of text between block-level tags, each with its root-to-leaf tag path. For every path
 the text length, the punctuation and the linked text of its blocks are summed. Length and punctuation per block are smoothed along the
 page and multiplied; the share of linked text and a prior of the names of the elements around lower the product. Paths that
-reach a part of the greatest product are content; blocks of the others stay only as short company of content (headings, list items):
-inside the article or main element around content, or, where there is none, beside content in the same parent.
+reach a part of the greatest product are content; blocks of the others stay only as company of content (headings, list items, short
+sections): inside an article or main element around content, or, where there is none, beside content in the same parent. Of several
+article or main elements those stay whose own ratios reach that part of the greatest.
 
 Names are a prior, no verdict: an element named as page furniture (a menu, footer, sidebar, notice, advert, form, comment) counts little,
 one with such a word among others a bit less, and neither where it holds an article or main element. Forms and the like that hold
-half of a page's text count as wrappers too, where the page has no article or main element. Scripts, styles and hidden elements are never read.
+half of a page's text count as wrappers too, where the page has no article or main element. Readers' comments also show by repetition: sibling
+elements of one kind, each a short line with a date or the like and a text. Scripts, styles and hidden elements are never read.
 
 A null or empty page, and one without any content, give the empty text. Broken markup is read as browsers do in the common cases:
 paragraphs, list items and cells close each other, unknown end tags are ignored, open elements end with their parent. Paths of equal
@@ -31,8 +33,8 @@ from pyspark.sql import types as T
 from docloom.llm.common import text_slices
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?")
+_UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?。、，！？；：…]")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -47,14 +49,16 @@ FURNITURE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert "
     "comment comments commentlist reply replies respond disqus sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer share "
     "sharing social related recommended recommendations newsletter subscribe subscription popup modal overlay pagination pager login signup search "
-    "contentinfo complementary dialog form masthead".split()
+    "contentinfo complementary dialog form masthead discussion discussions thread threads cta header tagcloud taglist".split()
 )
 #: Words beside them that say nothing, and words that turn them round: has-sidebar is no sidebar (fixed values).
-PLAIN_WORDS = frozenset("site page main left right top bottom global list box block wrap wrapper container section area bar inner outer item items links widget primary secondary".split())
+PLAIN_WORDS = frozenset("site page main left right top bottom global list box block wrap wrapper container section area bar inner outer item items links widget primary secondary reader readers user users visitor posts articles stories".split())
+#: What a header may be of and still be no page furniture: the head of the text itself (fixed values).
+TITLED_WORDS = frozenset("article post entry story content text".split())
 TURNING_WORDS = frozenset("has have no with without is are open closed enabled disabled".split())
 #: Furniture that never wraps a page, however much text it holds.
 CLOSED_TAGS = frozenset("nav footer aside select button menu dialog".split())
-CLOSED_WORDS = frozenset("comment comments commentlist replies respond disqus footer".split())
+CLOSED_WORDS = frozenset("comment comments commentlist replies respond disqus footer discussion".split())
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 #: Priors of furniture by its whole name and by a part of it.
@@ -71,6 +75,7 @@ class Element:
     closed: bool = False
     holds_article: bool = False
     chars: int = 0
+    label: str = ""  # its classes
 
 
 @dataclass
@@ -85,19 +90,30 @@ class Block:
         return self.text[0]
 
 
-def _named(name: str, attributes: str) -> tuple[float, bool]:
+def attributes_of(text: str) -> dict[str, str]:
+    """The attributes of a start tag by their names; of a repeated one the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or ""))
+    return found
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_UNSEEN.search(attributes.get("style", "")))
+
+
+def _named(name: str, attributes: dict[str, str]) -> tuple[float, bool]:
     """Prior of an element by its tag and names, and whether it never wraps a page."""
     prior, closed = (STRONG, name in CLOSED_TAGS) if name in FURNITURE_TAGS or name == "header" else (1.0, False)
     if not attributes or name in ARTICLE or name in HEADINGS or name in ("html", "body"):
         return prior, closed
-    for m in _NAMES.finditer(attributes):
-        for token in (m[1] or m[2] or m[3] or "").lower().split():
-            parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
-            known = [w for w in parts if w in FURNITURE_WORDS]
-            if known and not TURNING_WORDS.intersection(parts):
-                whole = all(w in FURNITURE_WORDS or w in PLAIN_WORDS for w in parts)
-                prior = min(prior, STRONG if whole else WEAK)
-                closed |= whole and bool(CLOSED_WORDS.intersection(known))
+    for token in " ".join(attributes.get(n, "") for n in ("class", "id", "role")).lower().split():
+        parts = [w for w in re.split(r"[^a-z0-9]+", token) if w]
+        known = [w for w in parts if w in FURNITURE_WORDS and not (w == "header" and TITLED_WORDS.intersection(parts))]
+        if known and not TURNING_WORDS.intersection(parts):
+            whole = all(w in FURNITURE_WORDS or w in PLAIN_WORDS for w in parts)
+            prior = min(prior, STRONG if whole else WEAK)
+            closed |= whole and bool(CLOSED_WORDS.intersection(known))
     return prior, closed
 
 
@@ -172,10 +188,11 @@ def blocks(page: str) -> list[Block]:
                     break
                 if stack[i].name not in INLINE:
                     break
-        prior, closed = _named(name, m[3])
+        attributes = attributes_of(m[3]) if m[3].strip() else {}
+        prior, closed = _named(name, attributes)
         if name == "header" and any(x.name in ARTICLE for x in stack):
             prior = 1.0
-        if m[3] and name not in ("html", "body") and _HIDDEN.search(m[3]):
+        if attributes and name not in ("html", "body") and _hidden(attributes):
             prior = 0.0
         if name in ARTICLE:
             for x in stack:
@@ -183,7 +200,7 @@ def blocks(page: str) -> list[Block]:
         if name not in INLINE:
             fresh = True
         if not m[0].endswith("/>") or name not in INLINE:
-            stack.append(Element(name, prior, closed))
+            stack.append(Element(name, prior, closed, label=attributes.get("class", "")))
             links += name == "a"
             hidden += prior == 0
     for b in out:
@@ -197,6 +214,31 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return (wide[:-2] + 2 * wide[1:-1] + wide[2:]) / 4
 
 
+#: What stands by a reader's name: a date, a time, or a word for speaking (fixed values).
+_SAID = re.compile(r"\b(?:\d{1,2}:\d{2}|\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{2,4}|ago|says|said|wrote|replied|reply|(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?,? \d{1,4}|\d{1,2}\.? (?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*)\b", re.I)
+_SHORT, _PROSE = 60, 200
+
+
+def _threads(found: list[Block]) -> set[int]:
+    """Elements that repeat as readers' words do: siblings of one kind, each a short line with a date or the like and then a text.
+
+    They count only where the rest of the page has a text of its own.
+    """
+    kinds: dict[tuple, dict[int, list[Block]]] = {}
+    for b in found:
+        for up, x in zip((_ROOT, *b.around), b.around, strict=False):
+            if x.name in ("div", "li", "article", "section", "blockquote", "dd") and up.prior == x.prior == 1:
+                kinds.setdefault((id(up), x.name, x.label), {}).setdefault(id(x), []).append(b)
+    out: set[int] = set()
+    for group in kinds.values():
+        said = [x for x, own in group.items() if len(own) > 1 and any(len(b.words) <= _SHORT and _SAID.search(b.words) for b in own[:-1]) and len(own[0].words) <= _SHORT and (own[0].path[-1] not in HEADINGS)]
+        if len(said) >= 2 and 2 * len(said) > len(group):
+            inner = {id(b) for own in group.values() for b in own}
+            if sum(len(b.words) - b.linked for b in found if id(b) not in inner and _PUNCTUATION.search(b.words)) >= _PROSE:
+                out |= set(group)
+    return out
+
+
 def _priors(found: list[Block]) -> list[float]:
     """Of each block, the product of the priors around it that are no wrapper's."""
     total = 0
@@ -208,18 +250,28 @@ def _priors(found: list[Block]) -> list[float]:
                 x.chars += own
     article = any(x.name in ARTICLE for b in found for x in b.around)
     wraps = lambda x: x.holds_article or not article and not x.closed and 2 * x.chars > total
+    threads = _threads(found)
+    titles = [b for b in found if b.path[-1:] == ("h1",)]
+    title = titles[0] if len(titles) == 1 and not article and not titles[0].linked else None  # a page's one title may stand in its header
     out = []
     for b in found:
         prior = STRONG if _RIGHTS.match(b.words) and not any(x.name in ARTICLE for x in b.around) else 1.0
         for x in b.around:
-            if x.prior < 1 and not wraps(x):
+            if id(x) in threads:
+                prior *= STRONG
+            elif x.prior < 1 and not wraps(x) and not (b is title and x.name == "header"):
                 prior *= x.prior
         out.append(prior)
     return out
 
 
+def fused(chars: np.ndarray, marks: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Of each path: smoothed text length and punctuation per block, multiplied, and growing with all its text."""
+    return _smooth(chars / blocks) * _smooth(marks / blocks) * np.sqrt(chars)
+
+
 def path_scores(found: list[Block], priors: list[float]) -> tuple[list[int], np.ndarray, np.ndarray]:
-    """Number of each block's path (told apart by prior), the fused score of each path, and its share of linked text."""
+    """Number of each block's path (told apart by prior), the score of each path, and its share of linked text."""
     number: dict[tuple, int] = {}
     own = [number.setdefault((b.path, p), len(number)) for b, p in zip(found, priors, strict=True)]
     nodes, chars, marks, linked, prior = (np.zeros(len(number)) for _ in range(5))
@@ -230,7 +282,27 @@ def path_scores(found: list[Block], priors: list[float]) -> tuple[list[int], np.
         linked[i] += min(b.linked, len(b.words))
         prior[i] = p
     share = linked / chars
-    return own, _smooth(chars / nodes) * _smooth(marks / nodes) * np.sqrt(chars) * (1 - share) ** 2 * prior, share
+    return own, fused(chars, marks, nodes) * (1 - share) ** 2 * prior, share
+
+
+def _article_scores(found: list[Block], priors: list[float], outer: list[Element | None]) -> dict[int, float]:
+    """The same ratios for each outermost article or main element, as if each were a path."""
+    places: dict[int, int] = {}
+    for o in outer:
+        if o is not None:
+            places.setdefault(id(o), len(places))
+    if not places:
+        return {}
+    chars, marks, nodes = (np.zeros(len(places)) for _ in range(3))
+    for b, p, o in zip(found, priors, outer, strict=True):
+        if o is not None and p > STRONG:
+            i = places[id(o)]
+            nodes[i] += 1
+            chars[i] += max(0, len(b.words) - b.linked)
+            marks[i] += 1 + len(_PUNCTUATION.findall(b.words))
+    whole = np.maximum(nodes, 1)
+    plain = chars / whole * marks / whole * np.sqrt(chars)  # not smoothed: neighbouring articles are no lines of one text
+    return {o: float(plain[i]) for o, i in places.items()}
 
 
 def main_text(page: str | None, part: float = 0.1) -> str:
@@ -246,14 +318,17 @@ def main_text(page: str | None, part: float = 0.1) -> str:
     outer = [next((x for x in b.around if x.name in ARTICLE), None) for b in found]
     inside = sum(len(b.words) for b, c, o in zip(found, content, outer, strict=True) if c and o is not None)
     total = sum(len(b.words) for b, c in zip(found, content, strict=True) if c)
-    company = [p > STRONG and (share[i] <= 0.8 or b.path[-1:] and b.path[-1] in HEADINGS) for b, p, i in zip(found, priors, own, strict=True)]
+    titled = [b.path[-1:] != () and b.path[-1] in HEADINGS for b in found]
+    listed = [o is not None and "li" in b.path for b, o in zip(found, outer, strict=True)]  # references of a text may all be links
+    company = [p > WEAK and (share[i] <= 0.8 or t or r) for p, i, t, r in zip(priors, own, titled, listed, strict=True)]
     if 2 * inside >= total:
-        holders = {id(o) for o, c in zip(outer, content, strict=True) if c and o is not None}
+        weight = _article_scores(found, priors, outer)
+        holders = {id(o) for o, c in zip(outer, content, strict=True) if c and o is not None and weight[id(o)] >= part * max(weight.values())}
         keep = [o is not None and id(o) in holders and (c or q) for o, c, q in zip(outer, content, company, strict=True)]
     else:
         parents = {id(_parent(b)) for b, c in zip(found, content, strict=True) if c}
         above = {id(x) for b, c in zip(found, content, strict=True) if c for x in (_ROOT, *b.around)}  # of titles
-        keep = [c or q and id(_parent(b)) in (above if b.path[-1:] and b.path[-1] in HEADINGS else parents) for b, c, q in zip(found, content, company, strict=True)]
+        keep = [c or q and (id(_parent(b)) in (above if t else parents) or _apart(b, above)) for b, c, q, t in zip(found, content, company, titled, strict=True)]
     return "\n".join(b.words for b, k in zip(found, keep, strict=True) if k)
 
 
@@ -265,6 +340,15 @@ def _parent(b: Block) -> Element:
     return next((x for x in reversed(b.around) if x.name in ("div", "section", "body", "html", *ARTICLE)), _ROOT)
 
 
+def _apart(b: Block, above: set[int]) -> bool:
+    """Whether a block in an element of its own, beside content, is the page's title, or a paragraph of sentences in a section."""
+    parent = _parent(b)
+    outside = b.around[: next((i for i, x in enumerate(b.around) if x is parent), 0)]
+    up = next((x for x in reversed(outside) if x.name in ("div", "section", "body", "html")), _ROOT)
+    told = parent.name == "section" and b.words[-1:] in {*".!?…。！？"}
+    return id(up) in above and not b.linked and (told or b.path[-1:] == ("h1",))
+
+
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The columns keep, text and n_chars of every page."""
     schema = T.StructType([*(pages.schema[c] for c in keep), T.StructField("text", T.StringType(), False), T.StructField("n_chars", T.LongType(), False)])

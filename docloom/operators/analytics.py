@@ -56,6 +56,23 @@ def suggest_folders(corpus, edges: DataFrame, principal: str | None) -> DataFram
     return best.join(own, "a").where(~F.col("folder_id").eqNullSafe(F.col("now"))).select(F.col("a").alias("id"), "folder_id", "votes", "voters")
 
 
+def related_reasons(corpus, ranked: DataFrame, principal: str | None) -> DataFrame:
+    """(id, chunks, based_on_version, related, reason) of every visible document: not_indexed without chunks, no_edges without related ones (ranked: id, ...)."""
+    state = corpus.chunks.groupBy(F.col("document_id").alias("id")).agg(F.count("*").alias("chunks"), F.max("version").alias("based_on_version"))
+    found = ranked.groupBy("id").agg(F.count("*").alias("related"))
+    seen = visibility.visible_documents(corpus, principal).join(state, "id", "left").join(found, "id", "left")
+    reason = F.when(F.col("chunks").isNull(), "not_indexed").when(F.col("related").isNull(), "no_edges")
+    return seen.select("id", F.coalesce("chunks", F.lit(0)).alias("chunks"), "based_on_version", F.when(F.col("chunks").isNotNull(), F.coalesce("related", F.lit(0))).otherwise(0).alias("related"), reason.alias("reason"))
+
+
+def unfiled_suggestions(corpus, edges: DataFrame, principal: str) -> DataFrame:
+    """(id, title, suggested, votes, total): the principal's own documents without a folder."""
+    own = corpus.documents.where(F.col("folder_id").isNull() & (F.col("owner_id") == principal)).join(visibility.visible_documents(corpus, principal), "id", "left_semi").select("id", "title")
+    total = own.agg(F.count("*").alias("total"))
+    suggested = suggest_folders(corpus, edges, principal).select("id", F.col("folder_id").alias("suggested"), "votes")
+    return own.join(suggested, "id", "left").crossJoin(F.broadcast(total)).select("id", "title", "suggested", "votes", "total")  # total is one row
+
+
 def orphans(corpus, edges: DataFrame, principal: str | None) -> DataFrame:
     """(id): visible, extracted documents without an edge to another visible one."""
     seen = visibility.visible_documents(corpus, principal)

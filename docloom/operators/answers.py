@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text
@@ -93,3 +93,59 @@ def cited(answers: DataFrame, labels: DataFrame, query: str = "query_id") -> Dat
     """labels (query, label, ...) with cited: whether the answer (query, answer) of the query names the label in brackets."""
     numbers = F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.try_cast("long")))
     return labels.join(answers.select(query, numbers.alias("_cited")), query, "left").withColumn("cited", F.coalesce(F.array_contains("_cited", F.col("label").cast("long")), F.lit(False))).drop("_cited")
+
+
+# Fixed value: what an answer says that finds nothing in its evidence.
+REFUSAL = "근거 문서에서 찾을 수 없습니다"
+
+
+def compact(said: Column) -> Column:
+    """A text with single blanks and without the commas of thousands."""
+    return F.regexp_replace(F.trim(F.regexp_replace(F.coalesce(said, F.lit("")), r"\s+", " ")), r"(?<=[0-9]),(?=[0-9])", "")
+
+
+def key_pattern(key: Column) -> Column:
+    """What finds a key whatever the blanks in it, but for blanks between digits, and never inside a longer number."""
+    chars = F.filter(F.split(F.regexp_replace(compact(key), r"\s", ""), ""), lambda c: c != "")
+    digit = lambda c: c.rlike("^[0-9]$")
+    last = F.size(chars) - 1
+    after = lambda c, i: F.when(i == last, "").when(digit(c) & digit(F.get(chars, i + 1)), "").otherwise(r"\s?")
+    body = F.array_join(F.transform(chars, lambda c, i: F.concat(F.regexp_replace(c, r"([^\p{L}\p{N}\s])", r"\\$1"), after(c, i))), "")
+    return F.concat(F.when(digit(F.get(chars, F.lit(0))), r"(?<![0-9.])").otherwise(""), body, F.when(digit(F.get(chars, last)), r"(?!\.?[0-9])").otherwise(""))
+
+
+def holds_all(said: Column, keys: Column) -> Column:
+    """Whether a compact text holds every key of an array; null for no keys."""
+    return F.when(F.size(keys) > 0, F.forall(keys, lambda k: F.rlike(said, key_pattern(k))))
+
+
+def grade(items: DataFrame, sources: DataFrame, relevant: DataFrame, query: str = "query_id") -> DataFrame:
+    """A row of judgements for each of items (query, answerable, status, answer, keys, absent).
+
+    sources: (query, label, document_id, content, revised, cited) as given to the answer; relevant: (query, document_id). keys_in_sources tells whether
+    the evidence held the keys, given_relevant and cited_relevant whether it held, and the answer cites, a relevant document; leaks are absent texts said.
+    """
+    told = sources.join(relevant.select(query, "document_id", F.lit(True).alias("_r")).distinct(), [query, "document_id"], "left").withColumn("_r", F.coalesce("_r", F.lit(False)))
+    summed = told.groupBy(query).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "content"))), lambda s: s["content"]), " ").alias("_given"), F.bool_or("_r").alias("_any"), F.bool_or(F.col("_r") & F.col("cited")).alias("_cited"), F.count_if(F.col("cited") & ~F.col("_r")).alias("_outside"),
+    )
+    asked = relevant.select(query).distinct().withColumn("_asked", F.lit(True))
+    met = items.join(summed, query, "left").join(asked, query, "left")
+    said = compact(F.col("answer"))
+    where_asked = lambda c: F.when(F.col("_asked"), F.coalesce(c, F.lit(False)))
+    return met.select(
+        query, "answerable", "status", holds_all(said, F.col("keys")).alias("key_hit"), holds_all(compact(F.col("_given")), F.col("keys")).alias("keys_in_sources"), where_asked(F.col("_any")).alias("given_relevant"),
+        where_asked(F.col("_cited")).alias("cited_relevant"), F.when(F.col("_asked"), F.coalesce("_outside", F.lit(0))).otherwise(0).alias("cited_outside"),
+        ((F.col("status") == "no_evidence") | F.rlike(said, key_pattern(F.lit(REFUSAL)))).alias("refused"), F.size(F.filter("absent", lambda k: F.rlike(said, key_pattern(k)))).alias("leaks"),
+    )
+
+
+def summary(graded: DataFrame) -> DataFrame:
+    """One row of counts over judgements."""
+    yes, no = F.col("answerable"), ~F.col("answerable")
+    hit = F.coalesce("key_hit", F.lit(False))
+    n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    return graded.agg(
+        F.count("*").alias("queries"), n(yes, "answerable"), n(yes & F.col("key_hit").isNotNull(), "key_graded"), n(yes & hit, "key_hits"), n(yes & F.col("keys_in_sources"), "keys_in_sources"), n(yes & F.col("keys_in_sources") & ~hit, "model_misses"),
+        n(yes & F.col("given_relevant"), "given_relevant"), n(yes & F.col("cited_relevant"), "cited_relevant"), n(yes & F.col("refused") & ~hit, "false_refusals"), n(no, "no_answer"), n(no & F.col("refused"), "correct_refusals"), n(F.col("leaks") > 0, "leaks"),
+    )

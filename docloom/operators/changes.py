@@ -65,6 +65,18 @@ def fail_jobs(jobs: DataFrame, now: Column) -> DataFrame:
     return out.select(*jobs.columns)
 
 
+def heartbeat(jobs: DataFrame, beats: DataFrame, now: Column, lease_seconds: int) -> DataFrame:
+    """Jobs whose lease goes on: processing ones whose worker (beats: id, attempts) still holds the same attempt."""
+    held = jobs.where("status = 'processing'").join(beats.select("id", "attempts").distinct(), ["id", "attempts"], "left_semi")
+    return held.withColumn("lease_expires_at", now + F.make_dt_interval(secs=F.lit(lease_seconds)))
+
+
+def release(jobs: DataFrame, given_back: DataFrame) -> DataFrame:
+    """Processing jobs that a worker gives back unworked (given_back: id): they wait again, and the attempt does not count."""
+    held = jobs.where("status = 'processing'").join(given_back.select("id").distinct(), "id", "left_semi")
+    return held.withColumns({"status": F.lit("pending"), "attempts": F.greatest(F.col("attempts") - 1, F.lit(0)), "lease_expires_at": F.lit(None).cast("timestamp")})
+
+
 def lock_seconds(failures: Column, limit: int = 10, first: float = 60.0, most: float = 3600.0) -> Column:
     """How long a login is locked after so many failures: from the limit on twice as long each time."""
     return F.when(failures >= limit, F.least(first * F.pow(F.lit(2.0), F.least(failures - limit, F.lit(30))), F.lit(most))).otherwise(0.0)

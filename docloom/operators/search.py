@@ -78,7 +78,7 @@ def matching(corpus, request: Request, in_folder: bool = True) -> DataFrame:
 def candidates(corpus, request: Request, query: DataFrame) -> DataFrame:
     """The nearest chunks, five times as many as documents are asked for: (document_id, title, chunk_index, distance)."""
     near = with_distance(corpus.chunks.join(matching(corpus, request), "document_id"), query)
-    return near.select("document_id", "title", "version", "chunk_index", "distance").orderBy("distance", "document_id", "chunk_index").limit(OVER_FETCH * request.k)
+    return near.select("document_id", "title", "version", "chunk_index", "distance").orderBy(F.asc_nulls_last("distance"), "document_id", "chunk_index").limit(OVER_FETCH * request.k)
 
 
 def ranked_hits(found: DataFrame, request: Request) -> DataFrame:

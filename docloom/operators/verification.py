@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +52,34 @@ def ledger_rows(docs: DataFrame, files: DataFrame, prefix: str) -> DataFrame:
     return seen.join(own, "id", "left").select("id", "title", F.col("content_hash").alias("stored"), F.sha2(F.encode("content", "UTF-8"), 256).alias("computed"), "version", names.alias("files"))
 
 
+def ordered_digest(rows: DataFrame, key: str, digest: str, block: int = 1 << 15) -> DataFrame:
+    """(digest): the MD5 of all rows' digests in the order of key, as one string of them would have it.
+
+    Ranges of keys are sorted and joined into blocks by many tasks; one task reads the blocks in order and keeps the state of the MD5 alone, as its
+    definition asks. Null digests count as empty; equal keys stand in the order of their digests; no rows give the MD5 of nothing.
+    """
+    dealt = rows.select(F.col(key).alias("k"), F.coalesce(F.col(digest), F.lit("")).alias("d")).repartitionByRange("k").sortWithinPartitions("k", "d")
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number = TaskContext.get().partitionId(), 0
+        for b in batches:
+            for i in range(0, b.num_rows, block):
+                text = "".join(b.column("d").slice(i, block).to_pylist())
+                yield pa.record_batch([pa.array([part], pa.int64()), pa.array([number], pa.int64()), pa.array([text], pa.string())], ["part", "number", "text"])
+                number += 1
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = hashlib.md5(usedforsecurity=False)
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                state.update(text.encode())
+        yield pa.record_batch([pa.array([state.hexdigest()], pa.string())], ["digest"])
+
+    blocks = dealt.mapInArrow(join, "part long, number long, text string")
+    folded = blocks.repartition(1).sortWithinPartitions("part", "number").mapInArrow(fold, "digest string")
+    return folded.agg(F.coalesce(F.max("digest"), F.md5(F.lit(""))).alias("digest"))  # one row at most
+
+
 def recovery_point(uploads: DataFrame, stored: DataFrame, cut_from: Column, cut_to: Column) -> DataFrame:
     """One row: what became of acknowledged uploads (title, hash, at) from before, during and after a cut, against stored (title, hash)."""
     kept = stored.groupBy("title").agg(F.count("*").alias("copies"), F.collect_set("hash").alias("hashes"))

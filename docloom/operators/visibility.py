@@ -14,10 +14,7 @@ ANCESTORS = f"""WITH RECURSIVE up(folder_id, ancestor_id, depth) MAX RECURSION L
     SELECT id, id, 0 FROM {{folders}}
     UNION ALL SELECT up.folder_id, f.parent_id, up.depth + 1 FROM up JOIN {{folders}} f ON f.id = up.ancestor_id WHERE f.parent_id IS NOT NULL)
     SELECT folder_id, ancestor_id, depth FROM up"""
-BELOW = f"""WITH RECURSIVE down(folder_id) MAX RECURSION LEVEL {MOST_LEVELS} AS (
-    SELECT folder_id FROM {{start}}
-    UNION ALL SELECT f.id FROM down JOIN {{folders}} f ON f.parent_id = down.folder_id)
-    SELECT DISTINCT folder_id FROM down"""
+BELOW = "SELECT DISTINCT folder_id FROM {closure} WHERE ancestor_id IN (SELECT folder_id FROM {start})"
 GRANTED = "(g.user_id = :user OR g.group_id IN (SELECT group_id FROM {members} WHERE user_id = :user))"
 OPEN_ROOTS = f"""SELECT id AS folder_id FROM {{folders}} WHERE parent_id IS NULL
     AND (visibility = 'public' OR created_by = :user OR id IN (SELECT g.folder_id FROM {{grants}} g WHERE {GRANTED}))"""
@@ -38,9 +35,10 @@ def ancestors(folders: DataFrame) -> DataFrame:
 
 
 def closure(corpus) -> DataFrame:
-    """The corpus's own ancestors, worked out and written once."""
+    """The corpus's ancestors as it keeps them, or worked out and written once."""
     if "_closure" not in corpus.__dict__:
-        corpus.__dict__["_closure"] = cut_lineage(ancestors(corpus.folders))
+        kept = getattr(corpus, "kept_closure", None)
+        corpus.__dict__["_closure"] = kept.read() if kept else cut_lineage(ancestors(corpus.folders))
     return corpus.__dict__["_closure"]
 
 
@@ -49,12 +47,12 @@ def _is_share(principal: str | None) -> bool:
 
 
 def visible_folders(corpus, principal: str | None) -> DataFrame:
-    """(folder_id): those whose root is public, the user's own or granted; for a share, those under its folders. One recursion, from the open ones down."""
+    """(folder_id): those whose root is public, the user's own or granted; for a share, those under its folders."""
     if _is_share(principal):
         start = corpus.share_folders.where(F.col("share_id") == principal).select("folder_id")
     else:
         start = _sql(corpus, OPEN_ROOTS, principal, folders=corpus.folders, grants=corpus.folder_grants, members=corpus.members)
-    return corpus.spark.sql(BELOW, start=start, folders=corpus.folders.select("id", "parent_id"))
+    return corpus.spark.sql(BELOW, start=start, closure=closure(corpus))
 
 
 def hold_visible(corpus, principal: str | None) -> DataFrame:

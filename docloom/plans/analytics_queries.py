@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.operators import analytics, changes, search, trigrams, validators, visibility
+from docloom.operators import analytics, changes, search, trigrams, validators, verification, visibility
 from docloom.plans.corpus import with_tables
 from docloom.plans.registry import query
 from docloom.plans.search_queries import BOTH, GRAPH, KIND, LINKS, edges_of
@@ -48,6 +48,21 @@ def folder_suggestion(c):
     return analytics.suggest_folders(c, edges_of(c), USER)
 
 
+@query(with_tables("""SELECT d.id, coalesce(n, 0) AS chunks, v AS based_on_version, CASE WHEN n IS NULL THEN 0 ELSE coalesce(r, 0) END AS related, CASE WHEN n IS NULL THEN 'not_indexed' WHEN r IS NULL THEN 'no_edges' END AS reason FROM docs d JOIN vis USING (id)
+    LEFT JOIN (SELECT document_id, count(*) AS n, max(version) AS v FROM chunks GROUP BY 1) k ON k.document_id = d.id LEFT JOIN (SELECT id, count(*) AS r FROM ranked WHERE rank <= 10 GROUP BY 1) x ON x.id = d.id""", **REL))
+def related_reasons(c):
+    """How many related documents each one has, and why it has none."""
+    return analytics.related_reasons(c, analytics.ranked_related(analytics.related(c, edges_of(c), USER), 10), USER)
+
+
+@query(with_tables(f"""SELECT d.id, d.title, s.folder_id AS suggested, s.votes, (SELECT count(*) FROM docs JOIN vis USING (id) WHERE folder_id IS NULL AND owner_id = 'user1') AS total FROM docs d JOIN vis USING (id) LEFT JOIN (SELECT * FROM (SELECT *, sum(votes) OVER (PARTITION BY a) AS voters FROM (SELECT p.a, d.folder_id, count(*) AS votes, round(sum(score), 6) AS weight
+    FROM (SELECT a, b, max(score) AS score FROM ({BOTH}) GROUP BY 1, 2) p JOIN docs d ON d.id = p.b WHERE d.folder_id IN (SELECT folder_id FROM visf) AND a IN (SELECT id FROM vis) AND b IN (SELECT id FROM vis) GROUP BY 1, 2))
+    WHERE votes >= 2 AND votes * 2 >= voters QUALIFY row_number() OVER (PARTITION BY a ORDER BY votes DESC, weight DESC, folder_id) = 1) s ON s.a = d.id WHERE d.folder_id IS NULL AND owner_id = 'user1'""", **GRAPH))
+def unfiled_suggestions(c):
+    """One owner's documents without a folder, with the folder that their neighbours suggest, and how many there are."""
+    return analytics.unfiled_suggestions(c, edges_of(c), USER)
+
+
 @query(with_tables("SELECT id, title FROM docs JOIN vis USING (id) WHERE folder_id IS NULL ORDER BY id LIMIT 20"))
 def unfiled(c):
     return c.documents.where("folder_id is null").join(visibility.visible_documents(c, USER), "id", "left_semi").select("id", "title").orderBy("id").limit(20)
@@ -353,9 +368,8 @@ def retrieval_metrics(c):
 
 @query(with_tables("SELECT md5(string_agg(md5(id || ':' || content_hash), '' ORDER BY id)) AS digest FROM docs"))
 def table_digest(c):
-    """A fingerprint of the ordered row hashes, which by its definition are one string of 32 characters a row."""
-    row = c.documents.select("id", F.md5(F.concat_ws(":", F.col("id").cast("string"), "content_hash")).alias("h"))
-    return row.agg(F.array_sort(F.collect_list(F.struct("id", "h"))).alias("a")).select(F.md5(F.array_join(F.col("a.h"), "")).alias("digest"))
+    """A fingerprint of the ordered row hashes."""
+    return verification.ordered_digest(c.documents.select("id", F.md5(F.concat_ws(":", F.col("id").cast("string"), "content_hash")).alias("h")), "id", "h")
 
 
 @query(with_tables("SELECT kind, count(*) AS jobs, round(avg(date_diff('second', next_attempt_at, TIMESTAMP '1999-01-01')), 3) AS mean_seconds FROM jobs WHERE status = 'done' GROUP BY 1"))

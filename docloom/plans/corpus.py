@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import graph, vectors
+from docloom.operators import graph, vectors, visibility
 from docloom.sources.store import Kept, stored
 
 SHARE = "share:1"
@@ -72,6 +72,11 @@ class Corpus:
             F.concat(F.lit("user"), leaf % 7).alias("created_by"), F.lit(None).cast("string").alias("visibility"),
         ))
 
+    @cached_property
+    def kept_closure(self) -> Kept:
+        """Every folder with all above it, worked out once for each state of the folders' tables."""
+        return stored("closure", "folder_id", [self.table("region"), self.table("nation")], lambda: visibility.ancestors(self.folders), visibility, buckets=1)
+
     @cached_property
     def members(self) -> DataFrame:
         """(user_id, group_id); users are user0 to user6, groups the market segments."""

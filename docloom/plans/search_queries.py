@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import cached_property
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docloom.operators import analytics, communities, graph, partition_index, search, vectors, visibility
+from docloom.operators import analytics, communities, embedding, graph, partition_index, search, vectors, visibility
 from docloom.operators.search import Request
-from docloom.plans.corpus import SHARE, visible_folders_sql, visible_sql, with_tables
+from docloom.plans.corpus import SHARE, Corpus, visible_folders_sql, visible_sql, with_tables
 from docloom.plans.registry import query
 from docloom.sources.store import replace_by_source
 
@@ -190,13 +192,15 @@ def replace_chunks(c):
     return replace_by_source(own, fresh, own.where("document_id % 4 = 1"), "document_id")
 
 
-@query(with_tables("SELECT n.k, round(avg(d), 6) AS avg_docs, min(d) AS min_docs, max(d) AS max_docs FROM (SELECT k, src, src_chunk, count(DISTINCT dst) AS d FROM (SELECT unnest([5, 10]) AS k) n JOIN (SELECT *, row_number() OVER (PARTITION BY src, src_chunk ORDER BY distance, dst, dst_chunk) AS r FROM knn) x ON x.r <= n.k GROUP BY ALL) n GROUP BY 1", **GRAPH))
-def edge_neighbour_spread(c):
-    from pyspark.sql import Window
+KNN40 = KNN.replace("<= 10", "<= 40")
+
 
-    near = vectors.neighbours(c.chunks)
+@query(with_tables("SELECT n.k, round(avg(d), 6) AS avg_docs, min(d) AS min_docs, max(d) AS max_docs FROM (SELECT k, src, src_chunk, count(DISTINCT dst) AS d FROM (SELECT unnest([5, 10, 20, 40]) AS k) n JOIN (SELECT *, row_number() OVER (PARTITION BY src, src_chunk ORDER BY distance, dst, dst_chunk) AS r FROM knn40) x ON x.r <= n.k GROUP BY ALL) n GROUP BY 1", knn40=KNN40))
+def edge_neighbour_spread(c):
+    """How many documents the 5, 10, 20 and 40 nearest chunks of a chunk come from."""
+    near = vectors.neighbours(c.chunks, 40)
     r = F.row_number().over(Window.partitionBy("src", "src_chunk").orderBy("distance", "dst", "dst_chunk"))
-    each = near.withColumn("r", r).withColumn("k", F.explode(F.array(F.lit(5), F.lit(10)))).where("r <= k").groupBy("k", "src", "src_chunk").agg(F.countDistinct("dst").alias("d"))
+    each = near.withColumn("r", r).withColumn("k", F.explode(F.array(*map(F.lit, (5, 10, 20, 40))))).where("r <= k").groupBy("k", "src", "src_chunk").agg(F.countDistinct("dst").alias("d"))
     return each.groupBy("k").agg(F.round(F.avg("d"), 6).alias("avg_docs"), F.min("d").alias("min_docs"), F.max("d").alias("max_docs"))
 
 
@@ -283,12 +287,35 @@ def search_full(c):
     return search.search(c, _request(), c.query_vector, edges_of(c))
 
 
+ASKED_TEXT = "the of and in der die que de la"
+WORDS_OF = "SELECT {key}, ('0x' || h[1:8])::BIGINT % 64 AS dimension, sum(CASE WHEN ('0x' || h[9:10])::INT % 2 = 1 THEN 1.0::DOUBLE ELSE -1.0 END) AS s FROM (SELECT {key}, sha256(w) AS h FROM (SELECT {key}, unnest(regexp_split_to_array(content, '\\s+')) AS w FROM {table}) WHERE w <> '') GROUP BY ALL HAVING s <> 0"
+HASHED = {
+    "hv": "SELECT document_id, chunk_index, dimension, round(s / sqrt(sum(s * s) OVER (PARTITION BY document_id, chunk_index)), 6) AS w FROM (" + WORDS_OF.format(key="document_id, chunk_index", table="chunks") + ")",
+    "hq": "SELECT dimension, s / sqrt(sum(s * s) OVER ()) AS w FROM (" + WORDS_OF.format(key="one", table=f"(SELECT 1 AS one, '{ASKED_TEXT}' AS content)") + ")",
+    "near": """SELECT c.*, round(1 - x.d, 9) AS distance FROM chunks c LEFT JOIN (SELECT document_id, chunk_index, coalesce(sum(v.w * q.w), 0) / (sqrt(sum(v.w * v.w)) * (SELECT sqrt(sum(w * w)) FROM hq)) AS d FROM hv v LEFT JOIN hq q USING (dimension) GROUP BY 1, 2) x USING (document_id, chunk_index)""",
+}
+
+
+class Hashed(Corpus):
+    """The corpus with the hash embedding of each chunk's text."""
+
+    @cached_property
+    def chunks(self):
+        return embedding.hashed(super().chunks.drop("embedding"), ["document_id", "chunk_index"])
+
+
+@query(with_tables("""SELECT document_id, chunk_index, distance, round(1 - distance, 6) AS score, row_number() OVER (ORDER BY distance, document_id) AS rank FROM (SELECT n.document_id, n.chunk_index, n.distance FROM near n JOIN docs d ON d.id = n.document_id JOIN vis ON vis.id = d.id
+    ORDER BY distance, document_id, chunk_index LIMIT 50) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY distance, chunk_index) = 1 ORDER BY rank LIMIT 10""", **HASHED))
+def text_search(c):
+    """A search for a text: the query and the chunks go through the same embedding."""
+    asked = embedding.query_vector(c.spark, ASKED_TEXT, embedding.hash_provider())
+    return search.direct_hits(Hashed(c.spark, c.sf_dir), Request("user1", text=ASKED_TEXT), asked)
+
+
 @query(with_tables("""SELECT document_id, chunk_index, row_number() OVER (PARTITION BY document_id ORDER BY distance, chunk_index) AS place, context FROM cand JOIN (
     SELECT a.document_id, a.chunk_index, string_agg(b.content, chr(10) || chr(10) ORDER BY b.chunk_index) AS context FROM chunks a JOIN chunks b ON a.document_id = b.document_id
     AND b.chunk_index BETWEEN a.chunk_index - 2 AND a.chunk_index + 2 GROUP BY 1, 2) USING (document_id, chunk_index) QUALIFY place <= 8""", **WALK))
 def search_passages(c):
-    from pyspark.sql import Window
-
     found = search.candidates(c, _request(), c.query_vector)
     place = F.row_number().over(Window.partitionBy("document_id").orderBy("distance", "chunk_index"))
     found = found.withColumn("place", place).where("place <= 8")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import search, visibility
+from docloom.operators import changes, extraction, search, visibility
 from docloom.operators.search import Request
 from docloom.plans.corpus import with_tables
 from docloom.plans.registry import query
@@ -36,46 +36,53 @@ def same_text_lookup(c):
     return c.documents.join(known, ["owner_id", "content_hash"]).where("id > same_as").select("id", "same_as")
 
 
-RESULT = "CASE WHEN id % 5 = 0 THEN 'failed' WHEN id % 3 = 0 THEN content_hash ELSE 'new' END"
+READ = "SELECT conv_id AS document_id, turn AS t, CASE WHEN conv_id % 3 = 0 THEN d.content ELSE c.text END AS content, role = 'system' OR (conv_id % 11 = 5) AS failed FROM conversations c JOIN docs d ON d.id = conv_id WHERE turn < 2"
+APPLIED = """SELECT document_id, result, version + CASE WHEN result = 'applied' AND extraction_status = 'done' THEN 1 ELSE 0 END AS version, CASE WHEN result = 'applied' THEN h ELSE content_hash END AS content_hash FROM (SELECT r.document_id, d.version, d.extraction_status, d.content_hash, sha256(r.content) AS h,
+    CASE WHEN deleted_at IS NOT NULL THEN 'skipped' WHEN failed OR trim(r.content, E' \\t\\r\\n\\f') = '' THEN 'failed' WHEN sha256(r.content) = content_hash THEN 'unchanged' ELSE 'applied' END AS result
+    FROM (SELECT * FROM read QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY t DESC) = 1) r JOIN docs d ON d.id = r.document_id)"""
 
 
-@query(with_tables(f"""SELECT id, CASE WHEN deleted_at IS NOT NULL THEN 'skipped' WHEN r = 'failed' THEN 'failed' WHEN r = content_hash THEN 'unchanged' ELSE 'applied' END AS result,
-    CASE WHEN deleted_at IS NULL AND r NOT IN ('failed', content_hash) AND extraction_status = 'done' THEN 2 ELSE 1 END AS version FROM (SELECT *, {RESULT} AS r FROM docs)"""))
+def _results(c):
+    """The first turns of conversations stand for texts that were read from the originals of documents; some are the text that is there, some failed."""
+    turns = c.table("conversations").where("turn < 2").select(F.col("conv_id").alias("document_id"), F.col("turn").alias("at"), "text", "role")
+    met = turns.join(c.documents.select("id", "content"), F.col("document_id") == F.col("id"))
+    return met.select("document_id", "at", F.when(F.col("document_id") % 3 == 0, F.col("content")).otherwise(F.col("text")).alias("content"), ((F.col("role") == "system") | (F.col("document_id") % 11 == 5)).alias("failed"))
+
+
+@query(with_tables("SELECT * FROM applied", read=READ, applied=APPLIED))
 def apply_extraction(c):
-    """What a round of extraction does to each document; the first text of one keeps version 1."""
-    i = F.col("id")
-    r = F.when(i % 5 == 0, "failed").when(i % 3 == 0, F.col("content_hash")).otherwise("new")
-    result = F.when(F.col("deleted_at").isNotNull(), "skipped").when(r == "failed", "failed").when(r == F.col("content_hash"), "unchanged").otherwise("applied")
-    return c.documents.select("id", result.alias("result"), F.when((result == "applied") & (F.col("extraction_status") == "done"), 2).otherwise(1).alias("version"))
+    return extraction.apply_results(c.documents, _results(c))
 
 
-@query(with_tables(f"SELECT result, count(*) AS documents FROM (SELECT CASE WHEN r = 'failed' THEN 'failed' WHEN r = content_hash THEN 'unchanged' ELSE 'changed' END AS result FROM (SELECT *, {RESULT} AS r FROM docs)) GROUP BY 1"))
+@query(with_tables("SELECT CASE coalesce(a.result, 'awaiting') WHEN 'applied' THEN 'changed' ELSE coalesce(a.result, 'awaiting') END AS result, count(*) AS documents FROM docs d LEFT JOIN applied a ON a.document_id = d.id WHERE deleted_at IS NULL AND content_type <> 'md' GROUP BY 1", read=READ, applied=APPLIED))
 def reextraction_summary(c):
-    i = F.col("id")
-    r = F.when(i % 5 == 0, "failed").when(i % 3 == 0, F.col("content_hash")).otherwise("new")
-    kind = F.when(r == "failed", "failed").when(r == F.col("content_hash"), "unchanged").otherwise("changed")
-    return c.documents.groupBy(kind.alias("result")).agg(F.count("*").alias("documents"))
+    originals = c.documents.where("content_type <> 'md'").select(F.col("id").alias("document_id"))
+    return extraction.reextraction(c.documents, originals, extraction.apply_results(c.documents, _results(c)))
 
 
 @query(with_tables(f"SELECT id, attempts, {NOW} + INTERVAL 60 SECOND AS lease_expires_at FROM jobs WHERE status = 'processing' AND attempts = 1 AND id % 3 = 0"))
 def heartbeat_jobs(c):
     """Leases go on only where the worker's number of attempts is still the job's."""
-    beats = c.jobs.where("id % 3 = 0").select("id", F.lit(1).alias("seen")).distinct()
-    held = c.jobs.where("status = 'processing'").join(beats, "id").where("attempts = seen")
-    return held.select("id", "attempts", (_now() + F.expr("interval 60 seconds")).alias("lease_expires_at"))
+    beats = c.jobs.where("id % 3 = 0").select("id", F.lit(1).alias("attempts"))
+    return changes.heartbeat(c.jobs, beats, _now(), 60).select("id", "attempts", "lease_expires_at")
 
 
 @query(with_tables("SELECT id, 'pending' AS status, greatest(attempts - 1, 0) AS attempts FROM jobs WHERE status = 'processing' AND kind = 'embed'"))
 def release_jobs(c):
-    return c.jobs.where("status = 'processing' and kind = 'embed'").select("id", F.lit("pending").alias("status"), F.greatest(F.col("attempts") - 1, F.lit(0)).alias("attempts"))
+    embeds = c.jobs.where("kind = 'embed'")
+    return changes.release(embeds, embeds.select("id")).select("id", "status", "attempts")
 
 
-@query(with_tables("SELECT document_id, count(*) AS chunks, CASE WHEN document_id % 4 = 1 THEN 'discarded' ELSE 'ready' END AS result FROM chunks JOIN docs ON docs.id = document_id GROUP BY 1"))
+@query(with_tables("""SELECT document_id, chunk_index, version, content FROM chunks WHERE document_id NOT IN (SELECT id FROM docs WHERE id % 4 <> 1 AND id % 2 = 0) UNION ALL
+    SELECT k.document_id, k.chunk_index, d.version, '* ' || k.content FROM chunks k JOIN docs d ON d.id = k.document_id WHERE d.id % 4 <> 1 AND d.id % 2 = 0 AND k.chunk_index < 3"""))
 def finalize_embeddings(c):
-    """New chunks replace a document's old ones unless its text changed while they were made."""
-    made = c.chunks.groupBy("document_id").agg(F.count("*").alias("chunks"))
-    seen = c.documents.select(F.col("id").alias("document_id"), "content_hash", F.when(F.col("id") % 4 == 1, "other").otherwise(F.col("content_hash")).alias("made_from"))
-    return made.join(seen, "document_id").select("document_id", "chunks", F.when(F.col("made_from") != F.col("content_hash"), "discarded").otherwise("ready").alias("result"))
+    """New chunks of every second document replace its old ones unless its text changed while they were made."""
+    i = F.col("document_id")
+    own = c.chunks.select("document_id", "chunk_index", "version", "content")
+    made = own.where("document_id % 2 = 0 and chunk_index < 3 or document_id % 4 = 1").withColumn("content", F.concat(F.lit("* "), "content"))
+    made = made.join(c.documents.select(F.col("id").alias("document_id"), "content_hash"), "document_id", "left").withColumn("made_from", F.when(i % 4 == 1, "other").otherwise(F.coalesce("content_hash", F.lit("gone")))).drop("content_hash")
+    chunks, _ = extraction.finalize(c.documents, own, made)
+    return chunks
 
 
 @query(with_tables("SELECT content_type, count(*) AS wanted FROM docs d WHERE content_type IN ('hwp', 'hwpx', 'docx', 'xlsx', 'pptx') AND deleted_at IS NULL AND NOT EXISTS (SELECT 1 FROM jobs j WHERE j.document_id = d.id AND j.kind = 'preview' AND j.status = 'pending') GROUP BY 1"))

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import answers, passages, search, visibility
+from docloom.operators import answers, extraction, passages, search, visibility
 from docloom.operators.search import Request
 from docloom.plans.corpus import Corpus, with_tables
 from docloom.plans.registry import query
@@ -105,25 +105,47 @@ def evidence(c):
     return answers.evidence(rows, 4000).select("label", "document_id", "chunk_index", "based_on_version", "current_version", "revised", "content")
 
 
-@query(with_tables("SELECT id, list_sort(list_distinct(list_transform(regexp_extract_all('a [' || (id % 5) || '] b [' || (id % 3) || '] [x]', '\\[([0-9]+)\\]', 1), lambda x: CAST(x AS INT)))) AS cited FROM docs"))
+#: Every document is asked about: its first words are the answer, which cites some of three sources, the documents before it.
+SOURCES = """SELECT d.id AS query_id, l AS label, s.id AS document_id, substr(s.content, 1, 200) || ' ' || (s.id % 13) || '%' AS content, s.id % 2 = 0 AS revised, l = 1 + d.id % 5 OR l = 1 + d.id % 3 AS cited FROM docs d, (SELECT unnest([1, 2, 3]) AS l) JOIN docs s ON s.id = d.id - l"""
+ITEMS_ASKED = """SELECT id AS query_id, id % 6 <> 5 AS answerable, CASE id % 10 WHEN 3 THEN 'no_evidence' WHEN 7 THEN 'failed' ELSE 'answered' END AS status, 'x' || (id % 26) || '% [' || (1 + id % 5) || '] [' || (1 + id % 3) || '] ' || substr(content, 1, 50) || CASE WHEN id % 9 = 4 THEN ' 근거 문서에서 찾을 수 없습니다' ELSE '' END AS answer FROM docs"""
+HOLDS = "(^|[^0-9.])12%"
+
+
+@query(with_tables("SELECT query_id, label, document_id, cited FROM sources", sources=SOURCES))
 def citations(c):
-    answer = F.concat(F.lit("a ["), F.col("id") % 5, F.lit("] b ["), F.col("id") % 3, F.lit("] [x]"))
-    found = F.transform(F.regexp_extract_all(answer, F.lit(r"\[([0-9]+)\]"), F.lit(1)), lambda x: x.cast("int"))
-    return c.documents.select("id", F.array_sort(F.array_distinct(found)).alias("cited"))
+    """Which sources of an answer it names in brackets."""
+    items, sources, _ = _asked(c)
+    return answers.cited(items.select("query_id", "answer"), sources.drop("cited")).select("query_id", "label", "document_id", "cited")
 
 
-@query(with_tables("SELECT count(*) AS answers, count(*) FILTER (regexp_matches(a, '(^|[^0-9])12([^0-9]|$)')) AS right_answers FROM (SELECT 'v' || id || ' ' || (id % 13) || '.' AS a FROM docs)"))
+def _asked(c):
+    i = F.col("id")
+    refusal = F.when(i % 9 == 4, F.lit(" " + answers.REFUSAL)).otherwise("")
+    answer = F.concat(F.lit("x"), i % 26, F.lit("% ["), 1 + i % 5, F.lit("] ["), 1 + i % 3, F.lit("] "), F.substring("content", 1, 50), refusal)
+    status = F.when(i % 10 == 3, "no_evidence").when(i % 10 == 7, "failed").otherwise("answered")
+    items = c.documents.select(i.alias("query_id"), (i % 6 != 5).alias("answerable"), status.alias("status"), answer.alias("answer"), F.array(F.lit("12 %")).alias("keys"), F.array(F.lit("4 %")).alias("absent"))
+    labels = c.documents.select(i.alias("query_id"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("label")).withColumn("document_id", F.col("query_id") - F.col("label"))
+    text = c.documents.select(i.alias("document_id"), F.concat(F.substring("content", 1, 200), F.lit(" "), i % 13, F.lit("%")).alias("content"), (i % 2 == 0).alias("revised"))
+    sources = answers.cited(items.select("query_id", "answer"), labels.join(text, "document_id"))
+    return items, sources, c.documents.where("id % 4 <> 1").select(i.alias("query_id"), (i - 2).alias("document_id"))
+
+
+@query(with_tables(f"""SELECT count(*) AS queries, count(*) FILTER (answerable) AS answerable, count(*) FILTER (answerable) AS key_graded, count(*) FILTER (answerable AND hit) AS key_hits, count(*) FILTER (answerable AND given) AS keys_in_sources, count(*) FILTER (answerable AND given AND NOT hit) AS model_misses,
+    count(*) FILTER (answerable AND asked AND rel) AS given_relevant, count(*) FILTER (answerable AND asked AND crel) AS cited_relevant, count(*) FILTER (answerable AND refused AND NOT hit) AS false_refusals, count(*) FILTER (NOT answerable) AS no_answer, count(*) FILTER (NOT answerable AND refused) AS correct_refusals, count(*) FILTER (leak) AS leaks
+    FROM (SELECT i.*, regexp_matches(regexp_replace(answer, '\\s+', ' ', 'g'), '{HOLDS}') AS hit, regexp_matches(regexp_replace(answer, '\\s+', ' ', 'g'), '(^|[^0-9.])4\\s?%') AS leak, status = 'no_evidence' OR answer LIKE '%근거 문서에서 찾을 수 없습니다%' AS refused, query_id % 4 <> 1 AS asked,
+        coalesce((SELECT bool_or(regexp_matches(regexp_replace(s.content, '\\s+', ' ', 'g'), '(^|[^0-9.])12\\s?%')) FROM sources s WHERE s.query_id = i.query_id), false) AS given, EXISTS (SELECT 1 FROM sources s WHERE s.query_id = i.query_id AND s.label = 2) AS rel,
+        EXISTS (SELECT 1 FROM sources s WHERE s.query_id = i.query_id AND s.label = 2 AND s.cited) AS crel FROM asked i)""", sources=SOURCES, asked=ITEMS_ASKED))
 def answer_grading(c):
-    """A key of digits counts only where no digit stands beside it."""
-    a = F.concat(F.lit("v"), F.col("id"), F.lit(" "), F.col("id") % 13, F.lit("."))
-    return c.documents.agg(F.count("*").alias("answers"), F.count_if(a.rlike("(?<![0-9])12(?![0-9])")).alias("right_answers"))
+    """Answers against their keys, sources and relevant documents."""
+    return answers.summary(answers.grade(*_asked(c)))
 
 
-@query(with_tables("SELECT d.id, CASE WHEN d.id % 3 = 0 THEN NULL WHEN d.id % 2 = 0 THEN length(d.content) ELSE length(v.content) END AS chars FROM docs d LEFT JOIN versions v ON v.document_id = d.id AND v.version = 1"))
+@query(with_tables("SELECT p.document_id, v AS file_version, CASE WHEN t IS NULL THEN NULL WHEN t = d.version THEN d.content ELSE (SELECT w.content FROM versions w WHERE w.document_id = p.document_id AND w.version = t) END AS content FROM (SELECT id AS document_id, unnest([1, 2]) AS v, CASE WHEN id % 3 <> 0 THEN 1 + id % 4 END AS t FROM docs WHERE id % 5 <> 2) p JOIN docs d ON d.id = p.document_id"))
 def pending_previews(c):
-    first = c.versions.where("version = 1").select("document_id", F.length("content").alias("n"))
+    """Waiting previews with the text of their own version; versions are turns of conversations."""
     i = F.col("id")
-    return c.documents.join(first, i == F.col("document_id"), "left").select("id", F.when(i % 3 == 0, None).when(i % 2 == 0, F.length("content")).otherwise(F.col("n")).alias("chars"))
+    waiting = c.documents.where("id % 5 <> 2").select(i.alias("document_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("file_version"), F.when(i % 3 != 0, 1 + i % 4).alias("text_version"), F.lit("pending").alias("status"))
+    return extraction.preview_texts(waiting, c.documents, c.versions)
 
 
 @query(with_tables("SELECT c_custkey AS token_id, 'user' || (c_custkey % 7) AS owner, c_nationkey % 3 = 0 AS expired FROM customer WHERE c_mktsegment <> 'BUILDING'"))

@@ -125,10 +125,10 @@ class Kept:
         return other
 
 
-def stored(name: str, source: str, tables: list[DataFrame], build: Callable[[], DataFrame], *built_by: ModuleType | Callable | str) -> Kept:
+def stored(name: str, source: str, tables: list[DataFrame], build: Callable[[], DataFrame], *built_by: ModuleType | Callable | str, buckets: int = BUCKETS) -> Kept:
     """The kept table for the state of tables and of the code and parameters that built_by names; built if there is none for this state."""
     state = state_of(tables, *built_by)
-    kept = Kept(tables[0].sparkSession, f"{name}-{state}", source)
+    kept = Kept(tables[0].sparkSession, f"{name}-{state}", source, buckets)
     if kept.current() is None:
         kept.build(state, build())
     return kept

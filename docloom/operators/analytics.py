@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import graph, visibility
@@ -176,3 +176,37 @@ def fold_clusters(assignment: DataFrame, most: int = 20) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.desc("size"), "name"))  # over ``most`` rows
     kept = top.withColumn("rank", rank).join(F.broadcast(total)).where(f"clusters <= {most} or rank <= {most} - reserved - 1").select("name", F.lit(True).alias("kept"))
     return assignment.join(F.broadcast(kept), "name", "left").select("node", F.when(spare | F.col("kept"), F.col("name")).otherwise(OTHER).alias("name"))
+
+
+def outage_log(probes: DataFrame, key: str, least: int = 2) -> DataFrame:
+    """(key, kind, last_ok_at, first_failure_at, recovered_at, node_before, node_after, timeline_before, timeline_after, failed_checks) of probes (key, at, id, ok, node, timeline).
+
+    Each good answer closes the stretch since the last one: an outage if least checks failed in between, or if the timeline changed, which is a promotion.
+    What comes before the first good answer is none; a change without a failure begins where it is seen.
+    """
+    along = Window.partitionBy(key).orderBy("at", "id")
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    good = lambda c: F.last(F.when(F.col("ok"), F.col(c)), ignorenulls=True).over(before)
+    marked = probes.withColumn("stretch", F.sum(F.when(F.col("ok"), 1).otherwise(0)).over(before))
+    failed = F.when(~F.col("ok"), F.col("at"))
+    marked = marked.withColumns({"last_ok_at": good("at"), "node_before": good("node"), "timeline_before": good("timeline")})
+    inside = Window.partitionBy(key, F.coalesce("stretch", F.lit(0)))
+    marked = marked.withColumns({"first_failure_at": F.min(failed).over(inside), "failed_checks": F.count(failed).over(inside)})
+    changed = ~F.col("timeline").eqNullSafe(F.col("timeline_before"))
+    found = marked.where(F.col("ok") & F.col("last_ok_at").isNotNull() & ((F.col("failed_checks") >= least) | changed))
+    return found.select(
+        key, F.when(changed, "promotion").otherwise("interruption").alias("kind"), "last_ok_at", F.coalesce("first_failure_at", "at").alias("first_failure_at"), F.col("at").alias("recovered_at"),
+        "node_before", F.col("node").alias("node_after"), "timeline_before", F.col("timeline").alias("timeline_after"), "failed_checks",
+    )
+
+
+def share_details(shares: DataFrame, documents: DataFrame, folders: DataFrame, tokens: DataFrame, log: DataFrame, now: Column) -> DataFrame:
+    """shares (share_id, name) with what they open: documents and folders (share_id, id, title/name), tokens (share_id, id, expires_at) with expired, and names of revoked tokens from the audit log's details."""
+    gather = lambda df, name, *fields: df.groupBy("share_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    part = lambda name: F.get_json_object("detail", f"$.{name}")
+    revoked = log.where((F.col("action") == "share_changed") & (part("change") == "token_revoked")).select(part("share_id").alias("share_id"), part("token_name").alias("name"))
+    expired = F.coalesce(F.col("expires_at") <= now, F.lit(False)).alias("expired")
+    out = shares
+    for more in (gather(documents, "documents", "title", "id"), gather(folders, "folders", "name", "id"), gather(tokens.select("share_id", "id", "name", expired), "tokens", "id", "name", "expired"), revoked.groupBy("share_id").agg(F.array_sort(F.collect_set("name")).alias("revoked"))):
+        out = out.join(more, "share_id", "left")
+    return out

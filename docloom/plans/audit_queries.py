@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import audit, visibility
+from docloom.operators import analytics, audit, visibility
 from docloom.plans.corpus import with_tables
 from docloom.plans.registry import query
 
@@ -121,3 +121,30 @@ def document_history(c):
     log = c.audit_log.select("id", "document_id", kind.alias("action"))
     seen = c.documents.join(visibility.visible_documents(c, "user1"), "id", "left_semi").select("id", (F.col("owner_id") == "user1").alias("owner"))
     return audit.activity(log, seen).select("id", "action", "document_id", "place")
+
+
+PROBED = "SELECT id, 'n' || (id % 3) AS node, actor, occurred_at AS t, value >= 8 AS ok, CASE WHEN id % 97 < 50 THEN 1 ELSE 2 END AS timeline FROM audit_log"
+
+
+@query(with_tables("""SELECT actor, CASE WHEN timeline IS DISTINCT FROM timeline_before THEN 'promotion' ELSE 'interruption' END AS kind, last_ok_at, coalesce(first_failure_at, t) AS first_failure_at, t AS recovered_at, node_before, node AS node_after, timeline_before, timeline AS timeline_after, failed_checks FROM (
+    SELECT *, min(t) FILTER (NOT ok) OVER (PARTITION BY actor, stretch) AS first_failure_at, count(*) FILTER (NOT ok) OVER (PARTITION BY actor, stretch) AS failed_checks FROM (SELECT *, coalesce(sum(CASE WHEN ok THEN 1 ELSE 0 END) OVER w, 0) AS stretch,
+    last_value(CASE WHEN ok THEN t END IGNORE NULLS) OVER w AS last_ok_at, last_value(CASE WHEN ok THEN node END IGNORE NULLS) OVER w AS node_before, last_value(CASE WHEN ok THEN timeline END IGNORE NULLS) OVER w AS timeline_before
+    FROM probed WINDOW w AS (PARTITION BY actor ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))) WHERE ok AND last_ok_at IS NOT NULL AND (failed_checks >= 2 OR timeline IS DISTINCT FROM timeline_before)""", probed=PROBED))
+def outage_log(c):
+    """Interruptions and promotions of a database as its probes saw them; events stand for probes."""
+    i = F.col("id")
+    probes = c.audit_log.select(i, "actor", F.col("occurred_at").alias("at"), (F.col("value") >= 8).alias("ok"), F.concat(F.lit("n"), i % 3).alias("node"), F.when(i % 97 < 50, 1).otherwise(2).alias("timeline"))
+    return analytics.outage_log(probes, "actor")
+
+
+@query(with_tables("""SELECT 'share:1' AS share_id, (SELECT count(*) FROM s JOIN docs d ON d.id = s.document_id WHERE d.deleted_at IS NULL) AS documents, (SELECT string_agg(f.name, ',' ORDER BY f.name) FROM share_folders sf JOIN folders f ON f.id = sf.folder_id) AS folders,
+    (SELECT count(*) FROM tok WHERE id % 100 = 2) AS tokens, (SELECT count(*) FROM tok WHERE id % 100 = 2 AND expires_at IS NOT NULL) AS expired, (SELECT string_agg(name, ',' ORDER BY name) FROM tok WHERE id % 100 = 1) AS revoked""", **SNAP))
+def share_details(c):
+    """What a share opens, its tokens, and those that were revoked."""
+    before, after = snapshots(c)
+    told = audit.derive({"documents": before["documents"], "share_tokens": before["share_tokens"]}, {"documents": after["documents"], "share_tokens": after["share_tokens"]})
+    docs = c.document_grants.where("share_id is not null").select("share_id", F.col("document_id").alias("id")).distinct().join(c.documents.where("deleted_at is null").select("id", "title"), "id")
+    folders = c.share_folders.join(c.folders.select(F.col("id").alias("folder_id"), "name"), "folder_id").select("share_id", F.col("folder_id").alias("id"), "name")
+    nation = c.table("customer").where("c_custkey % 100 = 2").select(F.lit("share:1").alias("share_id"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.when(F.col("c_nationkey") % 3 == 0, F.to_timestamp(F.lit("2024-01-01"))).alias("expires_at"))
+    out = analytics.share_details(c.share_folders.select("share_id", F.lit("Partner").alias("name")), docs, folders, nation, told, F.to_timestamp(F.lit("2024-06-01")))
+    return out.select("share_id", F.size("documents").cast("long").alias("documents"), F.array_join("folders.name", ",").alias("folders"), F.size("tokens").cast("long").alias("tokens"), F.size(F.filter("tokens", lambda t: t["expired"])).cast("long").alias("expired"), F.array_join("revoked", ",").alias("revoked"))

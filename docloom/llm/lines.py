@@ -44,6 +44,8 @@ PLACES = 18
 STEP_BYTES = 1 << 19
 #: Sets of a shingle up to which all meet at once; beyond, sets of a block, and those of it that are compared at a time.
 SMALL, BLOCK, TILE = 16, 1024, 256
+#: Prefix entries that a task sorts at a time.
+HELD_ENTRIES = 1 << 20
 #: Lines up to which the places of candidates are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -184,42 +186,115 @@ def _may_match(one: tuple[np.ndarray, ...], two: tuple[np.ndarray, ...], part: t
 
 
 _MEET = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("token", T.LongType()), T.StructField("digest", T.LongType())])
+#: What an entry holds beside its token and digest.
+_MORE = ("sig", "size", "pos", "age")
 
 
-def meet(entries: DataFrame, part: tuple[int, int], partitions: int) -> DataFrame:
-    """Candidates (a, b: digests) of entries (token, digest, sig, size, pos, age) in small groups and with the earliest of large ones; (token, digest) of large ones."""
-    dealt = entries.repartitionByRange(partitions, "token", "digest").sortWithinPartitions("token", "digest")
+def _narrow(x: np.ndarray) -> bytes:
+    """Unsigned numbers by the bytes that the largest of them needs, after that number of bytes."""
+    wide = max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1
+    return bytes([wide]) + np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
+
+
+def pack(token: np.ndarray, *more: np.ndarray) -> bytes:
+    """Entries in the order of their tokens as one block: the tokens as steps from one to the next, every column as narrow as it can be."""
+    steps = np.concatenate((token[:1], np.diff(token)))
+    return b"".join([len(token).to_bytes(4, "little"), int(token[0]).to_bytes(8, "little"), _narrow(steps[1:]), *map(_narrow, more)])
+
+
+def unpack(block: bytes, columns: int) -> list[np.ndarray]:
+    """The columns of a block."""
+    n, at = int.from_bytes(block[:4], "little"), 12
+    out = []
+    for i in range(columns):
+        rows, wide = n - (i == 0), block[at]
+        x = np.zeros((rows, 8), np.uint8)
+        x[:, :wide] = np.frombuffer(block, np.uint8, rows * wide, at + 1).reshape(rows, wide)
+        out.append(x.view("<u8").ravel())
+        at += 1 + rows * wide
+    out[0] = np.cumsum(np.concatenate(([np.uint64(int.from_bytes(block[4:12], "little"))], out[0])), dtype=np.uint64)
+    return out
+
+
+def range_bounds(lead: DataFrame, parts: int, entries: int, each: int = 20) -> tuple[np.ndarray, np.ndarray]:
+    """(token, digest) where the ranges of entries begin, but for the first: from the entries of some sets, told by their digests, about each a range."""
+    every = max(1, entries // (each * parts))
+    found = lead.where(F.pmod(F.xxhash64("digest", F.lit(9)), F.lit(every)) == 0).select(F.explode("prefix").alias("token"), "digest").toArrow()
+    token, digest = (found.column(c).to_numpy().view(np.uint64) for c in ("token", "digest"))
+    order = np.lexsort((digest, token))
+    at = order[np.arange(1, parts) * len(order) // parts] if len(order) else order
+    return token[at], digest[at]
+
+
+def entry_blocks(lead: DataFrame, bounds, held: int = HELD_ENTRIES) -> DataFrame:
+    """(part, block): the prefix entries of sets (digest, sig, size, age, prefix), a block for each range and each so many entries of a task."""
+
+    def cut(tables: list[pa.RecordBatch]) -> pa.RecordBatch:
+        lists = pa.concat_arrays([b.column("prefix") for b in tables])
+        length = lists.value_lengths().to_numpy()
+        own = np.repeat(np.arange(len(length)), length)
+        column = lambda c: np.concatenate([b.column(c).to_numpy() for b in tables])[own].astype(np.int64).view(np.uint64)
+        token = lists.flatten().to_numpy().view(np.uint64)
+        pos = (np.arange(len(own)) - np.repeat(np.cumsum(length) - length, length)).astype(np.uint64)
+        digest = column("digest")
+        order = np.lexsort((digest, token))
+        token, digest = token[order], digest[order]
+        more = [x[order] for x in (column("sig"), column("size"), pos, column("age"))]
+        low, high = np.searchsorted(token, bounds.value[0]), np.searchsorted(token, bounds.value[0], "right")
+        edge = [i + int(np.searchsorted(digest[i:j], d)) for i, j, d in zip(low.tolist(), high.tolist(), bounds.value[1], strict=True)]
+        edge = np.array([0, *edge, len(token)])
+        some = np.flatnonzero(edge[1:] > edge[:-1])
+        blocks = [pack(*(x[edge[i] : edge[i + 1]] for x in (token, digest, *more))) for i in some]
+        return pa.record_batch([pa.array(some, pa.int32()), pa.array(blocks, pa.binary())], ["part", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables, count = [], 0
+        for b in batches:
+            tables.append(b)
+            count += len(b.column("prefix").flatten())
+            if count >= held:
+                yield cut(tables)
+                tables, count = [], 0
+        if count:
+            yield cut(tables)
+
+    return lead.select("digest", "sig", "size", "age", "prefix").mapInArrow(run, "part int, block binary")
+
+
+def meet(lead: DataFrame, part: tuple[int, int], partitions: int, most: int = HELD_ENTRIES // 2) -> DataFrame:
+    """Candidates (a, b: digests) of the prefix entries of sets in small groups and with the earliest of large ones; (token, digest) of large ones.
+
+    lead: (digest, sig, size, age, prefix). Entries go to ranges of (token, digest) of about most entries, so a hot shingle spreads over several;
+    they travel as blocks, 26 bytes an entry, and a range is sorted once where it arrives.
+    """
+    entries = lead.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    parts = max(partitions, -(-entries // most))
+    bounds = lead.sparkSession.sparkContext.broadcast(range_bounds(lead, parts, entries))  # two numbers a range
+    dealt = entry_blocks(lead, bounds).repartitionByRange(parts, "part").sortWithinPartitions("part")
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        now, held = None, []
+        for b in batches:
+            for p, block in zip(b.column("part").to_pylist(), b.column("block"), strict=True):
+                if p != now and held:
+                    yield [np.concatenate(x) for x in zip(*held, strict=True)]
+                    held = []
+                now = p
+                held.append(unpack(block.as_py(), 2 + len(_MORE)))
+        if held:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead, last = None, None  # the table before is held back until it is known whether it is the last one
-
-        def tables() -> Iterator[tuple[pa.Table, bool, bool]]:
-            nonlocal ahead
-            begun = False
-            for t in whole_groups(batches, ["token"]):
-                if ahead is not None:
-                    yield ahead, not begun, False
-                    begun = True
-                ahead = t
-            if ahead is not None:
-                yield ahead, not begun, True
-
-        for t, at_begin, at_end in tables():
-            token, digest, sig = (t.column(c).to_numpy() for c in ("token", "digest", "sig"))
-            size, pos, age = (t.column(c).to_numpy().astype(np.int64) for c in ("size", "pos", "age"))
+        for columns in ranges(batches):
+            order = np.lexsort((columns[1], columns[0]))
+            token, digest, sig, size, pos, age = (x[order].view(np.int64) for x in columns)
             keep = np.ones(len(token), bool)
             keep[1:] = (token[1:] != token[:-1]) | (digest[1:] != digest[:-1])  # equal sets of several batches
             token, digest, sig, size, pos, age = (x[keep] for x in (token, digest, sig, size, pos, age))
             starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
             count = np.diff(starts, append=len(token))
             large = count > SMALL
-            if at_begin:
-                large[0] = True
-            if at_end:
-                large[-1] = True
-            if last is not None and last == token[0]:  # a group longer than what is held at a time
-                large[0] = True
-            last = token[-1]
+            large[0] = large[-1] = True  # these may go on in another range
             a, b = [], []
 
             def compare(i: np.ndarray, j: np.ndarray, fields=(size, pos, sig), digest=digest, a=a, b=b) -> None:
@@ -246,7 +321,7 @@ def meet(entries: DataFrame, part: tuple[int, int], partitions: int) -> DataFram
             less = lambda x: pa.concat_arrays([pa.array(x), pa.nulls(rows, pa.int64())])
             yield pa.record_batch([less(np.minimum(a, b)), less(np.maximum(a, b)), wide(token[at], pa.int64()), wide(digest[at], pa.int64())], _MEET.names)
 
-    return dealt.mapInArrow(run, _MEET)
+    return dealt.select("part", "block").mapInArrow(run, _MEET)
 
 
 def _same_row(own: DataFrame, found: DataFrame, rows: int) -> DataFrame:
@@ -357,8 +432,7 @@ def repeated_lines(docs: DataFrame, shingle: int = 5, part: tuple[int, int] = (4
     places = places.where("first or gone").unionByName(sets.where("again").select("doc", "uid", "line", "digest", F.lit(False).alias("first"), F.lit(True).alias("gone")))
     places = materialize(places, "lines-places")
     age = F.xxhash64("doc") if not isinstance(docs.schema[key].dataType, T.IntegralType) else F.col("doc").cast("long")
-    entries = lead.select(F.posexplode("prefix").alias("pos", "token"), "digest", "sig", "size", age.alias("age"))
-    met = materialize(meet(entries, part, shuffle_partitions(spark)), "lines-met")
+    met = materialize(meet(lead.withColumn("age", age), part, shuffle_partitions(spark)), "lines-met")
     discard(spark, read)
     spots = places.where("first").select("digest", "doc", "uid", "line")
     pairs = materialize(met.where("a is not null").select("a", "b").distinct(), "lines-pairs")

@@ -48,3 +48,11 @@ def test_recovery_point(spark):
     kept = spark.createDataFrame([("a", "h"), ("a", "h"), ("b", "x"), ("d", "h"), ("f", "h")], "title string, hash string")
     out = verification.recovery_point(up, kept, at(10), at(20)).first().asDict()
     assert out == {"must": 3, "lost": 1, "mismatched": 1, "duplicates": 1, "ambiguous": 2, "ambiguous_present": 1, "after": 2, "after_present": 1, "gap_micros": 8_000_000}
+
+
+def test_outages_and_promotions(spark):
+    probes = [(1, True, "a", 1), (2, False, None, None), (3, True, "a", 1), (4, False, None, None), (5, False, None, None), (6, True, "a", 1), (7, True, "b", 2), (8, False, None, None), (9, True, "c", 3), (10, False, None, None)]
+    rows = [("x", t, t, ok, node, line) for t, ok, node, line in probes] + [("y", 1, 1, False, None, None), ("y", 2, 2, False, None, None), ("y", 3, 3, True, "a", 1)]
+    df = spark.createDataFrame(rows, "k string, at int, id int, ok boolean, node string, timeline int")
+    got = [tuple(r) for r in analytics.outage_log(df, "k").orderBy("recovered_at").collect()]
+    assert got == [("x", "interruption", 3, 4, 6, "a", "a", 1, 1, 2), ("x", "promotion", 6, 7, 7, "a", "b", 1, 2, 0), ("x", "promotion", 7, 8, 9, "b", "c", 2, 3, 1)]

@@ -304,8 +304,8 @@ class Hashed(Corpus):
         return embedding.hashed(super().chunks.drop("embedding"), ["document_id", "chunk_index"])
 
 
-@query(with_tables("""SELECT document_id, chunk_index, distance, round(1 - distance, 6) AS score, row_number() OVER (ORDER BY distance, document_id) AS rank FROM (SELECT n.document_id, n.chunk_index, n.distance FROM near n JOIN docs d ON d.id = n.document_id JOIN vis ON vis.id = d.id
-    ORDER BY distance, document_id, chunk_index LIMIT 50) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY distance, chunk_index) = 1 ORDER BY rank LIMIT 10""", **HASHED))
+@query(with_tables("""SELECT document_id, chunk_index, distance, round(1 - distance, 6) AS score, row_number() OVER (ORDER BY distance, document_id) AS rank FROM (SELECT * FROM (SELECT n.document_id, n.chunk_index, n.distance FROM near n JOIN docs d ON d.id = n.document_id JOIN vis ON vis.id = d.id
+    ORDER BY distance, document_id, chunk_index LIMIT 50) QUALIFY row_number() OVER (PARTITION BY document_id ORDER BY distance, chunk_index) = 1) QUALIFY rank <= 10""", **HASHED))
 def text_search(c):
     """A search for a text: the query and the chunks go through the same embedding."""
     asked = embedding.query_vector(c.spark, ASKED_TEXT, embedding.hash_provider())

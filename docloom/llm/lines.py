@@ -44,8 +44,8 @@ PLACES = 18
 STEP_BYTES = 1 << 19
 #: Sets of a shingle up to which all meet at once; beyond, sets of a block, and those of it that are compared at a time.
 SMALL, BLOCK, TILE = 16, 1024, 256
-#: Prefix entries that a task sorts at a time.
-HELD_ENTRIES = 1 << 20
+#: Prefix entries that a task sorts at a time, and that a range holds.
+HELD_ENTRIES = 1 << 18
 #: Lines up to which the places of candidates are broadcast; more are joined by shuffle.
 BROADCAST_LINES = 1_000_000
 
@@ -261,7 +261,7 @@ def entry_blocks(lead: DataFrame, bounds, held: int = HELD_ENTRIES) -> DataFrame
     return lead.select("digest", "sig", "size", "age", "prefix").mapInArrow(run, "part int, block binary")
 
 
-def meet(lead: DataFrame, part: tuple[int, int], partitions: int, most: int = HELD_ENTRIES // 2) -> DataFrame:
+def meet(lead: DataFrame, part: tuple[int, int], partitions: int, most: int = HELD_ENTRIES) -> DataFrame:
     """Candidates (a, b: digests) of the prefix entries of sets in small groups and with the earliest of large ones; (token, digest) of large ones.
 
     lead: (digest, sig, size, age, prefix). Entries go to ranges of (token, digest) of about most entries, so a hot shingle spreads over several;

@@ -7,8 +7,9 @@ words without a known pair leave the array. Words are encoded once per worker an
 bounded size; ids of texts are gathered from it.
 
 Nulls and empty texts encode to no ids and decode to the empty text. Special-token strings inside a text
-become their special id, as the library does. Repeated rows and ids are encoded again, row by row; extra
-columns are ignored by the query and kept by nothing else.
+become their special id, as the library does. Repeated rows and ids are encoded again, row by row; very long texts are encoded whole,
+one at a time. Of pairs of one rank (the same pair more than once) the leftmost merges first. Extra columns are ignored by the query and
+kept by nothing else; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -6,7 +6,8 @@ are escaped, so that the formatted text can be read back exactly: a backslash is
 
 Conversations are dealt by id and sorted by turn; a task streams through them and holds one turn at a time, however long a
 conversation is. Null texts and roles count as empty. Turns with equal numbers stand in order of role and text. A role that the template lacks is
-written with its name. Extra columns are not read; an empty table gives no rows.
+written with its name. Repeated rows are turns of their own, and a very long text is one segment. A conversation that is added to a table which holds its id
+already becomes one with it. Extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations

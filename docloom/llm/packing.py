@@ -12,8 +12,9 @@ grow with the data) and the pieces are then dealt to the plan's slots:
 A piece finds its slot by its rank among the pieces of its length: its rank in the task that cut it plus the number
 of such pieces in tasks before. No task gathers a length, so a length that a third of all pieces share does no harm.
 
-Null and empty texts hold the end token alone. Ties (equal lengths) take any slot of their length. An empty
-table gives an empty plan and no rows. Extra columns are not read.
+Null and empty texts hold the end token alone. Ties (equal lengths) take any slot of their length. Repeated rows and ids are packed
+again, row by row; very long texts are read whole, one at a time, and cut into pieces. An empty table gives an empty plan and no rows. Extra
+columns are not read.
 """
 
 from __future__ import annotations

@@ -14,11 +14,14 @@ the range of a long are returned as its nearest end. Extra columns are not read;
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.llm.common import shuffle_partitions
 from docloom.llm.embeddings import matrix
 
 LEVELS = 16
@@ -41,8 +44,9 @@ class ImpactIndex:
         rest, self.levels = (rows**2).sum(axis=1), []
         for i in range(LEVELS):
             spans = [(d, slice(starts[i * width + d], ends[i * width + d])) for d in range(width) if ends[i * width + d] > starts[i * width + d]]
-            for _, at in spans:
-                rest[row[at]] -= value[at] ** 2
+            if spans:
+                level = slice(spans[0][1].start, spans[-1][1].stop)
+                rest -= np.bincount(row[level], value[level] ** 2, n)
             self.levels.append(([(d, row[at], value[at, None]) for d, at in spans], np.sqrt(np.maximum(rest, 0))))
 
     def candidates(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,43 +90,55 @@ def _exact(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return np.array([min(high, max(low, s)) for s in sums], np.int64)
 
 
-def search_block(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, row, score) of the k best rows of each query in this block."""
-    index = ImpactIndex(rows)
-    out = []
-    for i in range(0, len(queries), TOGETHER):
-        some, names = queries[i : i + TOGETHER], query_ids[i : i + TOGETHER]
-        q, r = index.candidates(some, names[:, None] == ids[None, :], k)
-        exact = _exact(some[q], rows[r])
-        order = np.lexsort((ids[r], -exact.astype(object) if len(exact) and exact.min() == -(1 << 63) else -exact, q))
-        q, r, exact = q[order], r[order], exact[order]
-        keep = np.arange(len(q)) - np.searchsorted(q, q) < k
-        out.append((names[q[keep]], ids[r[keep]], exact[keep]))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+def search_block(index: ImpactIndex, ids: np.ndarray, rows: np.ndarray, names: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of the k best rows of a block for some queries."""
+    q, r = index.candidates(queries, names[:, None] == ids[None, :], k)
+    exact = _exact(queries[q], rows[r])
+    order = np.lexsort((ids[r], -exact.astype(object) if len(exact) and exact.min() == -(1 << 63) else -exact, q))
+    q, r, exact = q[order], r[order], exact[order]
+    keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return names[q[keep]], ids[r[keep]], exact[keep]
+
 
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, query_block: int = TOGETHER, row_block: int = 4096, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best of all rows for each query row.
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, query_block: int = 2048, row_block: int = 4096, key: str = "vec_id", column: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best of all rows for each query row."""
+    A task reads a block's rows, which come first, makes their index once, and streams the queries through it, query_block at a time.
+    """
     inf = float("inf")
     fine = vectors.where(F.col(key).isNotNull() & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < inf)))
     fine = fine.select(F.col(key).cast("long").alias("id"), F.transform(column, lambda x: x.cast("double")).alias("v"), is_query.alias("asks"))
-    rows, asking, width = fine.agg(F.count("*"), F.count_if("asks"), F.max(F.size("v"))).first()
-    row_blocks, query_blocks = max(1, -(-rows // row_block)), max(1, -(-(asking or 0) // query_block))
-    filled = F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width or 0) - F.size("v")))
-    fine = fine.withColumn("v", filled)
-    q_of = F.pmod(F.xxhash64("id"), F.lit(query_blocks)).cast("int")
-    r_of = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(row_blocks)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    candidates = fine.select(r_of.alias("r"), every(query_blocks).alias("q"), "id", "v")
-    queries = fine.where("asks").groupBy("id").agg(F.min("v").alias("v")).select(q_of.alias("q"), every(row_blocks).alias("r"), "id", "v")
-
-    def run(keys: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [np.zeros(0, np.int64)] * 3
-        if left.num_rows and right.num_rows and width:
-            whole = lambda t: np.floor(matrix(t.column("v")) * scale)
-            found = search_block(left.column("id").to_numpy(), whole(left), right.column("id").to_numpy(), whole(right), k)
-        return pa.table([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
-
-    met = candidates.groupBy("q", "r").cogroup(queries.groupBy("q", "r")).applyInArrow(run, "query_id long, vec_id long, score long")
+    rows, width = fine.agg(F.count("*"), F.max(F.size("v"))).first()
+    blocks = max(1, -(-rows // row_block))
+    fine = fine.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width or 0) - F.size("v"))))
+    of = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
+    candidates = fine.select(of.alias("block"), F.lit(0).alias("side"), "id", "v")
+    queries = fine.where("asks").groupBy("id").agg(F.min("v").alias("v")).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(1).alias("side"), "id", "v")
+    dealt = candidates.unionByName(queries).repartition(min(blocks, shuffle_partitions(vectors.sparkSession)), "block").sortWithinPartitions("block", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        ids = rows = np.zeros(0)
+        for t in batches:
+            block, side = t.column("block").to_numpy(), t.column("side").to_numpy()
+            begins = np.flatnonzero(np.concatenate(([True], (block[1:] != block[:-1]) | (side[1:] != side[:-1])))) if len(block) else np.zeros(0, np.int64)
+            for s, e in zip(begins.tolist(), [*begins[1:].tolist(), len(block)], strict=True):
+                own, part = t.slice(s, e - s), block[s]
+                names, values = own.column("id").to_numpy(), np.floor(matrix(own.column("v")) * scale) if width else np.zeros((e - s, 0))
+                if part != now:
+                    now, held, index = part, [], None
+                if side[s] == 0:
+                    held.append((names, values))
+                    continue
+                if not held or not width:
+                    continue
+                if index is None:
+                    ids, rows = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
+                    index = ImpactIndex(rows)
+                for i in range(0, e - s, query_block):
+                    found = search_block(index, ids, rows, names[i : i + query_block], values[i : i + query_block], k)
+                    yield pa.record_batch([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
+
+    met = dealt.mapInArrow(run, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -150,6 +150,14 @@ def transfer_owner(docs: DataFrame, grants: DataFrame, old: str, new: str) -> tu
     return moved, grants.join(needless, ["document_id", "user_id"], "left_anti")
 
 
+def delete_user(docs: DataFrame, folders: DataFrame, grants: DataFrame, members: DataFrame, user: str, heir: str) -> dict[str, DataFrame]:
+    """The tables after a user is gone: documents and folders (created_by) go to the heir, who needs no grant on them; the user's own grants and memberships end."""
+    moved, left = transfer_owner(docs, grants, user, heir)
+    given = folders.withColumn("created_by", F.when(F.col("created_by") == user, heir).otherwise(F.col("created_by")))
+    other = lambda df: df.where(~F.col("user_id").eqNullSafe(F.lit(user)))
+    return {"documents": moved, "folders": given, "grants": other(left.select(*grants.columns)), "members": other(members)}
+
+
 def write_results(docs: DataFrame, writes: DataFrame) -> DataFrame:
     """(document_id, result, version) of optimistic writes (document_id, client_version, content_hash); a text written where none was keeps its version."""
     blank = F.regexp_replace("content", r"^[ \t\r\n\f]+", "") == ""

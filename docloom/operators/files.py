@@ -35,3 +35,27 @@ def previews(found: DataFrame, converted: DataFrame) -> DataFrame:
     pdf = suffix.isin(*CONVERTIBLE) & (F.col("status") == "ready")
     name = F.when(pdf, F.regexp_replace("filename", r"\.[^.]*$", ".pdf")).otherwise(F.col("filename"))
     return met.select("document_id", "file_version", state.alias("state"), name.alias("filename"), F.when(pdf, F.col("pdf_sha256")).otherwise(F.col("sha256")).alias("sha256"))
+
+
+def replace_originals(docs: DataFrame, files: DataFrame, uploads: DataFrame) -> DataFrame:
+    """(document_id, result, version, file_version, text_version, extraction_status) of uploads (document_id, filename, sha256, content, needs_ocr, client_version) that replace originals.
+
+    Older files stay. An upload of a document that is gone is missing, one made from another version a conflict, the bytes of the latest file change
+    nothing, and a file without a text that needs no recognition is unreadable. A new text raises the version; a file to be recognised waits, and
+    has no text of its own yet where the document has none. One upload a document.
+    """
+    latest = files.groupBy("document_id").agg(F.max("file_version").alias("newest"), F.max_by("sha256", "file_version").alias("bytes"))
+    state = docs.select(F.col("id").alias("document_id"), "version", "content_hash", "content", F.col("extraction_status").alias("was"))
+    met = uploads.select("document_id", "sha256", F.col("content").alias("fresh"), "needs_ocr", "client_version").join(state, "document_id", "left").join(latest, "document_id", "left")
+    blank = lambda c: F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"^\s+", "") == ""
+    result = (
+        F.when(F.col("version").isNull(), "missing").when(F.col("version") != F.col("client_version"), "conflict").when(F.col("bytes").eqNullSafe(F.col("sha256")), "unchanged")
+        .when(~F.col("needs_ocr") & blank("fresh"), "unreadable").otherwise("replaced")
+    )
+    done = result == "replaced"
+    changed = done & ~F.col("needs_ocr") & (F.sha2(F.encode("fresh", "UTF-8"), 256) != F.col("content_hash"))
+    version = F.col("version") + (changed & ~blank("content")).cast("int")
+    return met.select(
+        "document_id", result.alias("result"), version.alias("version"), F.when(done, F.coalesce("newest", F.lit(0)) + 1).otherwise(F.col("newest")).alias("file_version"),
+        F.when(done & ~(F.col("needs_ocr") & blank("content")), version).alias("text_version"), F.when(done, F.when(F.col("needs_ocr"), "pending").otherwise("done")).otherwise(F.col("was")).alias("extraction_status"),
+    )

@@ -97,3 +97,40 @@ def hits_and_passages(corpus, request: Request, query: DataFrame) -> tuple[DataF
     hits = cut_lineage(ranked_hits(found, request).select("document_id", "title", "version", "chunk_index", "distance", "rank"))
     passages = merged_passages(corpus.chunks, found.join(hits.select("document_id", "version"), ["document_id", "version"], "left_semi"))
     return shown_hits(corpus.chunks, hits, query, request.text), passages
+
+
+def chunks_at(chunks: DataFrame, asked: DataFrame) -> DataFrame:
+    """(key, place, document_id, version, chunk_index, content) of places given as three arrays of a row (ids, versions, indexes); a place without a chunk has no row."""
+    places = asked.select("key", F.posexplode(F.arrays_zip("ids", "versions", "indexes")).alias("place", "at")).select("key", "place", F.col("at.ids").alias("document_id"), F.col("at.versions").alias("version"), F.col("at.indexes").alias("chunk_index"))
+    return places.join(chunks.select("document_id", "version", "chunk_index", "content"), ["document_id", "version", "chunk_index"]).select("key", "place", "document_id", "version", "chunk_index", "content")
+
+
+#: Where evidence may get lost, in the order in which it is looked for.
+CAUSES = ("extraction", "candidates", "selection", "complete")
+
+
+def evidence_grades(evidence: DataFrame, hits: DataFrame, passages: DataFrame, stored: DataFrame, top: int = 5) -> DataFrame:
+    """(query, required, first_excerpt, top_passages, cause) of evidence (query, source, text): how many sentences the first hit's excerpt and the passages of the top hits hold.
+
+    hits: (query, rank, title, content); passages: (query, rank, title, content); stored: (title, content). Blanks count as one. The cause is the first
+    that holds: a text that no document of its title has (extraction), that no excerpt or passage of a top hit of its title has (candidates), or
+    that the best hit of its title does not show (selection).
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), r"\s+", " "))
+    asked = evidence.select("query", "source", plain("text").alias("_t")).distinct()
+    holds = F.contains(plain("content"), F.col("_t"))
+    key = ["query", "source", "_t"]
+    told = asked.join(stored.withColumnRenamed("title", "source"), "source").groupBy(*key).agg(F.bool_or(holds).alias("stored"))
+    near = hits.where(F.col("rank") <= top).withColumnRenamed("title", "source")
+    best = near.groupBy("query", "source").agg(F.min_by("content", "rank").alias("content"))
+    shown = asked.join(best, ["query", "source"]).groupBy(*key).agg(F.bool_or(holds).alias("shown"))
+    first = asked.join(near.where("rank = 1"), ["query", "source"]).groupBy(*key).agg(F.bool_or(holds).alias("first"))
+    parts = passages.where(F.col("rank") <= top).withColumnRenamed("title", "source").select("query", "source", "content")
+    passage = asked.join(parts, ["query", "source"]).groupBy(*key).agg(F.bool_or(holds).alias("passage"))
+    out = asked
+    for more in (told, shown, first, passage, asked.join(near.select("query", "source", "content"), ["query", "source"]).groupBy(*key).agg(F.bool_or(holds).alias("excerpt"))):
+        out = out.join(more, key, "left")
+    no = lambda c: ~F.coalesce(F.col(c), F.lit(False))
+    cause = F.when(no("stored"), 0).when(no("passage") & no("excerpt"), 1).when(no("shown"), 2).otherwise(3)
+    graded = out.groupBy("query").agg(F.count("*").alias("required"), F.count_if(~no("first")).alias("first_excerpt"), F.count_if(~no("passage")).alias("top_passages"), F.min(cause).alias("_c"))
+    return graded.select("query", "required", "first_excerpt", "top_passages", F.get(F.array(*map(F.lit, CAUSES)), F.col("_c")).alias("cause"))

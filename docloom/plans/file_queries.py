@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import analytics, changes, diffs, files, listing, search, validators, verification, visibility
+from docloom.operators import analytics, changes, diffs, extraction, files, listing, passages, search, validators, verification, visibility
 from docloom.operators.listing import Filters
 from docloom.plans.analytics_queries import BEFORE, USER, _before
 from docloom.plans.corpus import with_tables
@@ -236,3 +236,58 @@ def restored_jobs(c):
     state = lambda status: jobs.select("id", status.alias("status"))
     i, own = F.col("id"), F.col("status")
     return verification.jobs_between(state(own), state(F.when(i % 5 == 0, "done").otherwise(own)), state(F.when(i % 3 == 0, "done").otherwise(own)))
+
+
+UPLOADED = """SELECT id AS document_id, CASE WHEN id % 5 = 0 THEN content_hash WHEN id % 5 = 1 THEN sha256(content || 'x') ELSE 'new' || id END AS sha256, CASE WHEN id % 7 = 2 THEN '  ' WHEN id % 7 = 3 THEN content ELSE content || ' more' END AS fresh, id % 4 = 2 AS needs_ocr, 1 + CASE WHEN id % 9 = 4 THEN 1 ELSE 0 END AS client_version FROM docs
+    UNION ALL SELECT -5, 'x', 'x', false, 1"""
+
+
+@query(with_tables("""SELECT document_id, result, version + CASE WHEN result = 'replaced' AND NOT needs_ocr AND sha256(fresh) <> content_hash AND trim(content, E' \\t\\r\\n') <> '' THEN 1 ELSE 0 END AS version, CASE WHEN result = 'replaced' THEN coalesce(newest, 0) + 1 ELSE newest END AS file_version,
+    CASE WHEN result = 'replaced' THEN CASE WHEN needs_ocr THEN 'pending' ELSE 'done' END ELSE extraction_status END AS extraction_status FROM (SELECT u.*, d.version, d.content_hash, d.content, d.extraction_status, f.newest, CASE WHEN d.id IS NULL THEN 'missing' WHEN d.version <> client_version THEN 'conflict'
+    WHEN f.bytes IS NOT DISTINCT FROM u.sha256 THEN 'unchanged' WHEN NOT needs_ocr AND trim(fresh) = '' THEN 'unreadable' ELSE 'replaced' END AS result FROM uploaded u LEFT JOIN docs d ON d.id = u.document_id LEFT JOIN (SELECT document_id, max(file_version) AS newest, arg_max(sha256, file_version) AS bytes FROM files GROUP BY 1) f ON f.document_id = u.document_id)""", **STORE, uploaded=UPLOADED))
+def replace_originals(c):
+    """New files for all documents: some are the bytes that are there, some made from an older version, some blank, some to be recognised."""
+    i = F.col("id")
+    own = c.documents.select(
+        i.alias("document_id"), F.lit("f").alias("filename"), F.when(i % 5 == 0, F.col("content_hash")).when(i % 5 == 1, F.sha2(F.encode(F.concat("content", F.lit("x")), "UTF-8"), 256)).otherwise(F.concat(F.lit("new"), "id")).alias("sha256"),
+        F.when(i % 7 == 2, "  ").when(i % 7 == 3, F.col("content")).otherwise(F.concat("content", F.lit(" more"))).alias("content"), (i % 4 == 2).alias("needs_ocr"), (1 + (i % 9 == 4).cast("int")).alias("client_version"),
+    )
+    gone = own.limit(1).select(F.lit(-5).cast("long").alias("document_id"), F.lit("f").alias("filename"), F.lit("x").alias("sha256"), F.lit("x").alias("content"), F.lit(False).alias("needs_ocr"), F.lit(1).alias("client_version"))
+    return files.replace_originals(c.documents, _files(c), own.unionByName(gone)).select("document_id", "result", "version", "file_version", "extraction_status")
+
+
+@query(with_tables("""SELECT 'row' AS what, document_id, file_version FROM files f WHERE lower(split_part(filename, '.', 2)) IN ('hwp', 'hwpx', 'docx', 'xlsx', 'pptx') AND (document_id, file_version) NOT IN (SELECT (document_id, file_version) FROM converted)
+    UNION ALL SELECT DISTINCT 'job', document_id, NULL FROM files f WHERE lower(split_part(filename, '.', 2)) IN ('hwp', 'hwpx', 'docx', 'xlsx', 'pptx') AND (document_id, file_version) NOT IN (SELECT (document_id, file_version) FROM converted) AND document_id NOT IN (SELECT document_id FROM jobs WHERE kind = 'preview' AND status = 'pending')""", **STORE))
+def preview_work(c):
+    """Preview rows and jobs to add for files that have none."""
+    rows, jobs = extraction.preview_work(_files(c), _converted(c), c.jobs)
+    return rows.select(F.lit("row").alias("what"), "document_id", "file_version").unionByName(jobs.select(F.lit("job").alias("what"), "document_id", F.lit(None).cast("int").alias("file_version")))
+
+
+@query(with_tables("SELECT d.id, array_to_string(list_sort(list_distinct([lang, source, 'x'])), ',') AS tags FROM documents JOIN docs d ON d.id = doc_id"))
+def cleaned_tags(c):
+    """Tags without blanks around them, blank ones and repeats."""
+    from docloom.functions.columns import clean_tags
+
+    raw = c.table("documents").select(F.col("doc_id").alias("id"), F.array(F.concat(F.lit(" "), "lang"), F.lit("  "), F.concat("source", F.lit(" ")), "lang", F.lit("x")).alias("t"))
+    return raw.select("id", F.array_join(F.array_sort(clean_tags("t")), ",").alias("tags"))
+
+
+@query(with_tables("""SELECT 'document' AS what, CAST(id AS VARCHAR) AS id, CASE owner_id WHEN 'user1' THEN 'user2' ELSE owner_id END AS holder FROM docs UNION ALL SELECT 'folder', id, CASE created_by WHEN 'user1' THEN 'user2' ELSE created_by END FROM folders
+    UNION ALL SELECT 'grant', CAST(document_id AS VARCHAR), coalesce(user_id, group_id) FROM document_grants g WHERE NOT coalesce(user_id = 'user1', false) AND NOT coalesce(user_id = 'user2' AND EXISTS (SELECT 1 FROM docs d WHERE d.id = g.document_id AND d.owner_id IN ('user1', 'user2')), false)
+    UNION ALL SELECT 'member', group_id, user_id FROM members WHERE user_id <> 'user1'"""))
+def deleted_user(c):
+    """Who holds what after a user is gone and another one has taken over."""
+    left = changes.delete_user(c.documents, c.folders, c.document_grants, c.members, "user1", "user2")
+    return (
+        left["documents"].select(F.lit("document").alias("what"), F.col("id").cast("string").alias("id"), F.col("owner_id").alias("holder")).unionByName(left["folders"].select(F.lit("folder").alias("what"), "id", F.col("created_by").alias("holder")))
+        .unionByName(left["grants"].select(F.lit("grant").alias("what"), F.col("document_id").cast("string").alias("id"), F.coalesce("user_id", "group_id").alias("holder"))).unionByName(left["members"].select(F.lit("member").alias("what"), F.col("group_id").alias("id"), F.col("user_id").alias("holder")))
+    )
+
+
+@query(with_tables("""SELECT conv_id AS key, CAST(i AS BIGINT) AS place, k.document_id, k.version, k.chunk_index, k.content FROM (SELECT DISTINCT conv_id FROM conversations), (SELECT unnest(range(4)) AS i) JOIN chunks k ON k.document_id = conv_id + i AND k.version = 1 + i AND k.chunk_index = i"""))
+def chunks_at(c):
+    """The chunks at places that each row names by three arrays."""
+    n = F.array(*map(F.lit, range(4)))
+    asked = c.table("conversations").select(F.col("conv_id").alias("key")).distinct().select("key", F.transform(n, lambda x: F.col("key") + x).alias("ids"), F.transform(n, lambda x: (x + 1).cast("long")).alias("versions"), F.transform(n, lambda x: x.cast("long")).alias("indexes"))
+    return passages.chunks_at(c.chunks, asked).withColumn("place", F.col("place").cast("long"))

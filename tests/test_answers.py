@@ -83,3 +83,12 @@ def test_hangul_terms(spark):
     df = spark.range(1).select(text.query_terms("교체하면 Do it").alias("t"), text.best_option(F.array(F.lit("없음"), F.lit("교체할수록"), F.lit("교체하면")), "교체하면").alias("b"), text.best_option(F.array(F.lit("a"), F.lit("b")), "zz").alias("n"))
     r = df.first()
     assert sorted(r.t) == sorted(["교체", "체하", "하면", "do", "it"]) and r.b == "교체하면" and r.n is None
+
+
+def test_where_evidence_gets_lost(spark):
+    evidence = spark.createDataFrame([(1, "A", "key  one"), (1, "A", "key two"), (2, "A", "nowhere"), (3, "B", "deep"), (4, "B", "shown"), (5, "B", "passage")], "query long, source string, text string")
+    hits = spark.createDataFrame([(1, 1, "A", "has key one and key two"), (2, 1, "A", "x"), (3, 1, "A", "deep but another title"), (3, 2, "B", "x"), (4, 1, "A", "x"), (4, 2, "B", "it is shown"), (5, 1, "B", "x"), (4, 9, "B", "far")], "query long, rank long, title string, content string")
+    parts = spark.createDataFrame([(1, 1, "A", "key one"), (5, 1, "B", "the\npassage is"), (3, 9, "B", "deep")], "query long, rank long, title string, content string")
+    stored = spark.createDataFrame([("A", "key one key two"), ("B", "deep shown"), ("B", "passage")], "title string, content string")
+    got = {r["query"]: (r.required, r.first_excerpt, r.top_passages, r.cause) for r in passages.evidence_grades(evidence, hits, parts, stored).collect()}
+    assert got == {1: (2, 2, 1, "complete"), 2: (1, 0, 0, "extraction"), 3: (1, 0, 0, "candidates"), 4: (1, 0, 0, "complete"), 5: (1, 0, 1, "selection")}

@@ -61,7 +61,8 @@ def fill(passages: list[tuple[str, int, int]], budget: int) -> list[tuple[int, i
             entry[3:] = focus_from, focus_from + room
         else:
             size = min(room, length)
-            start = min(max(0, focus_from - (size - (focus_to - focus_from)) // 2), length - size)
+            spare = size - (focus_to - focus_from)  # half of it goes before the focus, as far as the text has room there
+            _, start, _ = sorted((0, focus_from - spare // 2, length - size))
             entry[3:] = start, start + size
         budget -= entry[4] - entry[3] - (end - begin)
     return [(number, begin, end) for number, _, _, begin, end in taken]

@@ -28,9 +28,13 @@ UNSAFE, LONGEST, UNNAMED = re.compile(r'[\\/:*?"<>|\x00-\x1f]'), 100, "문서"
 _NUMBERED = re.compile(r"(.*) \(([1-9][0-9]*)\)", re.DOTALL)
 
 
+_EDGES, _BLANKS = re.compile(r"^\s*\.*|\s+$"), re.compile(r"^\s+|\s+$")
+
+
 def file_stem(title: str | None) -> str:
-    """A title as a file name without its ending: no unsafe signs, no blanks around it, no dot before it."""
-    return UNSAFE.sub("_", title or "").strip().lstrip(".")[:LONGEST].strip() or UNNAMED
+    """A title as a file name without its ending: no unsafe signs, no blanks around it, no dot before it, and no longer than LONGEST."""
+    bare = _EDGES.sub("", UNSAFE.sub("_", title or ""))
+    return _BLANKS.sub("", bare[:LONGEST]) or UNNAMED
 
 
 class Names:

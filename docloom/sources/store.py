@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 import inspect
 import json
+import time
 import uuid
 from collections.abc import Callable
 from types import ModuleType
@@ -117,6 +118,23 @@ class Kept:
             self.point(state, kept.schema, folders)
         return self.read()
 
+    def sweep(self, older_than: float) -> int:
+        """Delete this table's folders that no kept table's pointer names any more and that are older than so many seconds, which readers of an old pointer may still need. Gives their number."""
+        fs, path = self._fs()
+        named = set()
+        for pointer in fs.globStatus(path.getParent().getParent().suffix("/docloom-kept-*/CURRENT")) or []:
+            stream = fs.open(pointer.getPath())
+            try:
+                told = json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            finally:
+                stream.close()
+            named |= {folder.split("/_bucket=")[0].rsplit("/", 1)[1] for folder in told["folders"].values()}
+        gone = 0
+        for one in fs.listStatus(path.getParent()) if fs.exists(path.getParent()) else []:
+            if one.isDirectory() and one.getPath().getName() not in named and one.getModificationTime() < (time.time() - older_than) * 1000:
+                gone += bool(fs.delete(one.getPath(), True))
+        return gone
+
     def fork(self, name: str) -> Kept:
         """A table of another name that starts with the same files."""
         now = self.current()

@@ -111,3 +111,15 @@ def test_state_follows_files_code_and_parameters(spark, tmp_path):
     assert one == state_of([t], graph, "k=10") and one != state_of([t], graph, "k=5") and one != state_of([t], vectors, "k=10")
     spark.range(2).write.mode("append").parquet(str(tmp_path / "t"))
     assert one != state_of([spark.read.parquet(str(tmp_path / "t"))], graph, "k=10")
+
+
+def test_sweep_keeps_what_pointers_name(spark):
+    kept = Kept(spark, "test-sweep", "src", buckets=1)
+    df = spark.createDataFrame([(i, i) for i in range(10)], "src long, v long")
+    kept.build("a", df)
+    fork = kept.fork("test-sweep-fork")
+    kept.replace("b", df.select("src").limit(3), df.limit(0))
+    kept.replace("c", df.select("src").limit(5), df.limit(0))
+    assert kept.sweep(3600) == 0 and kept.sweep(-10) == 1  # the fork still names the first folder
+    assert fork.read().count() == 10 and kept.read().count() == 5
+    assert kept.sweep(-10) == 0

@@ -81,8 +81,10 @@ def test_front_matter_and_export(spark):
     assert extract.split_front_matter("Body") == ({}, "Body")
     docs = spark.createDataFrame([(1, "A/b", ["x"], "public", "t1", 1), (2, "a/B", [], "private", "t2", 2), (3, "..", [], "public", "t3", 3)], "id long, title string, tags array<string>, visibility string, content string, created_at long")
     got = {r.id: (r.name, r.body) for r in sinks.markdown(docs).collect()}
-    assert got[1][0] == "A_b.md" and got[2][0] == "a_B (2).md" and got[3][0] == "untitled.md"
+    assert got[1][0] == "A_b.md" and got[2][0] == "a_B (2).md" and got[3][0] == "문서.md"
     assert extract.split_front_matter(got[1][1]) == ({"title": "A/b", "tags": ["x"], "visibility": "public"}, "t1")
+    hard = spark.createDataFrame([(1, 'a: "b" #c', ["x, y", "]", "# no", "1", "é 한"], "private", "t", 1)], docs.schema)
+    assert extract.split_front_matter(sinks.markdown(hard).first().body) == ({"title": 'a: "b" #c', "tags": ["x, y", "]", "# no", "1", "é 한"], "visibility": "private"}, "t")
 
 
 def test_columns(spark):

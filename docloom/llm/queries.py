@@ -93,6 +93,32 @@ BEST_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floo
     row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.z, c.z) DESC, c.vec_id) AS rank FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id) WHERE rank <= 5"""
 
 
+#: The steps of the CRC-32 of a byte, as a list t; and the checksum of a text over it.
+CRC_STEPS = "SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS t FROM range(256) r(i)"
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, 1 + octet_length(encode({0}))::BIGINT), lambda i: ('0x' || substr(hex(encode({0})), 2 * i - 1, 2))::BIGINT)),
+    lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295)"""
+#: Words that are equal once a letter is replaced by a star or taken out are near.
+SPELLING_SQL = f"""WITH RECURSIVE steps AS ({CRC_STEPS}), runs AS (SELECT doc_id, run, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+    told AS (SELECT run, c, {CRC.format("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)")} AS h FROM runs, steps),
+    words AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM told) GROUP BY 1 HAVING sum(c) >= 3 AND length(word) >= 5),
+    places AS (SELECT word, substr(word, 1, i) AS head, substr(word, i + 2) AS tail FROM words, unnest(range(length(word))) AS p(i)),
+    near AS (SELECT a.word, b.word AS other FROM places a JOIN places b ON a.head || '*' || a.tail = b.head || '*' || b.tail AND a.word <> b.word
+        UNION SELECT word, head || tail FROM places WHERE head || tail IN (SELECT word FROM words) UNION SELECT head || tail, word FROM places WHERE head || tail IN (SELECT word FROM words)),
+    best AS (SELECT r.word, count(*) AS n_near, min({{'n': -w.n, 'w': w.word}}) AS b FROM near r JOIN words w ON w.word = r.other GROUP BY 1),
+    forms AS (SELECT words.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 2 * n THEN b.w END AS form, CASE WHEN -b.n >= 2 * n THEN -b.n END AS form_n FROM words LEFT JOIN best USING (word)),
+    led AS (SELECT word, word AS at, form AS next FROM forms UNION ALL SELECT l.word, f.word, f.form FROM led l JOIN forms f ON f.word = l.next)
+    SELECT f.word, n, n_near, form, form_n, l.at AS root FROM forms f JOIN led l ON l.word = f.word AND l.next IS NULL"""
+TRIE_SQL = f"""WITH steps AS ({CRC_STEPS}), own AS (SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) - 1 AS pos FROM conversations WHERE conv_id IS NOT NULL),
+    convs AS (SELECT conv_id, conv_id - ((conv_id % 5) + 5) % 5 AS base, {CRC.format("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own), steps),
+    built AS (SELECT c.conv_id, 0 AS part, pos, r, x FROM convs c JOIN own o ON o.conv_id = c.base AND pos < h UNION ALL SELECT c.conv_id, 1, pos, r, x FROM convs c JOIN own o ON o.conv_id = c.conv_id AND pos >= h),
+    paths AS (SELECT conv_id, list({{'r': r, 'x': x}}) OVER (PARTITION BY conv_id ORDER BY part, pos) AS path, count(*) OVER (PARTITION BY conv_id) AS turns FROM built
+        UNION ALL SELECT conv_id, [], (SELECT count(*) FROM built b WHERE b.conv_id = c.conv_id) FROM convs c),
+    nodes AS (SELECT path, len(path) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (turns = len(path)), '')) AS ends FROM paths GROUP BY 1),
+    below AS (SELECT path[:depth - 1] AS up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1), whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN below ON up = path),
+    under AS (SELECT path[:k] AS top, count(*) FILTER (n_children = 0) AS n_leaves, sum(CASE WHEN depth > 0 THEN (n_convs - 1) * octet_length(encode(path[depth].x)) ELSE 0 END) AS saved FROM whole, unnest(range(depth + 1)) AS a(k) GROUP BY 1)
+    SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256 FROM whole w JOIN under ON top = w.path LEFT JOIN nodes p ON w.depth > 0 AND p.path = w.path[:w.depth - 1]"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what a query gives; the others are tested against brute force, a round trip, the library or held-out labels."""
-    return {"op5_embedding_near_dedup": LINKS_SQL, "op9_exact_top_k": BEST_SQL}
+    return {"op5_embedding_near_dedup": LINKS_SQL, "op9_exact_top_k": BEST_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_prefix_trie": TRIE_SQL}

@@ -119,6 +119,23 @@ TRIE_SQL = f"""WITH steps AS ({CRC_STEPS}), own AS (SELECT conv_id, coalesce(rol
     SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, w.ends AS ends_sha256 FROM whole w JOIN under ON top = w.path LEFT JOIN nodes p ON w.depth > 0 AND p.path = w.path[:w.depth - 1]"""
 
 
+def _chat_sql(template: chat.Template = chat.INSTRUCT) -> str:
+    def escaped(text: str) -> str:
+        text = f"replace({text}, '\\', '\\\\')"
+        for m in template.marks:
+            text = f"replace({text}, '{m}', '{m[0]}\\{m[1:]}')"
+        return text
+
+    around = " ".join(f"WHEN '{r}' THEN {len(p.opening) + len(p.closing)}" for r, p in template.parts.items())
+    loss = ", ".join(f"'{r}'" for r, p in template.parts.items() if p.loss)
+    follows = " ".join(f"WHEN '{r}' THEN role IN ({', '.join(repr(x) for x in after)})" for r, after in template.follows.items())
+    order = "ORDER BY turn NULLS FIRST, role, text"
+    return f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+    placed AS (SELECT *, coalesce(lag(role) OVER (PARTITION BY conv_id {order}), '') AS before, {escaped("text")} AS safe, CASE role {around} ELSE {sum(map(len, template.other))} + length({escaped("role")}) END AS marks FROM said)
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {order})) AS turns_sha256, CAST(coalesce(sum(length(text)) FILTER (role IN ({loss})), 0) AS BIGINT) AS loss_chars,
+    sha256(coalesce(string_agg(text, '' {order}) FILTER (role IN ({loss})), '')) AS loss_sha256, CAST(sum(marks + length(safe)) AS BIGINT) AS formatted_chars, count(*) FILTER (NOT CASE before {follows} ELSE false END) AS turns_out_of_order FROM placed GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can say what a query gives; the others are tested against brute force, a round trip, the library or held-out labels."""
-    return {"op5_embedding_near_dedup": LINKS_SQL, "op9_exact_top_k": BEST_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_prefix_trie": TRIE_SQL}
+    return {"op2_chat_formatting": _chat_sql(), "op5_embedding_near_dedup": LINKS_SQL, "op9_exact_top_k": BEST_SQL, "op11_spelling_variants": SPELLING_SQL, "op12_prefix_trie": TRIE_SQL}

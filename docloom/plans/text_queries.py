@@ -140,6 +140,19 @@ def answer_grading(c):
     return answers.summary(answers.grade(*_asked(c)))
 
 
+@query(with_tables("""SELECT query, 1 AS required, CAST(in_top AND rank = 1 AND e AS BIGINT) AS first_excerpt, CAST(in_top AND has AND p AS BIGINT) AS top_passages, CASE WHEN NOT kept THEN 'extraction' WHEN NOT (in_top AND (e OR (has AND p))) THEN 'candidates' WHEN NOT e THEN 'selection' ELSE 'complete' END AS cause FROM (
+    SELECT id AS query, 1 + id % 7 AS rank, 1 + id % 7 <= 5 AS in_top, id % 4 <> 1 AS has, contains(trim(regexp_replace(substr(content, 1, CASE WHEN id % 2 = 0 THEN 50 ELSE 120 END), '\\s+', ' ', 'g')), t) AS e, contains(trim(regexp_replace(substr(content, 1, 90), '\\s+', ' ', 'g')), t) AS p,
+    (SELECT bool_or(contains(trim(regexp_replace(s.content, '\\s+', ' ', 'g')), t)) FROM docs s WHERE s.title = d.title) AS kept FROM (SELECT *, trim(regexp_replace(CASE WHEN id % 11 = 4 THEN 'no such sentence' ELSE substr(content, 20, 40) END, '\\s+', ' ', 'g')) AS t FROM docs) d)"""))
+def evidence_causes(c):
+    """Where a sentence of each document gets lost on its way into what a search shows: hits and passages are beginnings of texts of different lengths."""
+    i = F.col("id")
+    rank = (1 + i % 7).alias("rank")
+    wanted = c.documents.select(i.alias("query"), F.col("title").alias("source"), F.when(i % 11 == 4, "no such sentence").otherwise(F.substring("content", 20, 40)).alias("text"))
+    hits = c.documents.select(i.alias("query"), rank, "title", F.substring(F.col("content"), F.lit(1), F.when(i % 2 == 0, 50).otherwise(120)).alias("content"))
+    parts = c.documents.where("id % 4 <> 1").select(i.alias("query"), rank, "title", F.substring("content", 1, 90).alias("content"))
+    return passages.evidence_grades(wanted, hits, parts, c.documents.select("title", "content"))
+
+
 @query(with_tables("SELECT p.document_id, v AS file_version, CASE WHEN t IS NULL THEN NULL WHEN t = d.version THEN d.content ELSE (SELECT w.content FROM versions w WHERE w.document_id = p.document_id AND w.version = t) END AS content FROM (SELECT id AS document_id, unnest([1, 2]) AS v, CASE WHEN id % 3 <> 0 THEN 1 + id % 4 END AS t FROM docs WHERE id % 5 <> 2) p JOIN docs d ON d.id = p.document_id"))
 def pending_previews(c):
     """Waiting previews with the text of their own version; versions are turns of conversations."""

@@ -2,10 +2,11 @@
 
 Centres are fitted by spherical k-means on a sample of at most SAMPLE chunks (the smallest by a hash of their ids, so that it is the same
 each time) on the driver; there are as many as the root of the number of chunks, MOST_LISTS at most. Every chunk is filed. A list is cut into blocks of
-BLOCK chunks, and a block meets the queries that probe its list in one task, so long lists cost more tasks, not longer ones. With a number of
-probes, what is shuffled is that many copies of each query; recall is measured by ``recall`` against the exact comparison. The exact
+BLOCK chunks, and so are the queries that probe it; a block of each meet in one task, so long lists and many queries cost more tasks, not longer ones.
+With a number of probes, what is shuffled is that many copies of each query; recall is measured by ``recall`` against the exact comparison. The exact
 mode goes on from there: a list is left out for a query only where the distance to its centre less its radius exceeds the distance of
-the k-th chunk found, by the triangle inequality; the others are probed too.
+the k-th chunk found, by the triangle inequality; the others are probed too. For that, queries and lists are not copied for each other: bounded blocks of
+queries meet bounded blocks of chunks, as in the comparison of all, and in a task each list meets those queries of the block that it is not left out for.
 """
 
 from __future__ import annotations
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.vectors import NEAR_SCHEMA, PLACES, distances, k_nearest, nearest_of, nearest_to, no_pairs
+from docloom.operators.vectors import BLOCK_ROWS, NEAR_SCHEMA, PLACES, Block, blocks_of, k_nearest, nearest_in, nearest_to, nearest_within, no_pairs
 from docloom.session import cut_lineage
 
-SAMPLE, MOST_LISTS, BLOCK, STEPS = 8_192, 1_024, 512, 10
+SAMPLE, MOST_LISTS, BLOCK, STEPS = 8_192, 1_024, 8_192, 10
 #: Rounding of stored distances, and of sums in the bound.
 SLACK = 10.0**-PLACES
 
@@ -89,41 +90,51 @@ def build(chunks: DataFrame, centres: np.ndarray | None = None, block: int = BLO
     return PartitionIndex(filed, lists, centres)
 
 
-def _probe(index: PartitionIndex, asked: DataFrame, k: int) -> DataFrame:
-    """Nearest chunks of asked rows (document_id, chunk_index, embedding, list) within the lists they name; each list's blocks by themselves."""
-    left = asked.join(F.broadcast(index.lists.select("list", "blocks")), "list")
-    left = left.select("document_id", "chunk_index", "embedding", "list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    right = index.rows
+def _probe(index: PartitionIndex, asked: DataFrame, probes: int, k: int) -> DataFrame:
+    """Nearest chunks of asked rows within the lists nearest to them; blocks of queries and blocks of the list meet by themselves."""
+    wanted = _wanted(index, asked, probes, False)
+    counts = wanted.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))  # a row for each list, as below
+    sized = F.broadcast(counts.join(index.lists.select("list", "blocks"), "list"))
+    part = F.pmod(F.xxhash64("document_id", "chunk_index"), F.col("parts")).cast("int").alias("part")
+    left = wanted.join(sized, "list").select("list", part, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "document_id", "chunk_index", "embedding")
+    right = index.rows.join(F.broadcast(counts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "block", "document_id", "chunk_index", "embedding")
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
-        if not a.num_rows or not b.num_rows:
-            return no_pairs()
-        return pa.concat_tables([nearest_of(distances(part, b), part, b, k) for part in (a.slice(i, 2 * BLOCK) for i in range(0, a.num_rows, 2 * BLOCK))])
+        return nearest_in(Block(a), Block(b), k) if a.num_rows and b.num_rows else no_pairs()
+
+    keys = ["list", "part", "block"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, NEAR_SCHEMA)
+
 
-    return left.groupBy("list", "block").cogroup(right.groupBy("list", "block")).applyInArrow(run, NEAR_SCHEMA)
+def open_lists(unit: np.ndarray, reach: np.ndarray, centres: np.ndarray, radii: np.ndarray, probes: int) -> np.ndarray:
+    """Which lists (columns) each query still has to ask: not its nearest ones, and not those whose chunks are all beyond its reach."""
+    dots = unit @ centres.T
+    order = np.argsort(-dots, axis=1, kind="stable")
+    mask = np.sqrt(np.maximum(2 - 2 * dots, 0)) - radii[None, :] <= np.sqrt(2 * (reach + SLACK))[:, None] + SLACK
+    np.put_along_axis(mask, order[:, :probes], False, axis=1)
+    return mask
+
+
+def _radii(index: PartitionIndex) -> np.ndarray:
+    radii = np.zeros(len(index.centres))
+    for r in index.lists.collect():  # a row for each list
+        radii[r["list"]] = r["radius"]
+    return radii
 
 
 def _wanted(index: PartitionIndex, queries: DataFrame, probes: int, beyond: bool) -> DataFrame:
     """queries once for each list to probe: the nearest ones, or (beyond) those after them that their reach (column) does not rule out."""
-    spark = queries.sparkSession
-    radius = np.zeros(len(index.centres))
-    for r in index.lists.collect():  # a row for each list
-        radius[r["list"]] = r["radius"]
-    shipped = spark.sparkContext.broadcast((index.centres, radius))
+    shipped = queries.sparkSession.sparkContext.broadcast((index.centres, _radii(index) if beyond else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres, radii = shipped.value
         for b in batches:
-            dots = _units(_matrix(b.column("embedding"))) @ centres.T
-            order = np.argsort(-dots, axis=1, kind="stable")
-            mask = np.zeros(dots.shape, bool)
+            unit = _units(_matrix(b.column("embedding")))
             if beyond:
-                apart = np.sqrt(np.maximum(2 - 2 * dots, 0))
-                reach = b.column("reach").to_numpy(zero_copy_only=False)
-                np.put_along_axis(mask, order[:, probes:], True, axis=1)
-                mask &= apart - radii[None, :] <= np.sqrt(2 * (reach + SLACK))[:, None] + SLACK
+                mask = open_lists(unit, b.column("reach").to_numpy(zero_copy_only=False), centres, radii, probes)
             else:
-                np.put_along_axis(mask, order[:, :probes], True, axis=1)
+                mask = np.zeros((len(unit), len(centres)), bool)
+                np.put_along_axis(mask, np.argsort(-(unit @ centres.T), axis=1, kind="stable")[:, :probes], True, axis=1)
             i, j = np.nonzero(mask)
             rows = b.select(["document_id", "chunk_index", "embedding"]).take(pa.array(i))
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(j.astype(np.int32))], [*rows.schema.names, "list"])
@@ -131,6 +142,31 @@ def _wanted(index: PartitionIndex, queries: DataFrame, probes: int, beyond: bool
     return queries.mapInArrow(run, "document_id long, chunk_index long, embedding array<double>, list int")
 
 
+def _beyond(index: PartitionIndex, queries: DataFrame, probes: int, k: int, block: int = BLOCK_ROWS) -> DataFrame:
+    """Nearest chunks of queries (with reach) in the lists after the nearest ones that their reach does not rule out."""
+    shipped = queries.sparkSession.sparkContext.broadcast((index.centres, _radii(index)))
+    few, one = blocks_of(queries, block)
+    own = index.rows.select("document_id", "chunk_index", "embedding", "list")
+    many, two = blocks_of(own, block)
+    left = queries.select(one.alias("one"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("two"), "document_id", "chunk_index", "embedding", "reach")
+    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("one"), two.alias("two"), "*").toDF("one", "two", *own.columns)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return no_pairs()
+        centres, radii = shipped.value
+        asking, filed = Block(a), Block(b)
+        reach, lists = asking.table.column("reach").to_numpy(), filed.table.column("list").to_numpy()
+        out = [no_pairs()]
+        for begin in range(0, len(asking), BLOCK):
+            some = slice(begin, begin + BLOCK)
+            mask = open_lists(asking.unit[some], reach[some], centres, radii, probes)
+            out.append(nearest_within(asking, filed, k, begin, mask, reach[some], lists))
+        return pa.concat_tables(out)
+
+    return left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInArrow(run, NEAR_SCHEMA)
+
+
 def search(index: PartitionIndex, queries: DataFrame, k: int = 10, probes: int = 8, exact: bool = False) -> DataFrame:
     """(src, src_chunk, dst, dst_chunk, distance): the k nearest chunks of other documents for each query (document_id, chunk_index, embedding).
 
@@ -139,13 +175,13 @@ def search(index: PartitionIndex, queries: DataFrame, k: int = 10, probes: int =
     asked = queries.select("document_id", "chunk_index", "embedding")
     if not len(index.centres):
         return asked.sparkSession.createDataFrame([], NEAR_SCHEMA)
-    found = k_nearest(_probe(index, _wanted(index, asked, probes, False), k), k)
+    found = k_nearest(_probe(index, asked, probes, k), k)
     if not exact or probes >= len(index.centres):
         return found
     found = cut_lineage(found)
     reach = found.groupBy(F.col("src").alias("document_id"), F.col("src_chunk").alias("chunk_index")).agg(F.when(F.count("*") >= k, F.max("distance")).alias("r"))
     open_ = asked.join(reach, ["document_id", "chunk_index"], "left").withColumn("reach", F.coalesce("r", F.lit(2.0))).drop("r")
-    return k_nearest(found.unionByName(_probe(index, _wanted(index, open_, probes, True), k)), k)
+    return k_nearest(found.unionByName(_beyond(index, open_, probes, k)), k)
 
 
 def recall(index: PartitionIndex, queries: DataFrame, k: int = 10, probes: int = 8) -> float:

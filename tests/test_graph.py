@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,31 @@ def test_sweep_keeps_what_pointers_name(spark):
     assert kept.sweep(3600) == 0 and kept.sweep(-10) == 1  # the fork still names the first folder
     assert fork.read().count() == 10 and kept.read().count() == 5
     assert kept.sweep(-10) == 0
+
+
+def brute(one, two, k):
+    """By all distances at once, ties by id."""
+    far = np.round(1 - one.unit @ two.unit.T, 9)
+    far[one.document[:, None] == two.document[None, :]] = np.inf
+    order = np.argsort(far, axis=1, kind="stable")[:, :k]
+    return sorted((one.document[i], one.chunk[i], two.document[j], two.chunk[j], far[i, j]) for i in range(len(one)) for j in order[i] if np.isfinite(far[i, j]))
+
+
+@pytest.mark.parametrize("n, copies, k", [(2600, 0, 10), (2600, 1500, 10), (2200, 0, 40), (9, 0, 10)])
+def test_tiles_of_blocks_equal_all_distances(n, copies, k):
+    rng = np.random.default_rng(n + copies)
+    x = rng.normal(size=(n, 12))
+    x[rng.permutation(n)[:copies]] = x[0]
+    x[3] = 0
+    table = pa.table({"document_id": np.arange(n) // 5, "chunk_index": np.arange(n) % 5, "embedding": pa.array(list(x))})
+    here = pa.array(rng.random(n) < 0.6)
+    one, two = vectors.Block(table.filter(here)), vectors.Block(table.filter(pc.invert(here)))
+    found = vectors.nearest_in(one, two, k, both=True).to_pylist()
+    assert np.array(sorted(tuple(r.values()) for r in found)) == pytest.approx(np.array(sorted(brute(one, two, k) + brute(two, one, k))), rel=0, abs=2e-9)
+
+
+def test_blocks_do_not_grow_in_number_with_the_chunks(spark):
+    number = lambda df: vectors.blocks_of(df, vectors.BLOCK_ROWS)[0]
+    wide = spark.range(7_000).select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("embedding"))
+    assert number(wide) == number(wide.crossJoin(spark.range(8).toDF("n"))) == vectors.BLOCKS
+    assert number(wide.crossJoin(spark.range(200).toDF("n"))) == -(-1_400_000 // vectors.BLOCK_ROWS)  # bounded in memory beyond

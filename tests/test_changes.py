@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.operators import changes, trigrams
@@ -79,3 +80,21 @@ def test_margins_and_odd_texts(spark):
     row = trigrams.margins(pairs).first()
     assert row.pairs == 3 and row.below == 1 and len(row.percentiles) == 4
     assert [x for x in trigrams.margins(pairs.where(F.lit(False))).first()][:2] == [0, 0]
+
+
+def test_numbered_titles_equal_brute_force(spark):
+    """Titles that differ by a number share most trigrams with all others."""
+    titles = [f"Title {i * 37 + 10_000}" for i in range(2_000)]
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    got = {(r.a, r.b) for r in trigrams.similar(df, 0.8, key="title").collect()}
+    some = titles[::100]
+    want = {tuple(sorted((a, b))) for a in some for b in titles if a != b and max(brute(a, b), brute(b, a)) >= 0.8 - 1e-9}
+    assert {p for p in got if set(p) & set(some)} == want and want
+
+
+def test_sets_of_trigrams_are_bounded_and_lose_none():
+    assert [trigrams.most_shared(n) for n in (2, 9, 12, 40, 300)] == [2, 4, 3, 1, 1]
+    assert trigrams.most_shared(13, 11) == 4 and trigrams.most_shared(2, 1) == 1 and trigrams.most_shared(300, 200) == 1
+    h = np.arange(1, 8) * 12345
+    assert len(set(trigrams.set_keys(h, 3, 5))) == 35 and set(trigrams.set_keys(h, 3, 5)) == set(trigrams.set_keys(h[::-1].copy(), 3, 5))
+    assert not set(trigrams.set_keys(h, 3, 5)) & set(trigrams.set_keys(h, 3, 6))

@@ -5,12 +5,14 @@ each end. In a round every node finds the community next to it that raises modul
 that moves, so that neighbours do not trade places. A round costs four shuffles by key, whatever the graph's shape, and one written
 table of nodes. A level is settled when no node wants to move, or when rounds stop raising modularity; its best round counts. It is
 then contracted, and levels end when one raises modularity by less than LEAST_GAIN. The nodes then move once more from the communities
-found, and all is done again, until a whole pass gains nothing. A level that does not settle in MOST_ROUNDS raises an error.
+found, and all is done again, until a whole pass gains nothing. Levels have as many rounds as they need, which grow with the graph: rounds end
+as modularity is at most 1 and each PATIENCE of them must add to it. A caller may set a limit, beyond which an error is raised.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from docloom.session import cut_lineage
 
 LEAST_GAIN = 1e-7
-MOST_ROUNDS, PATIENCE = 100, 8
+PATIENCE = 8
 
 
 @dataclass
@@ -63,11 +65,11 @@ def _modularity(level: Level, marked: DataFrame, resolution: float) -> tuple[flo
     return inside / level.total - resolution * squares / level.total**2, wants
 
 
-def settle(level: Level, start: DataFrame, resolution: float, most_rounds: int = MOST_ROUNDS) -> tuple[DataFrame, float]:
+def settle(level: Level, start: DataFrame, resolution: float, most_rounds: int | None = None) -> tuple[DataFrame, float]:
     """(node, community) of one level, moved on from start, and its modularity."""
     labels = level.nodes.join(start, "node")
     best, most, since = labels, float("-inf"), 0
-    for number in range(most_rounds):
+    for number in count() if most_rounds is None else range(most_rounds):
         marked = cut_lineage(moves(level, labels, number, resolution))
         now, wants = _modularity(level, marked, resolution)
         since = 0 if now > most + LEAST_GAIN else since + 1
@@ -89,7 +91,7 @@ def contract(level: Level, found: DataFrame) -> Level:
     return Level(cut_lineage(nodes), joined.where("ca <> cb").toDF("a", "b", "w"), level.total)
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def louvain(edges: DataFrame, resolution: float = 1.0, most_rounds: int | None = None) -> DataFrame:
     """(node, community) of every node of edges (a, b); a community is named after its smallest node.
 
     Nodes without an edge to another are in no row. A graph without edges gives no rows; null ends are left out.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from unittest.mock import MagicMock
 
 import pytest
 
@@ -106,3 +107,13 @@ def test_names(spark):
     edges = spark.createDataFrame([(1, 2), (3, 4), (4, 5), (4, 3), (5, 8), (5, 9), (6, 7), (8, 9)], "src long, dst long")
     got = {r.community: (r.name, r.kind, r.size) for r in analytics.cluster_names(docs, assigned, edges).collect()}
     assert got == {1: ("x", "tagged", 2), 3: ("hub", "community", 3), 6: ("미분류 (문서)", "community", 2), 8: ("기타 (태그)", "tagged", 2)}
+
+
+def test_a_level_may_need_many_rounds(monkeypatch):
+    """Graphs of some thousand nodes have levels of over 200 rounds; modularity still grows in each."""
+    done = []
+    monkeypatch.setattr(communities, "cut_lineage", lambda df: df)
+    monkeypatch.setattr(communities, "moves", lambda level, labels, number, resolution: done.append(number) or labels)
+    monkeypatch.setattr(communities, "_modularity", lambda level, marked, resolution: (len(done) / 1000, 250 - len(done)))
+    _, reached = communities.settle(MagicMock(), MagicMock(), 1.0)
+    assert len(done) == 250 and reached == 0.25

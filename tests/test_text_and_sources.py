@@ -4,6 +4,7 @@ import io
 import random
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,3 +92,13 @@ def test_columns(spark):
     df = spark.createDataFrame([("a.PDF", ["x ", " ", "x"], "😀a", "=1"), ("b", None, None, "ok")], "f string, t array<string>, u string, c string")
     rows = df.select(columns.content_type("f"), columns.media_type("f"), columns.clean_tags("t"), columns.utf16_units("u"), sinks.csv_cell("c")).collect()
     assert [tuple(r) for r in rows] == [("pdf", "application/pdf", ["x"], 3.0, "'=1"), (None, "application/octet-stream", None, None, "ok")]
+
+
+def test_chunks_leave_in_bounded_batches():
+    """Not all chunks of 10,000 documents at once."""
+    texts = ["A sentence of some words. " * 400] * 300 + [None, "", " ", "short", "x " * 2_000_000]
+    out = list(text.chunk_batches(pa.array(range(len(texts))), pa.array(texts), 1000, 150))
+    size = [sum(map(len, columns[4].to_pylist())) for columns in out]
+    assert len(out) >= 4 and max(size[:-1]) < 1.3 * text.BATCH_CHARACTERS
+    got = [(i, n, s, e, c) for columns in out for i, n, s, e, c in zip(*(x.to_pylist() for x in columns), strict=True)]
+    assert got == [(i, n, s, e, t[s:e]) for i, t in enumerate(texts) if t for n, (s, e) in enumerate(text.chunk_spans(t))]

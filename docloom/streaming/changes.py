@@ -75,7 +75,8 @@ class Derive(StatefulProcessor):
         newest, digest, forgotten = self.newest.get() or (-1, None, -1)
         out = []
         add = lambda what, row=None, **more: out.append({"document_id": key[0], "what": what, "version": row.version if row else None, "content": None, "content_hash": None, "kind": None, "target": None} | more)
-        last = 0
+        last, before = 0, newest
+        targets = None  # state is read and written once for each call where that gives the same: each use is a message to the JVM
         for r in changed:
             if r.event == "job":
                 self.waiting.removeKey((r.kind,))
@@ -91,13 +92,16 @@ class Derive(StatefulProcessor):
                 if not self.waiting.containsKey(("embed",)):
                     self.waiting.updateValue(("embed",), (at,))
                     add("job", r, kind="embed")
-                old, new = set((self.links.get() or ([],))[0]), set(r.targets)
+                old, new = set((self.links.get() or ([],))[0]) if targets is None else targets, set(r.targets)
                 for target in sorted(old - new):
                     add("unlink", r, target=target)
                 for target in sorted(new - old):
                     add("link", r, target=target)
-                self.links.update((sorted(new),))
+                targets = new
             newest, digest = version, r.content_hash
+        if targets is not None:
+            self.links.update((sorted(targets),))
+        if newest != before:
             self.newest.update((newest, digest, forgotten))
         if last:
             self.handle.registerTimer(last + DAY_MS)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from unittest.mock import MagicMock
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -78,3 +80,18 @@ def test_forgotten_versions_still_count_as_stored(spark, tmp_path):
     batches = [[change(1, 1, 0)], [change(2, 1, 3 * day)], [change(2, 2, 3 * day + 60)], [change(1, 1, 3 * day + 120), change(1, 2, 3 * day + 120)]]
     out = run(spark, str(tmp_path), batches)
     assert of(out, "version") == [(1, 1), (1, 2), (2, 1), (2, 2)]
+
+
+def test_state_is_written_once_for_each_call():
+    """Each use of state is a message to the JVM; many versions of a document cost no more writes of its newest one and links."""
+    derive = changes.Derive()
+    derive.handle, derive.versions, derive.newest, derive.waiting, derive.links = (MagicMock() for _ in range(5))
+    derive.newest.get.return_value = derive.links.get.return_value = None
+    derive.versions.containsKey.return_value = derive.waiting.containsKey.return_value = False
+    at = pd.Timestamp("2024-01-01")
+    rows = pd.DataFrame([{"event": "version", "at": at, "version": v, "content": f"c{v}", "content_hash": f"h{v}", "kind": None, "targets": [f"t{v}"]} for v in range(1, 6)])
+    out = pd.concat(derive.handleInputRows((7,), iter([rows]), None))
+    assert list(out[out.what == "link"].target) == [f"t{v}" for v in range(1, 6)] and list(out[out.what == "unlink"].target) == [f"t{v}" for v in range(1, 5)]
+    derive.newest.update.assert_called_once_with((5, "h5", -1))
+    derive.links.update.assert_called_once_with((["t5"],))
+    assert derive.links.get.call_count == 1

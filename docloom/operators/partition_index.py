@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.vectors import BLOCK_ROWS, NEAR_SCHEMA, PLACES, Block, blocks_of, k_nearest, nearest_in, nearest_to, nearest_within, no_pairs
+from docloom.operators.vectors import BLOCK_ROWS, NEAR_SCHEMA, PLACES, Block, across, blocks_of, k_nearest, meet, nearest_in, nearest_to, nearest_within, no_pairs
 from docloom.session import cut_lineage
 
 SAMPLE, MOST_LISTS, BLOCK, STEPS = 8_192, 1_024, 8_192, 10
@@ -148,8 +148,7 @@ def _beyond(index: PartitionIndex, queries: DataFrame, probes: int, k: int, bloc
     few, one = blocks_of(queries, block)
     own = index.rows.select("document_id", "chunk_index", "embedding", "list")
     many, two = blocks_of(own, block)
-    left = queries.select(one.alias("one"), F.explode(F.sequence(F.lit(0), F.lit(many - 1))).alias("two"), "document_id", "chunk_index", "embedding", "reach")
-    right = own.select(F.explode(F.sequence(F.lit(0), F.lit(few - 1))).alias("one"), two.alias("two"), "*").toDF("one", "two", *own.columns)
+    left, right = across(queries.select("document_id", "chunk_index", "embedding", "reach"), one, few, own, two, many)
 
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
@@ -164,7 +163,7 @@ def _beyond(index: PartitionIndex, queries: DataFrame, probes: int, k: int, bloc
             out.append(nearest_within(asking, filed, k, begin, mask, reach[some], lists))
         return pa.concat_tables(out)
 
-    return left.groupBy("one", "two").cogroup(right.groupBy("one", "two")).applyInArrow(run, NEAR_SCHEMA)
+    return meet(left, right, few * many, run)
 
 
 def search(index: PartitionIndex, queries: DataFrame, k: int = 10, probes: int = 8, exact: bool = False) -> DataFrame:

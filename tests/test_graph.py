@@ -153,3 +153,22 @@ def test_blocks_do_not_grow_in_number_with_the_chunks(spark):
     wide = spark.range(7_000).select(F.col("id").alias("document_id"), F.lit(0).cast("long").alias("chunk_index"), F.array(F.lit(1.0), F.col("id") * 1.0).alias("embedding"))
     assert number(wide) == number(wide.crossJoin(spark.range(8).toDF("n"))) == vectors.BLOCKS
     assert number(wide.crossJoin(spark.range(200).toDF("n"))) == -(-1_400_000 // vectors.BLOCK_ROWS)  # bounded in memory beyond
+
+
+@pytest.mark.parametrize("top", [1 << 10, 1 << 40])
+def test_one_number_sorts_as_row_distance_and_column(top):
+    rng = np.random.default_rng(top)
+    i, j, d = rng.integers(0, 30, 4000), rng.integers(0, top, 4000), np.round(rng.choice([0, 1e-9, 0.3, 1.999999999, 2], 4000) + rng.integers(0, 2, 4000) * 0.0, 9)
+    i[0], j[0] = 1 << 16, top
+    order = np.lexsort((j, d, i))
+    for got, want in zip(vectors.nearest_first(i, j, d), (i[order], j[order], d[order]), strict=True):
+        assert (got == want).all()
+    assert [len(x) for x in vectors.nearest_first(i[:0], j[:0], d[:0])] == [0, 0, 0]
+
+
+def test_each_pair_of_blocks_is_a_task(chunks, monkeypatch):
+    """Two pairs in one task would take twice as long as the others, and fewer partitions than cores would leave cores idle."""
+    monkeypatch.setattr(vectors, "k_nearest", lambda met, k: met)
+    tasks = lambda met: met.select(F.spark_partition_id()).distinct().count()
+    assert tasks(vectors.neighbours(chunks, block=200)) == 5 * 6 // 2
+    assert tasks(vectors.nearest_to(chunks.where("document_id < 100"), chunks, block=200)) == 3 * 5

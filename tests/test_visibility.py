@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import pytest
 
-from docloom.operators import visibility
+from docloom.operators import analytics, visibility
+from docloom.plans.corpus import Corpus
 
 
 class Tables:
@@ -54,3 +55,13 @@ def test_asking_for_hidden_documents(spark):
     for hidden in (2, 5, 99):
         with pytest.raises(visibility.NotVisible):
             visibility.ensure_visible(t, "ann", asked(1, hidden))
+
+
+def test_hashes_are_made_before_texts_meet_the_visible(spark, small):
+    """Below the hash stands the table, and no join that texts would be shuffled for."""
+    plan = analytics.identical(Corpus(spark, small), "user1")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    hashed = [n for n, line in enumerate(plan) if "sha2(" in line and "Project" in line]
+    assert hashed
+    for n in hashed:
+        table = next(m for m in range(n, len(plan)) if "Relation" in plan[m])
+        assert not any("Join" in line for line in plan[n:table])

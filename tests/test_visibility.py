@@ -65,3 +65,21 @@ def test_hashes_are_made_before_texts_meet_the_visible(spark, small):
     for n in hashed:
         table = next(m for m in range(n, len(plan)) if "Relation" in plan[m])
         assert not any("Join" in line for line in plan[n:table])
+
+
+def tables_read(df):
+    """The first columns of the tables that a plan reads, from the inside out."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return [line.split("Relation [")[1].split("#")[0] for line in plan.split("\n") if "Relation [" in line]
+
+
+@pytest.mark.parametrize("ask", [analytics.unfiled_suggestions, analytics.suggest_folders, analytics.orphans, analytics.duplicates])
+def test_visibility_is_worked_out_once(spark, small, ask):
+    """Not anew, with the grants of all orders, in each place that reads it."""
+    edges = spark.createDataFrame([], "src long, dst long, kind string, src_chunk long, dst_chunk long, score double")
+    read = tables_read(ask(Corpus(spark, small), edges, "user1"))
+    assert "doc_id" in read and "o_orderkey" not in read
+
+
+def test_orders_meet_documents_before_customers(spark, small):
+    assert tables_read(Corpus(spark, small).document_grants) == ["o_orderkey", "doc_id", "c_custkey"]

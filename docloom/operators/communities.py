@@ -2,8 +2,11 @@
 
 A level holds its nodes with the sum of their weights (d) and the weight of their loops, both ways counted, and its edges once from
 each end. In a round every node finds the community next to it that raises modularity most; a hash of node and round picks the half
-that moves, so that neighbours do not trade places. A round costs four shuffles by key, whatever the graph's shape, and one written
-table of nodes. A level is settled when no node wants to move, or when rounds stop raising modularity; its best round counts. It is
+that moves, so that neighbours do not trade places. A level is settled when no node wants to move, or when rounds stop raising
+modularity; its best round counts. A level may need hundreds of rounds. One of more than TASK_ROWS rows of nodes and edges has each
+round spread over all tasks, with four shuffles by key, whatever the graph's shape, and one written table of nodes. A smaller one, as
+most become by contraction, goes through the same rounds in the memory of one task, which works out anew only the weights of nodes
+next to a move; spread out, its jobs would take a hundred times as long as its arithmetic. A settled level is
 then contracted, and levels end when one raises modularity by less than LEAST_GAIN. The nodes then move once more from the communities
 found, and all is done again, until a whole pass gains nothing. Levels have as many rounds as they need, which grow with the graph: rounds end
 as modularity is at most 1 and each PATIENCE of them must add to it. A caller may set a limit, beyond which an error is raised.
@@ -11,9 +14,14 @@ as modularity is at most 1 and each PATIENCE of them must add to it. A caller ma
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +29,8 @@ from docloom.session import cut_lineage
 
 LEAST_GAIN = 1e-7
 PATIENCE = 8
+#: Nodes and edges (from each end) of a level that one task settles, under 300 bytes each; a larger level is spread over all tasks.
+TASK_ROWS = 1 << 20
 
 
 @dataclass
@@ -81,6 +91,95 @@ def settle(level: Level, start: DataFrame, resolution: float, most_rounds: int |
     raise RuntimeError(f"communities did not settle in {most_rounds} rounds")
 
 
+class Table:
+    """A level in the memory of one task. Nodes are numbers in the order of their names.
+
+    Each node has a slot for each of its edges and one for itself. Within a node, the slots are sorted by the community they lead to; the first
+    slot of a community has the weight towards it, the others have none.
+    """
+
+    def __init__(self, d: np.ndarray, loop: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, total: float, resolution: float):
+        n = len(d)
+        self.d, self.loop, self.total, self.resolution = d, loop, total, resolution
+        ends = np.concatenate([a, np.arange(n)])
+        order = np.argsort(ends, kind="stable")
+        self.node, self.next, self.w = ends[order], np.concatenate([b, np.arange(n)])[order], np.concatenate([w, np.zeros(n)])[order]
+        self.begin = np.searchsorted(self.node, np.arange(n))
+        self.to, self.k = np.zeros(len(ends), dtype=np.int64), np.zeros(len(ends))
+
+    def renew(self, labels: np.ndarray, nodes: np.ndarray) -> None:
+        """Communities and weights of the slots of some nodes (a mask)."""
+        own = np.flatnonzero(nodes[self.node])
+        if not len(own):
+            return
+        node, to = self.node[own], labels[self.next[own]]
+        order = np.lexsort((to, node))
+        to, w = to[order], self.w[own][order]
+        first = np.flatnonzero(np.r_[True, (node[1:] != node[:-1]) | (to[1:] != to[:-1])])
+        self.to[own], self.k[own] = to, -np.inf
+        self.k[own[first]] = np.add.reduceat(w, first)
+
+    def rounds(self, labels: np.ndarray, names: list[str], most_rounds: int | None) -> tuple[np.ndarray, float | None]:
+        """As settle does: the best labels and their modularity; None if most_rounds did not do."""
+        best, most, since = labels, float("-inf"), 0
+        changed = np.ones(len(labels), dtype=bool)
+        for number in count() if most_rounds is None else range(most_rounds):
+            self.renew(labels, changed)
+            tot = np.bincount(labels, self.d, len(labels))
+            here = self.to == labels[self.node]
+            gain = self.k - self.resolution * self.d[self.node] * (tot[self.to] - np.where(here, self.d[self.node], 0.0)) / self.total
+            gain = np.copysign(np.floor(np.abs(gain) * 1e9 + 0.5), gain)  # halves away from zero, as SQL rounds
+            top = np.maximum.reduceat(gain, self.begin)
+            own = np.flatnonzero(here & (self.k > -np.inf))
+            now = (self.k[own].sum() + self.loop.sum()) / self.total - self.resolution * (tot * tot).sum() / self.total**2
+            wants = top > gain[own]
+            since = 0 if now > most + LEAST_GAIN else since + 1
+            if now > most:
+                best, most = labels, now
+            if not wants.any() or since >= PATIENCE:
+                return best, most
+            moved = np.zeros(len(labels), dtype=bool)
+            for x in np.flatnonzero(wants).tolist():
+                moved[x] = hashlib.md5(f"{names[x]}:{number}".encode()).digest()[0] < 128
+            slots = np.flatnonzero(moved[self.node])
+            tops = slots[gain[slots] == top[self.node[slots]]]
+            node, first = np.unique(self.node[tops], return_index=True)
+            labels = labels.copy()
+            labels[node] = self.to[tops[first]]
+            changed = moved
+            changed[self.next[slots]] = True
+        return best, None
+
+
+def settle_in_a_task(level: Level, start: DataFrame, resolution: float, most_rounds: int | None = None) -> tuple[DataFrame, float]:
+    """What settle gives, by one task that holds the whole level; communities of start are named after nodes of the level."""
+    total = level.total
+    nodes = level.nodes.join(start, "node").select(F.col("node").alias("a"), F.col("community").alias("b"), F.lit(None).cast("double").alias("w"), "d", "loop", F.col("node").cast("string").alias("name"))
+    rows = nodes.unionByName(level.edges, allowMissingColumns=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches))
+        own, edges = t.filter(pc.is_null(t["w"])).sort_by("a"), t.filter(pc.is_valid(t["w"]))
+        names = own["a"].combine_chunks()
+        number = lambda c: pc.index_in(c, value_set=names).to_numpy().astype(np.int64)
+        table = Table(own["d"].to_numpy(), own["loop"].to_numpy(), number(edges["a"]), number(edges["b"]), edges["w"].to_numpy(), total, resolution)
+        labels, reached = table.rounds(number(own["b"]), own["name"].to_pylist(), most_rounds)
+        yield from pa.table({"node": names, "community": names.take(pa.array(labels)), "reached": pa.array([reached] * len(names), pa.float64())}).to_batches(max_chunksize=10_000)
+
+    kind = level.nodes.schema["node"].dataType.simpleString()
+    found = cut_lineage(rows.coalesce(1).mapInArrow(run, f"node {kind}, community {kind}, reached double"))
+    reached = found.select("reached").first()[0]
+    if reached is None:
+        raise RuntimeError(f"communities did not settle in {most_rounds} rounds")
+    return found.select("node", "community"), reached
+
+
+def settled(level: Level, start: DataFrame, resolution: float, most_rounds: int | None = None) -> tuple[DataFrame, float]:
+    """(node, community) of one level and its modularity, by one task or by all."""
+    rows = level.nodes.select("d").unionByName(level.edges.select(F.col("w").alias("d"))).count()
+    return (settle_in_a_task if rows <= TASK_ROWS else settle)(level, start, resolution, most_rounds)
+
+
 def contract(level: Level, found: DataFrame) -> Level:
     """The graph of communities: weights between them added up, weights inside as loops."""
     a, b = found.toDF("a", "ca"), found.toDF("b", "cb")
@@ -100,12 +199,12 @@ def louvain(edges: DataFrame, resolution: float = 1.0, most_rounds: int | None =
     alone = lambda level: level.nodes.select("node", F.col("node").alias("community"))
     found, best = alone(base), float("-inf")
     while base.total:
-        step, reached = settle(base, found, resolution, most_rounds)
+        step, reached = settled(base, found, resolution, most_rounds)
         now, level = cut_lineage(step), base
         of = now
         while True:
             level = contract(level, of)
-            step, more = settle(level, alone(level), resolution, most_rounds)
+            step, more = settled(level, alone(level), resolution, most_rounds)
             if more <= reached + LEAST_GAIN:
                 break
             of, reached = cut_lineage(step), more

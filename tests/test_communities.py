@@ -117,3 +117,35 @@ def test_a_level_may_need_many_rounds(monkeypatch):
     monkeypatch.setattr(communities, "_modularity", lambda level, marked, resolution: (len(done) / 1000, 250 - len(done)))
     _, reached = communities.settle(MagicMock(), MagicMock(), 1.0)
     assert len(done) == 250 and reached == 0.25
+
+
+def test_a_level_that_fits_a_task_needs_no_jobs_for_its_rounds(spark, monkeypatch):
+    """Hundreds of rounds of small jobs took ten minutes over a graph of 1 GB."""
+    monkeypatch.setattr(communities, "moves", lambda *a: pytest.fail("a round as jobs"))
+    pairs = karate()
+    of = {r.node: r.community for r in communities.louvain(spark.createDataFrame(sorted(pairs), "a long, b long")).collect()}
+    assert q(pairs, of) > 0.4
+
+
+def string_names():
+    return {(f"é{a}", f"z{b}") for a, b in planted(groups=3, size=10)} | {("lone", "pair")}
+
+
+@pytest.mark.parametrize(("graph", "kind", "resolution"), [(karate, "bigint", 0.7), (string_names, "string", 1.3), (lambda: {(1, 2)}, "int", 1.0)])
+def test_one_task_settles_as_all_tasks_do(spark, monkeypatch, graph, kind, resolution):
+    edges = spark.createDataFrame(sorted(graph()), f"a {kind}, b {kind}")
+    one = communities.louvain(edges, resolution)
+    assert dict(one.dtypes) == {"node": kind, "community": kind}
+    monkeypatch.setattr(communities, "TASK_ROWS", 0)
+    assert sorted(one.collect()) == sorted(communities.louvain(edges, resolution).collect())
+
+
+def test_one_task_settles_contracted_levels(spark):
+    """Weights, loops and a node without edges; from a start that has communities already."""
+    nodes = spark.createDataFrame([(1, 8.0, 4.0), (2, 6.0, 2.0), (3, 9.0, 0.0), (4, 3.0, 0.0), (5, 2.0, 2.0)], "node long, d double, loop double")
+    half = [(1, 2, 1.0), (1, 3, 3.0), (2, 3, 3.0), (3, 4, 3.0)]
+    edges = spark.createDataFrame(half + [(b, a, w) for a, b, w in half], "a long, b long, w double")
+    level = communities.Level(nodes, edges, 28.0)
+    start = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 4), (5, 5)], "node long, community long")
+    (one, q_one), (every, q_all) = (f(level, start, 1.0) for f in (communities.settle_in_a_task, communities.settle))
+    assert sorted(one.collect()) == sorted(every.collect()) and abs(q_one - q_all) < 1e-12
